@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modstream.llm import mixing, secrets, url_filter
+from modstream.llm import language, licenses, mixing, quality, secrets, url_filter
 from modstream.llm.common import table
 
 # Values of the queries that are to equal those of other implementations.
@@ -42,6 +42,15 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + great
 """
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify_languages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -62,6 +71,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda p: p.kind.isin("assign", "access", "hex"))
@@ -72,6 +85,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_url_filter": op5_url_filter, "op10_secrets": op10_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL}
