@@ -18,6 +18,9 @@ CHUNK = 1 << 20
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
 U = np.uint64
 
 
@@ -54,7 +57,8 @@ _BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1342543DE82EF95)
 class Texts:
     """A batch of texts; null counts as empty. ``first[d]`` to ``first[d + 1]`` are the words of text d."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, lower: bool = False):
+        """``lower``: A-Z become a-z."""
         column = pc.fill_null(column, "").cast(pa.large_string())
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -63,6 +67,7 @@ class Texts:
         self.offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
         low, high = int(self.offsets[0]), int(self.offsets[-1])
         self.data = np.frombuffer(data, dtype=np.uint8)[low:high] if high > low else np.zeros(0, np.uint8)
+        self.data = _LOWER[self.data] if lower else self.data
         self.offsets = self.offsets - low
         self.solid = ~BLANK[self.data]
         before = np.zeros(len(self.data), dtype=bool)

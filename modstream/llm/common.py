@@ -92,7 +92,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     """Equal for equal edge sets."""
-    row = edges.agg(F.count("*"), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    row = edges.agg(F.count("*"), F.sum(F.xxhash64("b", "a") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)
 
 
