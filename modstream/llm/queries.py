@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modstream.llm import language, licenses, mixing, quality, secrets, simhash, url_filter
+from modstream.llm import language, licenses, mixing, quality, secrets, simhash, substrings, url_filter
 from modstream.llm.common import table
 
 # Values of the queries that are to equal those of other implementations.
@@ -71,6 +71,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.fingerprint_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -90,6 +94,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op7_simhash": op7_simhash, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL}
