@@ -138,15 +138,15 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of ``batches`` of up to PIECE bytes of text."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches`` of up to ``size`` bytes of text."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         i = 0
         while i < batch.num_rows:
             done = ends[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
+            j = max(i + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(i, j - i)
             i = j
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modstream.llm import language, licenses, mixing, quality, secrets, simhash, substrings, url_filter
+from modstream.llm import language, licenses, mixing, quality, secrets, sentencepieces, simhash, substrings, url_filter
 from modstream.llm.common import table
 
 # Values of the queries that are to equal those of other implementations.
@@ -42,6 +42,10 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + great
 """
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL}
