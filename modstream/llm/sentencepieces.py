@@ -51,7 +51,7 @@ def rebuilt(data: bytes):
     Normaliser (character map, extra blanks, the blank in front), the mark for blanks, unigram scores or merges in order of score,
     and bytes for unknown characters come from the protobuf. Control pieces are never produced from text.
     """
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     proto = parse_model(data)
     trainer, norm = proto.trainer_spec, proto.normalizer_spec
@@ -77,13 +77,17 @@ def rebuilt(data: bytes):
     # No piece has a mark after another character: then texts may be cut before marks, and words are looked up in a cache.
     if not any(a != MARK and b == MARK for p in proto.pieces if p.type == NORMAL for a, b in itertools.pairwise(p.piece)):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if norm.add_dummy_prefix:
-        back.append(decoders.Strip(" ", 1, 0))
-    tokenizer.decoder = decoders.Sequence(back)
+    tokenizer.decoder = _decoder(norm.add_dummy_prefix)
     return tokenizer
 
 
+def _decoder(prefix: bool):
+    from tokenizers import decoders
+
+    steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    return decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if prefix else steps)
+
+
 def _threads(n: int) -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ.setdefault("RAYON_NUM_THREADS", str(n))
@@ -105,20 +109,35 @@ class Encoder:
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.words = Tokenizer(self.tokenizer.model)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+        self.known: dict[str, tuple[list[int], str]] = {}
+        self.words.decoder = _decoder(False)
+        norm = parse_model(data).normalizer_spec
+        self.prefix = norm.add_dummy_prefix
+        self.plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+
+    def normal(self, text: str) -> str:
+        """What the normaliser makes of a text; the common plain case is quicker with Python's own replace."""
+        if self.plain:
+            return MARK + text.replace(" ", MARK) if text else ""
+        return self.tokenizer.normalizer.normalize_str(text)
+
+    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids of each text, and the text that they decode to."""
         if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        normal = self.tokenizer.normalizer.normalize_str
-        cut = [self.cut(normal(t)) for t in texts]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        cut = [self.cut(self.normal(t)) for t in texts]
         new = set().union(*cut)
         if len(self.known) > self.CACHE:
             self.known = {}
         new = list(new - self.known.keys())
-        for word, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = e.ids
-        return [list(itertools.chain.from_iterable(map(self.known.__getitem__, words))) for words in cut]
+        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        for word, i, back in zip(new, ids, self.words.decode_batch(ids, skip_special_tokens=False), strict=True):
+            self.known[word] = (i, back)
+        found = [[self.known[w] for w in words] for words in cut]
+        # A character's bytes are in one word, so words decode alone; the blank in front goes as in the whole text.
+        backs = ["".join([back for _, back in words]) for words in found]
+        return [list(itertools.chain.from_iterable([i for i, _ in words])) for words in found], [b[1:] if self.prefix and b[:1] == " " else b for b in backs]
 
 
 def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_bytes: int = 1 << 19) -> DataFrame:
@@ -141,8 +160,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_by
         other = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
         for batch in pieces(batches, size=batch_bytes):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = encoder(texts)
-            back = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            ids, back = encoder(texts)
             same = [a == b for a, b in zip(ids, other.encode(texts, num_threads=1), strict=True)]
             sizes = np.array([len(x) for x in ids], dtype=np.int32)
             lists = pa.ListArray.from_arrays(
