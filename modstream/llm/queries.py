@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modstream.llm import language, licenses, mixing, quality, secrets, sentencepieces, simhash, substrings, url_filter
+from modstream.llm import embeddings, language, licenses, mixing, quality, secrets, sentencepieces, simhash, substrings, url_filter
 from modstream.llm.common import table
 
 # Values of the queries that are to equal those of other implementations.
@@ -84,6 +84,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents")).drop("digest")
 
@@ -98,6 +102,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op8_embeddings": op8_embeddings, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL}
