@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modstream.functions.fixed import DIGIT_LETTERS, INVISIBLE, LOOKALIKES, SAFE_TAGS
 
@@ -18,6 +19,11 @@ FOREIGN_LETTER = "[\\p{L}&&[^\\p{InBasicLatin}\\p{InLatin-1Supplement}\\p{InLati
 INVALID = f"[{INVISIBLE}\\p{{Mn}}\\p{{Mc}}]|{FOREIGN_LETTER}"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for each row, although ``use`` needs it inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def is_ascii(text: Column) -> Column:
     return text.rlike(ASCII)
 
@@ -61,12 +67,12 @@ def search_form(text: str) -> tuple[str, list[int]]:
     return "".join(letters), places
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalized_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", search_form(t)[0]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -85,7 +91,7 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(F.when(is_ascii(text), text), _nfkc_unicode(F.when(~is_ascii(text), text)))
 
 
-@F.pandas_udf("clean string, idx array<int>")
+@F.pandas_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("idx", T.ArrayType(T.IntegerType()))]))
 def _mapped(texts: pd.Series) -> pd.DataFrame:
     found = [search_form(t or "") for t in texts]
     return pd.DataFrame({"clean": [c for c, _ in found], "idx": [i for _, i in found]})
@@ -201,7 +207,7 @@ def jaro_winkler(a: str | None, b: str | None) -> float:
     return (j + min(0.1, 1 / len(long)) * prefix * (1 - j)) * 100
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_pct(a: pd.Series, b: pd.Series) -> pd.Series:
     """For pairs that a join has narrowed down: no built-in function does this."""
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modstream.functions.fixed import BLOCKED_ENDINGS, DOT_WORDS, TALKING_COMMANDS
+from modstream.functions.text import bind
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = f"(?<![0-9])({OCTET}(?:\\.{OCTET}){{3}})(?![0-9])"
@@ -64,18 +65,23 @@ def dedot(text: Column, words: Sequence[str] = DOT_WORDS) -> Column:
 
 def find_domains(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed: Sequence[str] = (), words: Sequence[str] = DOT_WORDS) -> Column:
     """array<string> of domains: a label, a dot, and an ending whose letters may be spread by blanks; the shortest ending wins."""
-    parts = F.split(dedot(text, words), "\\.")
+    if not endings:
+        return F.array().cast("array<string>")
     known = F.array(*map(F.lit, endings))
 
-    def domain(i: Column) -> Column:
+    def domain(parts: Column, i: Column) -> Column:
         label = F.regexp_extract(F.rtrim(F.get(parts, i)), "([A-Za-z0-9_-]+)$", 1)
         letters = F.regexp_extract(F.get(parts, i + 1), "^((?:\\s|\\p{L})*)", 1)
         runs = F.filter(F.split(F.lower(letters), "\\s+"), lambda r: r != "")
-        grown = F.transform(runs, lambda _, k: F.array_join(F.slice(runs, F.lit(1), k + 1), ""))
+        # An ending has 10 letters at most, so no more runs than that can make one.
+        grown = bind(F.slice(runs, 1, 10), lambda rs: F.transform(rs, lambda _, k: F.array_join(F.slice(rs, F.lit(1), k + 1), "")))
         ending = F.get(F.filter(grown, lambda g: F.array_contains(known, g) & (F.length(g) <= 10)), 0)
         return F.when((label != "") & ending.isNotNull(), F.concat(F.lower(label), F.lit("."), ending))
 
-    found = F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), domain))
+    def all_of(parts: Column) -> Column:
+        return F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: domain(parts, i)))
+
+    found = bind(F.split(dedot(text, words), "\\."), all_of)
     return F.filter(found, lambda d: ~d.isin(list(allowed))) if allowed else found
 
 
@@ -90,7 +96,7 @@ def char_run(text: Column, limit: int) -> Column:
 
 def word_run(text: Column, limit: int) -> Column:
     """A word, without case, more than ``limit`` (at least 2) times in a row."""
-    return text.rlike(f"(?iu)(?:^| )([^ ]+)(?: +\\1){{{max(2, limit)},}}(?= |\\z)")
+    return text.rlike(f"(?iu)(?:^| )([^ ]++)(?: +\\1(?= |\\z)){{{max(2, limit)},}}")
 
 
 def caps_limit(text: Column, limit: int) -> Column:

@@ -1,4 +1,8 @@
 """Queries over the tables, by name, and the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from modstream.plans import catalog_text
+
+QUERIES = dict(catalog_text.QUERIES)
+ORACLE_SQL = dict(catalog_text.ORACLE_SQL)

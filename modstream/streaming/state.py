@@ -24,14 +24,22 @@ SPLIT_IP = re.compile(rf"(?<![0-9])({OCTET}(?:[^0-9]+{OCTET}){{3}})(?![0-9])")
 
 
 def edit_distance(a: str, b: str) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance, a whole column of the table at a time as bits of a number (Myers)."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, char in enumerate(a):
+        at[char] = at.get(char, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for char in b:
+        same = at.get(char, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | ~(diagonal | up), up & diagonal
+        distance += bool(right & top) - bool(left & top)
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(diagonal | right)) & every, right & diagonal & every
+    return distance
 
 
 def similarity(a: str, b: str) -> float:
@@ -108,12 +116,15 @@ class UserState:
         return True
 
     def verdict(self, row: dict) -> dict:
-        """Flags of one message, in order: a message that a rule stops doesn't reach the next ones. A control row ends the session."""
+        """Flags of one message, in order: a message that a rule stops doesn't reach the next ones. Texts beyond the
+        length limit are stopped before any rule. A control row ends the session."""
         out = {"flood": False, "split_ip": False, "repeat": False}
         if row.get("source") == "end_session":
             self.state = UserState(self.cfg).state
             return out
         traffic, text, now = row["source"] == "chat", row["text"] or "", row["at"]
+        if len(text) > self.cfg.max_chars:
+            return out
         if traffic and self.flood(now):
             return out | {"flood": True}
         if self.split_address(text):
