@@ -198,10 +198,11 @@ def lexicon_remove(lexicon: DataFrame, gone: DataFrame) -> DataFrame:
 
 def lexicon_page(lexicon: DataFrame, mode: str, page: int, size: int = 20) -> DataFrame:
     """A page of a mode's words in order without case; a page beyond the last is the last."""
-    numbered = lexicon.where(F.col("mode") == mode).withColumn("row", F.row_number().over(Window.orderBy(F.lower("word"), "word")))
-    last = F.greatest(F.lit(1), F.ceil(F.max("row").over(Window.partitionBy(F.lit(1))) / size))
-    at = F.least(F.lit(max(1, page)), last)
-    return numbered.withColumn("page", at).where((F.col("row") > (at - 1) * size) & (F.col("row") <= at * size)).select("row", "word", "page")
+    numbered = lexicon.where(F.col("mode") == mode).select("word", F.row_number().over(Window.orderBy(F.lower("word"), "word")).alias("row"))
+    last = numbered.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("last"))
+    at = F.least(F.lit(max(1, page)), F.col("last"))
+    paged = numbered.join(F.broadcast(last)).withColumn("page", at)
+    return paged.where((F.col("row") > (F.col("page") - 1) * size) & (F.col("row") <= F.col("page") * size)).select("row", "word", "page")
 
 
 def words_lexicon(words: Iterable[str], mode: str, spark) -> DataFrame:

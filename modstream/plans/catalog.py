@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modstream.plans import catalog_text
+from modstream.plans import catalog_tables, catalog_text
 
-QUERIES = dict(catalog_text.QUERIES)
-ORACLE_SQL = dict(catalog_text.ORACLE_SQL)
+QUERIES = catalog_text.QUERIES | catalog_tables.QUERIES
+ORACLE_SQL = catalog_text.ORACLE_SQL | catalog_tables.ORACLE_SQL
