@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,57 +95,77 @@ def _threads(n: int) -> None:
 
 
 class Encoder:
-    """Encodes batches of texts with ``rebuilt``.
+    """Encodes batches of texts with ``rebuilt``, and compares with the sentencepiece library.
 
-    If the model lets texts be cut before marks, a batch's different words are encoded as one multithreaded batch and remembered
-    (up to CACHE words), and a text's ids are those of its words; otherwise whole texts are encoded.
+    If the model lets texts be cut before marks, both libraries work word by word: a batch's new words are encoded as one
+    multithreaded batch, decoded, and encoded by the other library too; the outcome is remembered for up to CACHE words. A text's
+    ids are those of its words. Otherwise whole texts are encoded.
     """
 
     CACHE = 300_000
 
     def __init__(self, data: bytes):
+        import sentencepiece
         from tokenizers import Tokenizer
 
         self.tokenizer = rebuilt(data)
+        self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.words = Tokenizer(self.tokenizer.model)
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, tuple[list[int], str]] = {}
         self.words.decoder = _decoder(False)
-        norm = parse_model(data).normalizer_spec
-        self.prefix = norm.add_dummy_prefix
+        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        proto = parse_model(data)
+        self.spelled = [p.piece if p.type in (NORMAL, USER_DEFINED) else "" for p in proto.pieces]
+        norm = proto.normalizer_spec
         self.plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        self.by_word = self.by_word and self.plain
+        self._forget()
 
-    def normal(self, text: str) -> str:
-        """What the normaliser makes of a text; the common plain case is quicker with Python's own replace."""
-        if self.plain:
-            return MARK + text.replace(" ", MARK) if text else ""
-        return self.tokenizer.normalizer.normalize_str(text)
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
+        self.lossy: set[str] = set()
 
-    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids of each text, and the text that they decode to."""
+    def _learn(self, new: list[str]) -> None:
+        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        # A word has its mark in front, which the other library puts there itself; a mark alone it can't be asked for.
+        theirs = self.other.encode([w.replace(MARK, " ")[1:] for w in new], num_threads=1)
+        piece = self.spelled.__getitem__
+        doubtful = []
+        for word, i, j in zip(new, ids, theirs, strict=True):
+            self.known[word] = array("i", i).tobytes()
+            if i != j and not (word == MARK and i == [self.other.piece_to_id(MARK)]):
+                self.unlike.add(word)
+            if "".join(map(piece, i)) != word:
+                doubtful.append((word, i))
+        # Pieces that spell the word decode to it; bytes and unknown pieces are decoded.
+        backs = self.words.decode_batch([i for _, i in doubtful], skip_special_tokens=False) if doubtful else []
+        self.lossy.update(word for (word, _), back in zip(doubtful, backs, strict=True) if back != word.replace(MARK, " "))
+
+    def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Of each text the ids (as 32-bit numbers), whether they decode to the text, and whether the other library agrees."""
         if not self.by_word:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        cut = [self.cut(self.normal(t)) for t in texts]
-        new = set().union(*cut)
+            backs = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            theirs = self.other.encode(texts, num_threads=1)
+            same = lambda a, b: [x == y for x, y in zip(a, b, strict=True)]
+            return [np.array(i, dtype=np.int32).tobytes() for i in ids], same(backs, texts), same(ids, theirs)
+        cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > self.CACHE:
-            self.known = {}
-        new = list(new - self.known.keys())
-        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
-        for word, i, back in zip(new, ids, self.words.decode_batch(ids, skip_special_tokens=False), strict=True):
-            self.known[word] = (i, back)
-        found = [[self.known[w] for w in words] for words in cut]
-        # A character's bytes are in one word, so words decode alone; the blank in front goes as in the whole text.
-        backs = ["".join([back for _, back in words]) for words in found]
-        return [list(itertools.chain.from_iterable([i for i, _ in words])) for words in found], [b[1:] if self.prefix and b[:1] == " " else b for b in backs]
+            self._forget()
+        new = list(set().union(*cut) - self.known.keys())
+        if new:
+            self._learn(new)
+        ids = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        trips = [MARK not in t and self.lossy.isdisjoint(words) for t, words in zip(texts, cut, strict=True)]
+        return ids, trips, [self.unlike.isdisjoint(words) for words in cut]
 
 
-def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_bytes: int = 1 << 19) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip and parity of every row of ``docs`` (doc_id, text).
 
     ``model`` is a path on the driver; the model is broadcast (some hundred KB to a few MB) and rebuilt once in each Python worker.
-    Batches are encoded with ``threads`` threads, and every text is also encoded by the sentencepiece library: parity says that
+    Batches are encoded with ``threads`` threads, and everything is also encoded by the sentencepiece library: parity says that
     both give the same ids. round_trip says that the decoded ids are the text. Neither is a filter. A null text counts as empty and
     has no tokens; repeated rows and null ids are encoded each; no rows give no rows; other columns are not read.
     """
@@ -154,20 +175,16 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _threads(threads)
-        import sentencepiece
-
         encoder = Encoder(sent.value)
-        other = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
         for batch in pieces(batches, size=batch_bytes):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, back = encoder(texts)
-            same = [a == b for a, b in zip(ids, other.encode(texts, num_threads=1), strict=True)]
-            sizes = np.array([len(x) for x in ids], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(list(itertools.chain.from_iterable(ids)), pa.int32())
+            ids, trips, same = encoder([t or "" for t in batch.column(1).to_pylist()])
+            ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            lists = pa.ListArray.from_arrays(pa.array(ends), values)
+            yield pa.record_batch(
+                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())],
+                ["doc_id", "n_tokens", "ids", "round_trip", "parity"],
             )
-            trips = [a == b for a, b in zip(back, texts, strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(sizes.astype(np.int64)), lists, pa.array(trips), pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
 
