@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (a longer text goes alone).
-PIECE = 2_000_000
-CHUNK = 1 << 20
+PIECE = 1_000_000
+CHUNK = 1 << 18
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

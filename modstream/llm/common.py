@@ -28,9 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows that Spark sends to Python at once, where the session has Spark's own setting: texts may be long.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ARROW_ROWS unless somebody set it: it bounds the memory of Python workers."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

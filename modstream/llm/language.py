@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modstream.llm.arrays import CLASSES, Texts, WordTypes, pieces
+from modstream.llm.common import small_batches
 
 #: About so many labelled documents of each language are learned from: of more, those whose id hashes lowest.
 LEARN_DOCS = 5_000
@@ -157,8 +158,9 @@ def label_languages(docs: DataFrame, scorer: Scorer | None, switch: float = SWIT
     aren't candidates. The best path through all words pays ``switch`` for each change of language. lang_pred has most of the
     words with letters (of a tie the first by name), score is its share of them. A text that is null or has no letter, and any
     text where no language was learned, is "und" with score 0 and no spans. Repeated rows and null ids are labelled each; other
-    columns are not read; no rows give no rows. Memory is that of a piece of 2 MB of text, or of one longer text.
+    columns are not read; no rows give no rows. Memory is that of a piece of 1 MB of text, or of one longer text.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modstream.llm.arrays import pieces
+from modstream.llm.common import small_batches
 
 MARK = "▁"
 #: Where the query finds a model; a parameter everywhere else.
@@ -169,6 +170,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_by
     both give the same ids. round_trip says that the decoded ids are the text. Neither is a filter. A null text counts as empty and
     has no tokens; repeated rows and null ids are encoded each; no rows give no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     with open(model, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()

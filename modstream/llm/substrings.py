@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     Null texts have no words. A row with a null id neither loses words nor counts as another document. Rows of one id are one
     document for the comparison and come out each. Texts of under ``window`` words keep all; no rows give no rows; other columns
-    are not read. Memory is that of a piece of 2 MB of text, or of one longer text.
+    are not read. Memory is that of a piece of 1 MB of text, or of one longer text.
     """
     lists = covered_lists(docs, window, prefix)
 
