@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Sequence
@@ -9,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modstream.functions.text import bind
 from modstream.llm.common import ascii_lower, whole, written
 
 #: A word here: ASCII digits, lower-case letters and everything beyond ASCII.
@@ -66,6 +68,10 @@ def places(words: Column, phrase: Sequence[str]) -> Column:
     return F.filter(ends, stands)
 
 
+def _long_places(phrase: Sequence[str], words: Column) -> Column:
+    return F.transform(places(words, phrase), lambda i: i.cast("long"))
+
+
 def _scanned(docs: DataFrame, phrases, vocabulary: Sequence[str], least: int, block: str) -> DataFrame:
     """One row per document: the phrases' places, and of each block those words that any template has, if there are ``least``."""
     text = whole(F.col("text"))
@@ -77,7 +83,7 @@ def _scanned(docs: DataFrame, phrases, vocabulary: Sequence[str], least: int, bl
         likely = low.contains(parts[-1])
         for part in parts[:-1]:
             likely = likely & low.contains(part)
-        at = F.transform(places(words, parts), lambda i: i.cast("long"))
+        at = bind(words, functools.partial(_long_places, parts))
         found.append(F.when(likely, at).otherwise(F.array().cast("array<bigint>")).alias(f"at{k}"))
     known = F.array(*map(F.lit, vocabulary))
     # F.lower is quick but also folds letters beyond ASCII; a word that this makes a template's is checked in the exact form.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modstream.functions.text import bind
 from modstream.llm.common import whole, written
 
 QUOTE, ASSIGN = "[\"']?", "[\"']?\\x20*[:=]\\x20*[\"']?"
@@ -30,9 +31,17 @@ def _laid_out(text: Column, pattern: str, hits: Column) -> Column:
     zipped = F.zip_with(
         F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), F.length(h).cast("long").alias("n"), h.alias("h"))
     )
+    return bind(zipped, _places)
+
+
+def _places(zipped: Column) -> Column:
     chunks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / CHUNK).cast("int")), lambda c: F.slice(zipped, c * CHUNK + 1, F.lit(CHUNK))
     )
+    return bind(chunks, _chunk_places)
+
+
+def _chunk_places(chunks: Column) -> Column:
     ends = F.aggregate(
         chunks, F.array(F.lit(0).cast("long")),
         lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.g + x.n))),
