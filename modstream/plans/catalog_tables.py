@@ -12,8 +12,11 @@ from modstream.operators import tables as T
 from modstream.plans.catalog_text import FORM_SQL, lexicon, read
 from modstream.sources import io
 
-NOW = F.lit("1998-06-01 00:00:00").cast("timestamp")
-ASCII_NOW = "TIMESTAMP '1998-06-01 00:00:00'"
+NOW_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
+
+
+def now():
+    return F.lit("1998-06-01 00:00:00").cast("timestamp")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +25,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer")
-    return rows.select(F.col("c_custkey").alias("id"), F.concat(F.lit("u-"), F.col("c_custkey").cast("string")).alias("uuid"), F.col("c_name").alias("name"), NOW.alias("last_seen"))
+    return rows.select(F.col("c_custkey").alias("id"), F.concat(F.lit("u-"), F.col("c_custkey").cast("string")).alias("uuid"), F.col("c_name").alias("name"), now().alias("last_seen"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +98,7 @@ def permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def login(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.login_snapshot(players(spark, sf_dir), muted(spark, sf_dir), NOW).select("id", "name", "scope", F.coalesce(F.unix_seconds("expires_at"), F.lit(-1)).alias("until"), "mute_reason")
+    return T.login_snapshot(players(spark, sf_dir), muted(spark, sf_dir), now()).select("id", "name", "scope", F.coalesce(F.unix_seconds("expires_at"), F.lit(-1)).alias("until"), "mute_reason")
 
 
 def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +110,11 @@ def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mute_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = players(spark, sf_dir).where("id % 7 = 0").select(F.col("id").alias("player_id"))
     now_muted = T.apply_unmutes(muted(spark, sf_dir), gone)
-    return T.mute_status(players(spark, sf_dir).select(F.col("id").alias("player_id")), now_muted, NOW)
+    return T.mute_status(players(spark, sf_dir).select(F.col("id").alias("player_id")), now_muted, now())
 
 
 def expired_mutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active, audit = T.expire_mutes(muted(spark, sf_dir), NOW)
+    active, audit = T.expire_mutes(muted(spark, sf_dir), now())
     return active.groupBy("scope").agg(F.count("*").alias("n")).select(F.lit("active").alias("what"), "scope", "n").union(
         audit.groupBy("detail").agg(F.count("*").alias("n")).select(F.lit("audit"), "detail", "n")
     )
@@ -133,8 +136,8 @@ SELECT event_id AS id, user_id AS player_id, scope, seconds, CASE event_type WHE
 
 def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"suggestions": (suggestions(spark, sf_dir), "created_at"), "mute_history": (history(spark, sf_dir), "created_at")}
-    kinds = [T.purge_counts(tables, k, 30 * 86400, NOW).select(F.lit(k).alias("kind"), "purged") for k in ("sg", "hp", "all", "zz")]
-    kept = T.retention(suggestions(spark, sf_dir), history(spark, sf_dir), NOW)
+    kinds = [T.purge_counts(tables, k, 30 * 86400, now()).select(F.lit(k).alias("kind"), "purged") for k in ("sg", "hp", "all", "zz")]
+    kept = T.retention(suggestions(spark, sf_dir), history(spark, sf_dir), now())
     rows = [k.agg(F.count("*").alias("purged")).select(F.lit(n).alias("kind"), "purged") for n, k in zip(("kept sg", "kept hp"), kept, strict=True)]
     out = kinds[0]
     for df in kinds[1:] + rows:
@@ -142,9 +145,9 @@ def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-PURGE_SQL = "WITH " + HISTORY + ", " + SUGGESTIONS + f""", s AS (SELECT count(*) AS n FROM sugg WHERE created_at < {ASCII_NOW} - INTERVAL 30 DAY), h AS (SELECT count(*) AS n FROM hist WHERE created_at < {ASCII_NOW} - INTERVAL 30 DAY)
+PURGE_SQL = "WITH " + HISTORY + ", " + SUGGESTIONS + f""", s AS (SELECT count(*) AS n FROM sugg WHERE created_at < {NOW_SQL} - INTERVAL 30 DAY), h AS (SELECT count(*) AS n FROM hist WHERE created_at < {NOW_SQL} - INTERVAL 30 DAY)
 SELECT 'sg' AS kind, n AS purged FROM s UNION ALL SELECT 'hp', n FROM h UNION ALL SELECT 'all', s.n + h.n FROM s, h UNION ALL SELECT 'zz', 0
-UNION ALL SELECT 'kept sg', count(*) FROM sugg WHERE created_at >= {ASCII_NOW} - INTERVAL 72 HOUR UNION ALL SELECT 'kept hp', count(*) FROM hist WHERE created_at >= {ASCII_NOW} - INTERVAL 7 DAY"""
+UNION ALL SELECT 'kept sg', count(*) FROM sugg WHERE created_at >= {NOW_SQL} - INTERVAL 72 HOUR UNION ALL SELECT 'kept hp', count(*) FROM hist WHERE created_at >= {NOW_SQL} - INTERVAL 7 DAY"""
 
 
 def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +163,7 @@ SELECT id, player_id, suggestion, status FROM old UNION ALL SELECT (SELECT max(i
 
 
 def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = suggestions(spark, sf_dir).where("id % 5 = 0").select("id", (F.col("id") % 2 == 0).alias("accepted"), F.lit("staff").alias("staff_name"), NOW.alias("timestamp"))
+    decisions = suggestions(spark, sf_dir).where("id % 5 = 0").select("id", (F.col("id") % 2 == 0).alias("accepted"), F.lit("staff").alias("staff_name"), now().alias("timestamp"))
     after, words, audit = T.review_suggestions(suggestions(spark, sf_dir), decisions)
     states = after.groupBy("status").agg(F.count("*").alias("n")).select(F.lit("suggestion").alias("what"), "status", "n")
     return states.union(words.select(F.lit("word"), "word", F.lit(1).cast("long"))).union(audit.groupBy("action").agg(F.count("*").alias("n")).select(F.lit("audit"), "action", "n"))
@@ -243,13 +246,13 @@ def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = history(spark, sf_dir)
     warnings = h.where("id % 4 = 1").select("id", "player_id", "moderator", "reason", "created_at")
-    return P.user_reports(warnings, h.where("id % 4 = 0"), muted(spark, sf_dir), NOW, 1, 5)
+    return P.user_reports(warnings, h.where("id % 4 = 0"), muted(spark, sf_dir), now(), 1, 5)
 
 
 SHOWN = """CASE WHEN {s} <= 0 THEN '0s' WHEN {s} < 60 THEN {s} || 's' ELSE concat_ws(' ', CASE WHEN {s} >= 86400 THEN ({s} // 86400) || 'd' END, CASE WHEN {s} % 86400 >= 3600 THEN ({s} % 86400 // 3600) || 'h' END, CASE WHEN {s} % 3600 >= 60 THEN ({s} % 3600 // 60) || 'm' END) END"""
 REPORT_SQL = "WITH " + MUTED + f""", w AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, id DESC) AS row FROM hist WHERE id % 4 = 1),
 h AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, id DESC) AS row FROM hist WHERE id % 4 = 0),
-m AS (SELECT *, (epoch_us(expires_at) // 1000000 - epoch_us({ASCII_NOW}) // 1000000) AS left_s FROM muted WHERE expires_at IS NULL OR expires_at > {ASCII_NOW})
+m AS (SELECT *, (epoch_us(expires_at) // 1000000 - epoch_us({NOW_SQL}) // 1000000) AS left_s FROM muted WHERE expires_at IS NULL OR expires_at > {NOW_SQL})
 SELECT player_id, 1 AS section, row, moderator || ' | ' || reason AS text FROM w WHERE row <= 5
 UNION ALL SELECT player_id, 2, row, moderator || ' | ' || reason || ' | ' || CASE WHEN duration = 0 THEN 'Perm' ELSE {SHOWN.format(s='duration')} END FROM h WHERE row <= 5
 UNION ALL SELECT player_id, 0, 1, 'Muted: ' || reason || ' | ' || CASE WHEN expires_at IS NULL THEN 'Perm' ELSE {SHOWN.format(s='left_s')} END FROM m"""
@@ -273,11 +276,11 @@ ORACLE_SQL = {
     "ids_of_names": "SELECT upper(c_name) AS name, c_custkey AS id FROM customer UNION ALL SELECT s_name, -1 FROM supplier",
     "mute_enforcement": MUTES_SQL,
     "permissions": "SELECT c_custkey AS user_id, r_name = 'AMERICA' AS exempt, array_to_string(list_sort([n_name, r_name]), ',') AS held FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "login": "WITH " + MUTED + f"SELECT c_custkey AS id, c_name AS name, scope, coalesce(epoch_us(expires_at) // 1000000, -1) AS until, reason AS mute_reason FROM customer LEFT JOIN (FROM muted WHERE expires_at IS NULL OR expires_at > {ASCII_NOW}) ON player_id = c_custkey",
+    "login": "WITH " + MUTED + f"SELECT c_custkey AS id, c_name AS name, scope, coalesce(epoch_us(expires_at) // 1000000, -1) AS until, reason AS mute_reason FROM customer LEFT JOIN (FROM muted WHERE expires_at IS NULL OR expires_at > {NOW_SQL}) ON player_id = c_custkey",
     "registered": """WITH k AS (SELECT * FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey AS id, 'u-' || c_custkey AS uuid, c_name AS name FROM k UNION ALL
 SELECT (SELECT max(c_custkey) FROM k) + row_number() OVER (ORDER BY 'u-' || c_custkey), 'u-' || c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1""",
-    "mute_state": "WITH " + MUTED + f"SELECT c_custkey AS player_id, coalesce(s, -1) AS status FROM customer LEFT JOIN (SELECT player_id, coalesce(epoch_us(expires_at) // 1000000, 0) AS s FROM muted WHERE player_id % 7 != 0 AND (expires_at IS NULL OR expires_at > {ASCII_NOW})) ON player_id = c_custkey",
-    "expired_mutes": "WITH " + MUTED + f"SELECT 'active' AS what, scope, count(*) AS n FROM muted WHERE expires_at IS NULL OR expires_at > {ASCII_NOW} GROUP BY 2 UNION ALL SELECT 'audit', 'Expired/Manual', count(*) FROM muted WHERE expires_at <= {ASCII_NOW}",
+    "mute_state": "WITH " + MUTED + f"SELECT c_custkey AS player_id, coalesce(s, -1) AS status FROM customer LEFT JOIN (SELECT player_id, coalesce(epoch_us(expires_at) // 1000000, 0) AS s FROM muted WHERE player_id % 7 != 0 AND (expires_at IS NULL OR expires_at > {NOW_SQL})) ON player_id = c_custkey",
+    "expired_mutes": "WITH " + MUTED + f"SELECT 'active' AS what, scope, count(*) AS n FROM muted WHERE expires_at IS NULL OR expires_at > {NOW_SQL} GROUP BY 2 UNION ALL SELECT 'audit', 'Expired/Manual', count(*) FROM muted WHERE expires_at <= {NOW_SQL}",
     "sanctions": SANCTIONS_SQL, "purged": PURGE_SQL, "submitted": SUBMIT_SQL, "reviewed": REVIEW_SQL, "lexicon_pages": PAGES_SQL,
     "audit_details": "SELECT event_id AS id, upper(event_type) AS action, 'p' || user_id AS player, CASE WHEN event_id % 2 = 0 THEN 'a:' || event_type END AS reason, CASE WHEN event_id % 3 = 0 THEN '15m' END AS duration FROM events",
     "audit_latest": "WITH " + AUDIT + "SELECT id, staff_name, action, detail FROM aud WHERE staff_name ILIKE 'STAFF1%' ORDER BY timestamp DESC, id DESC LIMIT 10",
