@@ -102,6 +102,51 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TOKEN_SQL = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_TEMPLATES_SQL = ", ".join(f"({label!r}, {licenses.tokens(text)!r})" for label, text in licenses.TEMPLATES)
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, {_TOKEN_SQL}) AS w FROM d),
+places AS (
+  SELECT doc_id, w, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m,
+    list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
+    list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM w),
+templates(label, ts) AS (SELECT label, list_distinct(ts) FROM (VALUES {_TEMPLATES_SQL}) AS v(label, ts)),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(b, {_TOKEN_SQL})) AS ts FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM d) WHERE contains(b, 'licen') OR contains(b, ' ')),
+hits AS (
+  SELECT doc_id, label, len(list_intersect(b.ts, t.ts)) / len(t.ts)::DOUBLE AS share FROM blocks b, templates t
+  WHERE len(list_intersect(b.ts, t.ts)) >= ceil(0.8::DOUBLE * len(t.ts) - 1e-9)),
+found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS best FROM hits GROUP BY doc_id),
+joined AS (
+  SELECT p.*, list_concat(m, a, g) AS al, [x for x in [CASE WHEN len(m) > 0 THEN 'mit' END, CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END] if x IS NOT NULL] AS base, ls, best
+  FROM places p LEFT JOIN found USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(al)::BIGINT AS n_base, list_min(al) - 1 AS first_word, list_max(al) - 1 AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(ls, [])))), ',') AS labels,
+  CASE WHEN len(al) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score FROM joined
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM d)),
+least_doc AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+starts AS (SELECT doc_id, i FROM win JOIN least_doc USING (k) WHERE m < doc_id),
+covered AS (SELECT DISTINCT doc_id, i + j AS p FROM starts, range(50) AS r(j)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS n FROM word ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_id AS (SELECT a, min(b) AS m FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN least_id l ON l.a = vec_id LEFT JOIN counts c ON c.a = vec_id
+"""
+
 QUERIES = {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op8_embeddings": op8_embeddings, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_licenses": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_substrings": OP6_SQL, "op8_embeddings": OP8_SQL}
