@@ -71,7 +71,7 @@ def find_domains(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed
 
     def domain(parts: Column, i: Column) -> Column:
         label = F.regexp_extract(F.rtrim(F.get(parts, i)), "([A-Za-z0-9_-]+)$", 1)
-        letters = F.regexp_extract(F.get(parts, i + 1), "^((?:\\s|\\p{L})*)", 1)
+        letters = F.regexp_extract(F.get(parts, i + 1), "^([\\s\\p{L}]*)", 1)
         runs = F.filter(F.split(F.lower(letters), "\\s+"), lambda r: r != "")
         # An ending has 10 letters at most, so no more runs than that can make one.
         grown = bind(F.slice(runs, 1, 10), lambda rs: F.transform(rs, lambda _, k: F.array_join(F.slice(rs, F.lit(1), k + 1), "")))
