@@ -139,8 +139,9 @@ def fingerprint_components(docs: DataFrame, n: int = 3, distance: int = 2) -> Da
 WIDTH = 24
 #: Tables of candidates; each is keyed by the most decided bits of some words of the fingerprint.
 TABLES = 72
-#: Buckets up to this size are compared in full, larger ones with one member at a time, in ROUNDS rounds.
-FULL, ROUNDS = 40, 3
+#: Buckets up to this size are compared in full, larger ones with one member at a time, in ROUNDS rounds; tables differ in that
+#: member in TURNS ways.
+FULL, ROUNDS, TURNS = 16, 4, 8
 
 
 def _choices(words: int) -> list[tuple[int, ...]]:
@@ -211,7 +212,7 @@ def _candidates(classes: DataFrame, near: int) -> DataFrame:
     """
     n = classes.count()
     words = 3 if n < 2**21 else 4
-    keys = F.array(*(F.struct(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)).alias("key"), F.lit(k % 8).alias("turn")) for k, t in enumerate(_choices(words))))
+    keys = F.array(*(F.struct(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)).alias("key"), F.lit(k % TURNS).alias("turn")) for k, t in enumerate(_choices(words))))
     rows = classes.select("content", "fp", F.explode(keys).alias("k")).select("content", "fp", "k.key", "k.turn")
     close = lambda x, y: may_be_near(pivot_distances(x), pivot_distances(y), near) & (hamming(x, y) <= near)
     counted = Window.partitionBy("key")
@@ -260,7 +261,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     classes = found.where("n_shingles > 0").groupBy("content").agg(*(F.first(c).alias(c) for c in ("digest", "prints", "decided")))
     classes = written(classes.withColumn("fp", F.get("prints", 0)), "classes")
     p = expected_distance(similarity, 1)
-    near = math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
+    near = math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p)))
     candidates = written(_candidates(classes, near), "candidates")
     prints = classes.select("content", "prints")
     pairs = candidates.join(prints.toDF("a", "prints_a"), "a").join(prints.toDF("b", "prints_b"), "b")
