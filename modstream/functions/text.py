@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Mapping
 
@@ -47,29 +48,37 @@ def _letters(char: str) -> str:
     return "".join(LOOKALIKES.get(c) or c.lower() for c in kept)
 
 
+class _Letters(dict):
+    """What each character counts as, looked up once: for ``str.translate``."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = _letters(chr(code))
+        return found
+
+
+_LETTERS = _Letters()
+_CODES = re.compile(COLOR_CODE)
+
+
+def search_text(text: str) -> str:
+    """Letters of ``text`` for search."""
+    if "&" in text or "§" in text:
+        text = _CODES.sub("", text)
+    return text.translate(_LETTERS)
+
+
 def search_form(text: str) -> tuple[str, list[int]]:
     """Letters of ``text`` for search, and of each the place in ``text`` that it comes from."""
-    letters: list[str] = []
-    places: list[int] = []
-    skip = 0
-    for at, char in enumerate(text):
-        if at < skip:
-            continue
-        if char in "§&" and at + 1 < len(text):
-            follow = text[at + 1]
-            long = follow == "#" and at + 7 < len(text)
-            if long or (follow != "#" and follow in "0123456789abcdefABCDEFklmnorRxX"):
-                skip = at + (8 if long else 2)
-                continue
-        found = _letters(char)
-        letters.append(found)
-        places.extend([at] * len(found))
-    return "".join(letters), places
+    gone = set()
+    if "&" in text or "§" in text:
+        gone = {i for m in _CODES.finditer(text) for i in range(*m.span())}
+    letters = ["" if i in gone else _LETTERS[ord(c)] for i, c in enumerate(text)]
+    return "".join(letters), [i for i, found in enumerate(letters) for _ in found]
 
 
 @F.pandas_udf(T.StringType())
 def _normalized_unicode(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", search_form(t)[0]))
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", search_text(t)))
 
 
 @F.pandas_udf(T.StringType())

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modstream.functions.text import clean_mapping, normalize_search, search_form, valid_charset
+from modstream.functions.text import clean_mapping, normalize_search, search_form, search_text, valid_charset
 from modstream.operators.rules import RuleConfig
 
 MODES = ("STRONG", "NORMAL", "WRITE_COMMAND")
@@ -44,9 +44,13 @@ def _by_automaton(messages: DataFrame, terms: list[tuple[str, str]], text: str)
         def of(value: str | None) -> list[dict]:
             if not value or automaton is None:
                 return []
-            clean, at = search_form(value)
+            clean = search_text(value)
+            found = list(automaton.iter(clean)) if clean else []
+            if not found:
+                return []
+            _, at = search_form(value)
             out = []
-            for end, (word, modes) in automaton.iter(clean) if clean else ():
+            for end, (word, modes) in found:
                 start = end - len(word) + 1
                 out += [{"word": word, "mode": m, "start": start, "end": end, "raw_start": at[start], "raw_end": at[end]} for m in modes]
             return out
@@ -76,8 +80,9 @@ def match_terms(messages: DataFrame, lexicon: DataFrame, text: str = "text", key
     text itself.
     """
     words = lexicon.select("word", "mode").where("word != ''").distinct()
-    if words.limit(most + 1).count() <= most:
-        found = _by_automaton(messages, [tuple(r) for r in words.collect()], text)
+    first = words.limit(most + 1).collect()
+    if len(first) <= most:
+        found = _by_automaton(messages, [tuple(r) for r in first], text)
     else:
         short = [tuple(r) for r in words.where(F.length("word") < SEED).collect()]
         long = _by_seeds(messages, words.where(F.length("word") >= SEED), text, key).withColumnRenamed("matches", "more")
@@ -131,23 +136,28 @@ def filter_texts(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = Rule
     """
     t = F.col(text)
     found = match_terms(messages, lexicon, text, key)
-    command, words = of_modes(F.col("matches"), "WRITE_COMMAND"), of_modes(F.col("matches"), "STRONG", "NORMAL")
-    invalid = ~valid_charset(t) & t.isNotNull()
-    evasion = F.exists(words, lambda m: density(m) > 0.05) & F.lit(cfg.evasion)
+    # Columns of their own, so that what the verdict needs again and again is computed once.
+    found = found.withColumns({
+        "_command": of_modes(F.col("matches"), "WRITE_COMMAND"), "_words": of_modes(F.col("matches"), "STRONG", "NORMAL"),
+        "_invalid": F.coalesce(~valid_charset(t), F.lit(False)),
+    })
+    command, words, invalid = F.col("_command"), F.col("_words"), F.col("_invalid")
+    found = found.withColumns({
+        "_names": F.array_distinct(F.transform(words, lambda m: m.word)), "_evasion": F.exists(words, lambda m: density(m) > 0.05) & F.lit(cfg.evasion),
+    })
+    names, evasion = F.col("_names"), F.col("_evasion")
     by_command, any_word = F.size(command) > 0, F.size(words) > 0
-    names = F.array_distinct(F.transform(words, lambda m: m.word))
-    literal = mask_literals(t, names, cfg.mask)
     reason = (
         F.when(by_command, "WriteCommand").when(invalid, "Zalgo/Unicode").when(any_word & evasion, "Evasion")
         .when(any_word & F.lit(not cfg.replacement), "Filter (Total Block)").when(any_word, F.concat(F.lit("Filter ("), F.get(names, 0), F.lit(")")))
     )
     blocked = by_command | invalid | (any_word & (evasion | F.lit(not cfg.replacement)))
     return found.select(
-        "*", F.coalesce(blocked, F.lit(False)).alias("filter_blocked"), reason.alias("filter_reason"),
+        *messages.columns, "matches", blocked.alias("filter_blocked"), reason.alias("filter_reason"),
         F.when(by_command, F.get(command, 0).word).when(invalid, "Unicode").otherwise(F.get(names, 0)).alias("detected_word"),
         F.when(by_command, F.array(F.get(command, 0).word)).otherwise(names).alias("detected_words"),
-        F.coalesce(by_command | invalid | (any_word & evasion), F.lit(False)).alias("is_evasion"),
-        F.coalesce(any_word & (literal == t), F.lit(False)).alias("hidden"),
+        (by_command | invalid | (any_word & evasion)).alias("is_evasion"),
+        F.when(any_word, mask_literals(t, names, cfg.mask) == t).otherwise(False).alias("hidden"),
         F.when(any_word & ~by_command, mask_matches(t, words, cfg.mask)).otherwise(t).alias("masked_text"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modstream.functions.text import injection_rule, sanitize_message, strip_tags
+from modstream.functions.text import sanitize_message, sanitized, strip_tags
 from modstream.operators.lexicon import filter_texts
 from modstream.operators.rules import RuleConfig, spam_chain
 from modstream.operators.tables import enforce_mutes, exempt
@@ -44,7 +44,8 @@ def moderate(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = RuleConf
     is_command = F.col("source") == "command"
     found = found.withColumn("filter_blocked", F.col("filter_blocked") & (~is_command | (F.col("filter_reason") == "WriteCommand")))
     clean = strip_tags(sanitize_message(F.col("text")))
-    spam = found.withColumns({"injection": injection_rule(F.col("text"), cfg.replacement), "raw": F.col("text"), "text": clean})
+    hit = ~sanitized(F.col("text")).eqNullSafe(F.col("text"))
+    spam = found.withColumns({"injected": hit & F.lit(not cfg.replacement), "raw": F.col("text"), "text": clean})
     if stateful:
         reaching = spam.where(~F.col("filter_blocked") | F.col("source").isin(list(SPAM_FIRST)))
         flags = user_rules(reaching.select("msg_id", "user_id", "ts", "source", "text"), cfg).drop("user_id")
@@ -53,7 +54,7 @@ def moderate(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = RuleConf
     else:
         names = {}
     ruled = spam_chain(spam, cfg, stateful=names)
-    by_spam = F.coalesce("reason", F.when(F.col("injection.blocked"), "spam.injection"))
+    by_spam = F.coalesce("reason", F.when(F.col("injected"), "spam.injection"))
     by_filter = F.when(F.col("filter_blocked"), F.col("filter_reason"))
     first = F.when(F.col("source").isin(list(SPAM_FIRST)), F.coalesce(by_spam, by_filter)).otherwise(F.coalesce(by_filter, by_spam))
     text = F.when(F.col("modified"), F.lower("masked_text")).otherwise(F.col("masked_text"))
