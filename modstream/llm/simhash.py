@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -139,9 +138,8 @@ def fingerprint_components(docs: DataFrame, n: int = 3, distance: int = 2) -> Da
 WIDTH = 24
 #: Tables of candidates; each is keyed by the most decided bits of some words of the fingerprint.
 TABLES = 72
-#: Buckets up to this size are compared in full, larger ones with one member at a time, in ROUNDS rounds; tables differ in that
-#: member in TURNS ways.
-FULL, ROUNDS, TURNS = 16, 4, 8
+#: Buckets up to this size are compared by a join, larger ones in Python tasks by pairs of blocks of about BLOCK members.
+FULL, BLOCK = 16, 2048
 
 
 def _choices(words: int) -> list[tuple[int, ...]]:
@@ -204,31 +202,75 @@ def wide_fingerprints(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "digest", "text").mapInArrow(run, schema)
 
 
-def _candidates(classes: DataFrame, near: int) -> DataFrame:
-    """(a, b) of classes (content, fp, decided) that share a bucket of any table and whose first words are ``near``.
-
-    Small buckets give all their pairs. In a large one, mostly one family of copies, all members are compared with one of them,
-    then those that aren't near it with another; the one differs between tables. Keys get longer as the input grows.
+def _bounds(similarity: float) -> tuple[int, float, float]:
+    """Bits that differ in pairs of at least this similarity: most in the first word; below the second number a pair is sure, above the third it isn't one."""
+    p = expected_distance(similarity, 1)
+    near = math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p)))
+    middle, width = expected_distance(similarity), 3.5 * math.sqrt(BITS * WIDTH * p * (1 - p))
+    return near, middle - width, middle + width
+
+
+def _links(prints: np.ndarray, sure: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of ``prints`` that differ in at most ``most`` bits, but of those that sure pairs (below ``sure``) connect only as many as connect them."""
+    group = np.arange(len(prints))
+    first, second = [], []
+    for i in range(len(prints) - 1):
+        rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        apart = np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1, dtype=np.int64)
+        joined, at = np.unique(group[rest[apart < sure]], return_index=True)
+        if len(at):
+            near = rest[apart < sure][at]
+            first.append(np.full(len(near), i))
+            second.append(near)
+            group[np.isin(group, joined)] = group[i]
+        near = rest[(apart >= sure) & (apart <= most)]
+        first.append(np.full(len(near), ~i))
+        second.append(near)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
+    is_open = a < 0
+    a = np.where(is_open, ~a, a)
+    wanted = ~is_open | (group[a] != group[b])
+    return a[wanted], b[wanted]
+
+
+def _large_buckets(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ``rows`` (content, key, n), compared in full: every two blocks of a bucket meet in a group of their own."""
+    _, sure, most = _bounds(similarity)
+
+    def run(found: pa.Table) -> pa.Table:
+        content = found.column("content").to_numpy()
+        prints = found.column("prints").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDTH)
+        i, j = _links(prints, sure, most)
+        return pa.table({"a": np.maximum(content[i], content[j]), "b": np.minimum(content[i], content[j])})
+
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    block = F.pmod(F.xxhash64("content"), blocks).cast("int")
+    others = F.when(blocks > 1, F.array_remove(F.sequence(F.lit(0), blocks - 1), block)).otherwise(F.array(F.lit(0)))
+    dealt = rows.select("content", "key", block.alias("block"), F.explode(others).alias("other"))
+    dealt = dealt.select("content", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(classes.select("content", "prints"), "content")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of classes (content, fp, prints, decided) that share a bucket of any table and whose fingerprints are near enough.
+
+    Every bucket is compared in full; of a large one, pairs that sure pairs of the bucket connect already are left out.
     """
+    near = _bounds(similarity)[0]
     n = classes.count()
     words = 3 if n < 2**21 else 4
-    keys = F.array(*(F.struct(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)).alias("key"), F.lit(k % TURNS).alias("turn")) for k, t in enumerate(_choices(words))))
-    rows = classes.select("content", "fp", F.explode(keys).alias("k")).select("content", "fp", "k.key", "k.turn")
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)) for k, t in enumerate(_choices(words))))
+    rows = classes.select("content", "fp", F.explode(keys).alias("key"))
     close = lambda x, y: may_be_near(pivot_distances(x), pivot_distances(y), near) & (hamming(x, y) <= near)
     counted = Window.partitionBy("key")
     rows = written(rows.withColumn("n", F.count("*").over(counted)).where("n > 1"), "buckets")
     small = rows.where(F.col("n") <= FULL)
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("x.content > y.content").where(close(F.col("x.fp"), F.col("y.fp")))
-    out = [pairs.select(F.col("x.content").alias("a"), F.col("y.content").alias("b"))]
-    rows = rows.where(F.col("n") > FULL).drop("n")
-    for _ in range(ROUNDS):
-        one = rows.groupBy("key").agg(F.min_by(F.struct("content", "fp"), F.xxhash64("turn", "content")).alias("one"))
-        both = rows.join(one, "key").where("content != one.content")
-        both = written(both.withColumn("close", close(F.col("fp"), F.col("one.fp"))), "buckets")
-        out.append(both.where("close").select(F.greatest("content", "one.content").alias("a"), F.least("content", "one.content").alias("b")))
-        rows = both.where("not close").select("content", "fp", "key", "turn")
-    return functools.reduce(DataFrame.union, out).distinct()
+    pairs = pairs.select(F.col("x.content").alias("a"), F.col("y.content").alias("b"))
+    large = _large_buckets(rows.where(F.col("n") > FULL), classes, similarity)
+    return pairs.union(large).distinct()
 
 
 def _jaccard(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -260,18 +302,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     found = written(wide_fingerprints(rows, n), "prints")
     classes = found.where("n_shingles > 0").groupBy("content").agg(*(F.first(c).alias(c) for c in ("digest", "prints", "decided")))
     classes = written(classes.withColumn("fp", F.get("prints", 0)), "classes")
-    p = expected_distance(similarity, 1)
-    near = math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p)))
-    candidates = written(_candidates(classes, near), "candidates")
+    candidates = written(_candidates(classes, similarity), "candidates")
     prints = classes.select("content", "prints")
     pairs = candidates.join(prints.toDF("a", "prints_a"), "a").join(prints.toDF("b", "prints_b"), "b")
     apart = F.aggregate(F.zip_with("prints_a", "prints_b", hamming), F.lit(0), lambda s, d: s + d)
-    middle, width = expected_distance(similarity), 3.5 * math.sqrt(BITS * WIDTH * p * (1 - p))
-    pairs = written(pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= middle + width), "pairs")
-    sure = pairs.where(F.col("apart") < middle - width).select("a", "b")
+    _, low, high = _bounds(similarity)
+    pairs = written(pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= high), "pairs")
+    sure = pairs.where(F.col("apart") < low).select("a", "b")
     # Pairs that sure ones connect already need no further look.
     known = written(connected_components(sure), "sure").toDF("id", "component")
-    open_pairs = pairs.where(F.col("apart") >= middle - width).select("a", "b")
+    open_pairs = pairs.where(F.col("apart") >= low).select("a", "b")
     named = open_pairs.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
     open_pairs = written(named.where("ca is null or cb is null or ca != cb").select("a", "b"), "open")
     ids = open_pairs.select(F.col("a").alias("content")).union(open_pairs.select("b")).distinct()

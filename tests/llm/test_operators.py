@@ -346,6 +346,27 @@ def test_near_duplicates(spark):
     assert missed <= 0.03 * len(links)
 
 
+def classes_of(spark, prints, decided):
+    """Classes of near_duplicates, made by hand; content is the row's number."""
+    rows = [(i, int(p[0]), p.tolist(), d) for i, (p, d) in enumerate(zip(prints, decided, strict=True))]
+    return spark.createDataFrame(rows, "content long, fp long, prints array<long>, decided array<long>")
+
+
+@pytest.mark.parametrize("block", [2048, 50])
+def test_large_buckets_are_compared_in_full(spark, monkeypatch, block):
+    """One bucket of 150 pairs and a family of 60: all pairs are found, the family is connected."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(2**63), 2**63, (151, simhash.WIDTH))
+    prints = np.concatenate([prints, prints[:150] ^ 7, prints[150:] ^ (1 << np.arange(59))[:, None]])
+    classes = classes_of(spark, prints, [[1] * simhash.WIDTH] * len(prints))
+    got = [(r.a, r.b) for r in simhash._candidates(classes, 0.8).collect()]
+    want = {i: i % 151 for i in range(301)} | {i: 150 for i in range(301, 360)}
+    assert components(range(360), got) == want
+
+
 def test_one_of_each(docs, rows, empty):
     kept = simhash.one_of_each(docs).collect()
     ids = [r.doc_id for r in kept]
