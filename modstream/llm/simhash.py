@@ -142,8 +142,8 @@ TABLES = 72
 FULL, BLOCK = 16, 2048
 
 
-def _choices(words: int) -> list[tuple[int, ...]]:
-    """TABLES sets of ``words`` words of a fingerprint, spread evenly by a fixed hash."""
+def _choices(words: int = 3) -> list[tuple[int, ...]]:
+    """TABLES sets of ``words`` words of a fingerprint, spread evenly by a fixed hash; the same for any input."""
     order = lambda t: int(mix(np.array([sum(x << 5 * i for i, x in enumerate(t)) + 1], np.uint64))[0])
     return sorted(itertools.combinations(range(WIDTH), words), key=order)[:TABLES]
 
@@ -258,9 +258,7 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     Every bucket is compared in full; of a large one, pairs that sure pairs of the bucket connect already are left out.
     """
     near = _bounds(similarity)[0]
-    n = classes.count()
-    words = 3 if n < 2**21 else 4
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)) for k, t in enumerate(_choices(words))))
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)) for k, t in enumerate(_choices())))
     rows = classes.select("content", "fp", F.explode(keys).alias("key"))
     close = lambda x, y: may_be_near(pivot_distances(x), pivot_distances(y), near) & (hamming(x, y) <= near)
     counted = Window.partitionBy("key")
@@ -293,8 +291,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     """(doc_id, digest, component, first_id): groups of texts whose sets of ``n``-word shingles have Jaccard ``similarity`` or more.
 
     Texts with the same words (A-Z without case) are a class. SimHash fingerprints of 24 x 64 bits give candidates: each of 72
-    tables is keyed by the most decided bits of three words (four from two million classes on). Pivot tables and the Hamming distance of the first word discard most, the distance of all words decides those
-    well above or below, and for the rest the shingles themselves are compared. first_id is the smallest doc_id of the group.
+    tables is keyed by the most decided bits of three words, whatever the size of the input. Pivot tables and the Hamming distance of the
+    first word discard most pairs of small buckets, the distance of all words decides those well above or below, and for the rest the shingles themselves are compared. first_id is the smallest doc_id of the group.
     Texts without words form a class. digest tells rows of one id apart. Null ids are allowed; no rows give no rows.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")

@@ -367,6 +367,34 @@ def test_large_buckets_are_compared_in_full(spark, monkeypatch, block):
     assert components(range(360), got) == want
 
 
+def pairs_near(similarity, n, seed=8):
+    """Classes' fingerprints of ``n`` pairs of sets of hashes with this Jaccard similarity: of pair i the rows i and n + i."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    a, b = [], []
+    for _ in range(n):
+        size = int(rng.integers(100, 400))
+        same = round(2 * size * similarity / (1 + similarity))
+        values = rng.integers(0, 2**63, 2 * size - same, dtype=np.uint64)
+        a.append(values[:size])
+        b.append(values[-size:])
+    sets = a + b
+    return simhash._wide(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+
+
+def test_recall_does_not_depend_on_size(spark, monkeypatch):
+    """Pairs of Jaccard 0.8 are found as often in a corpus of millions."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    prints, decided = pairs_near(0.8, 400)
+    classes = classes_of(spark, prints, decided.tolist())
+    few = {(r.a, r.b) for r in simhash._candidates(classes, 0.8).collect()}
+    monkeypatch.setattr(DataFrame, "count", lambda self: 2**22)
+    many = {(r.a, r.b) for r in simhash._candidates(classes, 0.8).collect()}
+    assert few == many and sum((400 + i, i) in many for i in range(400)) >= 0.9 * 400
+
+
 def test_one_of_each(docs, rows, empty):
     kept = simhash.one_of_each(docs).collect()
     ids = [r.doc_id for r in kept]
