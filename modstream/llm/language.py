@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modstream.llm.arrays import CLASSES, Texts, WordTypes, pieces
+from modstream.llm.arrays import CLASSES, PIECE, Texts, WordTypes, pieces
 from modstream.llm.common import small_batches
 
 #: About so many labelled documents of each language are learned from: of more, those whose id hashes lowest.
 LEARN_DOCS = 5_000
-#: The most frequent labels up to this number are learned.
-MOST_LANGUAGES = 200
+#: With more languages than this, pieces of text get smaller, as words have a score for each language.
+WIDE_PIECES = 200
+#: A task hands on its counts when it has those of so many languages.
+HELD_LANGUAGES = 32
 #: Cost of changing the language between two words, as a log probability.
 SWITCH = 8.0
 #: A language is a candidate for a script in which it has at least this share of its letters.
@@ -44,11 +46,18 @@ def held_out(doc_id: Column) -> Column:
 class Scorer:
     """Scores of words for each language: mean-free log odds of their byte trigrams, and languages' shares of scripts."""
 
-    def __init__(self, languages: list[str], grams: np.ndarray, scripts: np.ndarray):
-        """``grams``: counts, languages x 64^3; ``scripts``: letters, languages x scripts."""
+    def __init__(self, languages: list[str], where: np.ndarray, grams: np.ndarray, n: np.ndarray, scripts: np.ndarray):
+        """``n``: counts of the trigrams ``grams`` in the languages of the numbers ``where``; ``scripts``: letters, languages x scripts."""
         self.languages = languages
-        rates = (grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * 4096)
-        self.table = np.ascontiguousarray(np.log(rates).T.astype(np.float32))
+        # A row for each trigram seen; the last is that of all others.
+        seen, at = np.unique(grams, return_inverse=True)
+        self.row = np.full(CLASSES**3, len(seen), dtype=np.int32)
+        self.row[seen] = np.arange(len(seen))
+        self.table = np.zeros((len(seen) + 1, len(languages)), dtype=np.float32)
+        self.table[at, where] = n
+        sums = np.bincount(where, n, len(languages))
+        for i in range(len(languages)):
+            self.table[:, i] = np.log((self.table[:, i].astype(float) + 0.5) / (sums[i] + 0.5 * 4096))
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         self.candidate = share >= LEAST_SHARE
         # A script that no language was seen in leaves all of them.
@@ -61,7 +70,7 @@ class Scorer:
         texts = types.texts
         if not len(types.index):
             return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, bool)
-        scores = np.add.reduceat(self.table[grams], bounds[:-1], axis=0)
+        scores = np.add.reduceat(self.table[self.row[grams]], bounds[:-1], axis=0)
         starts, ends = texts.starts[types.index], texts.ends[types.index]
         script = np.zeros(len(starts), dtype=np.int64)
         at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - starts, np.diff(bounds))
@@ -109,22 +118,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, kind, key, n): a task's trigrams and letters by script."""
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
+
+    def held() -> Iterator[pa.RecordBatch]:
+        for kind, found in (("gram", grams), ("script", scripts)):
+            for lang, sums in found.items():
+                keys = np.flatnonzero(sums)
+                yield pa.record_batch(
+                    [pa.array([lang] * len(keys), pa.string()), pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(sums[keys].astype(np.int64))],
+                    ["lang", "kind", "key", "n"],
+                )
+            found.clear()
+
     for batch in pieces(batches):
         langs = np.asarray(batch.column(0).to_pylist(), dtype=object)
         for lang in set(langs):
+            if lang not in grams and len(grams) >= HELD_LANGUAGES:
+                yield from held()
             texts = Texts(batch.column(1).filter(pa.array(langs == lang)))
             types = WordTypes(texts)
             packed, bounds = types.trigrams()
             times = np.repeat(np.bincount(types.inverse, minlength=len(types.index)), np.diff(bounds))
             grams.setdefault(lang, np.zeros(CLASSES**3))[:] += np.bincount(packed, times, CLASSES**3)
             scripts.setdefault(lang, np.zeros(len(SCRIPTS)))[:] += np.bincount(SCRIPT[texts.data], minlength=len(SCRIPTS))
-    for kind, found in (("gram", grams), ("script", scripts)):
-        for lang, sums in found.items():
-            keys = np.flatnonzero(sums)
-            yield pa.record_batch(
-                [pa.array([lang] * len(keys), pa.string()), pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(sums[keys].astype(np.int64))],
-                ["lang", "kind", "key", "n"],
-            )
+    yield from held()
 
 
 def learn(docs: DataFrame, most: int = LEARN_DOCS) -> Scorer | None:
@@ -133,7 +149,7 @@ def learn(docs: DataFrame, most: int = LEARN_DOCS) -> Scorer | None:
     Of a language with more than ``most`` rows about that many are read: those whose id hashes below most / rows.
     """
     learned = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = learned.groupBy("lang").count().collect()
     if not rows:
         return None
     languages = sorted(r["lang"] for r in rows)
@@ -141,14 +157,13 @@ def learn(docs: DataFrame, most: int = LEARN_DOCS) -> Scorer | None:
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("learn:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     sample = learned.join(F.broadcast(fractions), F.col("lang") == F.col("l")).where(draw < F.col("fraction"))
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, kind string, key long, n long")
-    counts = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toPandas()  # bounded: trigrams and scripts of MOST_LANGUAGES
+    counts = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toPandas()  # a row for each language's trigrams and scripts
     where = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     is_gram = (counts["kind"] == "gram").to_numpy()
-    grams, scripts = np.zeros((len(languages), CLASSES**3)), np.zeros((len(languages), len(SCRIPTS)))
+    scripts = np.zeros((len(languages), len(SCRIPTS)))
     key, n = counts["key"].to_numpy(), counts["n"].to_numpy()
-    grams[where[is_gram], key[is_gram]] = n[is_gram]
     scripts[where[~is_gram], key[~is_gram]] = n[~is_gram]
-    return Scorer(languages, grams, scripts)
+    return Scorer(languages, where[is_gram], key[is_gram], n[is_gram], scripts)
 
 
 def label_languages(docs: DataFrame, scorer: Scorer | None, switch: float = SWITCH, spans: bool = True) -> DataFrame:
@@ -158,7 +173,8 @@ def label_languages(docs: DataFrame, scorer: Scorer | None, switch: float = SWIT
     aren't candidates. The best path through all words pays ``switch`` for each change of language. lang_pred has most of the
     words with letters (of a tie the first by name), score is its share of them. A text that is null or has no letter, and any
     text where no language was learned, is "und" with score 0 and no spans. Repeated rows and null ids are labelled each; other
-    columns are not read; no rows give no rows. Memory is that of a piece of 1 MB of text, or of one longer text.
+    columns are not read; no rows give no rows. Memory is that of a piece of 1 MB of text (less with over
+    WIDE_PIECES languages), or of one longer text, times the languages.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -167,10 +183,10 @@ def label_languages(docs: DataFrame, scorer: Scorer | None, switch: float = SWIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value
-        for batch in pieces(batches):
+        n_lang = len(scorer.languages) if scorer else 0
+        for batch in pieces(batches, size=PIECE * WIDE_PIECES // max(WIDE_PIECES, n_lang)):
             column = batch.column(1)
             texts = Texts(column)
-            n_lang = len(scorer.languages) if scorer else 0
             und = np.array([t is None or not LETTER.search(t) for t in column.to_pylist()], dtype=bool) | (n_lang == 0)
             preds, scores, found = ["und"] * texts.n, np.zeros(texts.n), [None] * texts.n
             if n_lang:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from modstream.llm.arrays import CLASSES, Texts, WordTypes, mix, pieces, window_hashes
 from modstream.llm.common import small_side, written
 
-#: Models are kept apart for so many languages; if there are more, languages share models by their names' CRC.
-MOST_LANGUAGES = 128
+#: Models of together about so many trigrams are broadcast at once; if all are more, texts are measured in passes, by language.
+PASS_GRAMS = 4_000_000
+#: A task hands on its counts when it has those of so many languages.
+HELD_LANGUAGES = 32
 #: A language's band goes so many interquartile ranges of log perplexity (each at least LEAST_RANGE) below and above the quartiles.
 BELOW, ABOVE = 10.0, 24.0
 LEAST_RANGE = 0.05
@@ -31,21 +34,28 @@ _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(model, text) -> (model, gram, n): a task's counts, at most one row for each model and trigram."""
+    """(model, text) -> (model, gram, n): a task's counts, mostly one row for each model and trigram."""
     totals: dict[str, np.ndarray] = {}
+
+    def held() -> Iterator[pa.RecordBatch]:
+        for model, sums in totals.items():
+            grams = np.flatnonzero(sums)
+            counts = sums[grams].astype(np.int64)
+            yield pa.record_batch([pa.array([model] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts)], ["model", "gram", "n"])
+        totals.clear()
+
     for batch in pieces(batches):
         models = np.asarray(batch.column(0).to_pylist(), dtype=object)
         for model in set(models):
+            if model not in totals and len(totals) >= HELD_LANGUAGES:
+                yield from held()
             texts = Texts(batch.column(1).filter(pa.array(models == model)))
             types = WordTypes(texts)
             times = np.bincount(types.inverse, minlength=len(types.index))
             grams, bounds = types.trigrams()
             sums = totals.setdefault(model, np.zeros(CLASSES**3))
             sums += np.bincount(grams, np.repeat(times, np.diff(bounds)), CLASSES**3)
-    for model, sums in totals.items():
-        grams = np.flatnonzero(sums)
-        counts = sums[grams].astype(np.int64)
-        yield pa.record_batch([pa.array([model] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts)], ["model", "gram", "n"])
+    yield from held()
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -115,18 +125,47 @@ class Trigrams:
 
 def with_model(docs: DataFrame) -> DataFrame:
     """``docs`` with model, the name of the language model of its lang; a null lang has a model of its own."""
-    name = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("none"))
-    many = docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES
-    if many:
-        name = F.concat(F.lit("pool:"), (F.crc32(name) % MOST_LANGUAGES).cast("string"))
-    return docs.withColumn("model", name)
+    return docs.withColumn("model", F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("none")))
 
 
-def train_models(docs: DataFrame) -> dict[str, Trigrams]:
-    """Models of the texts of ``docs`` (model, text), counted over all of them: by task, then by Spark."""
+def count_trigrams(docs: DataFrame) -> DataFrame:
+    """(model, gram, n) over all texts of ``docs`` (model, text): by task, then by Spark."""
     counted = docs.select("model", "text").mapInArrow(_count_trigrams, "model string, gram long, n long")
-    counts = counted.groupBy("model", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most MOST_LANGUAGES * 64^3 rows
-    return {m: Trigrams(g["gram"].to_numpy(), g["n"].to_numpy()) for m, g in counts.groupby("model")}
+    return written(counted.groupBy("model", "gram").agg(F.sum("n").alias("n")), "trigrams")
+
+
+def _passes(counts: DataFrame) -> list[tuple[str, int]]:
+    """Each model of ``counts`` with its pass: the models of one have together PASS_GRAMS trigrams at most, or there is but one."""
+    out, k, room = [], 0, PASS_GRAMS
+    for r in counts.groupBy("model").count().orderBy("model").toLocalIterator():
+        size = r["count"] + CLASSES**2  # a model has an array of this size besides
+        if size > room and room < PASS_GRAMS:
+            k, room = k + 1, PASS_GRAMS
+        room -= size
+        out.append((r["model"], k))
+    return out
+
+
+def _models(counts: DataFrame) -> dict[str, Trigrams]:
+    return {m: Trigrams(g["gram"].to_numpy(), g["n"].to_numpy()) for m, g in counts.toPandas().groupby("model")}
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``measure`` of ``docs`` by models of all its languages. The texts are read once more for each pass."""
+    counts = count_trigrams(docs)
+    passes = _passes(counts)
+    n = passes[-1][1] + 1 if passes else 1
+    if n == 1:
+        return written(measure(docs, _models(counts)), "measures")
+    of_model = written(docs.sparkSession.createDataFrame(passes, "model string, pass int"), "passes")
+    side = small_side(of_model, 1_000_000)
+    # Texts without words have no model and go with the first pass.
+    dealt = docs.join(side, "model", "left").withColumn("pass", F.coalesce("pass", F.lit(0)))
+    parts = []
+    for k in range(n):
+        models = _models(counts.join(side, "model").where(F.col("pass") == k).drop("pass"))
+        parts.append(written(measure(dealt.where(F.col("pass") == k), models), "measures"))
+    return functools.reduce(DataFrame.union, parts)
 
 
 def n_dup_lines(text: str) -> int:
@@ -206,16 +245,17 @@ def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, s
     documents; quartiles are over all that don't fail the base.
 
     A null text counts as empty and fails; a null lang is a language of its own; null ids and repeated rows are judged each;
-    other columns are not read; no rows give no rows. Texts are read twice and not moved.
+    other columns are not read; no rows give no rows. Texts are read twice, with very many
+    languages more often, and not moved.
     """
     named = with_model(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "lang", "text"))
-    found = written(measure(named, train_models(named)), "measures")
+    found = measured(named)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     bands = found.where("not base_failed").groupBy("model").agg(F.percentile_approx("log_loss", [0.25, 0.75], 10_000).alias("q"))
     room = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
     bands = bands.select(F.col("model").alias("m"), (F.col("q")[0] - below * room).alias("low"), (F.col("q")[1] + above * room).alias("high"))
-    joined = found.join(F.broadcast(bands), F.col("model") == F.col("m"), "left")  # at most MOST_LANGUAGES + 1 rows
+    joined = found.join(small_side(written(bands, "bands"), 1_000_000), F.col("model") == F.col("m"), "left")
     slack = short / F.sqrt(F.greatest("n_grams", F.lit(1)))
     within = F.col("log_loss").between(F.col("low") - slack, F.col("high") + slack)
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(False))

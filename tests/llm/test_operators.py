@@ -209,6 +209,23 @@ def test_language(spark):
     assert language.identify_languages(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def many_languages(n, copies):
+    """``n`` languages that have no letters of two in common order: ``copies`` documents of each."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(n):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)]
+        rows += [(k * copies + c, " ".join(rng.choices(words, k=40)), f"l{k:03}", None) for c in range(copies)]
+    return rows
+
+
+def test_every_language_is_learned(spark):
+    rows = many_languages(230, 8)
+    found = {r.doc_id: r for r in language.identify_languages(docs_of(spark, rows)).collect()}
+    assert {r.lang_pred for r in found.values()} == {lang for *_, lang, _ in rows}
+    assert sum(found[i].lang_pred == lang for i, _, lang, _ in rows) >= 0.99 * len(rows)
+
+
 def test_viterbi():
     import numpy as np
 
@@ -461,6 +478,18 @@ def test_perplexity_rejects_noise(spark):
     assert all(got[i] for i, *_ in rows) and not any(got[i] for i, *_ in noise)
 
 
+def test_every_language_has_its_model(spark, monkeypatch):
+    """Verdicts and perplexities of a language are the same whatever other languages there are, and in several passes."""
+    rows = many_languages(140, 3)
+    lone = [r for r in rows if r[2] in ("l000", "l077")]
+    measures = lambda rows: {r.doc_id: (round(r.perplexity or 0, 6), r.kept) for r in quality.judge_quality(docs_of(spark, rows)).collect()}
+    want, every = measures(lone), [*rows, (9000, "", "l500", None), (9001, None, None, None)]
+    got = measures(every)
+    assert len(got) == len(every) and all(got[i] == want[i] for i in want)
+    monkeypatch.setattr(quality, "PASS_GRAMS", 300_000)
+    assert measures(every) == got
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
