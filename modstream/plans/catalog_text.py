@@ -21,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = io.spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     rows = docs.select("doc_id", F.col("source").alias("origin"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return rows.select(
         (F.col("doc_id") * 100_000 + F.col("line_no")).alias("msg_id"), F.substring("origin", 4, 10).cast("long").alias("user_id"),
@@ -90,7 +90,7 @@ FORMS_SQL = LINES + f"SELECT msg_id, md5({FORM_SQL}) AS form_md5, length({FORM_S
 
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    h = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    h = io.spread(read(spark, sf_dir, "pages")).select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     return h.select(
         "id", F.md5(X.strip_color_codes(t)).alias("colors"), F.md5(X.sanitize_display(t)).alias("display"), F.md5(X.strip_tags(t)).alias("tags"),
         F.md5(X.escape_placeholders(t)).alias("placeholders"), X.contains_ci(t, "UTM_Source").alias("has_utm"), F.md5(X.truncate(t, 300)).alias("cut"),
@@ -114,7 +114,7 @@ SELECT msg_id, bad AS blocked, CASE WHEN bad THEN 'Zalgo/Unicode' END AS reason,
 
 
 def injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read(spark, sf_dir, "pages").select("page_id", X.injection_rule(F.col("html")).alias("r"), X.injection_rule(F.col("html"), False).alias("b"))
+    found = io.spread(read(spark, sf_dir, "pages")).select("page_id", X.injection_rule(F.col("html")).alias("r"), X.injection_rule(F.col("html"), False).alias("b"))
     return found.select("page_id", "r.hit", F.length("r.text").alias("n_safe"), F.col("b.blocked").alias("blocked"), F.col("b.reason").alias("reason"))
 
 
@@ -283,7 +283,7 @@ SELECT event_id AS msg_id, regexp_matches(j, '(?:^|[^0-9]){OCTET}(?: {OCTET}){{3
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document as a book of lines: limits, evidence, and whether a page cancels it."""
-    pages = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("pages"))
+    pages = io.spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("pages"))
     limits = pages.select("doc_id", R.book_limits(F.col("pages")).alias("b"), io.evidence(F.col("pages")).alias("e"))
     stops = R.book_security(R.spam_chain(lines(spark, sf_dir), DIGITS_OFF).withColumnRenamed("doc_id", "container_id"))
     return limits.join(stops, F.col("doc_id") == F.col("container_id")).select(

@@ -18,6 +18,12 @@ SOURCES = {"chat": (False, True), "sign": (True, True), "book": (True, False), "
 EVIDENCE_PAGES = 11
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if it comes in fewer parts than there are cores, as a table in one file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_lexicon(spark: SparkSession, path: str, mode: str) -> DataFrame:
     """(word, mode) of a file of one term a line; blank lines and those with "#" in front don't count."""
     return lexicon_of(spark.read.text(path), mode)
