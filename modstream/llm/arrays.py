@@ -185,3 +185,41 @@ class WordTypes:
         c1[1:], c2[2:] = c[:-1], c[:-2]
         c2[c1 == 0] = 0
         return (c2 << 12) | (c1 << 6) | c, bounds
+
+
+class CharGrams:
+    """The ``n``-grams of characters of a batch of texts: words joined by one blank, with n - 1 blanks in front; one for each character.
+
+    ``keys`` are their 64-bit hashes, salted by a number for each text; ``owner`` the text of each.
+    """
+
+    def __init__(self, texts: list[str], salts: np.ndarray, n: int):
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        blank = (codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D))
+        solid = np.flatnonzero(~blank)
+        # A blank stays if it follows a character of its text and is not behind the last one.
+        last = np.full(len(texts), -1, dtype=np.int64)
+        last[owner[solid]] = solid
+        keep = ~blank
+        keep[1:] |= blank[1:] & ~blank[:-1] & (owner[1:] == owner[:-1]) & (np.arange(1, len(codes)) < last[owner[1:]])
+        at = np.flatnonzero(keep)
+        self.owner = owner[at]
+        place = np.arange(len(at)) + (n - 1) * (self.owner + 1)
+        self.codes = np.full(len(at) + (n - 1) * (len(texts) + 1), 0x20, dtype=np.uint32)
+        self.codes[place] = np.where(blank[at], 0x20, codes[at])
+        self.place, self.n, self.sizes = place, n, np.bincount(self.owner, minlength=len(texts)).astype(np.int64)
+        spread = mix(self.codes.astype(U) + U(1))
+        sums = np.zeros(len(at), dtype=U)
+        for k in range(n - 1, -1, -1):
+            sums = sums * U(0x9E3779B97F4A7C15) + spread[place - k]
+        self.keys = mix(sums + salts[self.owner])
+
+    def strings(self, which: np.ndarray) -> pa.Array:
+        """The n-grams at these indexes."""
+        codes = self.codes[self.place[which][:, None] - np.arange(self.n - 1, -1, -1)]
+        data = np.ascontiguousarray(codes).tobytes().decode("utf-32-le").encode()
+        sizes = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).sum(axis=1)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.string())

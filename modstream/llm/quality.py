@@ -3,169 +3,39 @@
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modstream.llm.arrays import CLASSES, Texts, WordTypes, mix, pieces, window_hashes
-from modstream.llm.common import small_side, written
-
-#: Models of together about so many trigrams are broadcast at once; if all are more, texts are measured in passes, by language.
-PASS_GRAMS = 4_000_000
-#: A task hands on its counts when it has those of so many languages.
-HELD_LANGUAGES = 32
-#: A language's band goes so many interquartile ranges of log perplexity (each at least LEAST_RANGE) below and above the quartiles.
-BELOW, ABOVE = 10.0, 24.0
-LEAST_RANGE = 0.05
-#: It is wider by so much divided by the root of a document's bytes, as short texts vary more.
-SHORT = 8.0
-
-#: Trigrams seen less often than this count as unseen, so that a text can't vouch for its own noise.
-RARE = 4
+from modstream.llm.arrays import CharGrams, Texts, mix, pieces, window_hashes
+from modstream.llm.common import forget, small_side, written
+
+#: Characters of the longest n-grams.
+ORDER = 5
+#: At most so many n-grams, the most frequent ones, are broadcast; the others are looked up by a join.
+HOT_GRAMS = 2_000_000
+#: A task hands on its counts when it holds so many n-grams.
+HELD_GRAMS = 1_000_000
+#: Shares of a language's plain documents that lie below and above its band.
+BELOW, ABOVE = 0.002, 0.005
+#: A document is plain, so that models are counted and bands set by it, if it passes the base and has at most so many symbols, and
+#: words in capitals, for each word.
+PLAIN_SYMBOLS, PLAIN_CAPITALS = 0.1, 0.3
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
+_SMALL = np.zeros(256, dtype=bool)
+_SMALL[0x61:0x7B] = True
+_CAPITAL = np.zeros(256, dtype=bool)
+_CAPITAL[0x41:0x5B] = True
 
-
-def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(model, text) -> (model, gram, n): a task's counts, mostly one row for each model and trigram."""
-    totals: dict[str, np.ndarray] = {}
-
-    def held() -> Iterator[pa.RecordBatch]:
-        for model, sums in totals.items():
-            grams = np.flatnonzero(sums)
-            counts = sums[grams].astype(np.int64)
-            yield pa.record_batch([pa.array([model] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts)], ["model", "gram", "n"])
-        totals.clear()
-
-    for batch in pieces(batches):
-        models = np.asarray(batch.column(0).to_pylist(), dtype=object)
-        for model in set(models):
-            if model not in totals and len(totals) >= HELD_LANGUAGES:
-                yield from held()
-            texts = Texts(batch.column(1).filter(pa.array(models == model)))
-            types = WordTypes(texts)
-            times = np.bincount(types.inverse, minlength=len(types.index))
-            grams, bounds = types.trigrams()
-            sums = totals.setdefault(model, np.zeros(CLASSES**3))
-            sums += np.bincount(grams, np.repeat(times, np.diff(bounds)), CLASSES**3)
-    yield from held()
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts of modified Kneser-Ney for counts of 0, 1, 2 and more."""
-    n = np.bincount(np.minimum(counts, 5).astype(int), minlength=6).astype(float)
-    if not n[1] or not n[2]:
-        return np.array([0, 0.5, 0.5, 0.5])
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.0]
-    return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
-
-
-class Trigrams:
-    """Modified Kneser-Ney over byte trigrams, in sorted arrays.
-
-    ``keys`` are the packed trigrams seen, ascending, ``logs`` their log probabilities; ``pairs`` and ``singles`` hold the lower
-    orders and the weights that lead to them. The counts have at most 64^3 entries, so all arrays are bounded.
-    """
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = np.argsort(grams)
-        self.keys, c3 = grams[order], counts[order].astype(float)
-        context, suffix = self.keys >> 6, self.keys & 0xFFF
-        # Continuation counts: in how many contexts a shorter gram was seen.
-        pairs, c2 = np.unique(suffix, return_counts=True)
-        singles, c1 = np.unique(pairs & 0x3F, return_counts=True)
-        p1 = np.full(CLASSES, 1.0 / CLASSES)
-        d1 = _discounts(c1)
-        total = c1.sum() or 1
-        take = d1[np.minimum(c1, 3)]
-        p1 *= take.sum() / total if len(c1) else 1
-        p1[singles] += (c1 - take) / total
-        self.pairs, self.p1 = pairs, np.log(p1)
-        p2, self.back1 = self._level(pairs >> 6, CLASSES, c2, p1[pairs & 0x3F])
-        self.logs2 = np.log(p2)
-        low = p2[np.searchsorted(pairs, suffix)]
-        p3, self.back2 = self._level(context, CLASSES**2, c3, low, RARE)
-        kept = c3 >= RARE
-        self.keys, self.logs = self.keys[kept], np.log(p3[kept])
-
-    @staticmethod
-    def _level(context: np.ndarray, n: int, counts: np.ndarray, low: np.ndarray, rare: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of grams, and the log weight of the next lower order after each context: what discounts and rare grams leave."""
-        total = np.bincount(context, counts, n)
-        d = np.where(counts < rare, counts, _discounts(counts)[np.minimum(counts, 3).astype(int)])
-        freed = np.bincount(context, d, n)
-        back = np.divide(freed, total, out=np.ones(n), where=total > 0)
-        return (counts - d) / total[context] + back[context] * low, np.log(np.maximum(back, 1e-12))
-
-    @staticmethod
-    def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-        return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        at, seen = self._at(self.keys, grams)
-        out = np.empty(len(grams))
-        out[seen] = self.logs[at[seen]]
-        rest = grams[~seen]
-        if len(rest):
-            at, known = self._at(self.pairs, rest & 0xFFF)
-            low = self.p1[rest & 0x3F] + self.back1[(rest >> 6) & 0x3F]
-            low[known] = self.logs2[at[known]]
-            out[~seen] = low + self.back2[rest >> 6]
-        return out
-
-
-def with_model(docs: DataFrame) -> DataFrame:
-    """``docs`` with model, the name of the language model of its lang; a null lang has a model of its own."""
-    return docs.withColumn("model", F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("none")))
-
-
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """(model, gram, n) over all texts of ``docs`` (model, text): by task, then by Spark."""
-    counted = docs.select("model", "text").mapInArrow(_count_trigrams, "model string, gram long, n long")
-    return written(counted.groupBy("model", "gram").agg(F.sum("n").alias("n")), "trigrams")
-
-
-def _passes(counts: DataFrame) -> list[tuple[str, int]]:
-    """Each model of ``counts`` with its pass: the models of one have together PASS_GRAMS trigrams at most, or there is but one."""
-    out, k, room = [], 0, PASS_GRAMS
-    for r in counts.groupBy("model").count().orderBy("model").toLocalIterator():
-        size = r["count"] + CLASSES**2  # a model has an array of this size besides
-        if size > room and room < PASS_GRAMS:
-            k, room = k + 1, PASS_GRAMS
-        room -= size
-        out.append((r["model"], k))
-    return out
-
-
-def _models(counts: DataFrame) -> dict[str, Trigrams]:
-    return {m: Trigrams(g["gram"].to_numpy(), g["n"].to_numpy()) for m, g in counts.toPandas().groupby("model")}
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    """``measure`` of ``docs`` by models of all its languages. The texts are read once more for each pass."""
-    counts = count_trigrams(docs)
-    passes = _passes(counts)
-    n = passes[-1][1] + 1 if passes else 1
-    if n == 1:
-        return written(measure(docs, _models(counts)), "measures")
-    of_model = written(docs.sparkSession.createDataFrame(passes, "model string, pass int"), "passes")
-    side = small_side(of_model, 1_000_000)
-    # Texts without words have no model and go with the first pass.
-    dealt = docs.join(side, "model", "left").withColumn("pass", F.coalesce("pass", F.lit(0)))
-    parts = []
-    for k in range(n):
-        models = _models(counts.join(side, "model").where(F.col("pass") == k).drop("pass"))
-        parts.append(written(measure(dealt.where(F.col("pass") == k), models), "measures"))
-    return functools.reduce(DataFrame.union, parts)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def n_dup_lines(text: str) -> int:
@@ -195,69 +65,221 @@ def repeated_words(texts: Texts, n: int = 5) -> np.ndarray:
     return np.bincount(owner, marks, texts.n).astype(np.int64)
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def capital_words(texts: Texts) -> np.ndarray:
+    """Of each text, how many words have two or more of A-Z and none of a-z."""
+    sums = [np.concatenate([[0], np.cumsum(kind[texts.data], dtype=np.int64)]) for kind in (_CAPITAL, _SMALL)]
+    capitals, small = (s[texts.ends] - s[texts.starts] for s in sums)
+    return np.bincount(texts.owner(), (capitals >= 2) & (small == 0), texts.n).astype(np.int64)
+
+
+class _Judged:
+    """A piece of (doc_id, digest, model, text): n-grams, which texts fail the base, and which are plain."""
+
+    def __init__(self, batch: pa.RecordBatch, order: int):
+        self.texts = Texts(batch.column(3))
+        self.models = batch.column(2).to_pylist()
+        self.fold = np.asarray(batch.column(1)).astype(np.int64) & 1
+        self.repeats = repeated_words(self.texts)
+        self.symbols = self.texts.per_text(_SYMBOL[self.texts.data])
+        n_words = self.texts.counts
+        self.failed = (n_words < 10) | (100 * self.repeats > 20 * n_words)
+        self.plain = ~self.failed & (self.symbols <= PLAIN_SYMBOLS * n_words) & (capital_words(self.texts) <= PLAIN_CAPITALS * n_words)
+        salts = np.array([_salt(m) for m in self.models], dtype=np.uint64)
+        self.grams = CharGrams([t or "" for t in batch.column(3).to_pylist()], salts, order)
+
+
+@functools.lru_cache(maxsize=10_000)
+def _salt(model: str) -> int:
+    return xxhash.xxh64_intdigest(model.encode())
+
+
+def _longs(*values: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.asarray(v).astype(np.int64), pa.int64()) for v in values]
 
 
-def measure(docs: DataFrame, models: dict[str, Trigrams]) -> DataFrame:
-    """doc_id, digest, model, MEASURES, n_grams and log_loss (mean of -log p; null without words) of ``docs`` (doc_id, digest, model, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-    longs = pa.int64()
+def count_grams(docs: DataFrame, order: int = ORDER, held: int = HELD_GRAMS) -> DataFrame:
+    """(model, gram, key, n, k0, k1) over all texts of ``docs`` (doc_id, digest, model, text), summed by task, then by Spark.
+
+    n counts an n-gram in all texts, k0 and k1 in the plain ones of either half. A text's half is the last bit of its digest, so
+    copies of a text are in one half.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        size = 0
+
+        def summed() -> pa.Table:
+            return pa.TableGroupBy(pa.concat_tables(parts), ["model", "gram", "key"], use_threads=False).aggregate([("n", "sum"), ("k0", "sum"), ("k1", "sum")]).rename_columns(names)
+
+        names = ["model", "gram", "key", "n", "k0", "k1"]
         for batch in pieces(batches):
-            column = batch.column(batch.schema.get_field_index("text"))
-            texts = Texts(column)
-            names = batch.column(batch.schema.get_field_index("model")).to_pylist()
-            number = {m: i for i, m in enumerate(sorted(set(names)))}
-            model = np.array([number[m] for m in names])
-            types = WordTypes(texts, model[texts.owner()])
-            grams, bounds = types.trigrams()
-            of_type = model[texts.owner()[types.index]]
-            of_gram = np.repeat(of_type, np.diff(bounds))
-            logs = np.zeros(len(grams))
-            for m, i in number.items():
-                at = of_gram == i
-                if at.any():
-                    logs[at] = sent.value[m].log_probability(grams[at])
-            sums = np.add.reduceat(logs, bounds[:-1]) if len(logs) else np.zeros(0)
-            loss = -np.bincount(texts.owner(), sums[types.inverse], texts.n)
-            n_grams = np.bincount(texts.owner(), np.diff(bounds)[types.inverse], texts.n).astype(np.int64)
-            mean = np.divide(loss, n_grams, out=np.zeros(texts.n), where=n_grams > 0)
+            found = _Judged(batch, order)
+            keys, first, inverse = np.unique(found.grams.keys, return_index=True, return_inverse=True)
+            owner = found.grams.owner
+            halves = [np.bincount(inverse, (found.plain & (found.fold == f))[owner], len(keys)) for f in (0, 1)]
+            models = pa.array(found.models, pa.string()).take(pa.array(owner[first]))
+            parts.append(pa.table([models, found.grams.strings(first), *_longs(keys.view(np.int64), np.bincount(inverse, minlength=len(keys)), *halves)], names))
+            size += len(keys)
+            if size > held:
+                parts = [summed()]
+                size = len(parts[0])
+                if size > held // 2:
+                    yield from parts[0].to_batches(100_000)
+                    parts, size = [], 0
+        if parts:
+            yield from summed().to_batches(100_000)
+
+    counted = docs.select("doc_id", "digest", "model", "text").mapInArrow(run, "model string, gram string, key long, n long, k0 long, k1 long")
+    return written(counted.groupBy("model", "gram", "key").agg(*(F.sum(c).alias(c) for c in ("n", "k0", "k1"))), "grams")
+
+
+def _discounts(f: int) -> list[Column]:
+    """Discounts of modified Kneser-Ney for counts of 1, 2 and more of half ``f``, as aggregates."""
+    n1, n2, n3, n4 = (F.sum(F.when(F.col(f"k{f}") == i, 1.0).otherwise(0.0)) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    usual = (n1 > 0) & (n2 > 0)
+    clipped = lambda d, most: F.when(usual, F.least(F.greatest(d, F.lit(0.05)), F.lit(most))).otherwise(0.5)
+    last = F.when(n3 > 0, 3 - 4 * y * n4 / n3).otherwise(1.5)
+    return [clipped(1 - 2 * y * n2 / n1, 0.95).alias(f"d{f}1"), clipped(2 - 3 * y * n3 / n2, 1.9).alias(f"d{f}2"), clipped(last, 2.9).alias(f"d{f}3")]
+
+
+def gram_logs(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n, log0, log1): log probabilities of every n-gram of ``counts`` by the models of either half, modified Kneser-Ney.
+
+    The longest n-grams have their counts; each shorter one counts the n-grams seen with another character in front. A level is
+    grouped by contexts and joined to the level below by its last characters, so no task holds a model; the alphabet's share is
+    the last resort.
+    """
+    levels = {order: counts}
+    for size in range(order - 1, 0, -1):
+        above = levels[size + 1].groupBy("model", F.substring("gram", 2, size).alias("gram"))
+        levels[size] = written(above.agg(*(F.sum((F.col(f"k{f}") > 0).cast("long")).alias(f"k{f}") for f in (0, 1))), "grams")
+    found = [levels[s].groupBy("model").agg(F.lit(s).alias("size"), (1.0 / (F.count("*") + 1)).alias("even"), *_discounts(0), *_discounts(1)) for s in levels]
+    # A row for each model and size.
+    discounts = small_side(written(functools.reduce(DataFrame.union, found), "discounts"), 200_000)
+    below = None
+    for size in range(1, order + 1):
+        rows = levels[size].join(discounts.where(F.col("size") == size), "model")
+        cut = {f: F.when(F.col(f"k{f}") == 0, 0.0).when(F.col(f"k{f}") == 1, F.col(f"d{f}1")).when(F.col(f"k{f}") == 2, F.col(f"d{f}2")).otherwise(F.col(f"d{f}3")) for f in (0, 1)}
+        rows = rows.withColumns({f"cut{f}": cut[f] for f in cut} | {"context": F.substring("gram", 1, size - 1), "rest": F.substring("gram", 2, size - 1)})
+        totals = rows.groupBy("model", "context").agg(
+            *(F.sum(f"k{f}").alias(f"all{f}") for f in (0, 1)), *(F.sum(f"cut{f}").alias(f"freed{f}") for f in (0, 1))
+        )
+        joined = rows.join(totals, ["model", "context"])
+        if below is None:
+            joined = joined.withColumns({"low0": F.col("even"), "low1": F.col("even")})
+        else:
+            joined = joined.join(below, ["model", "rest"])
+        p = [
+            F.when(F.col(f"all{f}") == 0, F.col(f"low{f}")).otherwise((F.col(f"k{f}") - F.col(f"cut{f}") + F.col(f"freed{f}") * F.col(f"low{f}")) / F.col(f"all{f}")).alias(f"low{f}")
+            for f in (0, 1)
+        ]
+        below = joined.select("model", F.col("gram").alias("rest"), *p) if size < order else joined.select("key", "n", *p)
+    out = written(below.select("key", "n", F.log("low0").alias("log0"), F.log("low1").alias("log1")), "logs")
+    for size in range(1, order):
+        forget(levels[size])
+    return out
+
+
+def hot_grams(logs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Keys, ascending, and logs of the most frequent n-grams of ``logs``, at most ``most``; and whether that is all of them."""
+    size = F.floor(F.log2("n")).cast("int").alias("size")
+    sizes = {r["size"]: r["count"] for r in logs.groupBy(size).count().collect()}  # a row for each power of 2
+    room, least = most, 64
+    for s in sorted(sizes, reverse=True):
+        if sizes[s] > room:
+            break
+        room, least = room - sizes[s], s
+    found = logs.where(F.floor(F.log2("n")) >= least).select("key", "log0", "log1").toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    values = np.stack([found.column(c).to_numpy()[order] for c in ("log0", "log1")], axis=1)
+    return keys[order], values, len(keys) == sum(sizes.values())
+
+
+def measured(docs: DataFrame, order: int = ORDER, hot: int = HOT_GRAMS) -> DataFrame:
+    """doc_id, digest, model, MEASURES, base_failed, plain, n_grams and log_loss (mean of -log p; null without words) of ``docs`` (doc_id, digest, model, text).
+
+    A text is measured by the model of the other half, so it can't vouch for itself nor a copy for another.
+    """
+    counts = count_grams(docs, order)
+    logs = gram_logs(counts, order)
+    forget(counts)
+    keys, values, complete = hot_grams(logs, hot)
+    if complete:
+        forget(logs)
+    sent = docs.sparkSession.sparkContext.broadcast((keys, values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = sent.value
+        for batch in pieces(batches):
+            found = _Judged(batch, order)
+            texts, grams = found.texts, found.grams
+            own, inverse = np.unique(grams.keys, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+            known = keys[at] == own if len(keys) else np.zeros(len(own), dtype=bool)
+            of_own = np.zeros((len(own), 2))
+            if len(keys):
+                of_own[known] = values[at[known]]
+            loss = -np.bincount(grams.owner, of_own[inverse, 1 - found.fold[grams.owner]], texts.n)
+            # What is not broadcast: each text's other n-grams, and how often it has them.
+            away = np.flatnonzero(~known[inverse])
+            pairs, times = np.unique(grams.owner[away] * len(own) + inverse[away], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(texts.n + 1) * len(own))
+            rest = pa.StructArray.from_arrays(_longs(own[pairs % max(1, len(own))].view(np.int64), times), ["key", "times"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
             chars = texts.per_text(texts.solid & ((texts.data & 0xC0) != 0x80))
-            values = [texts.counts, chars, texts.per_text(_SYMBOL[texts.data]), [n_dup_lines(t or "") for t in column.to_pylist()], repeated_words(texts)]
+            dup_lines = np.array([n_dup_lines(t or "") for t in batch.column(3).to_pylist()], dtype=np.int64)
             yield pa.record_batch(
-                [batch.column(i) for i in (0, 1, 2)] + [pa.array(np.asarray(v, dtype=np.int64), longs) for v in [*values, n_grams]]
-                + [pa.array(mean, pa.float64(), mask=n_grams == 0)],
-                ["doc_id", "digest", "model", *MEASURES, "n_grams", "log_loss"],
+                [batch.column(i) for i in (0, 1, 2)] + _longs(texts.counts, chars, found.symbols, dup_lines, found.repeats, grams.sizes)
+                + [pa.array(loss), pa.array(found.failed), pa.array(found.plain), rest],
+                ["doc_id", "digest", "model", *MEASURES, "n_grams", "loss", "base_failed", "plain", "rest"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, digest long, model string, " + ", ".join(f"{m} long" for m in MEASURES) + ", n_grams long, log_loss double"
-    return docs.select("doc_id", "digest", "model", "text").mapInArrow(run, schema)
-
-
-def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, short: float = SHORT) -> DataFrame:
+    schema = (
+        f"doc_id {kind}, digest long, model string, " + ", ".join(f"{m} long" for m in MEASURES)
+        + ", n_grams long, loss double, base_failed boolean, plain boolean, rest array<struct<key:long,times:long>>"
+    )
+    found = written(docs.select("doc_id", "digest", "model", "text").mapInArrow(run, schema), "measures")
+    loss = F.col("loss")
+    if not complete:
+        found, loss = _with_rest(found, logs), F.col("loss") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_grams") > 0, loss / F.col("n_grams"))
+    return found.select("doc_id", "digest", "model", *MEASURES, "base_failed", "plain", "n_grams", mean.alias("log_loss"))
+
+
+def _with_rest(found: DataFrame, logs: DataFrame) -> DataFrame:
+    """``found`` with more, what the n-grams add that were not broadcast: equal rows share one sum, joined by the n-grams' keys."""
+    row = F.xxhash64("doc_id", "digest", "model")
+    rest = found.where(F.size("rest") > 0).select(row.alias("row"), F.pmod("digest", F.lit(2)).alias("half"), F.explode("rest").alias("r"))
+    rest = rest.select("row", "half", "r.key", "r.times").distinct().join(logs, "key")
+    sums = rest.groupBy("row").agg(F.sum(-F.col("times") * F.when(F.col("half") == 0, F.col("log1")).otherwise(F.col("log0"))).alias("more"))
+    return found.withColumn("row", row).join(small_side(written(sums, "rest"), 1_000_000), "row", "left")
+
+
+def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, order: int = ORDER, hot: int = HOT_GRAMS) -> DataFrame:
     """doc_id, digest, MEASURES, perplexity, base_failed and kept of every row of ``docs`` (doc_id, text, lang).
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated five-word windows. The rest must lie in their
-    language's band of log perplexity: ``below`` and ``above`` interquartile ranges from the quartiles, and wider by ``short`` / sqrt(bytes).
-    Texts that mix languages are far above the quartiles but well within the default band; random characters are beyond it. The model of a language is modified Kneser-Ney over byte trigrams of words, counted by Spark over all its
-    documents; quartiles are over all that don't fail the base.
+    language's band of perplexity by character: of its plain documents (those that pass the base, with few symbols and few words in
+    capitals) the share ``below`` lies under the band and ``above`` over it. Junk mostly isn't plain and far above.
+
+    Models are modified Kneser-Ney over characters, up to ``order`` of them, one for each lang and half of the plain documents, and
+    a text is measured by the model of the other half. N-grams of all texts are counted, scored and kept by Spark tables that grow
+    with the corpus; the ``hot`` most frequent ones are broadcast as sorted hash arrays, the others are joined.
 
-    A null text counts as empty and fails; a null lang is a language of its own; null ids and repeated rows are judged each;
-    other columns are not read; no rows give no rows. Texts are read twice, with very many
-    languages more often, and not moved.
+    A null text counts as empty and fails; a null lang is a language of its own; in a language without plain documents there is no
+    band and the base decides; null ids and repeated rows are judged each; other columns are not read; no rows give no rows. Texts
+    are read twice and not moved. Memory is that of a piece of 1 MB of text, or of one longer text.
     """
-    named = with_model(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "lang", "text"))
-    found = measured(named)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    found = found.withColumn("base_failed", failed)
-    bands = found.where("not base_failed").groupBy("model").agg(F.percentile_approx("log_loss", [0.25, 0.75], 10_000).alias("q"))
-    room = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))
-    bands = bands.select(F.col("model").alias("m"), (F.col("q")[0] - below * room).alias("low"), (F.col("q")[1] + above * room).alias("high"))
-    joined = found.join(small_side(written(bands, "bands"), 1_000_000), F.col("model") == F.col("m"), "left")
-    slack = short / F.sqrt(F.greatest("n_grams", F.lit(1)))
-    within = F.col("log_loss").between(F.col("low") - slack, F.col("high") + slack)
+    model = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("none"))
+    named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), model.alias("model"), "text")
+    found = measured(named, order, hot)
+    bands = found.where("plain").groupBy("model").agg(F.percentile_approx("log_loss", [below, 1 - above], 10_000).alias("q"))
+    bands = bands.select("model", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    joined = found.join(small_side(written(bands, "bands"), 1_000_000), "model", "left")
+    within = F.col("low").isNull() | F.col("log_loss").between(F.col("low"), F.col("high"))
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(False))
     return joined.select("doc_id", "digest", *MEASURES, F.exp("log_loss").alias("perplexity"), "base_failed", kept.alias("kept"))
 
