@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modstream.llm.arrays import Texts, mix, pieces, span_hashes, window_hashes
-from modstream.llm.common import connected_components, small_side, written
+from modstream.llm.common import connected_components, forget, small_side, written
 
 BITS = 64
 SEED = 42
 #: Reference fingerprints to which distances are kept.
 PIVOTS = tuple(int(x) for x in mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64))
 
+#: References that cells are made of; the others only discard.
+CELL_PIVOTS = 8
+
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -78,9 +81,10 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def pivot_distances(fp: Column) -> Column:
-    """Hamming distances to the reference fingerprints."""
-    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in PIVOTS))
+def pivot_distances(fp: Column, masks: Sequence[int | Column] = (-1,), pivots: Sequence[int] = PIVOTS) -> Column:
+    """Hamming distances to the reference fingerprints, counted in the bits of each of ``masks``."""
+    near = lambda m, p: F.bit_count(fp.bitwiseXOR(F.lit(p)).bitwiseAND(m if isinstance(m, Column) else F.lit(m))).cast("tinyint")
+    return F.array(*(near(m, p) for m in masks for p in pivots))
 
 
 def may_be_near(a: Column, b: Column, distance: int) -> Column:
@@ -92,29 +96,68 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _covers(fp: Column, distance: int, more: int) -> list[Column]:
-    """Keys of which two fingerprints within ``distance`` share at least one: with distance + more parts, ``more`` are equal."""
-    parts = distance + more
-    bounds = [round(i * BITS / parts) for i in range(parts + 1)]
-    block = [F.shiftrightunsigned(F.shiftleft(fp, BITS - b), BITS - b + a) for a, b in itertools.pairwise(bounds)]
-    return [F.xxhash64(F.lit(k), *(block[i] for i in chosen)) for k, chosen in enumerate(itertools.combinations(range(parts), more))]
+def _cut(bits: Sequence[int], parts: int) -> list[list[int]]:
+    """``bits`` in ``parts`` runs of about equal length."""
+    bounds = [round(i * len(bits) / parts) for i in range(parts + 1)]
+    return [list(bits[a:b]) for a, b in itertools.pairwise(bounds)]
+
+
+def _mask(bits: Sequence[int]) -> int:
+    m = sum(1 << b for b in bits)
+    return m - 2**64 if m >= 2**63 else m
+
+
+def _cells(distance: int, more: int, levels: int) -> list[list[tuple[int, int]]]:
+    """Of each level the cells' kinds: (kind of the level above, mask of the bits whose pivot distances must be equal).
+
+    First level: ``more`` of distance + more parts. Further ones: one of distance + 1 parts of the bits that are still free. Two
+    fingerprints within ``distance`` agree in the mask of at least one kind, and in one of the kinds below it.
+    """
+    parts = _cut(range(BITS), distance + more)
+    first = [(0, sum((parts[j] for j in chosen), [])) for chosen in itertools.combinations(range(len(parts)), more)]
+    out, free = [first], [[b for b in range(BITS) if b not in used] for _, used in first]
+    for _ in range(levels - 1):
+        out.append([(k, part) for k, bits in enumerate(free) for part in _cut(bits, distance + 1)])
+        free = [[b for b in free[k] if b not in part] for k, part in out[-1]]
+    return [[(k, _mask(bits)) for k, bits in level] for level in out]
+
+
+#: A cell of more fingerprints than this is cut by further pivot distances, LEVELS times at most: then nearly all bits are equal.
+CELL, LEVELS = 64, 3
 
 
 def near_fingerprints(fps: DataFrame, distance: int = 2, more: int = 3) -> DataFrame:
     """(a, b), a > b: all pairs of the different fingerprints ``fps`` (fp) within ``distance`` bits.
 
-    A complete cover by equal parts makes the pairs without a cross join; the pivot table discards those whose distances to a
-    reference fingerprint are too far apart; the rest are compared bit by bit. Copies must have been folded before.
+    The table of a fingerprint has its distances to CELL_PIVOTS references in each part of the bits. Fingerprints within
+    ``distance`` differ in at most so many parts, so in ``more`` parts all coordinates are equal: those coordinates are the cell in
+    which a pair meets, without a cross join. A large cell is cut in the same way by the coordinates of the bits that are left.
+    Pairs of a cell with any coordinate over all bits too far apart are discarded, and the rest compared bit by bit. Copies must have been
+    folded before.
     """
-    keyed = fps.select("fp", pivot_distances(F.col("fp")).alias("table"), F.explode(F.array(*_covers(F.col("fp"), distance, more))).alias("key"))
-    keyed = written(keyed, "covers")
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    keyed = written(keyed.join(shared, "key"), "covers")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(F.col("a.fp") > F.col("b.fp"))
-    pairs = pairs.where(may_be_near(F.col("a.table"), F.col("b.table"), distance))
-    pairs = pairs.where(hamming(F.col("a.fp"), F.col("b.fp")) <= distance)
-    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    kinds = _cells(distance, more, LEVELS)
+    coordinates = lambda mask: F.xxhash64(pivot_distances(F.col("fp"), [mask], PIVOTS[:CELL_PIVOTS]))
+    first = F.array(*(F.struct(F.lit(k).alias("kind"), F.xxhash64(F.lit(k), coordinates(m)).alias("key")) for k, (_, m) in enumerate(kinds[0])))
+    rows = fps.select("fp", F.explode(first).alias("cell")).select("fp", "cell.*")
+    found = None
+    for level in range(LEVELS):
+        rows = written(rows, "cells")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        sized = written(rows.join(sizes, "key"), "cells")
+        forget(rows)
+        small = sized if level == LEVELS - 1 else sized.where(F.col("n") <= CELL)
+        a, b = small.alias("a"), small.alias("b")
+        pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(F.col("a.fp") > F.col("b.fp")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+        pairs = pairs.where(may_be_near(pivot_distances(F.col("a")), pivot_distances(F.col("b")), distance))
+        pairs = pairs.where(hamming(F.col("a"), F.col("b")) <= distance)
+        found = pairs if found is None else found.union(pairs)
+        large = sized.where(F.col("n") > CELL)
+        if level == LEVELS - 1 or large.isEmpty():
+            break
+        below = F.array(*(F.array(*(F.struct(F.lit(i).alias("kind"), F.lit(m).alias("mask")) for i, (k, m) in enumerate(kinds[level + 1]) if k == up)) for up in range(len(kinds[level]))))
+        cut = large.select("fp", "key", F.explode(F.get(below, F.col("kind"))).alias("c"))
+        rows = cut.select("fp", "c.kind", F.xxhash64("key", "c.kind", coordinates(F.col("c.mask"))).alias("key"))
+    return found.distinct()
 
 
 def fingerprint_components(docs: DataFrame, n: int = 3, distance: int = 2) -> DataFrame:
