@@ -103,7 +103,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKEN_SQL = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-_TEMPLATES_SQL = ", ".join(f"({label!r}, {licenses.tokens(text)!r})" for label, text in licenses.TEMPLATES)
+_TEMPLATES_SQL = ", ".join(f"({n}, {t[0]!r}, {len(licenses.tokens(t[1]))}, {sorted(set(licenses.tokens(t[1])))!r}, {licenses.tokens(t[2])!r}, {licenses.tokens(' '.join(t[3:]))!r}::VARCHAR[])" for n, t in enumerate(licenses.TEMPLATES))
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, {_TOKEN_SQL}) AS w FROM d),
@@ -111,12 +111,17 @@ places AS (
   SELECT doc_id, w, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m,
     list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
     list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM w),
-templates(label, ts) AS (SELECT label, list_distinct(ts) FROM (VALUES {_TEMPLATES_SQL}) AS v(label, ts)),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(b, {_TOKEN_SQL})) AS ts FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM d) WHERE contains(b, 'licen') OR contains(b, ' ')),
-hits AS (
-  SELECT doc_id, label, len(list_intersect(b.ts, t.ts)) / len(t.ts)::DOUBLE AS share FROM blocks b, templates t
-  WHERE len(list_intersect(b.ts, t.ts)) >= ceil(0.8::DOUBLE * len(t.ts) - 1e-9)),
-found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS best FROM hits GROUP BY doc_id),
+templates(template, label, size, own, must, never) AS (VALUES {_TEMPLATES_SQL}),
+parts AS (SELECT template, label, ceil(1.5 * size)::BIGINT AS length, len(own) AS n_own, ceil(0.8::DOUBLE * len(own) - 1e-9) AS need, len(must) AS n_must, unnest(list_concat(own, never)) AS x, list_contains(must, x) AS is_must, list_contains(never, x) AS is_never FROM templates),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
+hit AS (SELECT doc_id, template, i, x, is_must, is_never, length, n_own, need, n_must, label FROM word JOIN parts USING (x)),
+likely AS (SELECT doc_id, template FROM hit GROUP BY ALL HAVING count(DISTINCT CASE WHEN NOT is_never THEN x END) >= any_value(need) AND count(DISTINCT CASE WHEN is_must THEN x END) = any_value(n_must)),
+wanted AS (SELECT hit.* FROM hit JOIN likely USING (doc_id, template)),
+block AS (
+  SELECT s.doc_id, s.template, s.i, any_value(s.label) AS label, count(DISTINCT e.x) / any_value(s.n_own)::DOUBLE AS share FROM wanted s JOIN wanted e
+  ON s.doc_id = e.doc_id AND s.template = e.template AND e.i >= s.i AND e.i < s.i + s.length GROUP BY s.doc_id, s.template, s.i
+  HAVING NOT bool_or(e.is_never) AND count(DISTINCT e.x) >= any_value(s.need) AND count(DISTINCT CASE WHEN e.is_must THEN e.x END) = any_value(s.n_must)),
+found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS best FROM block GROUP BY doc_id),
 joined AS (
   SELECT p.*, list_concat(m, a, g) AS al, [x for x in [CASE WHEN len(m) > 0 THEN 'mit' END, CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END] if x IS NOT NULL] AS base, ls, best
   FROM places p LEFT JOIN found USING (doc_id))

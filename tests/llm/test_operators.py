@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 
 import pytest
 import xxhash
@@ -161,15 +162,28 @@ def test_decode(docs, spark):
 LICENSE_TEXTS = [
     "Released under the MIT License.", "foo MIT-LICENSE bar mit license\nmit\nlicense", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.",
     "Licensed under CC BY-NC 4.0.", "made under CC BY NC four", "mit  licensed", "MİT license", "the general public license and apache license mit license", "", None, "license " * 5000 + "mit license",
-    "released long ago under what is here the so called mit free license", "\u212aeep the mit license",
+    "released long ago under what is here the so called mit free license", "\u212aeep the mit license", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "Released under the BSD License",
+    "licensed " + "x " * 9 + "under cc by nc 4 0", "é " * 40 + "Licensed under CC BY-NC-SA 4.0", "THİS Source Code Form is subject to the terms of the Mozilla Public License",
 ]
+#: Notices as in source files: wrapped, with comment signs, between other lines.
+WRAPPED = [
+    (label, "é code\n" + "\n".join(sign + line for line in textwrap.wrap(t, width)) + "\nmore code " * 3)
+    for (label, t, *_), width, sign in zip(licenses.TEMPLATES, itertools.cycle((60, 72, 79)), itertools.cycle(("", "# ", "// ", " * ")), strict=False)
+]
+LICENSE_TEXTS += [t for _, t in WRAPPED]
+
+
+def test_wrapped_notices(spark):
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(docs_of(spark, [(i, t, None, "s") for i, (_, t) in enumerate(WRAPPED)])).collect()}
+    assert all(label in found[i] for i, (label, _) in enumerate(WRAPPED))
+    assert all(found[i] == [label] for i, (label, _) in enumerate(WRAPPED))
 
 
 def test_licenses(spark):
     docs = docs_of(spark, [(i, t, None, "s") for i, t in enumerate(LICENSE_TEXTS)] + [(None, LICENSE_TEXTS[0], None, None), (0, LICENSE_TEXTS[0], None, None)])
     found = licenses.scan_licenses(docs).collect()
     assert len(found) == len(LICENSE_TEXTS) + 2
-    vocabulary = [(label, set(licenses.tokens(t))) for label, t in licenses.TEMPLATES]
+    own = [(t[0], licenses.tokens(t[1]), set(licenses.tokens(t[2])), set(licenses.tokens(" ".join(t[3:])))) for t in licenses.TEMPLATES]
     by_id = dict(enumerate(LICENSE_TEXTS)) | {None: LICENSE_TEXTS[0]}
     for r in found:
         text = by_id[r.doc_id] or ""
@@ -179,12 +193,12 @@ def test_licenses(spark):
         places = sorted(itertools.chain(*at.values()))
         base = {label for label, x in at.items() if x}
         best, more = 0.0, set()
-        for line in low.split("\n"):
-            have = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line))
-            for label, ts in vocabulary:
-                share = len(have & ts) / len(ts)
-                if share >= 0.8 - 1e-9:
-                    best, more = max(best, share), more | {label}
+        for label, ts, must, never in own:
+            length = math.ceil(1.5 * len(ts))
+            for i in range(len(words)):
+                block = set(words[i : i + length]) & set(ts)
+                if len(block) >= 0.8 * len(set(ts)) - 1e-9 and must <= block and not never & set(words[i : i + length]):
+                    best, more = max(best, len(block) / len(set(ts))), more | {label}
         assert (r.n_words, r.n_base) == (len(words), len(places))
         assert (r.first_word, r.last_word) == ((places[0], places[-1]) if places else (None, None))
         assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | more)))
@@ -336,6 +350,17 @@ def test_near_fingerprints(spark):
     assert {(r.a % 2**64, r.b % 2**64) for r in got} == want and len(got) == len(want)
 
 
+def test_near_fingerprints_of_a_family(spark, monkeypatch):
+    """A cell that holds a large family of close fingerprints is cut by further pivot distances, without losing a pair."""
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 5))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(20)}
+    want = {(a, b) for a, b in itertools.permutations(prints, 2) if (a ^ b).bit_count() <= 2 and signed(a) > signed(b)}
+    monkeypatch.setattr(simhash, "CELL", 4)
+    got = simhash.near_fingerprints(spark.createDataFrame([(signed(x),) for x in prints], "fp long")).collect()
+    assert {(r.a % 2**64, r.b % 2**64) for r in got} == want and len(got) == len(want) > 200
+
+
 def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
