@@ -19,6 +19,8 @@ LEARN_DOCS = 5_000
 WIDE_PIECES = 200
 #: A task hands on its counts when it has those of so many languages.
 HELD_LANGUAGES = 32
+#: Scores of trigrams, one for each language, that are held at once.
+SLICE = 4_000_000
 #: Cost of changing the language between two words, as a log probability.
 SWITCH = 8.0
 #: A language is a candidate for a script in which it has at least this share of its letters.
@@ -26,16 +28,59 @@ LEAST_SHARE = 0.01
 
 LETTER = re.compile(r"[^\W\d_]")
 
-#: Script of a character by the first byte of its UTF-8 form; 0 for what is no letter of a known script.
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "other", "kana", "han", "hangul")
+#: Scripts by ranges of code points; what is in no range belongs to "other", what is no letter is not looked at.
 SCRIPT_RANGES = (
-    (0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xC3, 0xC9, "latin"), (0xCE, 0xCF, "greek"), (0xD0, 0xD3, "cyrillic"),
-    (0xD4, 0xD5, "armenian"), (0xD6, 0xD7, "hebrew"), (0xD8, 0xDB, "arabic"), (0xE0, 0xE0, "indic"), (0xE1, 0xE1, "other"),
-    (0xE3, 0xE3, "kana"), (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul"), (0xF0, 0xF4, "other"),
+    (0x0041, 0x005A, "latin"), (0x0061, 0x007A, "latin"), (0x00AA, 0x00AA, "latin"), (0x00BA, 0x00BA, "latin"), (0x00C0, 0x02AF, "latin"), (0x0370, 0x03FF, "greek"),
+    (0x0400, 0x052F, "cyrillic"), (0x0531, 0x058A, "armenian"), (0x0591, 0x05F4, "hebrew"), (0x0610, 0x06FF, "arabic"), (0x0750, 0x077F, "arabic"), (0x08A0, 0x08FF, "arabic"),
+    (0x0900, 0x097F, "devanagari"), (0x0980, 0x09FF, "bengali"), (0x0A01, 0x0A76, "gurmukhi"), (0x0A81, 0x0AFF, "gujarati"), (0x0B01, 0x0B77, "oriya"), (0x0B82, 0x0BFA, "tamil"),
+    (0x0C00, 0x0C7F, "telugu"), (0x0C80, 0x0CF3, "kannada"), (0x0D00, 0x0D7F, "malayalam"), (0x0D81, 0x0DF4, "sinhala"), (0x0E01, 0x0E5B, "thai"), (0x0E81, 0x0EDF, "lao"),
+    (0x0F00, 0x0FFF, "tibetan"), (0x1000, 0x109F, "myanmar"), (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"), (0x1200, 0x139F, "ethiopic"), (0x1780, 0x17FF, "khmer"),
+    (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x2C60, 0x2C7F, "latin"), (0x3041, 0x30FF, "kana"), (0x3131, 0x318E, "hangul"), (0x31F0, 0x31FF, "kana"), (0x3400, 0x4DBF, "han"),
+    (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7A3, "hangul"), (0xF900, 0xFAFF, "han"), (0xFB50, 0xFDFF, "arabic"), (0xFE70, 0xFEFC, "arabic"), (0xFF66, 0xFF9F, "kana"), (0x20000, 0x323AF, "han"),
 )
-SCRIPT = np.zeros(256, dtype=np.int64)
-for _low, _high, _name in SCRIPT_RANGES:
-    SCRIPT[_low : _high + 1] = SCRIPTS.index(_name)
+SCRIPTS = ("none", "other", *dict.fromkeys(name for *_, name in SCRIPT_RANGES))
+#: Scripts that are written without blanks: their runs are cut into words of CUT characters.
+UNSEGMENTED, CUT = ("han", "kana", "thai", "lao", "khmer", "myanmar", "tibetan"), 4
+_LOW, _HIGH = (np.array([r[i] for r in SCRIPT_RANGES]) for i in (0, 1))
+_NAME = np.array([SCRIPTS.index(r[2]) for r in SCRIPT_RANGES])
+_UNSEGMENTED = np.isin(SCRIPTS, UNSEGMENTED)
+
+
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    """Number of the script of each code point: 0 for no letter as far as ASCII, Latin-1 and general signs go, 1 for other ones."""
+    at = np.maximum(np.searchsorted(_LOW, codes, side="right") - 1, 0)
+    found = np.where((codes >= _LOW[at]) & (codes <= _HIGH[at]), _NAME[at], 1)
+    signs = (codes < 0x370) | (codes == 0xD7) | (codes == 0xF7) | ((codes >= 0x2000) & (codes < 0x2C00)) | ((codes >= 0x3000) & (codes < 0x3041)) | ((codes >= 0xFE00) & (codes < 0xFE70)) | (codes >= 0x1F000) & (codes < 0x20000)
+    return np.where(signs & ((found == 1) | (codes == 0xD7) | (codes == 0xF7)), 0, found)
+
+
+class Words(Texts):
+    """Words whose letters are of one kind of writing: runs of scripts without blanks are cut off the rest and into short words."""
+
+    def __init__(self, column: pa.Array):
+        super().__init__(column)
+        data = np.concatenate([self.data, np.zeros(3, np.uint8)]).astype(np.int64)
+        self.leads = np.flatnonzero((self.data & 0xC0) != 0x80)
+        b, c, d, e = (data[self.leads + k] for k in range(4))
+        codes = np.select([b < 0x80, b < 0xE0, b < 0xF0], [b, (b & 31) << 6 | c & 63, (b & 15) << 12 | (c & 63) << 6 | d & 63], (b & 7) << 18 | (c & 63) << 12 | (d & 63) << 6 | e & 63)
+        self.script = scripts_of(codes)
+        loose = _UNSEGMENTED[self.script]
+        if loose.any():
+            starts = np.zeros(len(self.data), dtype=bool)
+            starts[self.starts] = True
+            fresh = starts[self.leads]
+            fresh[1:] |= (loose[1:] != loose[:-1]) & self.solid[self.leads[1:]] & self.solid[self.leads[:-1]]
+            runs = np.flatnonzero(fresh)
+            place = np.arange(len(self.leads)) - runs[np.maximum(np.searchsorted(runs, np.arange(len(self.leads)), side="right") - 1, 0)]
+            fresh |= loose & (place % CUT == 0)
+            new = self.leads[fresh & self.solid[self.leads]]
+            self.ends = np.minimum(np.append(new[1:], len(self.data)), self.ends[np.searchsorted(self.ends, new, side="right")])
+            self.starts = new
+            self.first = np.searchsorted(self.starts, self.offsets)
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """Code points before each byte, in the whole batch."""
+        return np.searchsorted(self.leads, at)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,26 +110,34 @@ class Scorer:
         self.candidate[:, 0] = True
 
     def of_types(self, types: WordTypes) -> tuple[np.ndarray, np.ndarray]:
-        """(types x languages) scores, and whether a type has letters."""
+        """(types x languages) scores, and whether a type has letters. SLICE scores of trigrams are held at once."""
         grams, bounds = types.trigrams()
-        texts = types.texts
-        if not len(types.index):
-            return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, bool)
-        scores = np.add.reduceat(self.table[self.row[grams]], bounds[:-1], axis=0)
-        starts, ends = texts.starts[types.index], texts.ends[types.index]
-        script = np.zeros(len(starts), dtype=np.int64)
-        at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - starts, np.diff(bounds))
-        at[bounds[1:] - 1] = 0
-        found = SCRIPT[texts.data[at]]
-        found[bounds[1:] - 1] = 0
-        script = np.maximum.reduceat(found, bounds[:-1])
-        del ends
+        texts, n = types.texts, len(types.index)
+        scores = np.zeros((n, len(self.languages)), np.float32)
+        step = max(1, SLICE // len(self.languages))
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + step, side="right")) - 1)
+            for low in range(bounds[i], bounds[j], step):  # a type of more than ``step`` trigrams comes alone, in parts
+                high = min(low + step, bounds[j])
+                part = self.table[self.row[grams[low:high]]]
+                scores[i:j] += np.add.reduceat(part, bounds[i:j] - bounds[i], axis=0) if j > i + 1 else part.sum(axis=0)
+            i = j
+        # A word's script is that of most of its letters.
+        low, high = texts.places(texts.starts[types.index]), texts.places(texts.ends[types.index])
+        sizes = high - low
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+        votes = np.bincount(np.repeat(np.arange(n), sizes) * len(SCRIPTS) + texts.script[at], minlength=n * len(SCRIPTS)).reshape(n, len(SCRIPTS))
+        script = np.where(votes[:, 1:].any(axis=1), votes[:, 1:].argmax(axis=1) + 1, 0) if n else np.zeros(0, np.int64)
         return np.where(self.candidate.T[script], scores, -1e4).astype(np.float32), script > 0
 
 
-def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
-    """Best language of each word; words of text d are ``first[d]`` to ``first[d + 1]``. All texts of a batch go in step."""
-    n_words, n_lang = scores.shape
+def viterbi(by_type: np.ndarray, types: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
+    """Best language of each word, of type ``types[i]`` with the scores ``by_type``; words of text d are ``first[d]`` to ``first[d + 1]``.
+
+    All texts of a batch go in step. Of a word only which languages it was reached from is kept, as bits.
+    """
+    n_words, n_lang = len(types), by_type.shape[1]
     path = np.zeros(n_words, dtype=np.int32)
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
@@ -92,25 +145,25 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     if not n_words or n_lang < 2:
         return path
     live = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), side="left")  # texts with more than t words
-    moved = np.zeros((n_words, n_lang), dtype=bool)
+    moved = np.zeros((n_words, (n_lang + 7) // 8), dtype=np.uint8)
     source = np.zeros(n_words, dtype=np.int32)
-    best = scores[starts[: live[0]]].copy()
+    best = by_type[types[starts[: live[0]]]].copy()
     for t in range(1, sizes[0]):
         n = live[t]
         rows = starts[:n] + t
         best_now = best[:n]
         top = best_now.argmax(axis=1)
         change = best_now[np.arange(n), top] - switch
-        away = best_now < change[:, None]
-        moved[rows], source[rows] = away, top
-        best[:n] = np.maximum(best_now, change[:, None]) + scores[rows]
+        moved[rows], source[rows] = np.packbits(best_now < change[:, None], axis=1), top
+        best[:n] = np.maximum(best_now, change[:, None]) + by_type[types[rows]]
     state = best.argmax(axis=1).astype(np.int32)
     for t in range(sizes[0] - 1, -1, -1):
         n = live[t]
         rows = starts[:n] + t
         path[rows] = state[:n]
         if t:
-            state[:n] = np.where(moved[rows, state[:n]], source[rows], state[:n])
+            away = moved[rows, state[:n] >> 3] >> (7 - (state[:n] & 7)) & 1
+            state[:n] = np.where(away, source[rows], state[:n])
     return path
 
 
@@ -134,12 +187,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in set(langs):
             if lang not in grams and len(grams) >= HELD_LANGUAGES:
                 yield from held()
-            texts = Texts(batch.column(1).filter(pa.array(langs == lang)))
+            texts = Words(batch.column(1).filter(pa.array(langs == lang)))
             types = WordTypes(texts)
             packed, bounds = types.trigrams()
             times = np.repeat(np.bincount(types.inverse, minlength=len(types.index)), np.diff(bounds))
             grams.setdefault(lang, np.zeros(CLASSES**3))[:] += np.bincount(packed, times, CLASSES**3)
-            scripts.setdefault(lang, np.zeros(len(SCRIPTS)))[:] += np.bincount(SCRIPT[texts.data], minlength=len(SCRIPTS))
+            scripts.setdefault(lang, np.zeros(len(SCRIPTS)))[:] += np.bincount(texts.script, minlength=len(SCRIPTS))
     yield from held()
 
 
@@ -157,22 +210,25 @@ def learn(docs: DataFrame, most: int = LEARN_DOCS) -> Scorer | None:
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("learn:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     sample = learned.join(F.broadcast(fractions), F.col("lang") == F.col("l")).where(draw < F.col("fraction"))
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, kind string, key long, n long")
-    counts = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toPandas()  # a row for each language's trigrams and scripts
-    where = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    is_gram = (counts["kind"] == "gram").to_numpy()
+    number = F.broadcast(docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, number int"))
+    counts = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).join(number, "lang")
+    # A row for each language's trigrams and scripts, three numbers each.
+    found = counts.select("number", (F.col("kind") == "gram").alias("is_gram"), F.col("key").cast("int"), "n").toArrow()
+    where, key, n = (found.column(c).to_numpy() for c in ("number", "key", "n"))
+    is_gram = found.column("is_gram").to_numpy()
     scripts = np.zeros((len(languages), len(SCRIPTS)))
-    key, n = counts["key"].to_numpy(), counts["n"].to_numpy()
     scripts[where[~is_gram], key[~is_gram]] = n[~is_gram]
     return Scorer(languages, where[is_gram], key[is_gram], n[is_gram], scripts)
 
 
 def label_languages(docs: DataFrame, scorer: Scorer | None, switch: float = SWITCH, spans: bool = True) -> DataFrame:
-    """doc_id, lang_pred, score and, with ``spans``, array<struct<start, end, lang>> (words from 0, end exclusive) of every text.
+    """doc_id, lang_pred, score and, with ``spans``, array<struct<start, end, lang>> (code points, from the start of the
+    span's first word to the end of its last) of every text.
 
     Only the text is looked at. Words' scores are sums of log rates of byte trigrams; languages that hardly use the word's script
     aren't candidates. The best path through all words pays ``switch`` for each change of language. lang_pred has most of the
     words with letters (of a tie the first by name), score is its share of them. A text that is null or has no letter, and any
-    text where no language was learned, is "und" with score 0 and no spans. Repeated rows and null ids are labelled each; other
+    text where no language was learned, is "und" with score 0 and no spans. Runs of scripts without blanks are cut into words of CUT characters. Repeated rows and null ids are labelled each; other
     columns are not read; no rows give no rows. Memory is that of a piece of 1 MB of text (less with over
     WIDE_PIECES languages), or of one longer text, times the languages.
     """
@@ -186,13 +242,13 @@ def label_languages(docs: DataFrame, scorer: Scorer | None, switch: float = SWIT
         n_lang = len(scorer.languages) if scorer else 0
         for batch in pieces(batches, size=PIECE * WIDE_PIECES // max(WIDE_PIECES, n_lang)):
             column = batch.column(1)
-            texts = Texts(column)
+            texts = Words(column)
             und = np.array([t is None or not LETTER.search(t) for t in column.to_pylist()], dtype=bool) | (n_lang == 0)
             preds, scores, found = ["und"] * texts.n, np.zeros(texts.n), [None] * texts.n
             if n_lang:
                 types = WordTypes(texts)
                 by_type, letters = scorer.of_types(types)
-                path = viterbi(by_type[types.inverse], texts.first, switch)
+                path = viterbi(by_type, types.inverse, texts.first, switch)
                 owner, counts = texts.owner(), letters[types.inverse]
                 votes = np.bincount(owner * n_lang + path, counts, texts.n * n_lang).reshape(texts.n, n_lang)
                 # Letters of no known script: every word counts.
@@ -206,10 +262,12 @@ def label_languages(docs: DataFrame, scorer: Scorer | None, switch: float = SWIT
                     cuts = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])])) if len(path) else np.zeros(0, int)
                     ends = np.append(cuts[1:], len(path))
                     found = [[] for _ in range(texts.n)]
-                    for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
-                        d = owner[a]
+                    of = owner[cuts]
+                    before = texts.places(texts.offsets[:-1])[of]
+                    low, high = texts.places(texts.starts[cuts]) - before, texts.places(texts.ends[ends - 1]) - before
+                    for a, b, d, lang in zip(low.tolist(), high.tolist(), of.tolist(), path[cuts].tolist(), strict=True):
                         if not und[d]:
-                            found[d].append({"start": int(a - texts.first[d]), "end": int(b - texts.first[d]), "lang": scorer.languages[path[a]]})
+                            found[d].append({"start": a, "end": b, "lang": scorer.languages[lang]})
             more = [pa.array(found, span_type)] if spans else []
             yield pa.record_batch([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), *more], ["doc_id", "lang_pred", "score"] + ["spans"] * spans)
 
