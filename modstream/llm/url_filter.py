@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable
 
 import pandas as pd
@@ -21,12 +22,10 @@ FIELDS = "host string, path string, rule string, verdict string"
 class UrlTrie:
     """Rules by host labels from the right, then by path segments.
 
-    A node is a dict: a label or segment leads to a dict, and END holds what ends there, as {last piece of the path: (rule,
-    verdict)}. A path's last piece needs no slash after it and stands for any segment that begins with it ("" for all).
+    A node is a dict: a label or segment leads to a dict, and "" holds what ends there: {last piece of the path: (rule, verdict)}, and
+    the lengths of those pieces in order. A last piece needs no slash after it and stands for any segment that begins with it.
     """
 
-    PATH, END = object(), object()
-
     def __init__(self, rules: Iterable[tuple[str, str]]):
         self.root: dict = {}
         n = 0
@@ -44,10 +43,12 @@ class UrlTrie:
             *segments, last = (slash + path).split("/")
             for segment in segments:
                 node = node.setdefault("/" + segment, {})
-            ends = node.setdefault("", {})
+            ends, lengths = node.setdefault("", ({}, []))
             # Of the same rule twice the block stands.
             if ends.get(last, ("", ""))[1] != "block":
                 ends[last] = (rule, verdict)
+            if len(last) not in lengths:
+                bisect.insort(lengths, len(last))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """The longest rule, host labels first, then path, that fits; its text and verdict."""
@@ -68,10 +69,11 @@ class UrlTrie:
     def _path(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            ends = node.get("")
-            if ends:
-                for n in range(len(segment) + 1):
-                    best = ends.get(segment[:n], best)
+            ends, lengths = node.get("", (None, ()))
+            for n in lengths:
+                if n > len(segment):
+                    break
+                best = ends.get(segment[:n], best)
             node = node.get("/" + segment)
             if node is None:
                 break
