@@ -78,7 +78,8 @@ def _parts(text: Column) -> Column:
     access = matches(text, "AKIA[A-Z0-9]{14,}", text.contains("AKIA"))
     hexes = matches(text, "[0-9a-f]{16,}", text.rlike("[0-9a-f]{16}"))
     ident = matches(text, "(?i)" + ID_WORDS + ASSIGN + "[A-Za-z0-9_.@-]{3,}", equals & text.rlike("(?i)" + ID_WORDS + ASSIGN + "[A-Za-z0-9_.@-]{3}"))
-    endpoint = matches(text, "[a-z]+://[A-Za-z0-9.-]+(?::[0-9]+)?", text.contains("://"))
+    # A run of letters is tried from its first one only, so that long runs aren't scanned again and again.
+    endpoint = matches(text, "(?<![a-z])[a-z]++://[A-Za-z0-9.-]++(?::[0-9]++)?", text.contains("://"))
 
     def of(found: Column, kind: str, keep=None) -> Column:
         kept = found if keep is None else F.filter(found, keep)
