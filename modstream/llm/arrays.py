@@ -5,6 +5,7 @@ Used inside tasks on Arrow batches; nothing here knows Spark.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +130,14 @@ def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and the next one may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """Least of each ``n`` neighbours, by doubling."""
     size = 1

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modstream.llm.arrays import CharGrams, Texts, mix, pieces, window_hashes
+from modstream.llm.arrays import CharGrams, Texts, give_back, mix, pieces, window_hashes
 from modstream.llm.common import forget, small_side, written
 
 #: Characters of the longest n-grams.
@@ -19,7 +19,7 @@ ORDER = 5
 #: At most so many n-grams, the most frequent ones, are broadcast; the others are looked up by a join.
 HOT_GRAMS = 2_000_000
 #: A task hands on its counts when it holds so many n-grams.
-HELD_GRAMS = 1_000_000
+HELD_GRAMS = 600_000
 #: Shares of a language's plain documents that lie below and above its band.
 BELOW, ABOVE = 0.002, 0.005
 #: A document is plain, so that models are counted and bands set by it, if it passes the base and has at most so many symbols, and
@@ -123,11 +123,13 @@ def count_grams(docs: DataFrame, order: int = ORDER, held: int = HELD_GRAMS) ->
             if size > held:
                 parts = [summed()]
                 size = len(parts[0])
-                if size > held // 2:
+                if size > held * 3 // 4:
                     yield from parts[0].to_batches(100_000)
                     parts, size = [], 0
         if parts:
             yield from summed().to_batches(100_000)
+        parts = []
+        give_back()
 
     counted = docs.select("doc_id", "digest", "model", "text").mapInArrow(run, "model string, gram string, key long, n long, k0 long, k1 long")
     return written(counted.groupBy("model", "gram", "key").agg(*(F.sum(c).alias(c) for c in ("n", "k0", "k1"))), "grams")
@@ -193,7 +195,7 @@ def hot_grams(logs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]
     found = logs.where(F.floor(F.log2("n")) >= least).select("key", "log0", "log1").toArrow()
     keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    values = np.stack([found.column(c).to_numpy()[order] for c in ("log0", "log1")], axis=1)
+    values = np.stack([found.column(c).to_numpy()[order].astype(np.float32) for c in ("log0", "log1")], axis=1)
     return keys[order], values, len(keys) == sum(sizes.values())
 
 
@@ -235,6 +237,8 @@ def measured(docs: DataFrame, order: int = ORDER, hot: int = HOT_GRAMS) -> DataF
                 + [pa.array(loss), pa.array(found.failed), pa.array(found.plain), rest],
                 ["doc_id", "digest", "model", *MEASURES, "n_grams", "loss", "base_failed", "plain", "rest"],
             )
+        del keys, values
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (

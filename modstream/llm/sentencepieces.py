@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modstream.llm.arrays import pieces
+from modstream.llm.arrays import give_back, pieces
 from modstream.llm.common import small_batches
 
 MARK = "▁"
@@ -99,11 +99,12 @@ class Encoder:
     """Encodes batches of texts with ``rebuilt``, and compares with the sentencepiece library.
 
     If the model lets texts be cut before marks, both libraries work word by word: a batch's new words are encoded as one
-    multithreaded batch, decoded, and encoded by the other library too; the outcome is remembered for up to CACHE words. A text's
-    ids are those of its words. Otherwise whole texts are encoded.
+    multithreaded batch, decoded, and encoded by the other library too; the outcome is remembered for up to CACHE bytes of words. A
+    text's ids are those of its words. Otherwise whole texts are encoded.
     """
 
-    CACHE = 300_000
+    #: About the bytes of all words remembered and their ids, with OVERHEAD for each; words of more than LONG characters aren't kept.
+    CACHE, OVERHEAD, LONG = 48 << 20, 200, 1_000
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -124,6 +125,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.size = 0
         self.unlike: set[str] = set()
         self.lossy: set[str] = set()
 
@@ -135,6 +137,7 @@ class Encoder:
         doubtful = []
         for word, i, j in zip(new, ids, theirs, strict=True):
             self.known[word] = array("i", i).tobytes()
+            self.size += 5 * len(word) + self.OVERHEAD
             if i != j and not (word == MARK and i == [self.other.piece_to_id(MARK)]):
                 self.unlike.add(word)
             if "".join(map(piece, i)) != word:
@@ -152,14 +155,21 @@ class Encoder:
             same = lambda a, b: [x == y for x, y in zip(a, b, strict=True)]
             return [np.array(i, dtype=np.int32).tobytes() for i in ids], same(backs, texts), same(ids, theirs)
         cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > self.CACHE:
-            self._forget()
         new = list(set().union(*cut) - self.known.keys())
         if new:
             self._learn(new)
         ids = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         trips = [MARK not in t and self.lossy.isdisjoint(words) for t, words in zip(texts, cut, strict=True)]
-        return ids, trips, [self.unlike.isdisjoint(words) for words in cut]
+        agree = [self.unlike.isdisjoint(words) for words in cut]
+        if self.size > self.CACHE:
+            self._forget()
+        for word in new:
+            if len(word) > self.LONG and word in self.known:
+                del self.known[word]
+                self.size -= 5 * len(word) + self.OVERHEAD
+                self.unlike.discard(word)
+                self.lossy.discard(word)
+        return ids, trips, agree
 
 
 def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_bytes: int = 1 << 20) -> DataFrame:
@@ -187,6 +197,8 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_by
                 [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())],
                 ["doc_id", "n_tokens", "ids", "round_trip", "parity"],
             )
+        del encoder
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modstream.llm.arrays import Texts, mix, pieces, span_hashes, window_hashes
+from modstream.llm.arrays import Texts, give_back, mix, pieces, span_hashes, window_hashes
 from modstream.llm.common import connected_components, forget, small_side, written
 
 BITS = 64
@@ -239,6 +239,7 @@ def wide_fingerprints(docs: DataFrame, n: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(content), pa.array(np.diff(bounds), pa.int64()), longs(prints), longs(decided)],
                 ["doc_id", "digest", "content", "n_shingles", "prints", "decided"],
             )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, digest long, content long, n_shingles long, prints array<long>, decided array<long>"
