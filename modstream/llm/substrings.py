@@ -1,15 +1,17 @@
-"""Substring dedup: repeated passages by levels of a suffix tree over the corpus, expanded only where documents share a prefix.
-
-A node of the tree is a run of words with the documents in which it stands. Its levels are Spark aggregations:
+"""Substring dedup: suffix trees over the corpus, one for each shared prefix, expanded only where documents share it.
 
 1. Prefixes. Of each window of WINDOW words the least hash of its PREFIX-word runs is the window's prefix, so equal windows have
    equal prefixes, and neighbouring windows mostly share one. Prefixes in one document only are leaves; they end here.
 2. Variable-length runs. The windows of one prefix that follow each other make one run of WINDOW and more words. Equal runs are
-   one node with its least document; every other document of the node is covered there, whatever the node's size.
-3. Windows, only for prefixes with different runs, and only of each run's least document: nodes at a depth of WINDOW words.
-
-Covered windows that touch or overlap are merged to maximal repeats in each document. Groups of equal suffixes can't be divided
-by longer prefixes, so no node's members are gathered in one task: each level keeps a node's least document by partial sums.
+   folded to their least document; every other document of the run is covered there, whatever their number. (Runs are equal if three
+   64-bit hashes are.)
+3. Subtrees. The different runs of a prefix, each of its least document, make a group; groups of up to GROUP runs go to tasks with
+   their words. A task sorts all suffixes of its groups by doubling the sorted length; nodes of depth WINDOW with several documents
+   are the repeats, and every document but the least is covered there. Words themselves are compared here.
+4. A group of more runs, as at the ends of a very common passage, is split by longer prefixes: the whole windows. These are
+   compared by MD5, and Spark folds the equal ones by partial sums.
+
+Covered windows that touch or overlap are merged to maximal repeats in each document.
 """
 
 from __future__ import annotations
@@ -19,180 +21,230 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modstream.llm.arrays import Texts, pieces, sliding_min, span_hashes, window_hashes
+from modstream.llm.arrays import Texts, give_back, mix, pieces, sliding_min, span_hashes, window_hashes
 from modstream.llm.common import forget, small_side, written
 
 WINDOW, PREFIX = 50, 16
-#: So many ids are broadcast to pick the texts that need more work; beyond that all texts are joined by shuffle.
+#: Runs of one prefix that are put into one subtree, and runs of different prefixes that a task works on at once.
+GROUP, BATCH = 2_000, 10_000
+#: So many documents' lists are broadcast to pick the texts that need more work; beyond that all texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
+RUN = "prefix long, span long, span2 long, doc_id long, digest long, start int, n int"
+
 
 class Runs:
     """The windows of a batch of texts, in runs of one prefix: run i has the windows from ``starts[i]`` to ``ends[i]``, exclusive."""
 
     def __init__(self, texts: Texts, window: int, prefix: int):
-        self.hashes, self.owner = texts.hashes(), texts.owner()
-        n = len(self.hashes) - window + 1
+        hashes, owner = texts.hashes(), texts.owner()
+        n = len(hashes) - window + 1
         if n <= 0:
-            self.prefix = self.starts = self.ends = np.zeros(0, np.int64)
-            self.spans = np.zeros(0, np.uint64)
+            self.prefix = self.span = self.span2 = np.zeros(0, np.uint64)
+            self.starts = self.ends = self.owner = np.zeros(0, np.int64)
             return
-        least = sliding_min(window_hashes(self.hashes, prefix), window - prefix + 1)
-        inside = self.owner[:n] == self.owner[window - 1 :]
+        least = sliding_min(window_hashes(hashes, prefix), window - prefix + 1)
+        inside = owner[:n] == owner[window - 1 :]
         first = inside.copy()
-        first[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (self.owner[1:n] != self.owner[: n - 1])
+        first[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1])
         last = inside.copy()
         last[:-1] &= ~inside[1:] | first[1:]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.prefix = least[self.starts]
-        self.spans = span_hashes(self.hashes, self.starts, self.ends + window - 1)
+        self.owner, self.prefix = owner[self.starts], least[self.starts]
+        self.span, self.span2 = (span_hashes(h, self.starts, self.ends + window - 1) for h in (hashes, mix(hashes + np.uint64(1))))
 
 
 def _runs(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(prefix, span, doc_id): the runs of all documents."""
+    """The runs of all documents; start is the run's first word, n its number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            runs = Runs(Texts(batch.column(1)), window, prefix)
-            ids = batch.column(0).take(pa.array(runs.owner[runs.starts]))
-            yield pa.record_batch([pa.array(runs.prefix.astype(np.int64)), pa.array(runs.spans.astype(np.int64)), ids], ["prefix", "span", "doc_id"])
+            texts = Texts(batch.column(2))
+            runs = Runs(texts, window, prefix)
+            ids, digests = (batch.column(i).take(pa.array(runs.owner)) for i in (0, 1))
+            hashes = [pa.array(h.view(np.int64)) for h in (runs.prefix, runs.span, runs.span2)]
+            places = [pa.array(x.astype(np.int32)) for x in (runs.starts - texts.first[runs.owner], runs.ends - runs.starts)]
+            yield pa.record_batch([*hashes, ids, digests, *places], ["prefix", "span", "span2", "doc_id", "digest", "start", "n"])
+        give_back()
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "prefix long, span long, doc_id long")
+    return docs.where("doc_id is not null").select("doc_id", "digest", "text").mapInArrow(run, RUN)
 
 
-def _windows(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(prefix, key, doc_id): the windows of the runs listed in ``docs`` (doc_id, text, open)."""
+def _passages(docs: DataFrame, window: int) -> DataFrame:
+    """(prefix, large, doc_id, digest, start, words): the words of the runs listed in ``docs`` (doc_id, digest, text, runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            runs = Runs(Texts(batch.column(1)), window, prefix)
-            keys = window_hashes(runs.hashes, window).astype(np.int64)
-            marked = _listed(runs, batch.column(2))
-            sizes = (runs.ends - runs.starts)[marked]
-            at = np.repeat(runs.starts[marked], sizes) + _counted(sizes)
-            ids = batch.column(0).take(pa.array(runs.owner[at]))
-            yield pa.record_batch(
-                [pa.array(np.repeat(runs.prefix[marked], sizes).astype(np.int64)), pa.array(keys[at]), ids], ["prefix", "key", "doc_id"]
-            )
-
-    return docs.select("doc_id", "text", "open").mapInArrow(run, "prefix long, key long, doc_id long")
-
-
-def _counted(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each of ``sizes``."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def _listed(runs: Runs, lists: pa.Array) -> np.ndarray:
-    """Which runs' spans are in the list of their text."""
-    owner, values = _flat(lists)
-    return _among(runs.owner[runs.starts], runs.spans.astype(np.int64), owner, values)
-
-
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    found = [(i, x) for i, x in enumerate(lists.to_pylist()) if x]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.repeat([i for i, _ in found], [len(x) for _, x in found]), np.concatenate([np.asarray(x, np.int64) for _, x in found])
-
-
-def _among(owner: np.ndarray, values: np.ndarray, in_owner: np.ndarray, in_values: np.ndarray) -> np.ndarray:
-    """Which pairs (owner, value) are among the others."""
-    kind = np.dtype([("o", np.int64), ("v", np.int64)])
-    pack = lambda o, v: np.rec.fromarrays([np.asarray(o, np.int64), np.asarray(v, np.int64)], dtype=kind)
-    if not len(in_owner) or not len(owner):
-        return np.zeros(len(owner), dtype=bool)
-    known = np.unique(pack(in_owner, in_values))
-    wanted = pack(owner, values)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return known[at] == wanted
-
-
-def _kept(batch: pa.RecordBatch, window: int, prefix: int) -> pa.RecordBatch:
-    """The result of a piece of (doc_id, text, spans, keys)."""
-    texts = Texts(batch.column(1))
-    n = len(texts.starts)
-    gone = np.zeros(n + 1, dtype=np.int64)
-    if batch.column(2).null_count < len(batch) or batch.column(3).null_count < len(batch):
-        runs = Runs(texts, window, prefix)
-        covered = _listed(runs, batch.column(2))
-        np.add.at(gone, runs.starts[covered], 1)
-        np.add.at(gone, runs.ends[covered] + window - 1, -1)
-        keys = window_hashes(runs.hashes, window).astype(np.int64)
-        sizes = runs.ends - runs.starts
-        at = np.repeat(runs.starts, sizes) + _counted(sizes)
-        at = at[_among(runs.owner[at], keys[at], *_flat(batch.column(3)))] if len(at) else at
-        np.add.at(gone, at, 1)
-        np.add.at(gone, at + window, -1)
-    removed = np.cumsum(gone)[:-1] > 0
-    sums = np.concatenate([[0], np.cumsum(removed)])
-    n_removed = sums[texts.first[1:]] - sums[texts.first[:-1]]
-    digests, texts_kept = [], []
-    for d, text in enumerate(batch.column(1).to_pylist()):
-        words = (text or "").encode().split()
-        if n_removed[d]:
-            left = removed[texts.first[d] : texts.first[d + 1]]
-            words = [w for w, r in zip(words, left.tolist(), strict=True) if not r]
-        kept = b" ".join(words)
-        digests.append(hashlib.sha256(kept).hexdigest())
-        texts_kept.append(kept.decode())
-    return pa.record_batch(
-        [batch.column(0), pa.array(texts.counts.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(digests, pa.string()), pa.array(texts_kept, pa.string())],
-        ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-    )
+            found: dict[str, list] = {c: [] for c in ("prefix", "large", "doc_id", "digest", "start", "words")}
+            for doc_id, digest, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = text.encode().split()
+                for r in runs:
+                    values = (r["prefix"], r["large"], doc_id, digest, r["start"], b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1]))
+                    for c, v in zip(found, values, strict=True):
+                        found[c].append(v)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(found.values(), kinds, strict=True)], list(found))
+
+    return docs.select("doc_id", "digest", "text", "runs").mapInArrow(run, "prefix long, large boolean, doc_id long, digest long, start int, words string")
+
+
+def suffix_ranks(words: np.ndarray, depth: int) -> np.ndarray:
+    """Equal numbers for equal ``depth`` words from a place on, for all places that have so many: ``words`` are numbers.
+
+    The length by which suffixes are sorted is doubled until two overlapping parts make ``depth``: a number is a node of the suffix
+    tree at that depth.
+    """
+    rank, size = words.astype(np.int64), 1
+    step = lambda rank, by: np.unique(rank[: len(rank) - by] * (rank.max() + 1) + rank[by:], return_inverse=True)[1].astype(np.int64)
+    while 2 * size <= depth:
+        rank, size = step(rank, size), 2 * size
+    return step(rank, depth - size) if size < depth else rank
+
+
+def _covered_in(batch: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, end) of the passages of ``batch`` that also stand in a smaller document of it."""
+    lists = pc.split_pattern(batch.column("words").combine_chunks(), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    words = pc.dictionary_encode(lists.flatten()).indices.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    node = suffix_ranks(words, window)
+    sizes = np.diff(offsets) - window + 1
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    node, doc = node[offsets[row] + at], batch.column("doc_id").to_numpy()[row]
+    order = np.lexsort((doc, node))
+    new = np.concatenate([[True], node[order][1:] != node[order][:-1]])
+    least = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    hit = np.sort(order[doc[order] > least])
+    if not len(hit):
+        return hit, hit, hit
+    # Windows of a row that follow each other or overlap are one passage.
+    fresh = np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (at[hit][1:] > at[hit][:-1] + window)])
+    low, high = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh)[1:], len(hit)) - 1
+    return row[hit[low]], at[hit[low]], at[hit[high]] + window
+
+
+def _subtrees(passages: DataFrame, window: int, most: int) -> DataFrame:
+    """(doc_id, digest, low, high): what is covered in the groups of ``passages``; rows of a prefix are worked on together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def covered(table: pa.Table) -> pa.RecordBatch:
+            row, low, high = _covered_in(table, window)
+            start = table.column("start").to_numpy()[row]
+            ids = [table.column(c).combine_chunks().take(pa.array(row)) for c in ("doc_id", "digest")]
+            return pa.record_batch([*ids, pa.array((start + low).astype(np.int32)), pa.array((start + high).astype(np.int32))], ["doc_id", "digest", "low", "high"])
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(map(len, held)) >= most:
+                table = pa.concat_tables(held).combine_chunks()
+                prefix = table.column("prefix").to_numpy()
+                cut = int(np.searchsorted(prefix, prefix[-1]))  # the last prefix may go on
+                if cut:
+                    yield covered(table.slice(0, cut))
+                held = [table.slice(cut)]
+        table = pa.concat_tables(held).combine_chunks() if held else None
+        if table is not None and len(table):
+            yield covered(table)
+        give_back()
+
+    rows = passages.select("prefix", "doc_id", "digest", "start", "words").repartition("prefix").sortWithinPartitions("prefix")
+    return rows.mapInArrow(run, "doc_id long, digest long, low int, high int")
+
+
+def _whole_windows(passages: DataFrame, window: int) -> DataFrame:
+    """(doc_id, digest, low, high): the covered windows of ``passages``, each compared with all others by its words' MD5."""
+    words = passages.select("doc_id", "digest", "start", F.split("words", " ").alias("w"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - window), lambda i: F.struct((F.col("start") + i).alias("low"), F.unhex(F.md5(F.array_join(F.slice("w", i + 1, F.lit(window)), " "))).alias("key")))
+    windows = written(words.select("doc_id", "digest", F.explode(windows).alias("x")).select("doc_id", "digest", "x.low", "x.key"), "windows")
+    least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").select("key", "least")
+    return windows.join(least, "key").where("doc_id > least").select("doc_id", "digest", "low", (F.col("low") + window).alias("high"))
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``docs`` (doc_id, text) joined to ``lists``, a written table; while its ids can be broadcast only the texts that have a list are moved."""
-    ids = lists.select(F.col("doc_id").alias("id"))
+    """``docs`` (doc_id, digest, text) joined to ``lists``, a written table; while its ids can be broadcast only the texts that have a list are moved."""
+    keys = ["doc_id", "digest"]
+    ids = lists.select(F.col("doc_id").alias("i"), F.col("digest").alias("g"))
     few = small_side(ids, BROADCAST_IDS)
     if few is ids:
-        return docs.join(lists, "doc_id", how)
-    some = docs.join(few, docs.doc_id == F.col("id"), "left_semi").join(lists.hint("merge"), "doc_id", how)
+        return docs.join(lists, keys, how)
+    listed = (docs.doc_id == F.col("i")) & (docs.digest == F.col("g"))
+    some = docs.join(few, listed, "left_semi").join(lists.hint("merge"), keys, how)
     if how == "inner":
         return some
-    none = docs.join(few, docs.doc_id == F.col("id"), "left_anti")
+    none = docs.join(few, listed, "left_anti")
     return some.unionByName(none, allowMissingColumns=True)
 
 
-def covered_lists(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(doc_id, spans, keys): runs and single windows of each document that also start in a document with a smaller id."""
+def covered_lists(docs: DataFrame, window: int, prefix: int, group: int = GROUP) -> DataFrame:
+    """(doc_id, digest, gone): the passages of each document of ``docs`` (doc_id, digest, text) whose windows also start in one with a smaller id."""
     runs = written(_runs(docs, window, prefix), "runs")
     shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
     shared = written(shared.select("prefix"), "prefixes")
-    mine = written(runs.join(shared, "prefix"), "shared")
+    mine = written(runs.join(small_side(shared, BROADCAST_IDS), "prefix"), "shared")
     forget(runs)
-    nodes = written(mine.groupBy("prefix", "span").agg(F.min("doc_id").alias("least")), "nodes")
-    mixed = written(nodes.groupBy("prefix").count().where("count > 1").select("prefix"), "mixed")
-    open_runs = nodes.join(mixed, "prefix").select(F.col("least").alias("doc_id"), "span")
-    opened = written(open_runs.groupBy("doc_id").agg(F.collect_set("span").alias("open")), "open")
-    texts = docs.select("doc_id", "text")
-    windows = written(_windows(_with_lists(texts, opened, "inner"), window, prefix), "windows")
-    least = windows.groupBy("prefix", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
-    least = written(least.select("prefix", "key", "least"), "least")
-    keys = windows.join(least, ["prefix", "key"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    spans = mine.join(nodes, ["prefix", "span"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    return written(spans.join(keys, "doc_id", "full_outer"), "covered")
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    node = ["prefix", "span", "span2"]
+    first = F.min(F.struct("doc_id", "digest", "start", "n")).alias("first")
+    nodes = written(mine.groupBy(*node).agg(first), "nodes")
+    sizes = nodes.groupBy("prefix").agg(F.count("*").alias("size"), F.min("first.doc_id").alias("low"), F.max("first.doc_id").alias("high")).where("low != high")
+    groups = written(sizes.select("prefix", (F.col("size") > group).alias("large")), "groups")
+    opened = nodes.join(small_side(groups, BROADCAST_IDS), "prefix").select("first.doc_id", "first.digest", F.struct("prefix", "large", "first.start", "first.n").alias("run"))
+    opened = written(opened.groupBy("doc_id", "digest").agg(F.collect_list("run").alias("runs")), "open")
+    texts = _with_lists(docs, opened, "inner")
+    if not mine.groupBy("doc_id", "digest", "start").count().where("count > 1").isEmpty():  # repeated rows
+        texts = texts.dropDuplicates(["doc_id", "digest"])
+    passages = written(_passages(texts, window), "passages")
+    found = _subtrees(passages.where("not large"), window, BATCH).union(_whole_windows(passages.where("large"), window))
+    others = mine.join(nodes, node).where(F.col("doc_id") > F.col("first.doc_id"))
+    found = found.union(others.select("doc_id", "digest", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high")))
+    out = written(found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("low", "high")).alias("gone")), "covered")
+    for table in (shared, mine, nodes, groups, opened, passages):
+        forget(table)
+    return out
+
+
+def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The result of a piece of (doc_id, text, gone)."""
+    counts, removed, digests, left = [], [], [], []
+    for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        words = (text or "").encode().split()
+        counts.append(len(words))
+        if gone:
+            kept, at = [], 0
+            for low, high in sorted((g["low"], g["high"]) for g in gone):
+                kept += words[at:low]
+                at = max(at, high)
+            words = kept + words[at:]
+        removed.append(counts[-1] - len(words))
+        joined = b" ".join(words)
+        digests.append(hashlib.sha256(joined).hexdigest())
+        left.append(joined.decode())
+    columns = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())]
+    return pa.record_batch([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of ``docs`` (doc_id long, text).
 
     A word is removed if one of the windows of ``window`` words over it also starts in a document with a smaller id; windows are
-    those of the input. kept_text are the words left, joined by one blank. Runs and windows are compared by two 64-bit hashes.
+    those of the input. kept_text are the words left, joined by one blank.
 
     Null texts have no words. A row with a null id neither loses words nor counts as another document. Rows of one id are one
     document for the comparison and come out each. Texts of under ``window`` words keep all; no rows give no rows; other columns
-    are not read. Memory is that of a piece of 1 MB of text, or of one longer text.
+    are not read. Memory is that of a piece of 1 MB of text, of one longer text, or of BATCH runs.
     """
-    lists = covered_lists(docs, window, prefix)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+    lists = covered_lists(rows, window, prefix, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield _kept(batch, window, prefix)
+            yield _kept(batch)
 
-    joined = _with_lists(docs.select("doc_id", "text"), lists, "left").select("doc_id", "text", "spans", "keys")
+    joined = _with_lists(rows, lists, "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
