@@ -344,6 +344,26 @@ def test_substrings_by_shuffle(docs, monkeypatch):
     assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=str) == want
 
 
+def test_large_groups_are_split(docs, monkeypatch):
+    """Groups of any size give the same, in a task with few runs at once and in whole windows."""
+    want = sorted(map(tuple, substrings.remove_repeats(docs, 12, 5).collect()), key=str)
+    assert sum(r[2] for r in want) > 500
+    monkeypatch.setattr(substrings, "BATCH", 3)
+    assert sorted(map(tuple, substrings.remove_repeats(docs, 12, 5, group=2).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 8, 13])
+def test_suffix_ranks(depth):
+    import numpy as np
+
+    words = np.random.default_rng(depth).integers(0, 2, 300)
+    rank = substrings.suffix_ranks(words, depth)
+    of = {}
+    for i, r in enumerate(rank.tolist()):
+        assert of.setdefault(tuple(words[i : i + depth]), r) == r
+    assert len(rank) == 300 - depth + 1 and len(set(of.values())) == len(of)
+
+
 def plain_fingerprint(text, n=3):
     words = [w.encode() for w in words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
     if not words:
