@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -63,10 +63,17 @@ def dedot(text: Column, words: Sequence[str] = DOT_WORDS) -> Column:
     return F.regexp_replace(spelled, "[\\p{P}\\p{S}]+", ".")
 
 
+def may_have_domain(text: Column, endings: Sequence[str], words: Sequence[str]) -> Column:
+    """A quick test that every text with a domain passes: a dot, a sign or a word for one, then any ending, with blanks among its letters."""
+    spread = "|".join("\\s*".join(e) for e in endings)
+    return text.rlike(f"(?iU)(?:[\\p{{P}}\\p{{S}}]|{'|'.join(words)})\\s*(?:{spread})")
+
+
 def find_domains(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed: Sequence[str] = (), words: Sequence[str] = DOT_WORDS) -> Column:
     """array<string> of domains: a label, a dot, and an ending whose letters may be spread by blanks; the shortest ending wins."""
+    none = F.array().cast("array<string>")
     if not endings:
-        return F.array().cast("array<string>")
+        return none
     known = F.array(*map(F.lit, endings))
 
     def domain(parts: Column, i: Column) -> Column:
@@ -82,7 +89,12 @@ def find_domains(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed
         return F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: domain(parts, i)))
 
     found = bind(F.split(dedot(text, words), "\\."), all_of)
-    return F.filter(found, lambda d: ~d.isin(list(allowed))) if allowed else found
+    found = F.filter(found, lambda d: ~d.isin(list(allowed))) if allowed else found
+    return F.when(may_have_domain(text, endings, words), found).otherwise(none)
+
+
+def first_domain(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed: Sequence[str] = (), words: Sequence[str] = DOT_WORDS) -> Column:
+    return F.get(find_domains(text, endings, allowed, words), 0)
 
 
 def digit_limit(text: Column, limit: int) -> Column:
@@ -118,7 +130,63 @@ def book_limits(pages: Column, max_pages: int = 30, max_total: int = 8000, max_p
 
 
 #: Reasons in order of rules; the first that holds is the verdict's.
-REASONS = ("spam.chars", "spam.flood", "spam.ip", "spam.ip-split", "spam.domain", "spam.digits", "spam.repeat")
+REASONS = ("spam.chars", "spam.injection", "spam.flood", "spam.ip", "spam.ip-split", "spam.domain", "spam.digits", "spam.repeat")
+#: Rules that a user may be exempt from, each by the permission of this name.
+EXEMPTIONS = ("spam", "injection", "ip", "ip.split", "digits", "repeat", "caps", "symbol.all", "chat", "sign", "book", "anvil", "command")
+
+#: A rule is a function (text column, config) -> column of what it found, null for nothing.
+Rule = Callable[[Column, RuleConfig], Column]
+
+
+def _marked(test: Column, what: str) -> Column:
+    return F.when(test, F.lit(what))
+
+
+#: Rules on the text alone, by reason, in order. ``register_rule`` adds one.
+RULES: dict[str, Rule] = {
+    "spam.ip": lambda t, cfg: find_ipv4(t),
+    "spam.domain": lambda t, cfg: F.coalesce(find_blacklisted(t, cfg.blacklist), first_domain(t, cfg.endings, cfg.allowed_domains, cfg.dot_words)),
+    "spam.digits": lambda t, cfg: _marked(digit_limit(t, cfg.digits), "digits"),
+    "spam.repeat": lambda t, cfg: _marked(char_run(t, cfg.char_run) | word_run(t, cfg.word_run), "run"),
+}
+#: The permission that a rule's exemption goes by.
+EXEMPT_BY = {"spam.ip": "ip", "spam.ip-split": "ip.split", "spam.digits": "digits", "spam.injection": "injection"}
+
+
+def register_rule(reason: str, rule: Rule, exempt_by: str | None = None, before: str | None = None) -> None:
+    """Add a rule to all chains that are built from now on, before another reason or at the end; the same reason again replaces it."""
+    global REASONS
+    RULES[reason] = rule
+    if exempt_by:
+        EXEMPT_BY[reason] = exempt_by
+    rest = tuple(r for r in REASONS if r != reason)
+    at = rest.index(before) if before else len(rest)
+    REASONS = (*rest[:at], reason, *rest[at:])
+
+
+def is_exempt(exempt: Column | None, name: str) -> Column:
+    return F.lit(False) if exempt is None else F.coalesce(F.array_contains(exempt, name), F.lit(False))
+
+
+def rule_hits(df: DataFrame, cfg: RuleConfig, text: str, exempt: Column | None = None) -> DataFrame:
+    """``df`` with hits, a struct of what each of RULES found in ``text``, by its reason."""
+    t = F.col(text)
+    free = lambda r: is_exempt(exempt, EXEMPT_BY[r]) if exempt is not None and r in EXEMPT_BY else F.lit(False)
+    return df.withColumn("hits", F.struct(*(F.when(~free(r), rule(t, cfg)).alias(r) for r, rule in RULES.items())))
+
+
+def first_reason(tests: dict[str, Column]) -> Column:
+    """The first of REASONS whose test holds."""
+    verdict = F.when(F.lit(False), "")
+    for reason in REASONS:
+        if reason in tests:
+            verdict = verdict.when(tests[reason], reason)
+    return verdict
+
+
+def detected_by(reason: Column) -> Column:
+    """What the rule of ``reason`` found, for addresses and domains."""
+    return F.when(reason == "spam.ip", F.col("hits.`spam.ip`")).when(reason == "spam.domain", F.col("hits.`spam.domain`"))
 
 
 def spam_chain(df: DataFrame, cfg: RuleConfig = RuleConfig(), text: str = "text", stateful: dict[str, str] | None = None) -> DataFrame:
@@ -128,29 +196,18 @@ def spam_chain(df: DataFrame, cfg: RuleConfig = RuleConfig(), text: str = "text"
     state, by reason, that take their places in the order. Capitals are lowered in chat texts that nothing blocks.
     """
     t = F.col(text)
-    state = {r: F.coalesce(F.col(c), F.lit(False)) for r, c in (stateful or {}).items()}
-    ip, domains, listed = find_ipv4(t), find_domains(t, cfg.endings, cfg.allowed_domains, cfg.dot_words), find_blacklisted(t, cfg.blacklist)
-    flagged = df.select("*", ip.alias("_ip"), F.get(domains, 0).alias("_domain"), listed.alias("_listed"))
-    tests = {
-        "spam.chars": F.length(t) > cfg.max_chars, "spam.ip": F.col("_ip").isNotNull(),
-        "spam.domain": F.coalesce(F.col("_listed"), F.col("_domain")).isNotNull(), "spam.digits": digit_limit(t, cfg.digits),
-        "spam.repeat": char_run(t, cfg.char_run) | word_run(t, cfg.word_run),
-    }
-    verdict = None
-    for reason in REASONS:
-        test = tests.get(reason)
-        if reason in state:
-            test = state[reason] if test is None else test | state[reason]
-        if test is not None:
-            verdict = F.when(test, reason) if verdict is None else verdict.when(test, reason)
-    out = flagged.withColumn("reason", verdict)
+    flagged = rule_hits(df, cfg, text)
+    tests = {"spam.chars": F.length(t) > cfg.max_chars} | {r: F.col(f"hits.`{r}`").isNotNull() for r in RULES}
+    for reason, c in (stateful or {}).items():
+        own = F.coalesce(F.col(c), F.lit(False))
+        tests[reason] = tests[reason] | own if reason in tests else own
+    out = flagged.withColumn("reason", first_reason(tests))
     blocked = F.col("reason").isNotNull()
-    detected = F.when(F.col("reason") == "spam.ip", F.col("_ip")).when(F.col("reason") == "spam.domain", F.coalesce("_listed", "_domain"))
     chat = (F.col("source") == "chat") if "source" in df.columns else F.lit(True)
     lowered = F.when(~blocked & chat, caps_limit(t, cfg.caps)).otherwise(t)
     return (
-        out.withColumn("blocked", blocked).withColumn("detected", detected).withColumn("final_text", lowered)
-        .withColumn("modified", F.col("final_text") != t).drop("_ip", "_domain", "_listed")
+        out.withColumn("blocked", blocked).withColumn("detected", detected_by(F.col("reason"))).withColumn("final_text", lowered)
+        .withColumn("modified", F.col("final_text") != t).drop("hits")
     )
 
 

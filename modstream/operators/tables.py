@@ -68,18 +68,23 @@ def enforce_mutes(messages: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def flat_permissions(grants: DataFrame, parents: DataFrame) -> DataFrame:
-    """(user_id, permissions): grants and all that they include, by (permission, includes) of ``parents``."""
-    spark = grants.sparkSession
-    grants.createOrReplaceTempView("_grants")
-    parents.createOrReplaceTempView("_parents")
-    flat = spark.sql(
-        """WITH RECURSIVE flat(user_id, permission, depth) AS (
-             SELECT user_id, permission, 0 FROM _grants
-             UNION ALL
-             SELECT f.user_id, p.includes, f.depth + 1 FROM flat f JOIN _parents p ON f.permission = p.permission WHERE f.depth < 16)
-           SELECT user_id, array_sort(collect_set(permission)) AS permissions FROM flat GROUP BY user_id"""
-    )
-    return flat
+    """(user_id, permissions): grants and all that they include, by (permission, includes) of ``parents``.
+
+    The closure of ``parents`` is made first, as it is small beside the grants: paths are joined to themselves until no pair is new, so
+    depth d takes log d rounds, and circles end. A round is cached; what is lost of it is computed again.
+    """
+    closure = parents.select("permission", "includes").where("permission is not null and includes is not null").distinct()
+    n = closure.count()
+    while n:
+        a, b = closure.alias("a"), closure.alias("b")
+        step = a.join(b, F.col("a.includes") == F.col("b.permission")).select("a.permission", "b.includes")
+        closure = closure.union(step).distinct().cache()
+        before, n = n, closure.count()
+        if n == before:
+            break
+    own = grants.select("user_id", "permission")
+    more = own.join(closure, "permission").select("user_id", F.col("includes").alias("permission"))
+    return own.union(more).groupBy("user_id").agg(F.array_sort(F.collect_set("permission")).alias("permissions"))
 
 
 def exempt(df: DataFrame, permissions: DataFrame, permission: str) -> DataFrame:
@@ -88,6 +93,15 @@ def exempt(df: DataFrame, permissions: DataFrame, permission: str) -> DataFrame:
     return df.join(holders, F.col("user_id") == F.col("_holder"), "left").withColumn("exempt", F.col("_holder").isNotNull()).drop("_holder")
 
 
+def exemptions(df: DataFrame, permissions: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``df`` with exempt_from: those of ``names`` that the user holds in ``permissions`` (user_id, permissions)."""
+    known = F.array(*map(F.lit, names))
+    held = permissions.select(F.col("user_id").alias("_holder"), F.explode(F.array_intersect("permissions", known)).alias("p"))
+    held = held.groupBy("_holder").agg(F.array_sort(F.collect_set("p")).alias("exempt_from"))
+    out = df.join(held, F.col("user_id") == F.col("_holder"), "left").drop("_holder")
+    return out.withColumn("exempt_from", F.coalesce("exempt_from", F.array().cast("array<string>")))
+
+
 def login_snapshot(players: DataFrame, muted: DataFrame, now: Column) -> DataFrame:
     active = muted.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select(F.col("player_id").alias("id"), "scope", "expires_at", F.col("reason").alias("mute_reason"))
     return players.join(active, "id", "left")

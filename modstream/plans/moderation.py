@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modstream.functions.text import sanitize_message, sanitized, strip_tags
 from modstream.operators.lexicon import filter_texts
-from modstream.operators.rules import RuleConfig, spam_chain
-from modstream.operators.tables import enforce_mutes, exempt
+from modstream.operators.rules import EXEMPTIONS, RULES, RuleConfig, caps_limit, detected_by, first_reason, is_exempt, rule_hits
+from modstream.operators.tables import enforce_mutes, exemptions
 from modstream.sources.io import enabled_sources
-from modstream.streaming.state import user_rules
+from modstream.streaming.state import FLAGS, UserState, folded
 
 #: Which check comes first: books and renamed items are checked for spam before the term lists, the others after.
 SPAM_FIRST = ("book", "anvil")
 
 CATEGORIES = {
     "spam.flood": "Anti-Flood", "spam.ip": "Anti-Ip", "spam.ip-split": "IP Split", "spam.domain": "Anti-Domain", "spam.digits": "Digits",
-    "spam.repeat": "Repeat", "spam.chars": "Chars", "spam.injection": "Injection", "Evasion": "Evasion", "Zalgo/Unicode": "Text usage (Zalgo/Unicode)",
+    "spam.repeat": "Repeat", "spam.chars": "Chars", "spam.injection": "Injection", "Evasion": "Evasion", "Evasion/Hidden Characters": "Evasion", "Zalgo/Unicode": "Text usage (Zalgo/Unicode)",
 }
 
 
@@ -29,42 +31,85 @@ def category(reason):
     return out
 
 
+#: Rules with state, by reason: their flag.
+STATEFUL = {"spam.flood": "flood", "spam.ip-split": "split_ip", "spam.repeat": "repeat"}
+
+
+def _user_flags(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """``rows`` with the flags of the rules with state, folded in the order of (ts, msg_id) of each user."""
+
+    def make():
+        judge = UserState(cfg).judge
+
+        def step(reaches: bool, source: str, text: str, at: float, ip: bool, other: bool, split_off: bool, repeat_off: bool) -> tuple[bool, bool, bool]:
+            return judge(source, text, at, ip, other, split_off, repeat_off) if reaches else (False, False, False)
+
+        return step
+
+    return folded(rows, "user_id", make, ("reaches", "source", "clean", "at", "ip", "other", "split_off", "repeat_off"), FLAGS)
+
+
 def moderate(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = RuleConfig(), mutes: DataFrame | None = None, permissions: DataFrame | None = None, stateful: bool = True) -> DataFrame:
-    """(msg_id, user_id, source, blocked, reason, category, detected, text, masked) of ``messages``.
+    """(msg_id, user_id, source, blocked, reason, category, detected, text, masked) of ``messages``; one pass, one shuffle by user.
 
-    Muted users' messages are blocked, exempt users' pass; neither reaches a rule. Of the rest, what the term lists block doesn't
-    reach the rules with state (in books and on items spam rules come first in the verdict). Those run in one shuffle by user.
-    Commands skip the term lists but for command terms.
+    A muted user's message is blocked; one who holds the permission of the source passes (with that of commands only the term lists);
+    neither reaches a rule. The term lists come first, but last in books and on items. What they block goes no further, in chat
+    also what hides its words from the mask; what they mask goes on masked. Commands meet only command terms. The spam rules take the
+    text as it is sent for its length, then without invisible characters; markup and placeholders that aren't safe block it, or are
+    rewritten for all that follows; then come flood, address, split address, domain, digits, runs and near repeats, on the text without
+    tags. A message that a rule stops doesn't reach the state of the next ones. In chat many capitals are lowered. A user's
+    ``permissions`` (see EXEMPTIONS) switch single rules off. masked is the text to be shown, null if blocked.
     """
-    rows = enabled_sources(messages, cfg)
+    rows = enabled_sources(messages.select("msg_id", "user_id", "ts", "source", "text"), cfg)
     rows = rows.withColumn("muted", F.lit(False)) if mutes is None else enforce_mutes(rows, mutes)
-    rows = rows.withColumn("exempt", F.lit(False)) if permissions is None else exempt(rows, permissions, "chat")
-    checked = rows.where("not muted and not exempt")
-    found = filter_texts(checked.withColumn("text", F.coalesce("text", F.lit(""))), lexicon, cfg)
-    is_command = F.col("source") == "command"
-    found = found.withColumn("filter_blocked", F.col("filter_blocked") & (~is_command | (F.col("filter_reason") == "WriteCommand")))
-    clean = strip_tags(sanitize_message(F.col("text")))
-    hit = ~sanitized(F.col("text")).eqNullSafe(F.col("text"))
-    spam = found.withColumns({"injected": hit & F.lit(not cfg.replacement), "raw": F.col("text"), "text": clean})
-    if stateful:
-        reaching = spam.where(~F.col("filter_blocked") | F.col("source").isin(list(SPAM_FIRST)))
-        flags = user_rules(reaching.select("msg_id", "user_id", "ts", "source", "text"), cfg).drop("user_id")
-        spam = spam.join(flags, "msg_id", "left")
-        names = {"spam.flood": "flood", "spam.ip-split": "split_ip", "spam.repeat": "repeat"}
-    else:
-        names = {}
-    ruled = spam_chain(spam, cfg, stateful=names)
-    by_spam = F.coalesce("reason", F.when(F.col("injected"), "spam.injection"))
-    by_filter = F.when(F.col("filter_blocked"), F.col("filter_reason"))
-    first = F.when(F.col("source").isin(list(SPAM_FIRST)), F.coalesce(by_spam, by_filter)).otherwise(F.coalesce(by_filter, by_spam))
-    text = F.when(F.col("modified"), F.lower("masked_text")).otherwise(F.col("masked_text"))
-    verdicts = ruled.select(
-        "msg_id", "user_id", "source", first.isNotNull().alias("blocked"), first.alias("reason"), category(first).alias("category"),
-        F.when(by_filter.isNotNull(), F.col("detected_word")).otherwise(F.col("detected")).alias("detected"), F.col("raw").alias("text"),
-        F.when(first.isNull(), text).alias("masked"),
+    rows = rows.withColumn("exempt_from", F.array().cast("array<string>")) if permissions is None else exemptions(rows, permissions, EXEMPTIONS)
+    free: Callable[[str], Column] = lambda name: is_exempt(F.col("exempt_from") if permissions is not None else None, name)
+    source, chat, command, spam_first = F.col("source"), F.col("source") == "chat", F.col("source") == "command", F.col("source").isin(list(SPAM_FIRST))
+    own = F.coalesce(F.array_contains("exempt_from", source), F.lit(False)) if permissions is not None else F.lit(False)
+    passes = F.col("muted") | (own & ~command)
+    raw = F.coalesce("text", F.lit(""))
+    rows = rows.withColumns({"passes": passes, "no_terms": own & command, "sent": raw, "text": F.when(passes, "").otherwise(raw), "shown": F.col("text")})
+
+    found = filter_texts(rows, lexicon, cfg, charset=~free("symbol.all"))
+    hidden = chat & F.col("hidden") & F.lit(cfg.replacement) & ~F.col("filter_blocked")
+    stops = (F.col("filter_blocked") & (~command | (F.col("filter_reason") == "WriteCommand")) | hidden) & ~F.col("no_terms")
+    reason = F.when(hidden, "Evasion/Hidden Characters").otherwise(F.col("filter_reason"))
+    checked = F.when(~command, F.col("masked_text")).otherwise(F.col("text"))
+    found = found.select(
+        "msg_id", "user_id", "ts", "source", "muted", "passes", "exempt_from", "shown", F.when(spam_first, F.col("text")).otherwise(checked).alias("checked"), checked.alias("masked_text"),
+        F.when(stops, reason).alias("by_terms"), F.when(stops, F.col("detected_word")).alias("term"),
     )
-    passed = rows.where("muted or exempt").select(
-        "msg_id", "user_id", "source", F.col("muted").alias("blocked"), F.when(F.col("muted"), "muted").alias("reason"), F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast("string").alias("detected"), "text", F.when(~F.col("muted"), F.col("text")).alias("masked"),
+    found = found.withColumn("reaches", ~F.col("passes") & (F.col("by_terms").isNull() | spam_first) & ~free("spam"))
+    found = found.withColumn("message", sanitize_message(F.col("checked"))).withColumn("safe", F.when(free("injection"), F.col("message")).otherwise(sanitized(F.col("message"))))
+    unsafe = F.col("safe") != F.col("message")
+    found = found.withColumns({
+        "too_long": F.length("checked") > cfg.max_chars, "injected": unsafe & F.lit(not cfg.replacement), "rewritten": unsafe & F.lit(cfg.replacement),
+        "final": F.when(unsafe & F.lit(cfg.replacement), F.col("safe")).otherwise(F.col("message")),
+    })
+    found = found.withColumn("clean", strip_tags(F.col("final")))
+    found = found.withColumn("reaches", F.col("reaches") & ~F.col("too_long") & ~F.col("injected")).withColumn("spam_off", F.col("passes") | free("spam"))
+    ruled = rule_hits(found, cfg, "clean", F.col("exempt_from") if permissions is not None else None)
+    hit = lambda r: F.col(f"hits.`{r}`").isNotNull()
+    tests = {"spam.chars": F.col("too_long"), "spam.injection": F.col("injected")} | {r: hit(r) for r in RULES}
+    if stateful:
+        other = F.lit(False)
+        for r in RULES:
+            other = other | hit(r) if r != "spam.ip" else other
+        ruled = ruled.select(
+            "msg_id", "user_id", "source", "muted", "passes", "exempt_from", "shown", "masked_text", "by_terms", "term", "spam_off", "reaches", "too_long", "injected", "rewritten", "final", "clean", "hits",
+            (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), hit("spam.ip").alias("ip"), other.alias("other"), free("ip.split").alias("split_off"), free("repeat").alias("repeat_off"),
+        )
+        ruled = _user_flags(ruled, cfg)
+        tests |= {r: tests[r] | F.col(flag) if r in tests else F.col(flag) for r, flag in STATEFUL.items()}
+    ruled = ruled.withColumn("by_spam", F.when(~F.col("spam_off") & (F.col("by_terms").isNull() | spam_first), first_reason(tests)))
+    first = F.when(F.col("muted"), "muted").when(spam_first, F.coalesce("by_spam", "by_terms")).otherwise(F.coalesce("by_terms", "by_spam"))
+    ruled = ruled.withColumn("reason", first)
+    lowered = F.when(chat & ~free("caps"), caps_limit(F.col("final"), cfg.caps)).otherwise(F.col("final"))
+    modified = ~F.col("spam_off") & (F.col("rewritten") | (lowered != F.col("final")))
+    # What the terms mask in books and on items comes after the spam rules, which leave such texts as they are or block them.
+    shown = F.when(F.col("passes"), F.col("shown")).when(modified & ~spam_first, lowered).otherwise(F.col("masked_text"))
+    by = F.col("reason")
+    return ruled.select(
+        "msg_id", "user_id", "source", by.isNotNull().alias("blocked"), by.alias("reason"), category(by).alias("category"),
+        F.when(by == F.col("by_terms"), F.col("term")).otherwise(detected_by(F.col("by_spam"))).alias("detected"), F.col("shown").alias("text"), F.when(by.isNull(), shown).alias("masked"),
     )
-    return verdicts.unionByName(passed)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,8 @@ FRAGMENT, JOINED = 50, 300
 SPLIT_IP = re.compile(rf"(?<![0-9])({OCTET}(?:[^0-9]+{OCTET}){{3}})(?![0-9])")
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a whole column of the table at a time as bits of a number (Myers)."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, a whole column of the table at a time as bits of a number (Myers); if it is above ``most``, anything above."""
     if not a:
         return len(b)
     at: dict[str, int] = {}
@@ -32,7 +33,11 @@ def edit_distance(a: str, b: str) -> int:
         at[char] = at.get(char, 0) | 1 << i
     every, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, distance = every, 0, len(a)
-    for char in b:
+    # A column more lowers the distance by one at most.
+    least = len(a) + len(b) if most is None else most + len(b)
+    for j, char in enumerate(b):
+        if distance > least - j:
+            return distance
         same = at.get(char, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
         right, left = down | ~(diagonal | up), up & diagonal
@@ -42,12 +47,15 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def similarity(a: str, b: str) -> float:
+def similarity(a: str, b: str, least: float = 0.0) -> float:
+    """Percent of the longer text that no edit touches; if it is below ``least``, anything below."""
     a, b = a.lower(), b.lower()
     if a == b:
         return 100.0
     longer = max(len(a), len(b))
-    return 0.0 if abs(len(a) - len(b)) > 0.4 * longer else (longer - edit_distance(a, b)) / longer * 100
+    if abs(len(a) - len(b)) > 0.4 * longer:
+        return 0.0
+    return (longer - edit_distance(a, b, int(longer * (100 - least) / 100) + 1)) / longer * 100
 
 
 class UserState:
@@ -74,7 +82,7 @@ class UserState:
         text, cfg, kept = text.strip(), self.cfg, self.state["repeats"]
         if len(text) < 2:
             return False
-        at = next((i for i, r in enumerate(kept) if similarity(text, r["text"]) >= cfg.repeat_similarity), None)
+        at = next((i for i, r in enumerate(kept) if similarity(text, r["text"], cfg.repeat_similarity) >= cfg.repeat_similarity), None)
         if at is None:
             kept.insert(0, {"text": text, "n": 1, "until": 0.0, "seen": now})
             del kept[HISTORY:]
@@ -115,23 +123,29 @@ class UserState:
         kept.clear()
         return True
 
-    def verdict(self, row: dict) -> dict:
-        """Flags of one message, in order: a message that a rule stops doesn't reach the next ones. Texts beyond the
-        length limit are stopped before any rule. A control row ends the session."""
-        out = {"flood": False, "split_ip": False, "repeat": False}
-        if row.get("source") == "end_session":
+    def judge(self, source: str, text: str | None, now: float, ip: bool = False, other: bool = False, split_off: bool = False, repeat_off: bool = False) -> tuple[bool, bool, bool]:
+        """Flood, split address and near repeat of one message, in order: a message that a rule stops doesn't reach the next ones.
+
+        ``ip`` says that the rule on addresses stops it after the flood rule, ``other`` that one of domains, digits or runs does before
+        near repeats. Texts beyond the length limit are stopped before any rule. A control row ends the session.
+        """
+        if source == "end_session":
             self.state = UserState(self.cfg).state
-            return out
-        traffic, text, now = row["source"] == "chat", row["text"] or "", row["at"]
+            return False, False, False
+        traffic, text = source == "chat", text or ""
         if len(text) > self.cfg.max_chars:
-            return out
+            return False, False, False
         if traffic and self.flood(now):
-            return out | {"flood": True}
-        if self.split_address(text):
-            return out | {"split_ip": True}
-        if traffic and self.repeat(text, now):
-            return out | {"repeat": True}
-        return out
+            return True, False, False
+        if ip:
+            return False, False, False
+        if not split_off and self.split_address(text):
+            return False, True, False
+        return False, False, traffic and not other and not repeat_off and self.repeat(text, now)
+
+    def verdict(self, row: dict) -> dict:
+        """``judge`` of a row (source, text, at)."""
+        return dict(zip(FLAGS, self.judge(row["source"], row["text"], row["at"]), strict=True))
 
 
 FLAGS = ("flood", "split_ip", "repeat")
@@ -141,27 +155,34 @@ def _seconds(ts: str = "ts"):
     return (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("at")
 
 
-def _folded(rows: DataFrame, key: str, make, schema: str) -> DataFrame:
-    """``rows`` sorted by (key, at, msg_id) within partitions of ``key``, folded: ``make()`` gives a function of a row for each new key."""
+def folded(rows: DataFrame, key: str, make: Callable[[], Callable], inputs: Sequence[str], flags: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+    """``rows`` with ``flags``: a fold in order of (at, msg_id) for each ``key``, in one shuffle by it.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``make()`` gives a function of the ``inputs`` for each new key, that returns the flags of a row or, where there is one, the flag.
+    """
+    keep = list(keep or rows.columns)
+    one = len(flags) == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, step = object(), None
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                if row[key] != current:
-                    current, step = row[key], make()
-                out.append(step(row))
-            yield pd.concat([frame[[key, "msg_id"]].reset_index(drop=True), pd.DataFrame(out)], axis=1)
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            found = []
+            for k, *values in zip(column(key).to_pylist(), *(column(c).to_pylist() for c in inputs), strict=True):
+                if k != current:
+                    current, step = k, make()
+                found.append(step(*values))
+            more = [found] if one else zip(*found, strict=True) if found else [[] for _ in flags]
+            yield pa.record_batch([column(c) for c in keep] + [pa.array(x, pa.bool_()) for x in more], [*keep, *flags])
 
-    sorted_rows = rows.repartition(key).sortWithinPartitions(key, "at", "msg_id")
-    return sorted_rows.mapInPandas(run, schema)
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(f, T.BooleanType()) for f in flags])
+    return rows.repartition(key).sortWithinPartitions(key, "at", "msg_id").mapInArrow(run, schema)
 
 
 def user_rules(messages: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """(user_id, msg_id, flood, split_ip, repeat) of ``messages`` (msg_id, user_id, ts, source, text), in order of (ts, msg_id)."""
     rows = messages.select("user_id", "msg_id", _seconds(), "source", "text")
-    return _folded(rows, "user_id", lambda: UserState(cfg).verdict, "user_id long, msg_id long, flood boolean, split_ip boolean, repeat boolean")
+    return folded(rows, "user_id", lambda: UserState(cfg).judge, ("source", "text", "at"), FLAGS, ("user_id", "msg_id"))
 
 
 def token_bucket(events: DataFrame, capacity: float, seconds: float) -> DataFrame:
@@ -169,26 +190,37 @@ def token_bucket(events: DataFrame, capacity: float, seconds: float) -> DataFram
 
     def make():
         state = UserState(RuleConfig(flood_messages=capacity, flood_seconds=seconds))
-        return lambda row: {"allowed": not state.flood(row["at"])}
+        return lambda at: not state.flood(at)
 
-    return _folded(events.select("user_id", "msg_id", _seconds()), "user_id", make, "user_id long, msg_id long, allowed boolean")
+    return folded(events.select("user_id", "msg_id", _seconds()), "user_id", make, ("at",), ("allowed",), ("user_id", "msg_id"))
 
 
 def throttle(events: DataFrame, seconds: float) -> DataFrame:
     """(user_id, msg_id, allowed): accepted if at least ``seconds`` after the last accepted one of the user."""
 
     def make():
-        last = [None]
+        last = None
 
-        def step(row: dict) -> dict:
-            if last[0] is None or row["at"] - last[0] >= seconds:
-                last[0] = row["at"]
-                return {"allowed": True}
-            return {"allowed": False}
+        def step(at: float) -> bool:
+            nonlocal last
+            if last is None or at - last >= seconds:
+                last = at
+                return True
+            return False
 
         return step
 
-    return _folded(events.select("user_id", "msg_id", _seconds()), "user_id", make, "user_id long, msg_id long, allowed boolean")
+    return folded(events.select("user_id", "msg_id", _seconds()), "user_id", make, ("at",), ("allowed",), ("user_id", "msg_id"))
+
+
+def auto_sanctions(denied: DataFrame, duration: str = "15m", reason: str = "Anti-Flood Auto Mute", kind: str = "AUTO", suppress: float = 10.0) -> DataFrame:
+    """Sanctions (player_id, kind, duration, reason, moderator, created_at) for ``denied`` (msg_id, user_id, ts): a user gets one at most in ``suppress`` seconds."""
+    allowed = throttle(denied, suppress).where("allowed").select("msg_id")
+    rows = denied.join(allowed, "msg_id", "left_semi")
+    return rows.select(
+        F.col("user_id").alias("player_id"), F.lit(kind).alias("kind"), F.lit(duration).alias("duration"), F.lit(reason).alias("reason"), F.lit("System").alias("moderator"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+    )
 
 
 def rate_cap(events: DataFrame, seconds: int, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modstream.operators import tables as T
+from modstream.operators.rules import RuleConfig
 from modstream.plans.moderation import moderate
 from modstream.sources import io, schemas
 
@@ -61,6 +62,83 @@ def test_moderate(spark, stateful):
     mutes = spark.createDataFrame([(4, "CHAT", at(0), None)], "player_id long, scope string, valid_from timestamp, valid_to timestamp")
     permissions = spark.createDataFrame([(5, ["chat"])], "user_id long, permissions array<string>")
     got = {r.msg_id: (r.blocked, r.reason, r.masked) for r in moderate(messages, lexicon, mutes=mutes, permissions=permissions, stateful=stateful).collect()}
-    assert got[1] == (False, None, "hola ****") and got[2][:2] == (True, "spam.ip") and got[3][:2] == (True, "spam.domain")
+    assert got[1] == (True, "Evasion/Hidden Characters", None) and got[2][:2] == (True, "spam.ip") and got[3][:2] == (True, "spam.domain")
     assert got[4][0] is False and got[5] == (False, None, "fine") and got[6] == (True, "muted", None) and got[7] == (False, None, "1.2.3.4")
     assert len(got) == 8
+
+
+def moderated(spark, rows, words=("vaca", "arm"), **how):
+    messages = spark.createDataFrame([(i, u, at(s), source, t) for i, (u, s, source, t) in enumerate(rows)], "msg_id long, user_id long, ts timestamp, source string, text string")
+    lexicon = spark.createDataFrame([(w, "NORMAL") for w in words], "word string, mode string")
+    return {r.msg_id: r for r in moderate(messages, lexicon, **how).collect()}
+
+
+def test_order_of_rules(spark):
+    """Injection comes before all rules but the length of the text as sent; rules see what was rewritten and masked."""
+    long = "<click:x>" * 150  # 1350 characters as sent, none without tags
+    rows = [(1, 0, "chat", "<click:run>1.2.3.4"), (1, 10, "chat", long), (2, 20, "chat", "<click:run>hi arm 100%"), (3, 30, "chat", "an ARM 1.2.3.4"), (3, 40, "sign", "arm " + "!" * 6), (4, 50, "book", "arm 1.2.3.4"), (4, 60, "book", "arm")]
+    got = moderated(spark, rows)
+    assert [(got[i].reason, got[i].masked) for i in (0, 1)] == [("spam.ip", None), ("spam.chars", None)]
+    assert (got[2].reason, got[2].masked) == (None, "hi **** 100%\u00a0")
+    assert (got[3].reason, got[3].detected) == ("spam.ip", "1.2.3.4") and got[4].reason == "spam.repeat"
+    assert (got[5].reason, got[6].reason, got[6].masked) == ("spam.ip", None, "****")
+    got = moderated(spark, rows, cfg=RuleConfig(replacement=False))
+    assert [got[i].reason for i in (0, 1, 2)] == ["spam.injection", "spam.chars", "Filter (Total Block)"]
+
+
+def test_stopped_messages_leave_no_state(spark):
+    """Addresses, domains, digits and runs stop a message before near repeats; addresses before split ones; flood before all."""
+    repeat = [(1, i * 5, "chat", t) for i, t in enumerate(["buy this thing at foo.com"] * 4 + ["hello my friends"] * 2)]
+    got = moderated(spark, repeat)
+    assert [got[i].reason for i in range(6)] == ["spam.domain"] * 4 + [None, None]
+    # The whole address doesn't join the fragments: three fragments are not enough.
+    parts = [(2, i * 5, "chat", t) for i, t in enumerate(["192.168.7.10", "192", "168", "7"])]
+    assert [r.reason for _, r in sorted(moderated(spark, parts).items())] == ["spam.ip", None, None, None]
+    parts = [(2, i * 5, "chat", t) for i, t in enumerate(["192", "168", "7", "10"])]
+    assert [r.reason for _, r in sorted(moderated(spark, parts).items())] == [None, None, None, "spam.ip-split"]
+    flood = [(3, 0.1 * i, "chat", t) for i, t in enumerate(["good day", "how is everybody", "nothing to say", "what a long evening", "quiet here"])]
+    assert [r.reason for _, r in sorted(moderated(spark, flood).items())] == [None] * 4 + ["spam.flood"]
+
+
+def test_exemptions(spark):
+    held = {1: ["ip"], 2: ["spam"], 3: ["digits"], 4: ["caps"], 5: ["injection"], 6: ["symbol.all"], 7: ["command"], 8: ["sign"]}
+    permissions = spark.createDataFrame([(u, p) for u, p in held.items()], "user_id long, permissions array<string>")
+    texts = ["1.2.3.4", "1.2.3.4 foo.com", "12345678 9", "ABCDEFGHIJKLMNOPQR", "<click:run>x", "vаr", "/say arm", "arm"]
+    sources = ["chat"] * 6 + ["command", "sign"]
+    rows = [(u, 10 * u, s, t) for u, (s, t) in enumerate(zip(sources, texts, strict=True), 1)]
+    free = moderated(spark, rows, permissions=permissions)
+    assert all(not r.blocked for r in free.values()) and [free[i].masked for i in (3, 4, 7)] == [texts[i] for i in (3, 4, 7)]
+    bound = moderated(spark, [(u + 100, s, source, t) for u, s, source, t in rows], permissions=permissions)
+    assert [bound[i].reason for i in (0, 1, 2, 5)] == ["spam.ip", "spam.ip", "spam.digits", "Zalgo/Unicode"] and bound[3].masked == texts[3].lower() and bound[4].masked == "x"
+    twice = [(u, 50 + i, "chat", "the same again") for u in (9, 10) for i in range(3)]
+    free = moderated(spark, twice, permissions=spark.createDataFrame([(9, ["repeat"])], "user_id long, permissions array<string>"))
+    assert [free[i].reason for i in range(6)] == [None] * 5 + ["spam.repeat"]
+
+
+def test_registered_rule(spark, monkeypatch):
+    from modstream.operators import rules as R
+
+    monkeypatch.setattr(R, "RULES", dict(R.RULES))
+    monkeypatch.setattr(R, "REASONS", R.REASONS)
+    R.register_rule("spam.shout", lambda t, cfg: F.when(t.endswith("!!!"), "!!!"), before="spam.ip")
+    df = spark.createDataFrame([("1.2.3.4 now!!!",), ("1.2.3.4",), ("calm",)], "text string")
+    assert [r.reason for r in R.spam_chain(df).collect()] == ["spam.shout", "spam.ip", None]
+
+
+def test_auto_sanctions(spark):
+    from modstream.streaming.state import auto_sanctions
+
+    denied = spark.createDataFrame([(i, u, at(s)) for i, (u, s) in enumerate([(1, 0), (1, 4), (1, 9.9), (1, 10), (1, 12), (2, 11)])], "msg_id long, user_id long, ts timestamp")
+    got = sorted((r.player_id, r.s) for r in auto_sanctions(denied).select("player_id", F.unix_seconds("created_at").alias("s")).collect())
+    assert got == [(1, at(0).timestamp()), (1, at(10).timestamp()), (2, at(11).timestamp())]
+    rows = T.sanction_rows(auto_sanctions(denied)).collect()
+    assert {(r.scope, r.seconds) for r in rows} == {("CHAT", 900)}
+
+
+def test_permission_closure(spark):
+    """Deep chains, diamonds and circles of permissions."""
+    parents = [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), (None, "x")]
+    grants = [(1, "p0"), (2, "b"), (3, "none"), (2, "b")]
+    got = {r.user_id: r.permissions for r in T.flat_permissions(spark.createDataFrame(grants, "user_id long, permission string"), spark.createDataFrame(parents, "permission string, includes string")).collect()}
+    assert got == {1: sorted(f"p{i}" for i in range(41)), 2: list("abcd"), 3: ["none"]}
+    assert T.flat_permissions(spark.createDataFrame(grants, "user_id long, permission string"), spark.createDataFrame([], "permission string, includes string")).count() == 3
