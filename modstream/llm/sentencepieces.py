@@ -133,15 +133,11 @@ class Encoder:
         ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
         # A word has its mark in front, which the other library puts there itself; a mark alone it can't be asked for.
         theirs = self.other.encode([w.replace(MARK, " ")[1:] for w in new], num_threads=1)
-        piece = self.spelled.__getitem__
-        doubtful = []
-        for word, i, j in zip(new, ids, theirs, strict=True):
-            self.known[word] = array("i", i).tobytes()
-            self.size += 5 * len(word) + self.OVERHEAD
-            if i != j and not (word == MARK and i == [self.other.piece_to_id(MARK)]):
-                self.unlike.add(word)
-            if "".join(map(piece, i)) != word:
-                doubtful.append((word, i))
+        piece, alone = self.spelled.__getitem__, [self.other.piece_to_id(MARK)]
+        self.known.update(zip(new, [array("i", i).tobytes() for i in ids], strict=True))
+        self.size += 5 * sum(map(len, new)) + self.OVERHEAD * len(new)
+        self.unlike.update([w for w, i, j in zip(new, ids, theirs, strict=True) if i != j and not (w == MARK and i == alone)])
+        doubtful = [(w, i) for w, i in zip(new, ids, strict=True) if "".join(map(piece, i)) != w]
         # Pieces that spell the word decode to it; bytes and unknown pieces are decoded.
         backs = self.words.decode_batch([i for _, i in doubtful], skip_special_tokens=False) if doubtful else []
         self.lossy.update(word for (word, _), back in zip(doubtful, backs, strict=True) if back != word.replace(MARK, " "))
@@ -163,12 +159,11 @@ class Encoder:
         agree = [self.unlike.isdisjoint(words) for words in cut]
         if self.size > self.CACHE:
             self._forget()
-        for word in new:
-            if len(word) > self.LONG and word in self.known:
-                del self.known[word]
-                self.size -= 5 * len(word) + self.OVERHEAD
-                self.unlike.discard(word)
-                self.lossy.discard(word)
+        for word in [w for w in new if len(w) > self.LONG and w in self.known]:
+            del self.known[word]
+            self.size -= 5 * len(word) + self.OVERHEAD
+            self.unlike.discard(word)
+            self.lossy.discard(word)
         return ids, trips, agree
 
 
