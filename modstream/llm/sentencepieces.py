@@ -117,6 +117,7 @@ class Encoder:
         self.words.decoder = _decoder(False)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         proto = parse_model(data)
+        self.alone = [self.other.piece_to_id(MARK)]
         self.spelled = [p.piece if p.type in (NORMAL, USER_DEFINED) else "" for p in proto.pieces]
         norm = proto.normalizer_spec
         self.plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
@@ -133,10 +134,10 @@ class Encoder:
         ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
         # A word has its mark in front, which the other library puts there itself; a mark alone it can't be asked for.
         theirs = self.other.encode([w.replace(MARK, " ")[1:] for w in new], num_threads=1)
-        piece, alone = self.spelled.__getitem__, [self.other.piece_to_id(MARK)]
+        piece = self.spelled.__getitem__
         self.known.update(zip(new, [array("i", i).tobytes() for i in ids], strict=True))
         self.size += 5 * sum(map(len, new)) + self.OVERHEAD * len(new)
-        self.unlike.update([w for w, i, j in zip(new, ids, theirs, strict=True) if i != j and not (w == MARK and i == alone)])
+        self.unlike.update([w for w, i, j in zip(new, ids, theirs, strict=True) if i != j and not (w == MARK and i == self.alone)])
         doubtful = [(w, i) for w, i in zip(new, ids, strict=True) if "".join(map(piece, i)) != w]
         # Pieces that spell the word decode to it; bytes and unknown pieces are decoded.
         backs = self.words.decode_batch([i for _, i in doubtful], skip_special_tokens=False) if doubtful else []
