@@ -6,12 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modstream.llm.common import connected_components, written
+from modstream.llm.common import connected_components, forget, written
 
 TREES = 10
 #: Vectors that a leaf has on average, but for spill; and of a larger leaf, those that one task takes of each side.
@@ -62,8 +61,10 @@ class Forest:
         return np.concatenate(rows_out), np.concatenate(leaves_out)
 
 
-def _units(column: pd.Series) -> np.ndarray:
-    x = np.stack(column.to_numpy()).astype(np.float64)
+def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of unit vectors of a column of vectors of one size."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -77,18 +78,18 @@ def usable(embedding: Column) -> Column:
 def _links(forest, threshold: float):
     """Group function: (leaf, part, id, times, side, embedding) of a block or a pair of blocks -> (id, links, root)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "id"])
-        x, ids, times = _units(group["embedding"]), group["id"].to_numpy(), group["times"].to_numpy()
-        leaf, (low, high) = group["leaf"].iloc[0], group["part"].iloc[0].split("-")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("side", "ascending"), ("id", "ascending")])
+        x, ids, times = _units(group.column("embedding")), group.column("id").to_numpy(), group.column("times").to_numpy()
+        leaf, (low, high) = group.column("leaf")[0].as_py(), group.column("part")[0].as_py().split("-")
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)
         if low != high:  # only pairs across the blocks; those within have their own group
-            side = group["side"].to_numpy()
+            side = group.column("side").to_numpy()
             near &= side[:, None] != side[None, :]
         a, b = np.nonzero(near)
         if not len(a):
-            return pd.DataFrame({"id": ids[:0], "links": times[:0], "root": ids[:0]})
+            return pa.table({"id": ids[:0], "links": times[:0], "root": ids[:0]})
         # A pair counts in the first leaf, by number, that has both.
         found = np.unique(a)
         place = np.full(len(ids), -1)
@@ -114,33 +115,36 @@ def _links(forest, threshold: float):
             if (new == root).all():
                 break
             root = new
-        return pd.DataFrame({"id": ids[found], "links": links[found], "root": ids[root[found]]})
+        return pa.table({"id": ids[found], "links": links[found], "root": ids[root[found]]})
 
     return run
 
 
 def _forest_links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(id, links, root): parts of links of ``classes`` (id, times, embedding), vectors of one dimension."""
+    """(id, links, root): parts of links of ``classes`` (id, times, embedding), vectors of one dimension.
+
+    Leaves are laid out as (leaf, id); a vector itself is joined to its leaves once, on the way to the groups.
+    """
     spark = classes.sparkSession
     share = min(1.0, SAMPLE / n)
-    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").toPandas()
-    forest = spark.sparkContext.broadcast(Forest(_units(sample["embedding"]) if len(sample) else np.zeros((0, 1)), n if len(sample) else 0))
+    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").toArrow().column("embedding")
+    forest = spark.sparkContext.broadcast(Forest(_units(sample) if len(sample) else np.zeros((0, 1)), n if len(sample) else 0))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4000):
                 part = batch.slice(low, 4000)
-                rows, leaves = forest.value.leaves(_units(part.column(2).to_pandas()))
-                at = pa.array(rows)
-                yield pa.record_batch([pa.array(leaves), *(part.column(i).take(at) for i in range(3))], ["leaf", "id", "times", "embedding"])
+                rows, leaves = forest.value.leaves(_units(part.column(1)))
+                yield pa.record_batch([pa.array(leaves), part.column(0).take(pa.array(rows))], ["leaf", "id"])
 
-    kind = classes.schema["embedding"].dataType.simpleString()
-    placed = written(classes.select("id", "times", "embedding").mapInArrow(place, f"leaf long, id long, times long, embedding {kind}"), "leaves")
+    placed = written(classes.select("id", "embedding").mapInArrow(place, "leaf long, id long"), "leaves")
     sizes = placed.groupBy("leaf").count().where("count > 1").select("leaf", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    parts = written(placed.join(written(sizes, "sizes"), "leaf").withColumn("block", F.pmod(F.xxhash64("id", "leaf"), F.col("blocks"))), "blocks")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws("-", F.least(o, "block"), F.greatest(o, "block")))
-    keyed = parts.select("leaf", "id", "times", "embedding", F.col("block").alias("side"), F.explode(others).alias("part"))
-    return keyed.groupBy("leaf", "part").applyInPandas(_links(forest, threshold), "id long, links long, root long")
+    parts = placed.join(sizes, "leaf").withColumn("side", F.pmod(F.xxhash64("id", "leaf"), F.col("blocks")))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws("-", F.least(o, "side"), F.greatest(o, "side")))
+    keyed = parts.select("leaf", "id", "side", F.explode(others).alias("part")).join(classes, "id")
+    out = written(keyed.groupBy("leaf", "part").applyInArrow(_links(forest, threshold), "id long, links long, root long"), "links")
+    forget(placed)
+    return out
 
 
 def link_embeddings(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -165,7 +169,6 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         links = found if links is None else links.union(found)
     if links is None:
         links = vectors.sparkSession.createDataFrame([], "id long, links long, root long")
-    links = written(links, "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     found = classes.join(counts, "id", "left").join(named, "id", "left")
