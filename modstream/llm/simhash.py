@@ -352,19 +352,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     pairs = written(pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= high), "pairs")
     sure = pairs.where(F.col("apart") < low).select("a", "b")
     # Pairs that sure ones connect already need no further look.
-    known = written(connected_components(sure), "sure").toDF("id", "component")
+    known = written(connected_components(sure).toDF("id", "component"), "sure")
     open_pairs = pairs.where(F.col("apart") >= low).select("a", "b")
     named = open_pairs.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
     open_pairs = written(named.where("ca is null or cb is null or ca != cb").select("a", "b"), "open")
     ids = open_pairs.select(F.col("a").alias("content")).union(open_pairs.select("b")).distinct()
-    wanted = written(ids.join(classes.select("content", "digest"), "content"), "wanted").withColumnRenamed("digest", "d")
+    wanted = written(ids.join(classes.select("content", F.col("digest").alias("d")), "content"), "wanted")
     texts = rows.join(small_side(wanted, 500_000), F.col("digest") == F.col("d")).dropDuplicates(["content"])
     verified = _jaccard(texts, open_pairs, n).where(F.col("similarity") >= similarity).select("a", "b")
-    linked = written(connected_components(sure.union(verified)), "linked").toDF("content", "component")
+    linked = written(connected_components(sure.union(verified)).toDF("content", "component"), "linked")
     grouped = found.select("doc_id", "digest", "content").join(linked, "content", "left")
     grouped = grouped.select("doc_id", "digest", F.coalesce("component", "content").alias("component"))
     least = written(grouped.groupBy("component").agg(F.min("doc_id").alias("first_id")), "least")
-    return grouped.join(least, "component").select("doc_id", "digest", "component", "first_id")
+    out = written(grouped.join(least, "component").select("doc_id", "digest", "component", "first_id"), "groups")
+    for table in (found, classes, candidates, pairs, known, open_pairs, wanted, linked, least):
+        forget(table)
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -372,7 +375,7 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
 
     Groups without any id keep all rows. The ids to drop are broadcast while they are few, joined by shuffle beyond.
     """
-    found = written(near_duplicates(docs, n, similarity), "groups")
+    found = near_duplicates(docs, n, similarity)
     drop = found.where("doc_id != first_id or (doc_id is null and first_id is not null)").select(F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_digest"))
     drop = small_side(written(drop.distinct(), "drop"), 1_000_000)
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
