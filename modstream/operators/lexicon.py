@@ -6,11 +6,12 @@ import functools
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modstream.functions.text import clean_mapping, normalize_search, search_form, search_text, valid_charset
 from modstream.operators.rules import RuleConfig
+from modstream.sources.shared import numbered, written
 
 MODES = ("STRONG", "NORMAL", "WRITE_COMMAND")
 MATCH = "array<struct<word:string,mode:string,start:int,end:int,raw_start:int,raw_end:int>>"
@@ -61,15 +62,30 @@ def _by_automaton(messages: DataFrame, terms: list[tuple[str, str]], text: str)
 
 
 def _by_seeds(messages: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
-    """Terms join on their first SEED letters with those of every place in a text; the rest is then compared."""
-    rows = messages.select(key, clean_mapping(F.col(text)).alias("m")).select(key, "m.clean", "m.idx").where(F.length("clean") >= SEED)
-    places = rows.select(key, "clean", "idx", F.explode(F.sequence(F.lit(0), F.length("clean") - SEED)).alias("start"))
-    seeded = places.withColumn("seed", F.expr(f"substring(clean, start + 1, {SEED})"))
-    terms = lexicon.select("word", "mode", F.substring("word", 1, SEED).alias("seed"))
-    joined = seeded.join(terms, "seed").where(F.expr("substring(clean, start + 1, length(word)) = word"))
-    end = F.col("start") + F.length("word") - 1
-    match = F.struct("word", "mode", F.col("start").cast("int").alias("start"), end.cast("int").alias("end"), F.get("idx", F.col("start")).alias("raw_start"), F.get("idx", end).alias("raw_end"))
-    return joined.groupBy(key).agg(F.collect_list(match).alias("matches"))
+    """Terms join on their first SEED letters, then on all of them, with every place in a text of as many letters as any term has.
+
+    Per place only the key and a few letters are sent: those of SEED first; for the places that some term begins at, the letters up
+    to the longest term with that beginning. Texts themselves aren't moved but for their letters' places.
+    """
+    rows = written(messages.select(key, clean_mapping(F.col(text)).alias("m")).select(key, "m.clean", "m.idx").where(F.length("clean") >= SEED), "letters")
+    seeds = lexicon.groupBy(F.substring("word", 1, SEED).alias("seed")).agg(F.max(F.length("word")).alias("longest"))
+    seeds = written(seeds, "seeds")
+    cut = lambda at, n: F.substring(F.col("clean"), at + 1, n if isinstance(n, Column) else F.lit(n))
+    starts = F.transform(F.sequence(F.lit(0), F.length("clean") - SEED), lambda i: F.struct(i.alias("start"), cut(i, SEED).alias("seed")))
+    places = rows.select(key, F.explode(starts).alias("p")).select(key, "p.*").join(seeds, "seed")
+    places = places.groupBy(key).agg(F.collect_list(F.struct("start", "longest")).alias("places")).join(rows, key)
+    longer = F.transform("places", lambda p: F.struct(p.start.alias("start"), cut(p.start, p.longest).alias("letters")))
+    tried = places.select(key, F.explode(longer).alias("p")).select(key, "p.*")
+    lengths = lexicon.groupBy(F.substring("word", 1, SEED).alias("seed")).agg(F.collect_set(F.length("word")).alias("lengths"))
+    tried = tried.join(lengths, F.substring("letters", 1, SEED) == F.col("seed")).select(key, "start", "letters", F.explode("lengths").alias("n")).where(F.length("letters") >= F.col("n"))
+    found = tried.select(key, "start", F.substring(F.col("letters"), F.lit(1), F.col("n")).alias("word")).join(lexicon.select("word", "mode"), "word")
+    found = found.groupBy(key).agg(F.collect_list(F.struct("word", "mode", "start")).alias("hits")).join(rows.select(key, "idx"), key)
+
+    def match(h: Column) -> Column:
+        end = h.start + F.length(h.word) - 1
+        return F.struct(h.word.alias("word"), h.mode.alias("mode"), h.start.alias("start"), end.alias("end"), F.get("idx", h.start).alias("raw_start"), F.get("idx", end).alias("raw_end"))
+
+    return found.select(key, F.transform("hits", match).alias("matches"))
 
 
 def match_terms(messages: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "msg_id", most: int = BROADCAST_TERMS) -> DataFrame:
@@ -209,10 +225,10 @@ def lexicon_remove(lexicon: DataFrame, gone: DataFrame) -> DataFrame:
 
 def lexicon_page(lexicon: DataFrame, mode: str, page: int, size: int = 20) -> DataFrame:
     """A page of a mode's words in order without case; a page beyond the last is the last."""
-    numbered = lexicon.where(F.col("mode") == mode).select("word", F.row_number().over(Window.orderBy(F.lower("word"), "word")).alias("row"))
-    last = numbered.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("last"))
+    rows = written(numbered(lexicon.where(F.col("mode") == mode).select("word", F.lower("word").alias("low")), "low", "word"), "page")
+    last = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("last"))
     at = F.least(F.lit(max(1, page)), F.col("last"))
-    paged = numbered.join(F.broadcast(last)).withColumn("page", at)
+    paged = rows.join(F.broadcast(last)).withColumn("page", at)
     return paged.where((F.col("row") > (F.col("page") - 1) * size) & (F.col("row") <= F.col("page") * size)).select("row", "word", "page")
 
 

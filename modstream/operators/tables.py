@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modstream.functions.text import expand_reason, normalize_search, parse_duration
+from modstream.sources.shared import forget, numbered, written
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -71,15 +72,16 @@ def flat_permissions(grants: DataFrame, parents: DataFrame) -> DataFrame:
     """(user_id, permissions): grants and all that they include, by (permission, includes) of ``parents``.
 
     The closure of ``parents`` is made first, as it is small beside the grants: paths are joined to themselves until no pair is new, so
-    depth d takes log d rounds, and circles end. A round is cached; what is lost of it is computed again.
+    depth d takes log d rounds, and circles end.
     """
-    closure = parents.select("permission", "includes").where("permission is not null and includes is not null").distinct()
+    closure = written(parents.select("permission", "includes").where("permission is not null and includes is not null").distinct(), "closure")
     n = closure.count()
     while n:
         a, b = closure.alias("a"), closure.alias("b")
         step = a.join(b, F.col("a.includes") == F.col("b.permission")).select("a.permission", "b.includes")
-        closure = closure.union(step).distinct().cache()
+        last, closure = closure, written(closure.union(step).distinct(), "closure")
         before, n = n, closure.count()
+        forget(last)
         if n == before:
             break
     own = grants.select("user_id", "permission")
@@ -115,12 +117,12 @@ def register_users(players: DataFrame, new: DataFrame, refresh: bool = False) ->
     once = latest(new, "uuid", "last_seen", "name")
     fresh = once.join(players.select("uuid"), "uuid", "left_anti")
     top = players.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = fresh.join(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("uuid")))
+    new_rows = numbered(fresh, "uuid").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("row"))
     known = players
     if refresh:
         seen = once.select("uuid", F.col("name").alias("_name"), F.col("last_seen").alias("_seen"))
         known = players.join(seen, "uuid", "left").select("id", "uuid", F.coalesce("_name", "name").alias("name"), F.greatest("_seen", "last_seen").alias("last_seen"))
-    return known.select("id", "uuid", "name", "last_seen").unionByName(numbered.select("id", "uuid", "name", "last_seen"))
+    return known.select("id", "uuid", "name", "last_seen").unionByName(new_rows.select("id", "uuid", "name", "last_seen"))
 
 
 SANCTIONS = {"MUTE": "CHAT", "TEMPMUTE": "CHAT", "PERMUTE": "GLOBAL", "API_MUTE": "CHAT", "AUTO": "CHAT", "AUTO_PERMUTE": "GLOBAL"}
@@ -194,8 +196,8 @@ def submit_suggestions(suggestions: DataFrame, new: DataFrame) -> DataFrame:
     first = Window.partitionBy("_w").orderBy("created_at", "player_id", "suggestion")
     once = fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_w")
     top = suggestions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = once.join(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("created_at", "suggestion")))
-    return suggestions.unionByName(numbered.withColumn("status", F.lit("pending")).select(*suggestions.columns))
+    new_rows = numbered(once, "created_at", "suggestion").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("row"))
+    return suggestions.unionByName(new_rows.withColumn("status", F.lit("pending")).select(*suggestions.columns))
 
 
 def review_suggestions(suggestions: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

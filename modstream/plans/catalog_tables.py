@@ -9,7 +9,7 @@ from modstream.functions import text as X
 from modstream.operators import lexicon as L
 from modstream.operators import reports as P
 from modstream.operators import tables as T
-from modstream.plans.catalog_text import FORM_SQL, lexicon, read
+from modstream.plans.catalog_text import FORM_SQL, LEXICON_SQL, lexicon, read
 from modstream.sources import io
 
 NOW_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
@@ -40,11 +40,11 @@ HISTORY = """hist AS (SELECT o_orderkey AS id, o_custkey AS player_id, o_orderst
 
 
 def muted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = history(spark, sf_dir).where("id % 3 = 0").withColumnRenamed("duration", "seconds").drop("id")
+    new = history(spark, sf_dir).withColumnRenamed("duration", "seconds").drop("id")
     return T.apply_mutes(spark.createDataFrame([], "player_id long, reason string, muted_by string, expires_at timestamp, created_at timestamp, scope string"), T.latest(new, "player_id", "created_at", "seconds", "reason", "moderator"))
 
 
-MUTED = HISTORY + """, muted AS (SELECT player_id, reason, moderator AS muted_by, CASE WHEN duration > 0 THEN created_at + to_seconds(duration) END AS expires_at, created_at, scope FROM hist WHERE id % 3 = 0
+MUTED = HISTORY + """, muted AS (SELECT player_id, reason, moderator AS muted_by, CASE WHEN duration > 0 THEN created_at + to_seconds(duration) END AS expires_at, created_at, scope FROM hist
   QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, duration DESC, reason DESC, moderator DESC) = 1)"""
 
 
@@ -236,7 +236,8 @@ def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("msg_id"), F.when(F.col("event_id") % 3 == 0, "Caps").otherwise("Anti-Ip").alias("category"), F.when(F.col("event_id") % 4 == 0, "Book").otherwise("chat").alias("source"), F.col("props").alias("text"), (F.col("value") > 20).alias("blocked"),
     )
     staff = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("user_id"), F.when(F.col("r_regionkey") % 2 == 0, F.array(F.lit("notify"))).otherwise(F.array(F.lit("chat"))).alias("permissions"))
-    return io.alerts(verdicts, staff).groupBy("recipient_id", "category", "source").agg(F.count("*").alias("n"))
+    found = io.alerts(verdicts, staff).withColumn("recipient_id", F.explode("recipients"))
+    return found.groupBy("recipient_id", "category", "source").agg(F.count("*").alias("n"))
 
 
 def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,13 +246,13 @@ def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = history(spark, sf_dir)
-    warnings = h.where("id % 4 = 1").select("id", "player_id", "moderator", "reason", "created_at")
-    return P.user_reports(warnings, h.where("id % 4 = 0"), muted(spark, sf_dir), now(), 1, 5)
+    warnings = h.where("reason != 'F'").select("id", "player_id", "moderator", "reason", "created_at")
+    return P.user_reports(warnings, h.where("reason = 'F'"), muted(spark, sf_dir), now(), 1, 5)
 
 
 SHOWN = """CASE WHEN {s} <= 0 THEN '0s' WHEN {s} < 60 THEN {s} || 's' ELSE concat_ws(' ', CASE WHEN {s} >= 86400 THEN ({s} // 86400) || 'd' END, CASE WHEN {s} % 86400 >= 3600 THEN ({s} % 86400 // 3600) || 'h' END, CASE WHEN {s} % 3600 >= 60 THEN ({s} % 3600 // 60) || 'm' END) END"""
-REPORT_SQL = "WITH " + MUTED + f""", w AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, id DESC) AS row FROM hist WHERE id % 4 = 1),
-h AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, id DESC) AS row FROM hist WHERE id % 4 = 0),
+REPORT_SQL = "WITH " + MUTED + f""", w AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, id DESC) AS row FROM hist WHERE reason != 'F'),
+h AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, id DESC) AS row FROM hist WHERE reason = 'F'),
 m AS (SELECT *, (epoch_us(expires_at) // 1000000 - epoch_us({NOW_SQL}) // 1000000) AS left_s FROM muted WHERE expires_at IS NULL OR expires_at > {NOW_SQL})
 SELECT player_id, 1 AS section, row, moderator || ' | ' || reason AS text FROM w WHERE row <= 5
 UNION ALL SELECT player_id, 2, row, moderator || ' | ' || reason || ' | ' || CASE WHEN duration = 0 THEN 'Perm' ELSE {SHOWN.format(s='duration')} END FROM h WHERE row <= 5
@@ -259,7 +260,7 @@ UNION ALL SELECT player_id, 0, 1, 'Muted: ' || reason || ' | ' || CASE WHEN expi
 
 
 def labels_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", X.sanitize_label(F.substring("url", 1, 26)).alias("label"))
+    return read(spark, sf_dir, "part").select("p_partkey", X.sanitize_label(F.col("p_name")).alias("name"), X.sanitize_label(F.col("p_type")).alias("type"))
 
 
 QUERIES = {
@@ -281,6 +282,9 @@ ORACLE_SQL = {
 SELECT (SELECT max(c_custkey) FROM k) + row_number() OVER (ORDER BY 'u-' || c_custkey), 'u-' || c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1""",
     "mute_state": "WITH " + MUTED + f"SELECT c_custkey AS player_id, coalesce(s, -1) AS status FROM customer LEFT JOIN (SELECT player_id, coalesce(epoch_us(expires_at) // 1000000, 0) AS s FROM muted WHERE player_id % 7 != 0 AND (expires_at IS NULL OR expires_at > {NOW_SQL})) ON player_id = c_custkey",
     "expired_mutes": "WITH " + MUTED + f"SELECT 'active' AS what, scope, count(*) AS n FROM muted WHERE expires_at IS NULL OR expires_at > {NOW_SQL} GROUP BY 2 UNION ALL SELECT 'audit', 'Expired/Manual', count(*) FROM muted WHERE expires_at <= {NOW_SQL}",
+    "lexicon_changes": "WITH " + LEXICON_SQL + """, new AS (SELECT DISTINCT lower(w) AS word, 'NORMAL' AS mode FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w != ''),
+added AS (SELECT word, mode FROM lexicon UNION ALL SELECT word, mode FROM new ANTI JOIN lexicon USING (word, mode))
+SELECT word, mode FROM added WHERE word NOT IN ('red', 'r3d', 'tion')""",
     "sanctions": SANCTIONS_SQL, "purged": PURGE_SQL, "submitted": SUBMIT_SQL, "reviewed": REVIEW_SQL, "lexicon_pages": PAGES_SQL,
     "audit_details": "SELECT event_id AS id, upper(event_type) AS action, 'p' || user_id AS player, CASE WHEN event_id % 2 = 0 THEN 'a:' || event_type END AS reason, CASE WHEN event_id % 3 = 0 THEN '15m' END AS duration FROM events",
     "audit_latest": "WITH " + AUDIT + "SELECT id, staff_name, action, detail FROM aud WHERE staff_name ILIKE 'STAFF1%' ORDER BY timestamp DESC, id DESC LIMIT 10",
@@ -289,5 +293,6 @@ SELECT (SELECT max(c_custkey) FROM k) + row_number() OVER (ORDER BY 'u-' || c_cu
     "alert_rows": "SELECT r_regionkey AS recipient_id, 'Anti-Ip' AS category, 'chat' AS source, count(*) AS n FROM events, region WHERE value > 20 AND event_id % 3 != 0 AND event_id % 4 != 0 AND r_regionkey % 2 = 0 GROUP BY 1",
     "pending_pages": "WITH " + SUGGESTIONS + "SELECT id, suggestion FROM sugg WHERE status = 'pending' ORDER BY id LIMIT 10 OFFSET 10",
     "user_reports": REPORT_SQL,
-    "labels_clean": r"WITH l AS (SELECT page_id, trim(regexp_replace(substr(url, 1, 26), '[^A-Za-z0-9_\-: ]', '', 'g')) AS label FROM pages) SELECT page_id, CASE WHEN length(label) BETWEEN 2 AND 20 THEN label ELSE 'Unknown' END AS label FROM l",
+    "labels_clean": r"""WITH l AS (SELECT p_partkey, trim(regexp_replace(p_name, '[^A-Za-z0-9_\-: ]', '', 'g')) AS n, trim(regexp_replace(p_type, '[^A-Za-z0-9_\-: ]', '', 'g')) AS t FROM part)
+SELECT p_partkey, CASE WHEN length(n) BETWEEN 2 AND 20 THEN n ELSE 'Unknown' END AS name, CASE WHEN length(t) BETWEEN 2 AND 20 THEN t ELSE 'Unknown' END AS type FROM l""",
 }

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modstream.functions import text as X
+from modstream.functions.fixed import SAFE_TAGS
 from modstream.operators import lexicon as L
 from modstream.operators import rules as R
 from modstream.plans.moderation import moderate
 from modstream.sources import io
 from modstream.streaming import state as S
 
-DIGITS_OFF = R.RuleConfig(endings=())
 TERMS = ("ther", "tion", "ung", "eaux", "cion", "arm")
 
 
@@ -24,29 +24,42 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = io.spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     rows = docs.select("doc_id", F.col("source").alias("origin"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return rows.select(
-        (F.col("doc_id") * 100_000 + F.col("line_no")).alias("msg_id"), F.substring("origin", 4, 10).cast("long").alias("user_id"),
+        (F.col("doc_id") * 2**24 + F.col("line_no")).alias("msg_id"), F.substring("origin", 4, 10).cast("long").alias("user_id"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60 + F.col("line_no")).alias("ts"), F.lit("chat").alias("source"), "text", "origin", "doc_id", "line_no",
     )
 
 
 LINES = r"""WITH docs AS (SELECT doc_id, source AS origin, string_split(text, chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id * 100000 + i AS msg_id, doc_id, i AS line_no, origin, ls[i + 1] AS text FROM (SELECT *, unnest(range(len(ls))) AS i FROM docs))
+lines AS (SELECT doc_id * 16777216 + i AS msg_id, doc_id, i AS line_no, origin, ls[i + 1] AS text FROM (SELECT *, unnest(range(len(ls))) AS i FROM docs))
 """
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 HAS_IP = rf"(?:^|[^0-9]){OCTET}(?:\.{OCTET}){{3}}(?:$|[^0-9])"
 
 
+DOT_SQL = r"'(?i)\[\s*(?:dot|point|punto)\s*\]|\(\s*(?:dot|point|punto)\s*\)|\{\s*(?:dot|point|punto)\s*\}|<\s*(?:dot|point|punto)\s*>|\b(?:dot|point|punto)\b'"
+ENDINGS_SQL = str(list(R.RuleConfig().endings))
+# Parts between dots; of each pair the label before the dot, and the first ending that the letters behind it make.
+DOMAINS_SQL = rf"""dotted AS (SELECT msg_id, string_split(regexp_replace(regexp_replace(text, {DOT_SQL}, '.', 'g'), '[\p{{P}}\p{{S}}]+', '.', 'g'), '.') AS parts FROM lines),
+pairs AS (SELECT msg_id, i, lower(regexp_extract(rtrim(parts[i]), '([A-Za-z0-9_-]+)$', 1)) AS label,
+  list_filter(regexp_split_to_array(lower(regexp_extract(parts[i + 1], '^([\s\p{{L}}]*)', 1)), '\s+'), lambda r: r != '') AS runs FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM dotted)),
+ended AS (SELECT msg_id, i, label, list_filter(list_transform(range(1, least(len(runs), 10) + 1), lambda k: array_to_string(runs[1:k], '')), lambda g: list_contains({ENDINGS_SQL}, g))[1] AS ending FROM pairs WHERE label != ''),
+domain AS (SELECT msg_id, i, label || '.' || ending AS d FROM ended WHERE ending IS NOT NULL)"""
+SPELLED_SQL = LINES.replace("lines AS (", "plain AS (") + r""", lines AS (SELECT 3 * msg_id AS msg_id, text FROM plain UNION ALL SELECT 3 * page_id + 1, url FROM pages
+  UNION ALL SELECT 3 * msg_id + 2, regexp_replace(text, '([a-z]{4}) ([a-z]{3,5}) ', '\1 dot c o m \2 [ punto ]n et ', 'g') FROM plain), """ + DOMAINS_SQL + """
+SELECT d AS domain, count(*) AS n FROM domain WHERE d NOT IN ('google.com', 'example.com') GROUP BY 1"""
+
+
 def moderation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = R.spam_chain(lines(spark, sf_dir), DIGITS_OFF)
+    ruled = R.spam_chain(lines(spark, sf_dir))
     return ruled.groupBy("origin", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.col("modified").cast("long")).alias("n_modified"))
 
 
 WORD_RUN_SQL = """len(list_filter(range(1, len(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) > 0"""
 CHAR_RUN_SQL = """len(list_filter(range(1, len(text) - 4), lambda i: text[i:i + 5] = repeat(text[i], 6))) > 0"""
-VERDICTS = LINES + rf""", worded AS (SELECT *, list_filter(string_split(lower(text), ' '), lambda x: x != '') AS w FROM lines),
+VERDICTS = LINES + ", " + DOMAINS_SQL + rf""", worded AS (SELECT *, list_filter(string_split(lower(text), ' '), lambda x: x != '') AS w FROM lines),
 ruled AS (SELECT *, CASE WHEN length(text) > 1000 THEN 'spam.chars' WHEN regexp_matches(text, '{HAS_IP}') THEN 'spam.ip'
-  WHEN len(regexp_extract_all(text, '\p{{Nd}}')) > 7 THEN 'spam.digits' WHEN {CHAR_RUN_SQL} OR {WORD_RUN_SQL} THEN 'spam.repeat' END AS reason FROM worded)
+  WHEN msg_id IN (SELECT msg_id FROM domain) THEN 'spam.domain' WHEN len(regexp_extract_all(text, '\p{{Nd}}')) > 7 THEN 'spam.digits' WHEN {CHAR_RUN_SQL} OR {WORD_RUN_SQL} THEN 'spam.repeat' END AS reason FROM worded)
 SELECT origin, coalesce(reason, 'none') AS reason, count(*) AS n,
   sum(CASE WHEN reason IS NULL AND len(regexp_extract_all(text, '\p{{Lu}}')) > 15 THEN 1 ELSE 0 END)::BIGINT AS n_modified FROM ruled GROUP BY ALL"""
 
@@ -66,8 +79,12 @@ SELECT msg_id, length(text) > 1000 AS long, regexp_matches(text, '{HAS_IP}') AS
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines(spark, sf_dir).select("doc_id", F.explode(R.find_domains(F.col("text"), allowed=("google.com",))).alias("domain"))
-    return found.groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    """Domains of lines, of urls, and of lines with the word for a dot and the letters of an ending apart behind each word."""
+    lined = lines(spark, sf_dir).select("text")
+    urls = read(spark, sf_dir, "pages").select(F.col("url").alias("text"))
+    spelled = lined.select(F.regexp_replace(F.col("text"), "([a-z]{4}) ([a-z]{3,5}) ", "$1 dot c o m $2 [ punto ]n et ").alias("text"))
+    found = lined.union(urls).union(spelled).select(F.explode(R.find_domains(F.col("text"), allowed=("google.com", "example.com"))).alias("domain"))
+    return found.groupBy("domain").agg(F.count("*").alias("n"))
 
 
 def ip_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,12 +187,9 @@ SELECT msg_id, array_to_string(w[greatest(i - 3, 1):i + 3], ' ') AS found, len(s
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms: the 20 most frequent longer words of benchmark, and a few fixed ones, in the modes by turns."""
+    """Terms: the longer words of benchmark as whole words, and a few fixed ones that count anywhere."""
     words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\\s+")).alias("value"))
-    terms = L.lexicon_of(words, "NORMAL").where(F.length("word") >= 6)
-    counted = words.select(X.normalize_search(F.col("value")).alias("word")).groupBy("word").count()
-    top = terms.join(counted, "word").orderBy(F.desc("count"), "word").limit(20).select("word", "mode")
-    return top.unionByName(L.words_lexicon(TERMS, "STRONG", spark))
+    return L.lexicon_of(words, "NORMAL").where(F.length("word") >= 6).unionByName(L.words_lexicon(TERMS, "STRONG", spark))
 
 
 def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +197,7 @@ def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEXICON_SQL = rf"""terms AS (SELECT {FORM_SQL} AS word FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS text FROM benchmark) WHERE text != '' AND text NOT LIKE '#%'),
-top AS (SELECT word, count(*) AS n FROM terms WHERE length(word) >= 6 GROUP BY word ORDER BY n DESC, word LIMIT 20),
-lexicon AS (SELECT word, 'NORMAL' AS mode FROM top UNION ALL SELECT unnest(['ther', 'tion', 'ung', 'eaux', 'cion', 'arm']), 'STRONG')
+lexicon AS (SELECT DISTINCT word, 'NORMAL' AS mode FROM terms WHERE length(word) >= 6 UNION ALL SELECT unnest(['ther', 'tion', 'ung', 'eaux', 'cion', 'arm']), 'STRONG')
 """
 
 
@@ -205,17 +218,74 @@ def filtered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("detected_words") > 0).select("msg_id", "filter_blocked", "detected_word", F.size("detected_words").alias("n_words"), F.md5("masked_text").alias("masked_md5"))
 
 
+# Characters, their letters for search, and the places of the letters; then all occurrences of terms, those of whole words between
+# characters that are no letters or digits; the masked text, and whether a term's letters are spread.
+MATCHED_SQL = rf"""spelled AS (SELECT msg_id, text, string_split(text, '') AS c FROM lines WHERE text != ''),
+lettered AS (SELECT *, list_transform(c, lambda x: {FORM_SQL.replace("text", "x")}) AS l FROM spelled),
+formed AS (SELECT *, array_to_string(l, '') AS f, list_filter(range(1, len(c) + 1), lambda i: l[i] != '') AS idx FROM lettered),
+occurring AS (SELECT msg_id, word, mode, c, idx, text, unnest(list_filter(range(1, length(f) - length(word) + 2), lambda i: substr(f, i, length(word)) = word)) AS s FROM formed JOIN lexicon ON contains(f, word)),
+matched AS (SELECT msg_id, text, word, CASE mode WHEN 'STRONG' THEN 0 ELSE 1 END AS rank, s, s + length(word) - 1 AS e, idx[s] AS a, idx[s + length(word) - 1] AS b FROM occurring
+  WHERE mode = 'STRONG' OR NOT regexp_matches(coalesce(c[idx[s] - 1], '') || coalesce(c[idx[s + length(word) - 1] + 1], ''), '[\p{{L}}\p{{Nd}}]')),
+listed AS (SELECT msg_id, any_value(text) AS text, list({{'a': a, 'b': b, 'at': 0::BIGINT, 'out': ''}} ORDER BY s, rank, e, word) AS ms, first(word ORDER BY s, rank, e, word) AS detected_word, list(DISTINCT word) AS names,
+  bool_or((b - a + 1 - length(word)) / (b - a + 1)::DOUBLE > 0.05) AS spread FROM matched GROUP BY msg_id),
+reduced AS (SELECT *, list_reduce(ms, lambda st, m: CASE WHEN m.a > st.at THEN {{'a': m.a, 'b': m.b, 'at': m.b, 'out': st.out || substr(text, st.at + 1, m.a - st.at - 1) || '****'}} ELSE st END, {{'a': 0::BIGINT, 'b': 0::BIGINT, 'at': 0::BIGINT, 'out': ''}}) AS r FROM listed),
+masked AS (SELECT *, r.out || substr(text, r.at + 1) AS masked_text FROM reduced)"""
+FILTERED_SQL = LINES + ", " + LEXICON_SQL.replace("lexicon AS (", "every AS (") + ", lexicon AS (SELECT * FROM every WHERE mode = 'NORMAL'), " + MATCHED_SQL + """
+SELECT msg_id, false AS filter_blocked, detected_word, len(names)::INT AS n_words, md5(masked_text) AS masked_md5 FROM masked"""
+
+# Control and format characters, then tags whose name isn't allowed (those that are stand behind a mark meanwhile), then placeholders.
+CONTROL_SQL = r"regexp_replace({}, '[\x00-\x09\x0B-\x1F\x7F-\x9F\p{{Cf}}\p{{Co}}]', '', 'g')"
+SAFE_SQL = "replace(replace(regexp_replace(regexp_replace({}, '<(/?/?(?:" + "|".join(SAFE_TAGS) + r"|#[0-9a-fA-F]{{6}})[:>])', chr(1) || '\1', 'g'), '</?[!?#]?[a-z0-9_-]+(?::[^<>]*)?>', '', 'g'), chr(1), '<'), '%', '%' || chr(160))"
+INJECTION_SQL = f"""WITH safe AS (SELECT page_id, html, {SAFE_SQL.format(CONTROL_SQL.format("html"))} AS s FROM pages)
+SELECT page_id, s != html AS hit, length(s)::INT AS n_safe, s != html AS blocked, CASE WHEN s != html THEN 'spam.injection' END AS reason FROM safe"""
+
+WINKLER_SQL = """WITH p AS (SELECT b.p_partkey, b.p_name AS x, a.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+j AS (SELECT *, jaro_similarity(x, y) AS j, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[1:i] = y[1:i])) AS prefix FROM p)
+SELECT p_partkey, round(CASE WHEN x = y THEN 100.0 WHEN j < 0.7 THEN j * 100 ELSE (j + least(0.1::DOUBLE, 1.0::DOUBLE / greatest(length(x), length(y))) * prefix * (1 - j)) * 100 END, 6)::DOUBLE AS jw FROM j"""
+
+
 def moderated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = moderate(lines(spark, sf_dir), lexicon(spark, sf_dir))
     return found.groupBy("source", "category", "blocked").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
 
 
+def moderated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moderation without the rules that have state, line by line."""
+    found = moderate(lines(spark, sf_dir), lexicon(spark, sf_dir), stateful=False)
+    return found.select("msg_id", "blocked", "reason", "category", "detected", F.md5("masked").alias("masked_md5"))
+
+
+MODERATED_SQL = (
+    LINES.replace("lines AS (", "plain AS (") + ", " + LEXICON_SQL + ", " + MATCHED_SQL.replace("FROM lines", "FROM plain") + f""",
+termed AS (SELECT plain.*, detected_word, CASE WHEN spread THEN 'Evasion' WHEN names IS NOT NULL AND len(list_filter(names, lambda x: contains(lower(plain.text), x))) = 0 THEN 'Evasion/Hidden Characters' END AS by_terms,
+  coalesce(masked_text, plain.text) AS checked FROM plain LEFT JOIN masked USING (msg_id)),
+cleared AS (SELECT *, {CONTROL_SQL.format("checked")} AS message, {SAFE_SQL.format(CONTROL_SQL.format("checked"))} AS final FROM termed),
+lines AS (SELECT *, regexp_replace(final, '<[!?#/]?[a-z0-9_-]*(?::[^<>]*)?>', '', 'g') AS text FROM (SELECT * EXCLUDE (text) FROM cleared)), """
+    + DOMAINS_SQL + f""", first_domain AS (SELECT msg_id, first(d ORDER BY i) AS d FROM domain GROUP BY 1), worded AS (SELECT *, list_filter(string_split(lower(text), ' '), lambda x: x != '') AS w FROM lines),
+judged AS (SELECT *, CASE WHEN by_terms IS NOT NULL THEN by_terms WHEN length(checked) > 1000 THEN 'spam.chars' WHEN regexp_matches(text, '{HAS_IP}') THEN 'spam.ip' WHEN d IS NOT NULL THEN 'spam.domain'
+  WHEN len(regexp_extract_all(text, '\\p{{Nd}}')) > 7 THEN 'spam.digits' WHEN {CHAR_RUN_SQL} OR {WORD_RUN_SQL} THEN 'spam.repeat' END AS reason,
+  CASE WHEN len(regexp_extract_all(final, '\\p{{Lu}}')) > 15 THEN lower(final) WHEN final != message THEN final ELSE checked END AS shown FROM worded LEFT JOIN first_domain USING (msg_id))
+SELECT msg_id, reason IS NOT NULL AS blocked, reason, CASE WHEN reason LIKE 'Evasion%' THEN 'Evasion' WHEN reason = 'spam.ip' THEN 'Anti-Ip' WHEN reason = 'spam.domain' THEN 'Anti-Domain' WHEN reason = 'spam.digits' THEN 'Digits'
+    WHEN reason = 'spam.repeat' THEN 'Repeat' WHEN reason = 'spam.chars' THEN 'Chars' END AS category,
+  CASE WHEN by_terms IS NOT NULL THEN detected_word WHEN reason = 'spam.ip' THEN regexp_extract(text, '(?:^|[^0-9])({OCTET}(?:\\.{OCTET}){{3}})(?:$|[^0-9])', 1) WHEN reason = 'spam.domain' THEN d END AS detected,
+  CASE WHEN reason IS NULL THEN md5(shown) END AS masked_md5 FROM judged"""
+)
+
+
 def user_rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.user_rules(lines(spark, sf_dir), R.RuleConfig(flood_messages=30, flood_seconds=60))
 
 
+def disguised_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search forms of lines whose letters are partly look-alikes of other alphabets, with invisible characters and wide letters in between."""
+    hidden = F.regexp_replace(F.translate("text", "aeopcyxAEOPCX", "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0410\u0415\u041e\u0420\u0421\u0425"), "(t|n)", "$1\u200b\ufeff\u0301")
+    wide = F.translate(hidden, "birs", "\uff42\uff49\uff52\uff53")
+    form = X.normalize_search(wide)
+    return lines(spark, sf_dir).where("not contains(text, '&')").select("msg_id", F.md5(form).alias("form_md5"), X.valid_charset(wide).alias("valid"))
+
+
 def toxic_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = R.spam_chain(lines(spark, sf_dir), DIGITS_OFF).groupBy("doc_id").agg(F.bool_or("blocked").alias("blocked"))
+    ruled = R.spam_chain(lines(spark, sf_dir)).groupBy("doc_id").agg(F.bool_or("blocked").alias("blocked"))
     return ruled.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").groupBy("toxic", "blocked").agg(F.count("*").alias("n"))
 
 
@@ -285,7 +355,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document as a book of lines: limits, evidence, and whether a page cancels it."""
     pages = io.spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("pages"))
     limits = pages.select("doc_id", R.book_limits(F.col("pages")).alias("b"), io.evidence(F.col("pages")).alias("e"))
-    stops = R.book_security(R.spam_chain(lines(spark, sf_dir), DIGITS_OFF).withColumnRenamed("doc_id", "container_id"))
+    stops = R.book_security(R.spam_chain(lines(spark, sf_dir)).withColumnRenamed("doc_id", "container_id"))
     return limits.join(stops, F.col("doc_id") == F.col("container_id")).select(
         "doc_id", "b.too_many", "b.too_long", F.aggregate("b.pages", F.lit(0), lambda s, p: s + F.length(p)).cast("long").alias("n_chars"), F.size("e").cast("long").alias("n_evidence"), "cancelled"
     )
@@ -302,6 +372,12 @@ def moderated_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("container_id", "cancelled", F.size("pages").alias("n_pages"), F.md5(F.array_join("pages", "\n")).alias("pages_md5"))
 
 
+BOOK_PAGES_SQL = "WITH " + LEXICON_SQL + ", lines AS (SELECT conv_id * 1000 + turn AS msg_id, conv_id, turn, substr(text, 1, 256) AS text FROM conversations), " + MATCHED_SQL + """,
+safe AS (SELECT conv_id, turn, CASE WHEN spread THEN '****' ELSE coalesce(masked_text, lines.text) END AS t FROM lines LEFT JOIN masked USING (msg_id))
+SELECT conv_id AS container_id, false AS cancelled, count(*)::INT AS n_pages, md5(string_agg(t, chr(10) ORDER BY turn, t)) AS pages_md5 FROM safe GROUP BY 1"""
+FORM_OF_DISGUISED_SQL = LINES + f"""SELECT msg_id, md5({FORM_SQL}) AS form_md5, NOT regexp_matches(text, '[aeopcyxAEOPCXtnbirs]') AS valid FROM lines WHERE NOT contains(text, '&')"""
+
+
 def alert_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"click": "Anti-Flood", "view": "IP Split", "signup": "Text usage (Zalgo/Unicode)", "error": "Injection", "purchase": "Filter"}
     category = F.lit("Repeat")
@@ -321,12 +397,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         moderation_verdicts, rule_flags, domains, ip_addresses, search_forms, clean_texts, charset_gate, injection, similar_names, winkler_names, commands, durations, kwic_lines,
-        lexicon_words, term_counts, filtered_lines, moderated, user_rule_flags, toxic_verdicts, token_bucket, throttled, rate_capped, flood_contexts, split_ip_windows, books, moderated_books, alert_classes,
+        lexicon_words, term_counts, filtered_lines, moderated, moderated_texts, disguised_forms, user_rule_flags, toxic_verdicts, token_bucket, throttled, rate_capped, flood_contexts, split_ip_windows, books, moderated_books, alert_classes,
     )
 }
 
 ORACLE_SQL = {
     "moderation_verdicts": VERDICTS, "rule_flags": FLAGS_SQL, "ip_addresses": IP_SQL, "search_forms": FORMS_SQL, "clean_texts": CLEAN_SQL, "charset_gate": GATE_SQL, "similar_names": SIMILAR_SQL,
     "commands": COMMANDS_SQL, "durations": DURATIONS_SQL, "kwic_lines": KWIC_SQL, "lexicon_words": "WITH " + LEXICON_SQL + "SELECT word, mode FROM lexicon", "term_counts": TERMS_SQL, "toxic_verdicts": TOXIC_SQL,
+    "domains": SPELLED_SQL, "filtered_lines": FILTERED_SQL, "moderated_texts": MODERATED_SQL, "injection": INJECTION_SQL, "winkler_names": WINKLER_SQL, "moderated_books": BOOK_PAGES_SQL, "disguised_forms": FORM_OF_DISGUISED_SQL,
     "token_bucket": BUCKET_SQL, "throttled": THROTTLE_SQL, "rate_capped": RATE_SQL, "flood_contexts": CONTEXT_SQL, "split_ip_windows": SPLIT_SQL, "books": BOOKS_SQL, "alert_classes": ALERTS_SQL,
 }

@@ -97,11 +97,37 @@ def audit_rows(actions: DataFrame) -> DataFrame:
     return actions.select("id", "staff_name", "action", detail.alias("detail"), "timestamp")
 
 
+#: Alerts go to so many people at most: their ids are part of the plan.
+MOST_STAFF = 10_000
+
+
 def alerts(verdicts: DataFrame, recipients: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """An alert for each notifiable violation and recipient; books alert by their own way and are left out."""
+    """Notifiable violations with recipients, the ids of all who hold "notify"; books alert by their own way and are left out.
+
+    More than MOST_STAFF recipients are a ValueError.
+    """
     rows = verdicts.where(F.col("blocked") & (F.lower("source") != "book") & should_notify(F.col("category"), cfg.silent_alerts))
-    staff = recipients.where(F.array_contains("permissions", "notify")).select(F.col("user_id").alias("recipient_id"))
-    return rows.select("msg_id", "category", "source", "text").join(F.broadcast(staff))
+    staff = recipients.where(F.array_contains("permissions", "notify")).select("user_id").distinct()
+    ids = sorted(r.user_id for r in staff.limit(MOST_STAFF + 1).collect())
+    if len(ids) > MOST_STAFF:
+        raise ValueError(f"more than {MOST_STAFF} recipients")
+    return rows.select("msg_id", "category", "source", "text", F.lit(ids).cast("array<bigint>").alias("recipients") if ids else F.array().cast("array<bigint>").alias("recipients"))
+
+
+def append_alerts(found: DataFrame, folder: str) -> None:
+    """A row for each alert and recipient appended to the table alerts."""
+    append(found.select("msg_id", "category", "source", "text", F.explode("recipients").alias("recipient_id")), folder, "alerts")
+
+
+def warning_rows(actions: DataFrame) -> DataFrame:
+    """Rows of the table warnings for ``actions`` (id, player_id, moderator, reason, created_at); an empty reason is "none"."""
+    reason = F.when(F.trim(F.coalesce("reason", F.lit(""))) == "", "none").otherwise(F.trim("reason"))
+    return actions.select("id", "player_id", F.coalesce("moderator", F.lit("System")).alias("moderator"), reason.alias("reason"), F.col("created_at").cast("timestamp").alias("created_at"))
+
+
+def mute_history_rows(sanctions: DataFrame) -> DataFrame:
+    """Rows of the table mute_history for sanctions (id, player_id, reason, moderator, seconds, created_at, scope); 0 seconds are for good."""
+    return sanctions.select("id", "player_id", "reason", F.coalesce("moderator", F.lit("System")).alias("moderator"), F.greatest(F.col("seconds"), F.lit(0)).alias("duration"), F.col("created_at").cast("timestamp").alias("created_at"), "scope")
 
 
 def evidence(pages: Column, n: int = EVIDENCE_PAGES) -> Column:

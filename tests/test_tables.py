@@ -142,3 +142,32 @@ def test_permission_closure(spark):
     got = {r.user_id: r.permissions for r in T.flat_permissions(spark.createDataFrame(grants, "user_id long, permission string"), spark.createDataFrame(parents, "permission string, includes string")).collect()}
     assert got == {1: sorted(f"p{i}" for i in range(41)), 2: list("abcd"), 3: ["none"]}
     assert T.flat_permissions(spark.createDataFrame(grants, "user_id long, permission string"), spark.createDataFrame([], "permission string, includes string")).count() == 3
+
+
+def test_alerts(spark, tmp_path):
+    verdicts = spark.createDataFrame([(1, "Anti-Ip", "chat", "x", True), (2, "Caps", "chat", "x", True), (3, "Anti-Ip", "Book", "x", True), (4, "Anti-Ip", "sign", "y", True), (5, "Anti-Ip", "sign", "y", False)], "msg_id long, category string, source string, text string, blocked boolean")
+    staff = spark.createDataFrame([(7, ["notify"]), (8, ["chat"]), (6, ["notify", "x"]), (7, ["notify"])], "user_id long, permissions array<string>")
+    found = io.alerts(verdicts, staff)
+    assert {(r.msg_id, tuple(r.recipients)) for r in found.collect()} == {(1, (6, 7)), (4, (6, 7))}
+    io.append_alerts(found, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "alerts")).count() == 4
+    assert {tuple(r.recipients) for r in io.alerts(verdicts, staff.limit(0)).collect()} == {()}
+
+
+def test_rows_of_warnings_and_mutes(spark):
+    actions = spark.createDataFrame([(1, 5, "mod", " rude ", at(0)), (2, 5, None, None, at(1))], "id long, player_id long, moderator string, reason string, created_at timestamp")
+    assert [(r.moderator, r.reason) for r in io.warning_rows(actions).sort("id").collect()] == [("mod", "rude"), ("System", "none")]
+    done = spark.createDataFrame([(1, 5, "r", None, -1, at(0), "CHAT"), (2, 5, "r", "m", 60, at(0), "GLOBAL")], "id long, player_id long, reason string, moderator string, seconds long, created_at timestamp, scope string")
+    rows = io.mute_history_rows(done)
+    assert [(r.moderator, r.duration) for r in rows.sort("id").collect()] == [("System", 0), ("m", 60)] and set(rows.columns) == {c.split()[0] for c in schemas.TABLES["mute_history"].split(", ")}
+
+
+def test_numbered(spark):
+    from modstream.sources.shared import numbered
+
+    df = spark.createDataFrame([(i * 7 % 1000, "x") for i in range(1000)] + [(None, "n"), (5, "again")], "k long, row_ string")
+    got = numbered(df, "k", "row_").sort("row").collect()
+    assert [r.row for r in got] == list(range(1, 1003)) and got[0].k is None
+    keys = [(r.k, r.row_) for r in got[1:]]
+    assert keys == sorted(keys)
+    assert numbered(df.limit(0), "k").count() == 0
