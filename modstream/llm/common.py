@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modstream.sources import shared
 from modstream.sources.io import spread
+from modstream.sources.shared import forget as forget
 
 #: A word of most operators: a run of characters other than space and \\t..\\r.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -22,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset: in local mode, as in tests, a new folder in /tmp; on a cluster, ValueError."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 #: Rows that Spark sends to Python at once, where the session has Spark's own setting: texts may be long.
 ARROW_ROWS = 1_000
 
@@ -44,21 +31,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the table that ``written`` made for ``df``."""
-    spark, path = df.sparkSession, df.written_path
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """``shared.written`` in a session whose batches are small."""
+    small_batches(df.sparkSession)
+    return shared.written(df, name)
 
 
 def whole(text: Column) -> Column:
