@@ -225,10 +225,14 @@ class CharGrams:
             sums = sums * U(0x9E3779B97F4A7C15) + spread[place - k]
         self.keys = mix(sums + salts[self.owner])
 
-    def strings(self, which: np.ndarray) -> pa.Array:
-        """The n-grams at these indexes."""
-        codes = self.codes[self.place[which][:, None] - np.arange(self.n - 1, -1, -1)]
-        data = np.ascontiguousarray(codes).tobytes().decode("utf-32-le").encode()
-        sizes = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).sum(axis=1)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.string())
+    def code_points(self, which: np.ndarray) -> np.ndarray:
+        """The n-grams at these indexes, a row each."""
+        return self.codes[self.place[which][:, None] - np.arange(self.n - 1, -1, -1)]
+
+
+def strings_of(codes: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    data = np.ascontiguousarray(codes).tobytes().decode("utf-32-le").encode()
+    sizes = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).sum(axis=1)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(data)])

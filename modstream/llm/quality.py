@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modstream.llm.arrays import CharGrams, Texts, give_back, mix, pieces, window_hashes
+from modstream.llm.arrays import CharGrams, Texts, give_back, mix, pieces, strings_of, window_hashes
 from modstream.llm.common import forget, small_side, written
 
 #: Characters of the longest n-grams.
@@ -20,6 +20,8 @@ ORDER = 5
 HOT_GRAMS = 2_000_000
 #: A task hands on its counts when it holds so many n-grams.
 HELD_GRAMS = 600_000
+#: Bytes of text that a task works on at once (a longer text goes alone).
+PIECE = 400_000
 #: Shares of a language's plain documents that lie below and above its band.
 BELOW, ABOVE = 0.002, 0.005
 #: A document is plain, so that models are counted and bands set by it, if it passes the base and has at most so many symbols, and
@@ -97,6 +99,37 @@ def _longs(*values: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.asarray(v).astype(np.int64), pa.int64()) for v in values]
 
 
+class _Counts:
+    """N-grams with their counts, as arrays: key, model, code points, n, k0, k1."""
+
+    def __init__(self, order: int):
+        self.parts = [tuple(np.zeros((0, order) if i == 2 else 0, t) for i, t in enumerate((np.uint64, np.int32, np.uint32, np.int64, np.int64, np.int64)))]
+        self.size = 0
+
+    def add(self, keys: np.ndarray, model: np.ndarray, codes: np.ndarray, *counts: np.ndarray) -> None:
+        self.parts.append((keys, model, codes, *(c.astype(np.int64) for c in counts)))
+        self.size += len(keys)
+
+    def merge(self) -> None:
+        """Equal keys to one row."""
+        columns = list(zip(*self.parts, strict=True))
+        self.parts = []
+        keys, first, inverse = np.unique(np.concatenate(columns[0]), return_index=True, return_inverse=True)
+        picked = [np.concatenate(c)[first] for c in columns[1:3]]
+        sums = [np.bincount(inverse, np.concatenate(c), len(keys)).astype(np.int64) for c in columns[3:]]
+        self.parts, self.size = [(keys, *picked, *sums)], len(keys)
+
+    def batches(self, names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        keys, model, codes, *counts = self.parts[0]
+        texts = pa.array(names, pa.string())
+        for i in range(0, len(keys), rows):
+            at = slice(i, i + rows)
+            yield pa.record_batch(
+                [texts.take(pa.array(model[at])), strings_of(codes[at]), *_longs(keys[at].view(np.int64), *(c[at] for c in counts))], ["model", "gram", "key", "n", "k0", "k1"]
+            )
+
+
 def count_grams(docs: DataFrame, order: int = ORDER, held: int = HELD_GRAMS) -> DataFrame:
     """(model, gram, key, n, k0, k1) over all texts of ``docs`` (doc_id, digest, model, text), summed by task, then by Spark.
 
@@ -105,30 +138,22 @@ def count_grams(docs: DataFrame, order: int = ORDER, held: int = HELD_GRAMS) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.Table] = []
-        size = 0
-
-        def summed() -> pa.Table:
-            return pa.TableGroupBy(pa.concat_tables(parts), ["model", "gram", "key"], use_threads=False).aggregate([("n", "sum"), ("k0", "sum"), ("k1", "sum")]).rename_columns(names)
-
-        names = ["model", "gram", "key", "n", "k0", "k1"]
-        for batch in pieces(batches):
+        names: dict[str, int] = {}
+        counts = _Counts(order)
+        for batch in pieces(batches, size=PIECE):
             found = _Judged(batch, order)
             keys, first, inverse = np.unique(found.grams.keys, return_index=True, return_inverse=True)
             owner = found.grams.owner
             halves = [np.bincount(inverse, (found.plain & (found.fold == f))[owner], len(keys)) for f in (0, 1)]
-            models = pa.array(found.models, pa.string()).take(pa.array(owner[first]))
-            parts.append(pa.table([models, found.grams.strings(first), *_longs(keys.view(np.int64), np.bincount(inverse, minlength=len(keys)), *halves)], names))
-            size += len(keys)
-            if size > held:
-                parts = [summed()]
-                size = len(parts[0])
-                if size > held * 3 // 4:
-                    yield from parts[0].to_batches(100_000)
-                    parts, size = [], 0
-        if parts:
-            yield from summed().to_batches(100_000)
-        parts = []
+            model = np.array([names.setdefault(m, len(names)) for m in found.models], dtype=np.int32)
+            counts.add(keys, model[owner[first]], found.grams.code_points(first), np.bincount(inverse, minlength=len(keys)), *halves)
+            if counts.size > held:
+                counts.merge()
+                if counts.size > held * 3 // 4:
+                    yield from counts.batches(list(names))
+                    counts = _Counts(order)
+        yield from counts.batches(list(names))
+        del counts
         give_back()
 
     counted = docs.select("doc_id", "digest", "model", "text").mapInArrow(run, "model string, gram string, key long, n long, k0 long, k1 long")
@@ -214,7 +239,7 @@ def measured(docs: DataFrame, order: int = ORDER, hot: int = HOT_GRAMS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = sent.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=PIECE):
             found = _Judged(batch, order)
             texts, grams = found.texts, found.grams
             own, inverse = np.unique(grams.keys, return_inverse=True)
@@ -275,7 +300,7 @@ def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, o
 
     A null text counts as empty and fails; a null lang is a language of its own; in a language without plain documents there is no
     band and the base decides; null ids and repeated rows are judged each; other columns are not read; no rows give no rows. Texts
-    are read twice and not moved. Memory is that of a piece of 1 MB of text, or of one longer text.
+    are read twice and not moved. Memory is that of a PIECE of text, or of one longer text.
     """
     model = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("none"))
     named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), model.alias("model"), "text")

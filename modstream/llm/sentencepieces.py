@@ -104,7 +104,7 @@ class Encoder:
     """
 
     #: About the bytes of all words remembered and their ids, with OVERHEAD for each; words of more than LONG characters aren't kept.
-    CACHE, OVERHEAD, LONG = 48 << 20, 200, 1_000
+    CACHE, OVERHEAD, LONG = 24 << 20, 200, 1_000
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -168,7 +168,7 @@ class Encoder:
         return ids, trips, agree
 
 
-def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_bytes: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, batch_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip and parity of every row of ``docs`` (doc_id, text).
 
     ``model`` is a path on the driver; the model is broadcast (some hundred KB to a few MB) and rebuilt once in each Python worker.
