@@ -152,6 +152,34 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_
 FROM embeddings LEFT JOIN least_id l ON l.a = vec_id LEFT JOIN counts c ON c.a = vec_id
 """
 
+_ASSIGN_SQL = r"""'(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+_HITS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS found, regexp_extract_all(t, {pattern}) AS h, regexp_split_to_array(t, {pattern}) AS g FROM d"
+    for kind, pattern in (
+        ("assign", _ASSIGN_SQL), ("access", "'AKIA[A-Z0-9]+'"), ("hex", "'[0-9a-f]+'"), ("endpoint", "'[a-z]+://[A-Za-z0-9.-]+(?::[0-9]+)?'"),
+        ("ident", r"""'(?i)(?:user_?name|user|login|account|client_?id)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@-]{3,}'"""),
+    )
+)
+# Strong parts stand alone; a weak one needs a part of the other roles that starts within 200 code points.
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), hits AS ({_HITS_SQL}),
+placed AS (SELECT doc_id, found, h[i] AS m, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM hits WHERE len(h) > 0)),
+sized AS (SELECT *, s + length(m) AS e, CASE found WHEN 'assign' THEN length(regexp_extract(m, {_ASSIGN_SQL}, 2)) ELSE length(m) END AS n FROM placed),
+parts AS (SELECT doc_id, s, e, CASE WHEN found = 'assign' AND n BETWEEN 6 AND 11 THEN 'short' ELSE found END AS kind FROM sized
+  WHERE CASE found WHEN 'assign' THEN n >= 6 WHEN 'access' THEN n >= 18 WHEN 'hex' THEN n >= 16 ELSE true END),
+roled AS (SELECT *, CASE WHEN kind IN ('access', 'ident') THEN 'id' WHEN kind = 'endpoint' THEN kind ELSE 'secret' END AS role FROM parts),
+linked AS (SELECT a.doc_id, a.s, a.e, a.kind, bool_or(b.role = 'id') AS by_id, bool_or(b.role = 'secret') AS by_secret FROM roled a JOIN roled b ON a.doc_id = b.doc_id AND abs(a.s - b.s) <= 200 AND a.role != b.role
+  WHERE a.kind IN ('ident', 'short', 'endpoint') GROUP BY ALL),
+spans AS (SELECT doc_id, s, e, kind FROM parts WHERE kind IN ('assign', 'access', 'hex')
+  UNION ALL SELECT doc_id, s, e, kind FROM linked WHERE CASE kind WHEN 'ident' THEN by_secret WHEN 'short' THEN by_id ELSE by_id AND by_secret END),
+ranked AS (SELECT *, list_position(['assign', 'access', 'hex', 'ident', 'short', 'endpoint'], kind) AS rank, kind || ':' || s || ':' || e AS x FROM spans),
+joined AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(x, ',' ORDER BY s, rank, e) FILTER (rank <= 3) AS base, string_agg(x, ',' ORDER BY s, rank, e) AS spans FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (doc_id)
+"""
+
 QUERIES = {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op8_embeddings": op8_embeddings, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_licenses": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_substrings": OP6_SQL, "op8_embeddings": OP8_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_licenses": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_substrings": OP6_SQL, "op8_embeddings": OP8_SQL, "op10_secrets": OP10_SQL}
