@@ -76,6 +76,14 @@ def search_form(text: str) -> tuple[str, list[int]]:
     return "".join(letters), [i for i, found in enumerate(letters) for _ in found]
 
 
+def places_of(text: str) -> list[int]:
+    """Of each letter of ``search_text`` the place in ``text`` that it comes from."""
+    if "&" in text or "§" in text:
+        return search_form(text)[1]
+    sizes = list(map(len, map(_LETTERS.__getitem__, map(ord, text))))
+    return [i for i, n in enumerate(sizes) if n] if max(sizes, default=0) < 2 else [i for i, n in enumerate(sizes) for _ in range(n)]
+
+
 @F.pandas_udf(T.StringType())
 def _normalized_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", search_text(t)))
@@ -96,8 +104,14 @@ def normalize_search(text: Column) -> Column:
     return F.coalesce(F.when(is_ascii(text), plain), _normalized_unicode(F.when(~is_ascii(text), text)))
 
 
+#: Characters that the compatibility form leaves as they are and that don't combine: ASCII and most Latin letters.
+STABLE = "^[\\x00-\\x9F\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u02af]*$"
+
+
 def nfkc(text: Column) -> Column:
-    return F.coalesce(F.when(is_ascii(text), text), _nfkc_unicode(F.when(~is_ascii(text), text)))
+    """Compatibility form; texts that it can't change don't go to Python."""
+    plain = text.rlike(STABLE)
+    return F.coalesce(F.when(plain, text), _nfkc_unicode(F.when(~plain, text)))
 
 
 @F.pandas_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("idx", T.ArrayType(T.IntegerType()))]))

@@ -5,17 +5,19 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modstream.functions.text import clean_mapping, normalize_search, search_form, search_text, valid_charset
+from modstream.functions.text import clean_mapping, normalize_search, places_of, search_text, valid_charset
 from modstream.operators.rules import RuleConfig
 from modstream.sources.shared import numbered, written
 
 MODES = ("STRONG", "NORMAL", "WRITE_COMMAND")
 MATCH = "array<struct<word:string,mode:string,start:int,end:int,raw_start:int,raw_end:int>>"
 
+_MATCH = [pa.field(n, t) for n, t in (("word", pa.string()), ("mode", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("raw_start", pa.int32()), ("raw_end", pa.int32()))]
+
 #: Up to so many terms go to every executor; larger lists are joined by the terms' first letters.
 BROADCAST_TERMS = 500_000
 SEED = 4
@@ -38,25 +40,27 @@ def _automaton(terms: tuple[tuple[str, str], ...]):
 def _by_automaton(messages: DataFrame, terms: list[tuple[str, str]], text: str) -> DataFrame:
     sent = messages.sparkSession.sparkContext.broadcast(tuple(sorted(set(terms))))
 
-    @F.pandas_udf(MATCH)
-    def matched(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(MATCH)
+    def matched(texts: pa.Array) -> pa.Array:
         automaton = _automaton(sent.value) if sent.value else None
-
-        def of(value: str | None) -> list[dict]:
-            if not value or automaton is None:
-                return []
-            clean = search_text(value)
-            found = list(automaton.iter(clean)) if clean else []
-            if not found:
-                return []
-            _, at = search_form(value)
-            out = []
-            for end, (word, modes) in found:
+        ends_of, columns = [0], tuple([] for _ in _MATCH)
+        words, modes, starts, ends, raw_starts, raw_ends = columns
+        for value in texts.to_pylist():
+            clean = search_text(value) if value and automaton is not None else ""
+            found = list(automaton.iter(clean)) if clean else ()
+            at = places_of(value) if found else ()
+            for end, (word, of) in found:
                 start = end - len(word) + 1
-                out += [{"word": word, "mode": m, "start": start, "end": end, "raw_start": at[start], "raw_end": at[end]} for m in modes]
-            return out
-
-        return texts.map(of)
+                for mode in of:
+                    words.append(word)
+                    modes.append(mode)
+                    starts.append(start)
+                    ends.append(end)
+                    raw_starts.append(at[start])
+                    raw_ends.append(at[end])
+            ends_of.append(len(words))
+        values = [pa.array(c, f.type) for c, f in zip(columns, _MATCH, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), pa.StructArray.from_arrays(values, fields=_MATCH))
 
     return messages.withColumn("matches", matched(text))
 
