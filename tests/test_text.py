@@ -127,3 +127,20 @@ def test_books(spark):
     assert got.too_many and got.too_long and {len(p) for p in got.pages} == {256}
     rows = spark.createDataFrame([(1, "spam.ip"), (1, None), (2, "spam.digits"), (3, None)], "container_id long, reason string")
     assert {tuple(r) for r in R.book_security(rows).collect()} == {(1, True), (2, False), (3, False)}
+
+
+def test_sql_functions(spark):
+    """The helpers in SQL give what they give on columns."""
+    from modstream.functions import sql
+
+    sql.register_functions(spark)
+    rows = [("h3ll0", "hello"), ("&cvaca", "vaca"), ("vаcа", "x"), ("15m", "1h"), ("2d", "99999999999999999999d"), (None, "a"), ("hello world", "hello worle"), ("5x", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    df.createOrReplaceTempView("pairs")
+    got = spark.sql("SELECT search_text(a) f, valid_charset(a) v, parse_duration(a) d, parse_duration(b) e, round(similarity_pct(a, b), 6) s, round(jaro_winkler_pct(a, b), 6) j, strip_color_codes(a) c FROM pairs").collect()
+    a, b = F.col("a"), F.col("b")
+    want = df.select(
+        X.normalize_search(a).alias("f"), X.valid_charset(a).alias("v"), X.parse_duration(a).alias("d"), X.parse_duration(b).alias("e"), F.round(X.similarity_pct(a, b), 6).alias("s"),
+        F.round(X.jaro_winkler_pct(a, b), 6).alias("j"), X.strip_color_codes(a).alias("c"),
+    ).collect()
+    assert got == want
