@@ -54,16 +54,23 @@ def scripts_of(codes: np.ndarray) -> np.ndarray:
     return np.where(signs & ((found == 1) | (codes == 0xD7) | (codes == 0xF7)), 0, found)
 
 
+#: The script of each code point up to the last range, from the rule above.
+_SCRIPT = scripts_of(np.arange(SCRIPT_RANGES[-1][1] + 2)).astype(np.int8)
+
+
 class Words(Texts):
     """Words whose letters are of one kind of writing: runs of scripts without blanks are cut off the rest and into short words."""
 
     def __init__(self, column: pa.Array):
         super().__init__(column)
-        data = np.concatenate([self.data, np.zeros(3, np.uint8)]).astype(np.int64)
         self.leads = np.flatnonzero((self.data & 0xC0) != 0x80)
-        b, c, d, e = (data[self.leads + k] for k in range(4))
-        codes = np.select([b < 0x80, b < 0xE0, b < 0xF0], [b, (b & 31) << 6 | c & 63, (b & 15) << 12 | (c & 63) << 6 | d & 63], (b & 7) << 18 | (c & 63) << 12 | (d & 63) << 6 | e & 63)
-        self.script = scripts_of(codes)
+        first = self.data[self.leads]
+        self.script = _SCRIPT[first]
+        longer = np.flatnonzero(first >= 0x80)
+        data = np.concatenate([self.data, np.zeros(3, np.uint8)])
+        b, c, d, e = (data[self.leads[longer] + k].astype(np.int64) for k in range(4))
+        codes = np.select([b < 0xE0, b < 0xF0], [(b & 31) << 6 | c & 63, (b & 15) << 12 | (c & 63) << 6 | d & 63], (b & 7) << 18 | (c & 63) << 12 | (d & 63) << 6 | e & 63)
+        self.script[longer] = _SCRIPT[np.minimum(codes, len(_SCRIPT) - 1)]
         loose = _UNSEGMENTED[self.script]
         if loose.any():
             starts = np.zeros(len(self.data), dtype=bool)
