@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -53,9 +54,14 @@ def similarity(a: str, b: str, least: float = 0.0) -> float:
     if a == b:
         return 100.0
     longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > 0.4 * longer:
+    most = int(longer * (100 - least) / 100) + 1
+    if abs(len(a) - len(b)) > min(0.4 * longer, most):
         return 0.0
-    return (longer - edit_distance(a, b, int(longer * (100 - least) / 100) + 1)) / longer * 100
+    if most < longer:  # each edit takes away or adds at most one of a's letters that b hasn't, and the other way round
+        x, y = Counter(a), Counter(b)
+        if max((x - y).total(), (y - x).total()) > most:
+            return 0.0
+    return (longer - edit_distance(a, b, most)) / longer * 100
 
 
 class UserState:

@@ -85,3 +85,16 @@ def test_session_end():
         state.verdict({"source": "chat", "text": "hello", "at": 0.0})
     state.verdict({"source": "end_session", "text": "", "at": 0.0})
     assert state.state["tokens"] is None and state.state["repeats"] == []
+
+
+def test_similarity_of_pruned_pairs():
+    """What is skipped is below the limit, whatever the limit."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abc ", k=rng.randint(1, 30))) for _ in range(60)]
+    texts += [t[:-1] + "x" for t in texts] + [t[1:] for t in texts]
+    for a in texts:
+        b = rng.choice(texts)
+        full = S.similarity(a, b)
+        for least in (1, 50, 80, 99):
+            assert (S.similarity(a, b, least) >= least) == (full >= least)
+            assert full < least or S.similarity(a, b, least) == full
