@@ -30,10 +30,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """``shared.written`` in a session whose batches are small."""
     small_batches(df.sparkSession)
-    return shared.written(df, name)
+    return shared.written(df, name, *by)
 
 
 def whole(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modstream.llm import embeddings, language, licenses, mixing, quality, secrets, sentencepieces, simhash, substrings, url_filter
+from modstream.llm import centroids, embeddings, language, licenses, mixing, quality, secrets, sentencepieces, simhash, spelling, substrings, topk, url_filter
 from modstream.llm.common import table
 
 # Values of the queries that are to equal those of other implementations.
@@ -102,6 +102,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 _TOKEN_SQL = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _TEMPLATES_SQL = ", ".join(f"({n}, {t[0]!r}, {len(licenses.tokens(t[1]))}, {sorted(set(licenses.tokens(t[1])))!r}, {licenses.tokens(t[2])!r}, {licenses.tokens(' '.join(t[3:]))!r}::VARCHAR[])" for n, t in enumerate(licenses.TEMPLATES))
 OP3_SQL = rf"""
@@ -180,6 +192,48 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM d LEFT JOIN joined USING (doc_id)
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op8_embeddings": op8_embeddings, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+# Vectors without nulls and non-finite numbers as whole ones.
+_WHOLE_SQL = "SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+OP11_SQL = f"""
+WITH v AS ({_WHOLE_SQL}),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id != c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM pairs QUALIFY rank <= 5
+"""
+
+# CRC-32 by a table of 256 values, made from its polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE crc(tbl) AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+runs AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT d, run, count(*) AS c, hex(d || ':' || run) AS x FROM runs GROUP BY d, run),
+hashed AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]))) AS h FROM counted, crc),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+places AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT *, unnest(range(length(word)))::INT AS i FROM words)),
+one_way AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS m FROM places x JOIN places y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word != y.word
+  UNION SELECT p.word, p.n, w.word, w.n FROM places p JOIN words w ON w.word = p.a || p.b),
+near AS (SELECT * FROM one_way UNION SELECT other, m, word, n FROM one_way),
+best AS MATERIALIZED (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+ways AS (SELECT word, form AS at FROM best WHERE form IS NOT NULL UNION ALL SELECT w.word, b.form FROM ways w JOIN best b ON w.at = b.word WHERE b.form IS NOT NULL),
+roots AS (SELECT w.word, w.at AS root FROM ways w LEFT JOIN best b ON w.at = b.word WHERE b.form IS NULL)
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n FROM words w LEFT JOIN best USING (word) LEFT JOIN roots USING (word)
+"""
+
+_NEAREST_SQL = "SELECT vec_id, any_value(v.e) AS e, min({{'d': list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'j': c.j}}) AS m FROM v, c{0} c GROUP BY vec_id"
+_ROUNDS_SQL = ",\n".join(
+    f"a{r} AS MATERIALIZED ({_NEAREST_SQL.format(r)}),\n"
+    f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT j, list(f ORDER BY i) AS e FROM (SELECT m.j AS j, i, floor(sum(x)::DOUBLE / count(*)::DOUBLE)::BIGINT AS f FROM (SELECT m, unnest(e) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY m.j, i) GROUP BY j) m USING (j))"
+    for r in range(5)
+)
+OP13_SQL = f"""
+WITH v AS MATERIALIZED ({_WHOLE_SQL} AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, e FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40),
+{_ROUNDS_SQL},
+final AS MATERIALIZED ({_NEAREST_SQL.format(5)})
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.j))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.e, ',')) AS centroid_sha256 FROM final JOIN c5 ON c5.j = m.j
+"""
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_sentencepiece": op2_sentencepiece, "op3_licenses": op3_licenses, "op4_language": op4_language, "op5_url_filter": op5_url_filter, "op6_substrings": op6_substrings, "op7_simhash": op7_simhash, "op8_embeddings": op8_embeddings, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "op11_topk": op11_topk, "op12_spelling": op12_spelling, "op13_centroids": op13_centroids}
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_licenses": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_substrings": OP6_SQL, "op8_embeddings": OP8_SQL, "op10_secrets": OP10_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_licenses": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_substrings": OP6_SQL, "op8_embeddings": OP8_SQL, "op10_secrets": OP10_SQL, "op11_topk": OP11_SQL, "op12_spelling": OP12_SQL, "op13_centroids": OP13_SQL}
