@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -148,15 +148,15 @@ def mask_literals(text: Column, words: Column, mask: str = "****") -> Column:
     return F.aggregate(words, text, lambda s, w: F.regexp_replace(s, F.concat(F.lit("(?i)\\Q"), w, F.lit("\\E")), F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))))
 
 
-def filter_texts(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = RuleConfig(), text: str = "text", key: str = "msg_id", charset: Column | None = None) -> DataFrame:
+def filter_texts(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = RuleConfig(), text: str = "text", key: str = "msg_id", charset: Column | None = None, match: Callable[..., DataFrame] | None = None) -> DataFrame:
     """``messages`` with matches, filter_blocked, filter_reason, detected_word, detected_words, is_evasion, hidden and masked_text.
 
     A command term blocks first. Then the first match gives word and reason; a match spread by over 5 % of other characters is an
     evasion and blocks. Otherwise all spans are masked; hidden says that no detected word stands literally in the text. ``charset`` says
-    which rows' characters are checked, all if it isn't given.
+    which rows' characters are checked, all if it isn't given; ``match`` finds the terms, by default ``match_terms``.
     """
     t = F.col(text)
-    found = match_terms(messages, lexicon, text, key)
+    found = (match or match_terms)(messages, lexicon, text, key)
     # Columns of their own, so that what the verdict needs again and again is computed once.
     found = found.withColumns({
         "_command": of_modes(F.col("matches"), "WRITE_COMMAND"), "_words": of_modes(F.col("matches"), "STRONG", "NORMAL"),

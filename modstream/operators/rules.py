@@ -37,6 +37,13 @@ class RuleConfig:
     repeat_cooldown_s: int = 3
     flood_messages: float = 4.0
     flood_seconds: float = 2.0
+    #: Seconds after which a user's state is dropped: the bucket and near repeats since their last use, texts kept for a flood's context since the first.
+    bucket_ttl_s: float = 300.0
+    texts_ttl_s: float = 15.0
+    repeat_ttl_s: float = 3600.0
+    #: An automatic sanction for flooding: for how long, and how long no other follows.
+    sanction_s: int = 900
+    suppress_s: float = 10.0
     silent_alerts: tuple[str, ...] = field(default=())
 
 

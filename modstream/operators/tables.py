@@ -45,7 +45,7 @@ def mute_intervals(history: DataFrame, unmutes: DataFrame | None = None) -> Data
         rows = rows.union(stops)
     following = F.lead("valid_from").over(Window.partitionBy("player_id").orderBy("valid_from", "id"))
     end = F.when(F.col("duration") > 0, F.timestamp_micros(F.unix_micros("valid_from") + F.col("duration") * 1_000_000))
-    return rows.select("player_id", "scope", "valid_from", F.least(end, following).alias("valid_to"), "unmute").where("not unmute").drop("unmute")
+    return rows.select("player_id", "scope", "valid_from", F.least(end, following).alias("valid_to"), "unmute").where("not unmute and (valid_to is null or valid_to > valid_from)").drop("unmute")
 
 
 def enforce_mutes(messages: DataFrame, intervals: DataFrame) -> DataFrame:

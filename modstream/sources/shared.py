@@ -31,11 +31,31 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder."""
+    system, where = _file_system(spark, path)
+    return [str(f.getPath().toString()) for f in system.listStatus(where)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table that ``written`` made for ``df``."""
-    spark, path = df.sparkSession, df.written_path
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(df.sparkSession, df.written_path)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "row") -> DataFrame:

@@ -1,27 +1,29 @@
 """Rules with state for each user, the same fold in batch and in Structured Streaming.
 
-Batch: rows are shuffled by user once, sorted within partitions by time, and folded in one pass over the partition, so a user
-with any number of rows needs just one state in memory. Stream: the same state is kept as JSON in the state store.
+Rows are shuffled by user once, sorted within partitions by time, and folded in one pass over the partition, so a user with any number
+of rows needs just one state in memory. ``streaming.live`` does the same on a stream.
 """
 
 from __future__ import annotations
 
-import json
+import copy
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modstream.operators.rules import OCTET, RuleConfig
+from modstream.sources.shared import written
 
 #: Rows kept of a user's near repeats and fragments.
 HISTORY = 5
 FRAGMENT, JOINED = 50, 300
+#: Rows of one user that a task folds in one go where sessions can be told apart.
+HOT_ROWS = 1_000_000
 SPLIT_IP = re.compile(rf"(?<![0-9])({OCTET}(?:[^0-9]+{OCTET}){{3}})(?![0-9])")
 
 
@@ -64,30 +66,71 @@ def similarity(a: str, b: str, least: float = 0.0) -> float:
     return (longer - edit_distance(a, b, most)) / longer * 100
 
 
+#: State of a user that has no messages yet.
+FRESH = {"tokens": None, "at": 0.0, "used": None, "texts": [], "texts_from": None, "repeats": [], "repeats_used": None, "fragments": [], "sanctioned": None}
+
+
 class UserState:
-    """State of one user; times are seconds of event time."""
+    """State of one user; times are seconds of event time. Each part is dropped by its own time limit, as if the user were new to it."""
 
-    def __init__(self, cfg: RuleConfig, saved: str | None = None):
+    def __init__(self, cfg: RuleConfig, saved: dict | None = None):
         self.cfg = cfg
-        self.state = json.loads(saved) if saved else {"tokens": None, "at": 0.0, "repeats": [], "fragments": []}
-
-    def saved(self) -> str:
-        return json.dumps(self.state)
+        self.state = copy.deepcopy(FRESH) | (saved or {})
+        self.context: str | None = None
+
+    def expire(self, now: float) -> None:
+        """Drop the parts whose time is over."""
+        s, cfg = self.state, self.cfg
+        if s["used"] is not None and 0 < cfg.bucket_ttl_s <= now - s["used"]:
+            s.update(tokens=None, at=0.0, used=None)
+        if s["texts_from"] is not None and 0 < cfg.texts_ttl_s <= now - s["texts_from"]:
+            s.update(texts=[], texts_from=None)
+        if s["repeats_used"] is not None and 0 < cfg.repeat_ttl_s <= now - s["repeats_used"]:
+            s.update(repeats=[], repeats_used=None)
+        if s["sanctioned"] is not None and cfg.suppress_s <= now - s["sanctioned"]:
+            s["sanctioned"] = None
+
+    def ends(self) -> list[float]:
+        """When each part that there is will be dropped."""
+        s, cfg = self.state, self.cfg
+        limits = ((s["used"], cfg.bucket_ttl_s), (s["texts_from"], cfg.texts_ttl_s), (s["repeats_used"], cfg.repeat_ttl_s), (s["sanctioned"], cfg.suppress_s))
+        return [since + ttl for since, ttl in limits if since is not None and ttl > 0]
 
     def flood(self, now: float) -> bool:
         """Token bucket: full at first, refilled evenly; a denial leaves it as it is. True if denied."""
+        self.expire(now)
         s, full = self.state, self.cfg.flood_messages
+        s["used"] = now
         tokens = full if s["tokens"] is None else min(full, s["tokens"] + (now - s["at"]) * full / self.cfg.flood_seconds)
         if tokens < 1:
             return True
         s["tokens"], s["at"] = tokens - 1, now
         return False
 
+    def remember(self, text: str, now: float) -> None:
+        """Keep a text for the context of a denial."""
+        self.expire(now)
+        s = self.state
+        if s["texts_from"] is None:
+            s["texts_from"] = now
+        s["texts"].append(text)
+        del s["texts"][:-HISTORY]
+
+    def sanction(self, now: float) -> bool:
+        """Whether a denial leads to a sanction: not so soon after the last one."""
+        self.expire(now)
+        if self.state["sanctioned"] is not None:
+            return False
+        self.state["sanctioned"] = now
+        return True
+
     def repeat(self, text: str, now: float) -> bool:
         """Near repeats of the last texts, most recent first; beyond the limit a text is blocked for the cooldown."""
+        self.expire(now)
         text, cfg, kept = text.strip(), self.cfg, self.state["repeats"]
         if len(text) < 2:
             return False
+        self.state["repeats_used"] = now
         at = next((i for i, r in enumerate(kept) if similarity(text, r["text"], cfg.repeat_similarity) >= cfg.repeat_similarity), None)
         if at is None:
             kept.insert(0, {"text": text, "n": 1, "until": 0.0, "seen": now})
@@ -135,14 +178,18 @@ class UserState:
         ``ip`` says that the rule on addresses stops it after the flood rule, ``other`` that one of domains, digits or runs does before
         near repeats. Texts beyond the length limit are stopped before any rule. A control row ends the session.
         """
+        self.context = None
         if source == "end_session":
             self.state = UserState(self.cfg).state
             return False, False, False
         traffic, text = source == "chat", text or ""
         if len(text) > self.cfg.max_chars:
             return False, False, False
-        if traffic and self.flood(now):
-            return True, False, False
+        if traffic:
+            self.remember(text, now)
+            if self.flood(now):
+                self.context, self.state["texts"] = " | ".join(self.state["texts"]), []
+                return True, False, False
         if ip:
             return False, False, False
         if not split_off and self.split_address(text):
@@ -161,20 +208,20 @@ def _seconds(ts: str = "ts"):
     return (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("at")
 
 
-def folded(rows: DataFrame, key: str, make: Callable[[], Callable], inputs: Sequence[str], flags: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+def folded(rows: DataFrame, key: str | Sequence[str], make: Callable[[], Callable], inputs: Sequence[str], flags: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
     """``rows`` with ``flags``: a fold in order of (at, msg_id) for each ``key``, in one shuffle by it.
 
     ``make()`` gives a function of the ``inputs`` for each new key, that returns the flags of a row or, where there is one, the flag.
     """
-    keep = list(keep or rows.columns)
+    keep, keys = list(keep or rows.columns), [key] if isinstance(key, str) else list(key)
     one = len(flags) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, step = object(), None
         for batch in batches:
             column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            found = []
-            for k, *values in zip(column(key).to_pylist(), *(column(c).to_pylist() for c in inputs), strict=True):
+            found, at = [], list(zip(*(column(k).to_pylist() for k in keys), strict=True))
+            for k, *values in zip(at, *(column(c).to_pylist() for c in inputs), strict=True):
                 if k != current:
                     current, step = k, make()
                 found.append(step(*values))
@@ -182,7 +229,36 @@ def folded(rows: DataFrame, key: str, make: Callable[[], Callable], inputs: Sequ
             yield pa.record_batch([column(c) for c in keep] + [pa.array(x, pa.bool_()) for x in more], [*keep, *flags])
 
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(f, T.BooleanType()) for f in flags])
-    return rows.repartition(key).sortWithinPartitions(key, "at", "msg_id").mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "at", "msg_id").mapInArrow(run, schema)
+
+
+def with_sessions(rows: DataFrame, gap: float) -> DataFrame:
+    """``rows`` (user_id, msg_id, at) with session, the time of the last row of the user up to this one that comes ``gap`` seconds or more after the one before.
+
+    Rows are dealt into ranges of (user, time), so a user with any share of them is in many tasks. Within a range windows see the row before;
+    what goes on from range to range is a row for each range that a user enters while in another, joined back to that user's rows of the range.
+    """
+    ranged = written(rows.repartitionByRange("user_id", "at", "msg_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    order = Window.partitionBy("_range", "user_id").orderBy("at", "msg_id")
+    before = F.lag("at").over(order)
+    own = ranged.withColumn("_first", before.isNull()).withColumn("_begins", F.when(F.col("at") - before >= gap, F.col("at")))
+    own = own.withColumn("_since", F.last("_begins", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Of each range and user: first and last time, and where its last session begins; where a user has one range only, that is all.
+    ends = own.groupBy("_range", "user_id").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("_begins").alias("last"))
+    parts = Window.partitionBy("user_id").orderBy("_range")
+    ends = ends.withColumn("_begins_here", F.coalesce(F.col("low") - F.lag("high").over(parts) >= gap, F.lit(True)))
+    begun = F.coalesce("last", F.when(F.col("_begins_here"), F.col("low")))
+    carried = F.last(begun, ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("_range", F.col("user_id").alias("_user"), F.when(F.col("_begins_here"), F.col("low")).otherwise(carried).alias("_open"))
+    joined = own.join(ends.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & F.col("user_id").eqNullSafe(F.col("_user")))
+    return joined.withColumn("session", F.coalesce("_since", "_open")).select(*rows.columns, "session")
+
+
+def _by_session(events: DataFrame, gap: float) -> tuple[DataFrame, list[str]]:
+    """(rows, keys) of a fold that begins anew after ``gap`` seconds: by user, or where a user has more than HOT_ROWS rows, by session; flags are the same."""
+    rows = events.select("user_id", "msg_id", _seconds())
+    most = rows.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    return (with_sessions(rows, gap * (1 + 1e-9)), ["user_id", "session"]) if most > HOT_ROWS else (rows, ["user_id"])
 
 
 def user_rules(messages: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -192,17 +268,20 @@ def user_rules(messages: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame
 
 
 def token_bucket(events: DataFrame, capacity: float, seconds: float) -> DataFrame:
-    """(user_id, msg_id, allowed) of ``events`` (msg_id, user_id, ts): a bucket of ``capacity`` that fills in ``seconds``."""
+    """(user_id, msg_id, allowed) of ``events`` (msg_id, user_id, ts): a bucket of ``capacity`` that fills in ``seconds``.
+
+    After ``seconds`` without an event the bucket is full as at first, so a hot user's events are folded by session.
+    """
 
     def make():
-        state = UserState(RuleConfig(flood_messages=capacity, flood_seconds=seconds))
+        state = UserState(RuleConfig(flood_messages=capacity, flood_seconds=seconds, bucket_ttl_s=0))
         return lambda at: not state.flood(at)
 
-    return folded(events.select("user_id", "msg_id", _seconds()), "user_id", make, ("at",), ("allowed",), ("user_id", "msg_id"))
+    return folded(*_by_session(events, seconds), make, ("at",), ("allowed",), ("user_id", "msg_id"))
 
 
 def throttle(events: DataFrame, seconds: float) -> DataFrame:
-    """(user_id, msg_id, allowed): accepted if at least ``seconds`` after the last accepted one of the user."""
+    """(user_id, msg_id, allowed): accepted if at least ``seconds`` after the last accepted one of the user; a hot user's are folded by session, as a longer gap lets any through."""
 
     def make():
         last = None
@@ -216,7 +295,7 @@ def throttle(events: DataFrame, seconds: float) -> DataFrame:
 
         return step
 
-    return folded(events.select("user_id", "msg_id", _seconds()), "user_id", make, ("at",), ("allowed",), ("user_id", "msg_id"))
+    return folded(*_by_session(events, seconds), make, ("at",), ("allowed",), ("user_id", "msg_id"))
 
 
 def auto_sanctions(denied: DataFrame, duration: str = "15m", reason: str = "Anti-Flood Auto Mute", kind: str = "AUTO", suppress: float = 10.0) -> DataFrame:
@@ -256,33 +335,3 @@ def split_windows(messages: DataFrame) -> DataFrame:
     recent = Window.partitionBy("user_id").orderBy("ts", "msg_id").rowsBetween(1 - HISTORY, 0)
     joined = F.array_join(F.regexp_extract_all(F.array_join(F.collect_list("text").over(recent), " "), F.lit("[0-9]+"), F.lit(0)), " ")
     return rows.select("msg_id", joined.rlike(f"(?<![0-9]){OCTET}(?: {OCTET}){{3}}(?![0-9])").alias("split_ip"))
-
-
-OUTPUT = T.StructType(
-    [T.StructField("user_id", T.LongType()), T.StructField("msg_id", T.LongType()), *(T.StructField(f, T.BooleanType()) for f in FLAGS)]
-)
-
-
-def stream_user_rules(messages: DataFrame, cfg: RuleConfig = RuleConfig(), ttl_ms: int | None = 3_600_000, watermark: str = "10 minutes") -> DataFrame:
-    """``user_rules`` of a streaming ``messages``: one keyed state for all rules, dropped after ``ttl_ms`` without a message.
-
-    Needs the RocksDB state store. Rows are put in order of (ts, msg_id) within each micro-batch.
-    """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Rules(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.kept = handle.getValueState("user", T.StructType([T.StructField("saved", T.StringType())]), ttlDurationMs=ttl_ms)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            state = UserState(cfg, self.kept.get()[0] if self.kept.exists() else None)
-            frame = pd.concat(list(rows)).sort_values(["at", "msg_id"])
-            out = pd.DataFrame([{"user_id": key[0], "msg_id": r["msg_id"], **state.verdict(r)} for r in frame.to_dict("records")])
-            self.kept.update((state.saved(),))
-            yield out
-
-        def close(self) -> None:
-            pass
-
-    rows = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).select("user_id", "msg_id", _seconds(), "source", "text")
-    return rows.groupBy("user_id").transformWithStateInPandas(Rules(), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None")

@@ -19,7 +19,7 @@ def test_token_bucket():
 def test_repeat():
     state = S.UserState(CFG)
     assert [state.repeat("hello", t) for t in (0, 1, 2, 3, 6)] == [False, False, True, True, False]
-    assert not state.repeat("x", 7) and state.saved() == S.UserState(CFG, state.saved()).saved()
+    assert not state.repeat("x", 7) and state.state == S.UserState(CFG, state.state).state
 
 
 def test_split_address():
@@ -53,27 +53,33 @@ def test_batch(messages):
     assert got == want and sum(map(any, want.values())) > 20
 
 
-def test_stream_equals_batch(spark, messages, tmp_path):
-    """Micro-batches in order of time, rows within each in any order."""
-    folder = str(tmp_path / "in")
-    bounds = [1_700_000_000 + x for x in (0, 25, 50, 101)]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        part = messages.where((F.col("ts").cast("double") >= low) & (F.col("ts").cast("double") < high))
-        part.orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = S.stream_user_rules(stream, ttl_ms=None, watermark="1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    assert not query.isActive and query.exception() is None
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {tuple(r) for r in S.user_rules(messages).collect()}
-
-
 def test_throttle(spark):
     df = spark.createDataFrame([(i, 1, t) for i, t in enumerate((0, 1000, 1600, 2900, 3100))], "msg_id long, user_id long, ms long").withColumn("ts", F.timestamp_millis("ms"))
     assert [r.allowed for r in S.throttle(df, 1.5).orderBy("msg_id").collect()] == [True, False, True, False, True]
     assert [r.allowed for r in S.rate_cap(df, 1, 1).orderBy("msg_id").collect()] == [True, True, False, True, True]
 
 
+@pytest.mark.parametrize("gap", [0.5, 3.0])
+def test_sessions(spark, monkeypatch, gap):
+    """A hot user's rows are in many ranges; sessions begin where the gap is long enough, and folds by session give what those by user give."""
+    rng, at, rows = random.Random(4), 0.0, []
+    for i in range(3000):
+        at += rng.choice([0.0, 0.1, 0.4, 0.5, 2.0, 3.0])
+        rows.append((i, 7 if i % 3 else rng.randrange(6) if i % 5 else None, at))
+    df = spark.createDataFrame(rows, "msg_id long, user_id long, at double").repartition(5)
+    with_ranges = S.with_sessions(df, gap).collect()
+    last, want = {}, {}
+    for i, user, t in rows:
+        begun = last[user][1] if user in last and t - last[user][0] < gap else t
+        last[user] = (t, begun)
+        want[i] = begun
+    assert {r.msg_id: r.session for r in with_ranges} == want and len(with_ranges) == len(rows)
+    events = df.withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).drop("at")
+    plain = [S.throttle(events, gap).collect(), S.token_bucket(events, 3, gap).collect()]
+    monkeypatch.setattr(S, "HOT_ROWS", 10)
+    assert [sorted(S.throttle(events, gap).collect(), key=str), sorted(S.token_bucket(events, 3, gap).collect(), key=str)] == [sorted(p, key=str) for p in plain]
+
+
 def test_bucket_bound(messages):
     allowed = S.token_bucket(messages, 4, 2).where("allowed").drop("user_id").join(messages, "msg_id").groupBy("user_id").agg(F.count("*").alias("n"), (F.max("ts").cast("double") - F.min("ts").cast("double")).alias("t"))
     assert all(r.n <= 4 + 2 * r.t + 1 for r in allowed.collect())

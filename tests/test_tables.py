@@ -171,3 +171,29 @@ def test_numbered(spark):
     keys = [(r.k, r.row_) for r in got[1:]]
     assert keys == sorted(keys)
     assert numbered(df.limit(0), "k").count() == 0
+
+
+def test_similar_pairs(spark):
+    """All pairs above the limit and no others, for limits on both sides of where grams get shorter."""
+    import random
+
+    from modstream.functions.text import jaro_winkler
+    from modstream.operators.names import similar_pairs, winkler_pairs
+    from modstream.streaming.state import edit_distance
+
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abAB1", k=rng.randint(1, 14))) for _ in range(150)] + ["", None, "abcabcabc", "ABCabcabd", "abcabcab", "aaaaaaaa", "aaaaaaa", "Éa", "éa"]
+    names += [n[:3] + "x" + n[4:] for n in names if n]
+    table = spark.createDataFrame([(n, 1) for n in names + names[:5]], "name string, at int").repartition(3)
+
+    def similar(a, b):
+        x, y = a.lower(), b.lower()
+        longer = max(len(x), len(y))
+        return 0.0 if abs(len(x) - len(y)) > longer * 0.4 else (longer - edit_distance(x, y)) / longer * 100
+
+    distinct = sorted({n for n in names if n})
+    for least in (100, 80, 60, 35):
+        got = {(r.a, r.b): r.similarity for r in similar_pairs(table, least).collect()}
+        assert got == {(a, b): pytest.approx(similar(a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if similar(a, b) >= least}
+    assert all(r.jaro_winkler == pytest.approx(jaro_winkler(r.a, r.b)) for r in winkler_pairs(table, 80).collect())
+    assert similar_pairs(table.limit(0)).count() == 0
