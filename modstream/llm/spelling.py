@@ -162,9 +162,9 @@ def _trie_neighbours(words: DataFrame) -> DataFrame:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (id, word) to (id, kind, length, at, before, after): sums of letters by their places, two in one number.
+    """Batches of (id, word) to (id, kind, length, at, before, after, place): sums of letters by their places, two in one number.
 
-    Kind 0 has the sum of the whole word, 1 that without each letter, 2 those before and after each letter.
+    Kind 0 has the sum of the whole word, 1 that without each letter, 2 those before and after each letter; place is the letter's.
     """
     for batch in batches:
         for id_, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -187,8 +187,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for low in range(0, len(x), 50_000):
                     k = len(x[low : low + 50_000])
                     yield pa.record_batch(
-                        [pa.array([id_] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array([length] * k, pa.int32()), pa.array(place[low : low + k].astype(np.int32)), pa.array(x[low : low + k]), pa.array(y[low : low + k])],
-                        ["id", "kind", "length", "at", "before", "after"],
+                        [
+                            pa.array([id_] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array([length] * k, pa.int32()), pa.array(place[low : low + k].astype(np.int32)), pa.array(x[low : low + k]), pa.array(y[low : low + k]),
+                            pa.array(at[low : low + k].astype(np.int32)),
+                        ],
+                        ["id", "kind", "length", "at", "before", "after", "place"],
                     )
 
 
@@ -198,15 +201,21 @@ def _long_neighbours(words: DataFrame) -> DataFrame:
     A word has as many rows as letters, so its length may be anything. No more words share a row than there are letters to put there.
     """
     some = written(words.where(F.length("word") >= LONGEST).select(F.xxhash64("word").alias("id"), "word", "n"), "long-words")
-    sums = written(some.select("id", "word").mapInArrow(_sums, "id long, kind int, length int, at int, before long, after long"), "sums")
-    key, a, b = ["length", "at", "before", "after"], sums.withColumnRenamed("id", "a"), sums.withColumnRenamed("id", "b")
+    sums = written(some.select("id", "word").mapInArrow(_sums, "id long, kind int, length int, at int, before long, after long, place int"), "sums")
+    key, a, b = ["length", "at", "before", "after"], sums.withColumnRenamed("id", "a"), sums.select(F.col("id").alias("b"), "kind", "length", "at", "before", "after")
     left_out = a.where("kind = 1").drop("kind").join(b.where("kind = 0").drop("kind"), key)
     swapped = a.where("kind = 2").drop("kind").join(b.where("kind = 2").drop("kind"), key).where("a < b")
-    pairs = left_out.union(swapped).select("a", "b").distinct()
+    pairs = left_out.union(swapped).groupBy("a", "b").agg(F.min("place").alias("place"))
     named = lambda c, n: some.select(F.col("id").alias(c), F.col("word").alias(f"{c}_word"), F.col("n").alias(n))
     pairs = pairs.join(named("a", "na"), "a").join(named("b", "nb"), "b")
-    near = (F.greatest(F.length("a_word"), F.length("b_word")) > LONGEST) & (F.levenshtein("a_word", "b_word", 1) == 1)
-    return pairs.where(near).select(F.col("a_word").alias("a"), "na", F.col("b_word").alias("b"), "nb")
+    without = lambda c: F.concat(F.substring(F.col(c), F.lit(1), F.col("place")), F.substring(F.col(c), F.col("place") + 2, F.length(c)))
+    # Where the letter is known, comparing takes one look at each word.
+    same = F.when(F.length("a_word") == F.length("b_word"), without("a_word") == without("b_word")).otherwise(without("a_word") == F.col("b_word"))
+    near = (F.greatest(F.length("a_word"), F.length("b_word")) > LONGEST) & (F.col("a_word") != F.col("b_word")) & same
+    out = written(pairs.where(near).select(F.col("a_word").alias("a"), "na", F.col("b_word").alias("b"), "nb"), "long-pairs")
+    for table in (some, sums):
+        forget(table)
+    return out
 
 
 def neighbours(words: DataFrame) -> DataFrame:
