@@ -54,7 +54,7 @@ def dealt(df, folder, parts, seed, ts="ts"):
         rng.shuffle(some)
         spark.createDataFrame(some, df.schema).coalesce(1).write.mode("append").parquet(folder)
     last = {c: None for c in df.columns} | {ts: datetime.datetime.fromtimestamp(FAR, datetime.UTC).replace(tzinfo=None)}
-    last |= {c: -1 for c in ("msg_id", "user_id", "id", "player_id") if c in df.columns}
+    last |= {c: -1 for c in ("msg_id", "user_id", "id", "player_id") if c in df.columns} | ({"source": "chat"} if "source" in df.columns else {})
     spark.createDataFrame([tuple(last[c] for c in df.columns)], df.schema).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -174,7 +174,7 @@ def test_moderate_stream(spark, messages, marks, tmp_path):
 def test_sanctions_mute(spark, tmp_path):
     """With feedback, a denied user is muted until the sanction ends, and its end is told."""
     cfg = RuleConfig(sanction_s=30)
-    rows = [(i, 1, float(s), "chat", f"text number {chr(97 + i) * 3}") for i, s in enumerate([0, 0.1, 0.2, 0.3, 0.4, 5, 20, 30.3, 30.5])]
+    rows = [(i, 1, float(s), "chat", t) for i, (s, t) in enumerate(zip([0, 0.1, 0.2, 0.3, 0.4, 5, 20, 30.3, 30.5], "apple bridge cloud diving elfin forty gunship hymn ivory".split(), strict=True))]
     messages = spark.createDataFrame(rows, MESSAGES).withColumn("ts", at()).drop("s")
     stream = dealt(messages, str(tmp_path / "in"), 2, 8)
     found = run(moderate_stream(stream, terms(spark), cfg, watermark="60 seconds", feedback=True), tmp_path).cache()
