@@ -181,8 +181,10 @@ def fingerprint_components(docs: DataFrame, n: int = 3, distance: int = 2) -> Da
 WIDTH = 24
 #: Tables of candidates; each is keyed by the most decided bits of some words of the fingerprint.
 TABLES = 72
-#: Buckets up to this size are compared by a join, larger ones in Python tasks by pairs of blocks of about BLOCK members.
+#: Buckets up to this size are compared by a join, larger ones in Python tasks by pairs of blocks of about BLOCK members; the rules are the same.
 FULL, BLOCK = 16, 2048
+#: Open pairs of each two components in a bucket that are verified in each round; None stands for all.
+NEAREST = (4, None)
 
 
 def _choices(words: int = 3) -> list[tuple[int, ...]]:
@@ -249,70 +251,100 @@ def wide_fingerprints(docs: DataFrame, n: int) -> DataFrame:
 def _bounds(similarity: float) -> tuple[int, float, float]:
     """Bits that differ in pairs of at least this similarity: most in the first word; below the second number a pair is sure, above the third it isn't one."""
     p = expected_distance(similarity, 1)
-    near = math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p)))
+    near = math.ceil(BITS * p + 4.5 * math.sqrt(BITS * p * (1 - p)))
     middle, width = expected_distance(similarity), 3.5 * math.sqrt(BITS * WIDTH * p * (1 - p))
     return near, middle - width, middle + width
 
 
-def _links(prints: np.ndarray, sure: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of ``prints`` that differ in at most ``most`` bits, but of those that sure pairs (below ``sure``) connect only as many as connect them."""
+def _apart(prints: np.ndarray, i: int, others: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``others`` whose first word differs from row i's in at most ``near`` bits, and in how many all words do."""
+    others = others[np.bitwise_count(prints[others, 0] ^ prints[i, 0]) <= near]
+    return others, np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int64)
+
+
+def _sure_links(prints: np.ndarray, near: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that differ in less than ``sure`` bits: as many as connect all that such pairs connect."""
     group = np.arange(len(prints))
-    first, second = [], []
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(prints) - 1):
-        rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
-        apart = np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1, dtype=np.int64)
-        joined, at = np.unique(group[rest[apart < sure]], return_index=True)
+        rest, apart = _apart(prints, i, i + 1 + np.flatnonzero(group[i + 1 :] != group[i]), near)
+        rest = rest[apart < sure]
+        joined, at = np.unique(group[rest], return_index=True)
         if len(at):
-            near = rest[apart < sure][at]
-            first.append(np.full(len(near), i))
-            second.append(near)
+            first.append(np.full(len(at), i))
+            second.append(rest[at])
             group[np.isin(group, joined)] = group[i]
-        near = rest[(apart >= sure) & (apart <= most)]
-        first.append(np.full(len(near), ~i))
-        second.append(near)
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
-    is_open = a < 0
-    a = np.where(is_open, ~a, a)
-    wanted = ~is_open | (group[a] != group[b])
-    return a[wanted], b[wanted]
+    return np.concatenate(first), np.concatenate(second)
 
 
-def _large_buckets(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of ``rows`` (content, key, n), compared in full: every two blocks of a bucket meet in a group of their own."""
-    _, sure, most = _bounds(similarity)
+def _open_links(prints: np.ndarray, decided: np.ndarray, component: np.ndarray, table: int, near: int, most: float, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that differ in at most ``most`` bits and meet in no table before this one; the ``nearest`` of each two components, or all."""
+    words = np.array(_choices())
+    first, second, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(prints) - 1):
+        rest, apart = _apart(prints, i, i + 1 + np.flatnonzero(component[i + 1 :] != component[i]), near)
+        rest, apart = rest[apart <= most], apart[apart <= most]
+        if len(rest):
+            here = (decided[rest] == decided[i])[:, words].all(axis=2).argmax(axis=1) == table
+            first.append(np.full(here.sum(), i))
+            second.append(rest[here])
+            bits.append(apart[here])
+    a, b, apart = (np.concatenate(x) for x in (first, second, bits))
+    if nearest and len(a):
+        low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+        order = np.lexsort((apart, high, low))
+        pair = np.stack([low[order], high[order]])
+        start = np.flatnonzero(np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)])
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+        a, b = a[order[rank < nearest]], b[order[rank < nearest]]
+    return a, b
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(content, fp, at, key, n) of classes (content, fp, prints, decided): the buckets of all tables that have several members, with their sizes."""
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)) for k, t in enumerate(_choices())))
+    rows = classes.select("content", "fp", F.posexplode(keys).alias("at", "key"))
+    return written(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
 
-    def run(found: pa.Table) -> pa.Table:
-        content = found.column("content").to_numpy()
-        prints = found.column("prints").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDTH)
-        i, j = _links(prints, sure, most)
-        return pa.table({"a": np.maximum(content[i], content[j]), "b": np.minimum(content[i], content[j])})
 
+def _small_buckets(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, apart) of ``rows`` in buckets of up to FULL members, compared by a join: pairs that are near in the first word and not too far in all."""
+    near, _, most = _bounds(similarity)
+    close = may_be_near(pivot_distances(F.col("x.fp")), pivot_distances(F.col("y.fp")), near) & (hamming(F.col("x.fp"), F.col("y.fp")) <= near)
+    small = rows.where(F.col("n") <= FULL)
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("x.content > y.content").where(close)
+    pairs = pairs.select(F.col("x.content").alias("a"), F.col("y.content").alias("b")).distinct()
+    prints = classes.select("content", "prints")
+    pairs = pairs.join(prints.toDF("a", "prints_a"), "a").join(prints.toDF("b", "prints_b"), "b")
+    apart = F.aggregate(F.zip_with("prints_a", "prints_b", hamming), F.lit(0), lambda s, d: s + d)
+    return pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= most)
+
+
+def _large_buckets(rows: DataFrame) -> DataFrame:
+    """(content, at, key, i, j) of ``rows`` in buckets of more members: every two blocks of about BLOCK members meet in a group of their own."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("content"), blocks).cast("int")
     others = F.when(blocks > 1, F.array_remove(F.sequence(F.lit(0), blocks - 1), block)).otherwise(F.array(F.lit(0)))
-    dealt = rows.select("content", "key", block.alias("block"), F.explode(others).alias("other"))
-    dealt = dealt.select("content", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = dealt.join(classes.select("content", "prints"), "content")
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    dealt = rows.where(F.col("n") > FULL).select("content", "at", "key", block.alias("block"), F.explode(others).alias("other"))
+    return written(dealt.select("content", "at", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "dealt")
 
 
-def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of classes (content, fp, prints, decided) that share a bucket of any table and whose fingerprints are near enough.
+def _compared(dealt: DataFrame, members: DataFrame, similarity: float, nearest: int | None = None) -> DataFrame:
+    """(a, b) of the groups of ``dealt``: links that connect all sure pairs of a bucket, or with components in ``members`` the open pairs across them."""
+    near, sure, most = _bounds(similarity)
+    across = "component" in members.columns
 
-    Every bucket is compared in full; of a large one, pairs that sure pairs of the bucket connect already are left out.
-    """
-    near = _bounds(similarity)[0]
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("decided", w) for w in t)) for k, t in enumerate(_choices())))
-    rows = classes.select("content", "fp", F.explode(keys).alias("key"))
-    close = lambda x, y: may_be_near(pivot_distances(x), pivot_distances(y), near) & (hamming(x, y) <= near)
-    counted = Window.partitionBy("key")
-    rows = written(rows.withColumn("n", F.count("*").over(counted)).where("n > 1"), "buckets")
-    small = rows.where(F.col("n") <= FULL)
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("x.content > y.content").where(close(F.col("x.fp"), F.col("y.fp")))
-    pairs = pairs.select(F.col("x.content").alias("a"), F.col("y.content").alias("b"))
-    large = _large_buckets(rows.where(F.col("n") > FULL), classes, similarity)
-    return pairs.union(large).distinct()
+    def run(found: pa.Table) -> pa.Table:
+        longs = lambda c: found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+        content, prints = found.column("content").to_numpy(), longs("prints").view(np.uint64)
+        if across:
+            i, j = _open_links(prints, longs("decided"), found.column("component").to_numpy(), found.column("at")[0].as_py(), near, most, nearest)
+        else:
+            i, j = _sure_links(prints, near, sure)
+        return pa.table({"a": np.maximum(content[i], content[j]), "b": np.minimum(content[i], content[j])})
+
+    return dealt.join(members, "content").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _jaccard(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -335,8 +367,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     """(doc_id, digest, component, first_id): groups of texts whose sets of ``n``-word shingles have Jaccard ``similarity`` or more.
 
     Texts with the same words (A-Z without case) are a class. SimHash fingerprints of 24 x 64 bits give candidates: each of 72
-    tables is keyed by the most decided bits of three words, whatever the size of the input. Pivot tables and the Hamming distance of the
-    first word discard most pairs of small buckets, the distance of all words decides those well above or below, and for the rest the shingles themselves are compared. first_id is the smallest doc_id of the group.
+    tables is keyed by the most decided bits of three words, whatever the size of the input. In buckets of all sizes the first word's Hamming
+    distance (in small ones also its pivot table) discards pairs, and the distance of all words decides those well above or below. Those well
+    above are linked at once; of the rest only pairs across the components that these make are left, and have their shingles compared: first
+    the nearest of each two components, as most of them connect, then all that still lie across. A pair comes out of the first bucket it
+    shares only. first_id is the smallest doc_id of the group.
     Texts without words form a class. digest tells rows of one id apart. Null ids are allowed; no rows give no rows.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
@@ -344,28 +379,33 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     found = written(wide_fingerprints(rows, n), "prints")
     classes = found.where("n_shingles > 0").groupBy("content").agg(*(F.first(c).alias(c) for c in ("digest", "prints", "decided")))
     classes = written(classes.withColumn("fp", F.get("prints", 0)), "classes")
-    candidates = written(_candidates(classes, similarity), "candidates")
-    prints = classes.select("content", "prints")
-    pairs = candidates.join(prints.toDF("a", "prints_a"), "a").join(prints.toDF("b", "prints_b"), "b")
-    apart = F.aggregate(F.zip_with("prints_a", "prints_b", hamming), F.lit(0), lambda s, d: s + d)
-    _, low, high = _bounds(similarity)
-    pairs = written(pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= high), "pairs")
-    sure = pairs.where(F.col("apart") < low).select("a", "b")
-    # Pairs that sure ones connect already need no further look.
-    known = written(connected_components(sure).toDF("id", "component"), "sure")
-    open_pairs = pairs.where(F.col("apart") >= low).select("a", "b")
-    named = open_pairs.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
-    open_pairs = written(named.where("ca is null or cb is null or ca != cb").select("a", "b"), "open")
-    ids = open_pairs.select(F.col("a").alias("content")).union(open_pairs.select("b")).distinct()
-    wanted = written(ids.join(classes.select("content", F.col("digest").alias("d")), "content"), "wanted")
-    texts = rows.join(small_side(wanted, 500_000), F.col("digest") == F.col("d")).dropDuplicates(["content"])
-    verified = _jaccard(texts, open_pairs, n).where(F.col("similarity") >= similarity).select("a", "b")
-    linked = written(connected_components(sure.union(verified)).toDF("content", "component"), "linked")
+    buckets = _buckets(classes)
+    small, dealt = written(_small_buckets(buckets, classes, similarity), "pairs"), _large_buckets(buckets)
+    low = _bounds(similarity)[1]
+    links = written(small.where(F.col("apart") < low).select("a", "b").union(_compared(dealt, classes.select("content", "prints"), similarity)), "links")
+    linked = written(connected_components(links).toDF("content", "component"), "linked")
+    for nearest in NEAREST:
+        named = classes.select("content", "prints", "decided").join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
+        open_pairs = _compared(dealt, named, similarity, nearest)
+        if nearest == NEAREST[0]:
+            of = lambda c: linked.select(F.col("content").alias(c), F.col("component").alias(f"of_{c}"))
+            across = small.where(F.col("apart") >= low).join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a != of_b")
+            open_pairs = open_pairs.union(across.select("a", "b")).distinct()
+        open_pairs = written(open_pairs, "open")
+        ids = open_pairs.select(F.col("a").alias("content")).union(open_pairs.select("b")).distinct()
+        wanted = written(ids.join(classes.select("content", F.col("digest").alias("d")), "content"), "wanted")
+        texts = rows.join(small_side(wanted, 500_000), F.col("digest") == F.col("d")).dropDuplicates(["content"])
+        verified = _jaccard(texts, open_pairs, n).where(F.col("similarity") >= similarity).select("a", "b")
+        before = (links, linked, open_pairs, wanted)
+        links = written(links.union(verified), "links")
+        linked = written(connected_components(links).toDF("content", "component"), "linked")
+        for table in before:
+            forget(table)
     grouped = found.select("doc_id", "digest", "content").join(linked, "content", "left")
     grouped = grouped.select("doc_id", "digest", F.coalesce("component", "content").alias("component"))
     least = written(grouped.groupBy("component").agg(F.min("doc_id").alias("first_id")), "least")
     out = written(grouped.join(least, "component").select("doc_id", "digest", "component", "first_id"), "groups")
-    for table in (found, classes, candidates, pairs, known, open_pairs, wanted, linked, least):
+    for table in (found, classes, buckets, small, dealt, links, linked, least):
         forget(table)
     return out
 

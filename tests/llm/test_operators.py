@@ -452,6 +452,14 @@ def classes_of(spark, prints, decided):
     return spark.createDataFrame(rows, "content long, fp long, prints array<long>, decided array<long>")
 
 
+def candidates(classes, similarity=0.8):
+    """Sure links and open pairs of classes that are no components yet."""
+    rows = simhash._buckets(classes)
+    dealt, alone = simhash._large_buckets(rows), classes.withColumn("component", F.col("content"))
+    some = [simhash._small_buckets(rows, classes, similarity).select("a", "b"), simhash._compared(dealt, classes, similarity), simhash._compared(dealt, alone, similarity)]
+    return some[0].union(some[1]).union(some[2]).distinct()
+
+
 @pytest.mark.parametrize("block", [2048, 50])
 def test_large_buckets_are_compared_in_full(spark, monkeypatch, block):
     """One bucket of 150 pairs and a family of 60: all pairs are found, the family is connected."""
@@ -462,11 +470,33 @@ def test_large_buckets_are_compared_in_full(spark, monkeypatch, block):
     prints = rng.integers(-(2**63), 2**63, (151, simhash.WIDTH))
     prints = np.concatenate([prints, prints[:150] ^ 7, prints[150:] ^ (1 << np.arange(59))[:, None]])
     classes = classes_of(spark, prints, [[1] * simhash.WIDTH] * len(prints))
-    got = [(r.a, r.b) for r in simhash._candidates(classes, 0.8).collect()]
+    got = [(r.a, r.b) for r in candidates(classes).collect()]
     want = {i: i % 151 for i in range(301)} | {i: 150 for i in range(301, 360)}
     assert components(range(360), got) == want
 
 
+@pytest.mark.parametrize("full", [16, 1])
+def test_family_at_the_threshold(spark, monkeypatch, full):
+    """Copies that differ from each other by about as much as the threshold: whatever buckets they are in, they are linked as by all pairs."""
+    monkeypatch.setattr(simhash, "FULL", full)
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for edits in (2, 3, 4, 5):
+        base = rng.choices(words, k=150)
+        for _ in range(30):
+            copy = list(base)
+            for i in rng.sample(range(150), edits):
+                copy[i] = rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = components(range(len(texts)), links)
+    got = {r.doc_id: r.first_id for r in simhash.near_duplicates(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert len(set(want.values())) > 20 and sum(got[i] != want[i] for i in want) <= 0.03 * len(want)
+    assert all(want[i] == want[got[i]] for i in want)
+
+
 def pairs_near(similarity, n, seed=8):
     """Classes' fingerprints of ``n`` pairs of sets of hashes with this Jaccard similarity: of pair i the rows i and n + i."""
     import numpy as np
@@ -489,9 +519,9 @@ def test_recall_does_not_depend_on_size(spark, monkeypatch):
 
     prints, decided = pairs_near(0.8, 400)
     classes = classes_of(spark, prints, decided.tolist())
-    few = {(r.a, r.b) for r in simhash._candidates(classes, 0.8).collect()}
+    few = {(r.a, r.b) for r in candidates(classes).collect()}
     monkeypatch.setattr(DataFrame, "count", lambda self: 2**22)
-    many = {(r.a, r.b) for r in simhash._candidates(classes, 0.8).collect()}
+    many = {(r.a, r.b) for r in candidates(classes).collect()}
     assert few == many and sum((400 + i, i) in many for i in range(400)) >= 0.9 * 400
 
 
