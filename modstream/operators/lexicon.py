@@ -149,10 +149,11 @@ def mask_literals(text: Column, words: Column, mask: str = "****") -> Column:
 
 
 def filter_texts(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = RuleConfig(), text: str = "text", key: str = "msg_id", charset: Column | None = None, match: Callable[..., DataFrame] | None = None) -> DataFrame:
-    """``messages`` with matches, filter_blocked, filter_reason, detected_word, detected_words, is_evasion, hidden and masked_text.
+    """``messages`` with matches, filter_blocked, filter_reason, detected_word, detected_words, is_evasion, hidden, masked_text and literal_text.
 
     A command term blocks first. Then the first match gives word and reason; a match spread by over 5 % of other characters is an
-    evasion and blocks. Otherwise all spans are masked; hidden says that no detected word stands literally in the text. ``charset`` says
+    evasion and blocks. Otherwise all spans are masked; in literal_text, what chat shows, it is every place where a detected word stands
+    literally, whatever is around it. hidden says that no detected word stands literally in the text. ``charset`` says
     which rows' characters are checked, all if it isn't given; ``match`` finds the terms, by default ``match_terms``.
     """
     t = F.col(text)
@@ -168,6 +169,7 @@ def filter_texts(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = Rule
     })
     names, evasion = F.col("_names"), F.col("_evasion")
     by_command, any_word = F.size(command) > 0, F.size(words) > 0
+    found = found.withColumn("literal_text", F.when(any_word, mask_literals(t, names, cfg.mask)).otherwise(t))
     reason = (
         F.when(by_command, "WriteCommand").when(invalid, "Zalgo/Unicode").when(any_word & evasion, "Evasion")
         .when(any_word & F.lit(not cfg.replacement), "Filter (Total Block)").when(any_word, F.concat(F.lit("Filter ("), F.get(names, 0), F.lit(")")))
@@ -178,8 +180,9 @@ def filter_texts(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = Rule
         F.when(by_command, F.get(command, 0).word).when(invalid, "Unicode").otherwise(F.get(names, 0)).alias("detected_word"),
         F.when(by_command, F.array(F.get(command, 0).word)).otherwise(names).alias("detected_words"),
         (by_command | invalid | (any_word & evasion)).alias("is_evasion"),
-        F.when(any_word, mask_literals(t, names, cfg.mask) == t).otherwise(False).alias("hidden"),
+        F.when(any_word, F.col("literal_text") == t).otherwise(False).alias("hidden"),
         F.when(any_word & ~by_command, mask_matches(t, words, cfg.mask)).otherwise(t).alias("masked_text"),
+        F.when(~by_command, F.col("literal_text")).otherwise(t).alias("literal_text"),
     )
 
 

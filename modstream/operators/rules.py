@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ class RuleConfig:
 
     max_chars: int = 1000
     digits: int = 7
+    #: The limit on digits in written things (signs, books, items), where ``digits`` is that of chat and commands.
+    digits_written: int = 7
     caps: int = 15
     char_run: int = 5
     word_run: int = 3
@@ -104,8 +106,24 @@ def first_domain(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed
     return F.get(find_domains(text, endings, allowed, words), 0)
 
 
-def digit_limit(text: Column, limit: int) -> Column:
-    return F.lit(False) if limit <= 0 else F.regexp_count(text, F.lit("\\p{Nd}")) > limit
+def digit_limit(text: Column, limit: int | Column) -> Column:
+    """More than ``limit`` digits, the limit being a number or that of each row; none for a limit of 0 or less."""
+    found = F.regexp_count(text, F.lit("\\p{Nd}"))
+    if isinstance(limit, Column):
+        return (limit > 0) & (found > limit)
+    return F.lit(False) if limit <= 0 else found > limit
+
+
+#: Sources whose texts are written things.
+WRITTEN = ("sign", "book", "anvil")
+
+
+def _of_source(df: DataFrame, cfg: RuleConfig) -> RuleConfig:
+    """``cfg`` with the limits of each row's source."""
+    if cfg.digits == cfg.digits_written or "source" not in df.columns:
+        return cfg
+    written = F.coalesce(F.col("source").isin(list(WRITTEN)), F.lit(False))
+    return replace(cfg, digits=F.when(written, cfg.digits_written).otherwise(cfg.digits))
 
 
 def char_run(text: Column, limit: int) -> Column:
@@ -176,8 +194,8 @@ def is_exempt(exempt: Column | None, name: str) -> Column:
 
 
 def rule_hits(df: DataFrame, cfg: RuleConfig, text: str, exempt: Column | None = None) -> DataFrame:
-    """``df`` with hits, a struct of what each of RULES found in ``text``, by its reason."""
-    t = F.col(text)
+    """``df`` with hits, a struct of what each of RULES found in ``text``, by its reason; limits are those of the row's source, where it has one."""
+    t, cfg = F.col(text), _of_source(df, cfg)
     free = lambda r: is_exempt(exempt, EXEMPT_BY[r]) if exempt is not None and r in EXEMPT_BY else F.lit(False)
     return df.withColumn("hits", F.struct(*(F.when(~free(r), rule(t, cfg)).alias(r) for r, rule in RULES.items())))
 

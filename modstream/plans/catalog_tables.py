@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,11 @@ from modstream.operators import reports as P
 from modstream.operators import tables as T
 from modstream.plans.catalog_text import FORM_SQL, LEXICON_SQL, lexicon, read
 from modstream.sources import io
+from modstream.sources.days import append_days, day_of, purge_days, read_days
+from modstream.sources.shared import shared_dir
 
 NOW_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
+PURGED_AT = dt.datetime(2024, 1, 25, 10, 30, tzinfo=dt.UTC)
 
 
 def now():
@@ -263,11 +269,22 @@ def labels_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", X.sanitize_label(F.col("p_name")).alias("name"), X.sanitize_label(F.col("p_type")).alias("type"))
 
 
+def purged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by day of events, kept as a table by days, after a purge in the middle of a day."""
+    folder = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    append_days(read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), folder, "audit", "ts")
+    purge_days(spark, folder, "audit", "ts", 10 * 86_400, PURGED_AT)
+    left = read_days(spark, folder, "audit")
+    return left.groupBy(F.unix_date(day_of(F.col("ts"))).alias("day")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+PURGED_DAYS_SQL = "SELECT (epoch_us(ts) // 86400000000)::INT AS day, count(*) AS n, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-25 10:30:00' - INTERVAL 10 DAY GROUP BY 1"
+
 QUERIES = {
     f.__name__: f
     for f in (
         pending_words, named_history, ids_of_names, mute_enforcement, permissions, login, registered, mute_state, expired_mutes, sanctions, purged, submitted, reviewed, lexicon_changes, lexicon_pages,
-        audit_details, audit_latest, log_pages, violation_log, alert_rows, pending_pages, user_reports, labels_clean,
+        audit_details, audit_latest, log_pages, violation_log, alert_rows, pending_pages, user_reports, labels_clean, purged_days,
     )
 }
 
@@ -292,7 +309,7 @@ SELECT word, mode FROM added WHERE word NOT IN ('red', 'r3d', 'tion')""",
     "violation_log": "SELECT event_id AS id, user_id::VARCHAR AS player_name, props AS content, 'Anti-Ip' AS category, CASE WHEN event_id % 4 != 0 THEN event_type ELSE 'Unknown' END AS source FROM events WHERE value > 20 AND event_id % 3 != 0",
     "alert_rows": "SELECT r_regionkey AS recipient_id, 'Anti-Ip' AS category, 'chat' AS source, count(*) AS n FROM events, region WHERE value > 20 AND event_id % 3 != 0 AND event_id % 4 != 0 AND r_regionkey % 2 = 0 GROUP BY 1",
     "pending_pages": "WITH " + SUGGESTIONS + "SELECT id, suggestion FROM sugg WHERE status = 'pending' ORDER BY id LIMIT 10 OFFSET 10",
-    "user_reports": REPORT_SQL,
+    "user_reports": REPORT_SQL, "purged_days": PURGED_DAYS_SQL,
     "labels_clean": r"""WITH l AS (SELECT p_partkey, trim(regexp_replace(p_name, '[^A-Za-z0-9_\-: ]', '', 'g')) AS n, trim(regexp_replace(p_type, '[^A-Za-z0-9_\-: ]', '', 'g')) AS t FROM part)
 SELECT p_partkey, CASE WHEN length(n) BETWEEN 2 AND 20 THEN n ELSE 'Unknown' END AS name, CASE WHEN length(t) BETWEEN 2 AND 20 THEN t ELSE 'Unknown' END AS type FROM l""",
 }

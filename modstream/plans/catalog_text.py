@@ -9,6 +9,8 @@ from modstream.functions import text as X
 from modstream.functions.fixed import SAFE_TAGS
 from modstream.operators import lexicon as L
 from modstream.operators import rules as R
+from modstream.operators import versions as V
+from modstream.operators.names import similar_pairs
 from modstream.plans.moderation import moderate
 from modstream.sources import io
 from modstream.streaming import state as S
@@ -153,6 +155,33 @@ def winkler_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(other, "p_partkey").select("p_partkey", F.round(X.jaro_winkler_pct("p_name", "before"), 6).alias("jw"))
 
 
+def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of terms and part names that resemble each other."""
+    names = lexicon(spark, sf_dir).select(F.col("word").alias("name")).union(read(spark, sf_dir, "part").select("p_name"))
+    return similar_pairs(names, 70).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+# The distance there counts bytes, so letters of two bytes get one of their own.
+SIMILAR_TERMS_SQL = """, names AS (SELECT DISTINCT name, translate(lower(name), 'ßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*+=') AS low FROM (SELECT word AS name FROM lexicon UNION ALL SELECT p_name FROM part) WHERE name != ''),
+pairs AS (SELECT a.name AS a, b.name AS b, greatest(length(a.name), length(b.name)) AS n, abs(length(a.name) - length(b.name)) AS d, levenshtein(a.low, b.low) AS edits FROM names a JOIN names b ON a.name < b.name)
+SELECT a, b, round((n - edits) / n::DOUBLE * 100, 6)::DOUBLE AS similarity FROM pairs WHERE d <= 0.4 * n AND (n - edits) / n::DOUBLE * 100 >= 70"""
+
+
+def term_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When terms hold: events add and take away their type as a term, in any order."""
+    rows = read(spark, sf_dir, "events")
+    mode = F.when(F.col("user_id") % 2 == 0, "STRONG").otherwise("NORMAL")
+    changes = rows.select(F.col("event_type").alias("word"), mode.alias("mode"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3 != 0).alias("added"))
+    found = V.changed(spark.createDataFrame([], V.VERSIONS), changes)
+    return found.select("word", "mode", F.unix_micros("valid_from").alias("since"), F.unix_micros("valid_to").alias("until"))
+
+
+VERSIONS_SQL = """WITH change AS (SELECT DISTINCT event_type AS word, CASE WHEN user_id % 2 = 0 THEN 'STRONG' ELSE 'NORMAL' END AS mode, epoch_us(ts) AS t, event_id % 3 != 0 AS added FROM events),
+turn AS (SELECT * FROM (SELECT *, lag(added) OVER (PARTITION BY word, mode ORDER BY t, added) AS before FROM change) WHERE added != coalesce(before, false)),
+span AS (SELECT *, lead(t) OVER (PARTITION BY word, mode ORDER BY t, added) AS until FROM turn)
+SELECT word, mode, t AS since, until FROM span WHERE added AND (until IS NULL OR until > t)"""
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("msg_id", F.concat(F.lit("/"), "text").alias("text"))
     split = rows.withColumn("c", X.split_command(F.col("text")))
@@ -257,8 +286,10 @@ def moderated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MODERATED_SQL = (
     LINES.replace("lines AS (", "plain AS (") + ", " + LEXICON_SQL + ", " + MATCHED_SQL.replace("FROM lines", "FROM plain") + f""",
+literal AS (SELECT msg_id, list_reduce(list_prepend(text, list_filter(ws, lambda w, i: list_position(ws, w) = i)), lambda s, w: regexp_replace(s, '(?i)' || w, '****', 'g')) AS literal_text
+  FROM (SELECT msg_id, any_value(text) AS text, list(word ORDER BY s, rank, e, word) AS ws FROM matched GROUP BY msg_id)),
 termed AS (SELECT plain.*, detected_word, CASE WHEN spread THEN 'Evasion' WHEN names IS NOT NULL AND len(list_filter(names, lambda x: contains(lower(plain.text), x))) = 0 THEN 'Evasion/Hidden Characters' END AS by_terms,
-  coalesce(masked_text, plain.text) AS checked FROM plain LEFT JOIN masked USING (msg_id)),
+  coalesce(literal_text, plain.text) AS checked FROM plain LEFT JOIN masked USING (msg_id) LEFT JOIN literal USING (msg_id)),
 cleared AS (SELECT *, {CONTROL_SQL.format("checked")} AS message, {SAFE_SQL.format(CONTROL_SQL.format("checked"))} AS final FROM termed),
 lines AS (SELECT *, regexp_replace(final, '<[!?#/]?[a-z0-9_-]*(?::[^<>]*)?>', '', 'g') AS text FROM (SELECT * EXCLUDE (text) FROM cleared)), """
     + DOMAINS_SQL + f""", first_domain AS (SELECT msg_id, first(d ORDER BY i) AS d FROM domain GROUP BY 1), worded AS (SELECT *, list_filter(string_split(lower(text), ' '), lambda x: x != '') AS w FROM lines),
@@ -397,7 +428,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         moderation_verdicts, rule_flags, domains, ip_addresses, search_forms, clean_texts, charset_gate, injection, similar_names, winkler_names, commands, durations, kwic_lines,
-        lexicon_words, term_counts, filtered_lines, moderated, moderated_texts, disguised_forms, user_rule_flags, toxic_verdicts, token_bucket, throttled, rate_capped, flood_contexts, split_ip_windows, books, moderated_books, alert_classes,
+        lexicon_words, term_counts, filtered_lines, moderated, moderated_texts, disguised_forms, user_rule_flags, toxic_verdicts, token_bucket, throttled, rate_capped, flood_contexts, split_ip_windows, books, moderated_books, alert_classes, similar_terms, term_versions,
     )
 }
 
@@ -405,5 +436,5 @@ ORACLE_SQL = {
     "moderation_verdicts": VERDICTS, "rule_flags": FLAGS_SQL, "ip_addresses": IP_SQL, "search_forms": FORMS_SQL, "clean_texts": CLEAN_SQL, "charset_gate": GATE_SQL, "similar_names": SIMILAR_SQL,
     "commands": COMMANDS_SQL, "durations": DURATIONS_SQL, "kwic_lines": KWIC_SQL, "lexicon_words": "WITH " + LEXICON_SQL + "SELECT word, mode FROM lexicon", "term_counts": TERMS_SQL, "toxic_verdicts": TOXIC_SQL,
     "domains": SPELLED_SQL, "filtered_lines": FILTERED_SQL, "moderated_texts": MODERATED_SQL, "injection": INJECTION_SQL, "winkler_names": WINKLER_SQL, "moderated_books": BOOK_PAGES_SQL, "disguised_forms": FORM_OF_DISGUISED_SQL,
-    "token_bucket": BUCKET_SQL, "throttled": THROTTLE_SQL, "rate_capped": RATE_SQL, "flood_contexts": CONTEXT_SQL, "split_ip_windows": SPLIT_SQL, "books": BOOKS_SQL, "alert_classes": ALERTS_SQL,
+    "token_bucket": BUCKET_SQL, "throttled": THROTTLE_SQL, "rate_capped": RATE_SQL, "flood_contexts": CONTEXT_SQL, "split_ip_windows": SPLIT_SQL, "books": BOOKS_SQL, "alert_classes": ALERTS_SQL, "similar_terms": "WITH " + LEXICON_SQL + SIMILAR_TERMS_SQL, "term_versions": VERSIONS_SQL,
 }

@@ -66,7 +66,7 @@ def _prepared(rows: DataFrame, lexicon: DataFrame, cfg: RuleConfig, permissions:
     hidden = chat & F.col("hidden") & F.lit(cfg.replacement) & ~F.col("filter_blocked")
     stops = (F.col("filter_blocked") & (~command | (F.col("filter_reason") == "WriteCommand")) | hidden) & ~F.col("no_terms")
     reason = F.when(hidden, "Evasion/Hidden Characters").otherwise(F.col("filter_reason"))
-    checked = F.when(~command, F.col("masked_text")).otherwise(F.col("text"))
+    checked = F.when(chat, F.col("literal_text")).when(~command, F.col("masked_text")).otherwise(F.col("text"))
     found = found.select(
         "msg_id", "user_id", "ts", "source", "muted", "passes", "exempt_from", "shown", F.when(spam_first, F.col("text")).otherwise(checked).alias("checked"), checked.alias("masked_text"),
         F.when(stops, reason).alias("by_terms"), F.when(stops, F.col("detected_word")).alias("term"),
@@ -124,7 +124,8 @@ def moderate(messages: DataFrame, lexicon: DataFrame, cfg: RuleConfig = RuleConf
 
     A muted user's message is blocked; one who holds the permission of the source passes (with that of commands only the term lists);
     neither reaches a rule. The term lists come first, but last in books and on items. What they block goes no further, in chat
-    also what hides its words from the mask; what they mask goes on masked. Commands meet only command terms. The spam rules take the
+    also what hides its words from the mask; what they mask goes on masked: in chat every literal place of the
+    words found, elsewhere the places found. Commands meet only command terms. The spam rules take the
     text as it is sent for its length, then without invisible characters; markup and placeholders that aren't safe block it, or are
     rewritten for all that follows; then come flood, address, split address, domain, digits, runs and near repeats, on the text without
     tags. A message that a rule stops doesn't reach the state of the next ones. In chat many capitals are lowered. A user's

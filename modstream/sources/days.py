@@ -19,8 +19,8 @@ def day_of(ts: Column) -> Column:
 
 
 def append_days(df: DataFrame, folder: str, name: str, ts: str) -> None:
-    """``df`` added to the table ``name``, each row in the folder of its day."""
-    df.withColumn("day", day_of(F.col(ts))).write.mode("append").partitionBy("day").parquet(f"{folder}/{name}")
+    """``df`` added to the table ``name``, each row in the folder of its day. A day's rows are brought together first, those of a large one in several parts."""
+    df.withColumn("day", day_of(F.col(ts))).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{folder}/{name}")
 
 
 def read_days(spark: SparkSession, folder: str, name: str, since: dt.date | None = None) -> DataFrame:

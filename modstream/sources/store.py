@@ -43,6 +43,20 @@ def _run(connection, sql: str) -> int:
         statement.close()
 
 
+def _staged(df: DataFrame, url: str, table: str, staging: str, batch: int, options: dict[str, str]) -> None:
+    """Write ``df`` to a new table ``staging`` whose columns have the types of those of ``table``; one left by a lost job is dropped."""
+    spark, none = df.sparkSession, "WITH NO DATA" if url.split(":")[1] == "derby" else "WHERE 1 = 0"
+    with _connection(spark, url) as connection:
+        found, there = connection.getMetaData().getTables(None, None, "%", None), False
+        while found.next():
+            there |= found.getString("TABLE_NAME").lower() == staging.lower()
+        found.close()
+        if there:
+            _run(connection, f"DROP TABLE {staging}")
+        _run(connection, f"CREATE TABLE {staging} AS SELECT {', '.join(df.columns)} FROM {table} {none}")
+    df.write.format("jdbc").mode("append").options(url=url, dbtable=staging, batchsize=str(batch), **options).save()
+
+
 def merge_sql(url: str, table: str, staging: str, columns: Sequence[str], keys: Sequence[str], keep: Sequence[str] = ()) -> str:
     """The statement that puts the rows of ``staging`` into ``table`` by ``keys``: new ones in, known ones renewed but for the columns ``keep``.
 
@@ -72,7 +86,7 @@ def upsert(df: DataFrame, url: str, table: str, keys: Sequence[str], order: Sequ
     rows = df.dropna(subset=list(keys))
     last = F.struct(*(F.col(c) for c in (*order, *(c for c in df.columns if c not in keys and c not in order))))
     rows = rows.groupBy(*keys).agg(F.max(last).alias("_last")).select(*keys, "_last.*").select(*df.columns) if len(df.columns) > len(keys) else rows.distinct()
-    rows.write.format("jdbc").mode("overwrite").options(url=url, dbtable=staging, batchsize=str(batch), **options).save()
+    _staged(rows, url, table, staging, batch, options)
     with _connection(spark, url) as connection:
         changed = _run(connection, merge_sql(url, table, staging, df.columns, keys, keep))
         _run(connection, f"DROP TABLE {staging}")
@@ -82,7 +96,7 @@ def upsert(df: DataFrame, url: str, table: str, keys: Sequence[str], order: Sequ
 def delete_rows(keys: DataFrame, url: str, table: str, staging: str | None = None, **options: str) -> int:
     """Delete the rows of ``table`` whose key is in ``keys`` (one column, of the key's name), in one transaction; how many there were."""
     (key,), staging = keys.columns, staging or f"{table}_gone"
-    keys.dropna().distinct().write.format("jdbc").mode("overwrite").options(url=url, dbtable=staging, **options).save()
+    _staged(keys.dropna().distinct(), url, table, staging, 10_000, options)
     with _connection(keys.sparkSession, url) as connection:
         changed = _run(connection, f"DELETE FROM {table} WHERE {key} IN (SELECT {key} FROM {staging})")
         _run(connection, f"DROP TABLE {staging}")
