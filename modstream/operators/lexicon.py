@@ -24,7 +24,8 @@ SEED = 4
 
 
 @functools.lru_cache(maxsize=4)
-def _automaton(terms: tuple[tuple[str, str], ...]):
+def automaton_of(terms: tuple[tuple[str, str], ...]):
+    """An automaton of (word, mode); what it finds is (word, its modes). A worker keeps the last few."""
     import ahocorasick
 
     found: dict[str, list[str]] = {}
@@ -42,7 +43,7 @@ def _by_automaton(messages: DataFrame, terms: list[tuple[str, str]], text: str)
 
     @F.arrow_udf(MATCH)
     def matched(texts: pa.Array) -> pa.Array:
-        automaton = _automaton(sent.value) if sent.value else None
+        automaton = automaton_of(sent.value) if sent.value else None
         ends_of, columns = [0], tuple([] for _ in _MATCH)
         words, modes, starts, ends, raw_starts, raw_ends = columns
         for value in texts.to_pylist():

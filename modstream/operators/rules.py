@@ -65,17 +65,26 @@ def find_blacklisted(text: Column, blacklist: Sequence[str]) -> Column:
     return F.when(found != "", found)
 
 
+def dot_pattern(words: Sequence[str] = DOT_WORDS) -> str:
+    """Words for a dot, alone or in brackets."""
+    union = "|".join(words)
+    return f"(?i)\\[\\s*(?:{union})\\s*\\]|\\(\\s*(?:{union})\\s*\\)|\\{{\\s*(?:{union})\\s*\\}}|<\\s*(?:{union})\\s*>|\\b(?:{union})\\b"
+
+
 def dedot(text: Column, words: Sequence[str] = DOT_WORDS) -> Column:
     """Signs, and words for a dot (alone or in brackets), as dots; dots next to each other as one."""
-    union = "|".join(words)
-    spelled = F.regexp_replace(text, f"(?i)\\[\\s*(?:{union})\\s*\\]|\\(\\s*(?:{union})\\s*\\)|\\{{\\s*(?:{union})\\s*\\}}|<\\s*(?:{union})\\s*>|\\b(?:{union})\\b", ".")
-    return F.regexp_replace(spelled, "[\\p{P}\\p{S}]+", ".")
+    return F.regexp_replace(F.regexp_replace(text, dot_pattern(words), "."), "[\\p{P}\\p{S}]+", ".")
 
 
-def may_have_domain(text: Column, endings: Sequence[str], words: Sequence[str]) -> Column:
-    """A quick test that every text with a domain passes: a dot, a sign or a word for one, then any ending, with blanks among its letters."""
+def domain_pattern(endings: Sequence[str] = BLOCKED_ENDINGS, words: Sequence[str] = DOT_WORDS) -> str:
+    """What every text with a domain has: a dot, a sign or a word for one, then any ending, with blanks among its letters."""
     spread = "|".join("\\s*".join(e) for e in endings)
-    return text.rlike(f"(?iU)(?:[\\p{{P}}\\p{{S}}]|{'|'.join(words)})\\s*(?:{spread})")
+    return f"(?iU)(?:[\\p{{P}}\\p{{S}}]|{'|'.join(words)})\\s*(?:{spread})"
+
+
+def may_have_domain(text: Column, endings: Sequence[str], words: Sequence[str]) -> Column:
+    """A quick test that every text with a domain passes."""
+    return text.rlike(domain_pattern(endings, words))
 
 
 def find_domains(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed: Sequence[str] = (), words: Sequence[str] = DOT_WORDS) -> Column:

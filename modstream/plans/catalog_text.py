@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modstream.functions import text as X
 from modstream.functions.fixed import SAFE_TAGS
+from modstream.functions.sql import register_functions, register_matcher
 from modstream.operators import lexicon as L
 from modstream.operators import rules as R
 from modstream.operators import versions as V
@@ -52,6 +53,17 @@ SPELLED_SQL = LINES.replace("lines AS (", "plain AS (") + r""", lines AS (SELECT
 SELECT d AS domain, count(*) AS n FROM domain WHERE d NOT IN ('google.com', 'example.com') GROUP BY 1"""
 
 
+def sql_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of lines and urls, found from SQL."""
+    register_functions(spark)
+    texts = lines(spark, sf_dir).select("text").union(read(spark, sf_dir, "pages").select("url"))
+    return spark.sql("SELECT domain, count(*) AS n FROM (SELECT explode(ds) AS domain FROM (SELECT find_domains(text) AS ds FROM {texts})) GROUP BY domain", texts=texts)
+
+
+SQL_DOMAINS_SQL = LINES.replace("lines AS (", "plain AS (") + ", lines AS (SELECT 2 * msg_id AS msg_id, text FROM plain UNION ALL SELECT 2 * page_id + 1, url FROM pages), " + DOMAINS_SQL + """
+SELECT d AS domain, count(*) AS n FROM domain GROUP BY 1"""
+
+
 def moderation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = R.spam_chain(lines(spark, sf_dir))
     return ruled.groupBy("origin", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.col("modified").cast("long")).alias("n_modified"))
@@ -242,6 +254,12 @@ hits AS (SELECT word, msg_id, len(list_filter(range(1, length(f) - length(word)
 SELECT word, sum(n)::BIGINT AS n, count(*) AS n_lines FROM hits GROUP BY word"""
 
 
+def sql_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``term_counts`` by the table function, from SQL."""
+    register_matcher(spark, lexicon(spark, sf_dir).withColumn("mode", F.lit("STRONG")))
+    return spark.sql("SELECT m.word, count(*) AS n, count(DISTINCT l.msg_id) AS n_lines FROM {lines} l, LATERAL term_matches(l.text) m GROUP BY m.word", lines=lines(spark, sf_dir).select("msg_id", "text"))
+
+
 def filtered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = L.filter_texts(lines(spark, sf_dir).select("msg_id", "text"), lexicon(spark, sf_dir).where("mode = 'NORMAL'"), R.RuleConfig(evasion=False))
     return found.where(F.size("detected_words") > 0).select("msg_id", "filter_blocked", "detected_word", F.size("detected_words").alias("n_words"), F.md5("masked_text").alias("masked_md5"))
@@ -428,7 +446,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         moderation_verdicts, rule_flags, domains, ip_addresses, search_forms, clean_texts, charset_gate, injection, similar_names, winkler_names, commands, durations, kwic_lines,
-        lexicon_words, term_counts, filtered_lines, moderated, moderated_texts, disguised_forms, user_rule_flags, toxic_verdicts, token_bucket, throttled, rate_capped, flood_contexts, split_ip_windows, books, moderated_books, alert_classes, similar_terms, term_versions,
+        lexicon_words, term_counts, filtered_lines, moderated, moderated_texts, disguised_forms, user_rule_flags, toxic_verdicts, token_bucket, throttled, rate_capped, flood_contexts, split_ip_windows, books, moderated_books, alert_classes, similar_terms, term_versions, sql_domains, sql_terms,
     )
 }
 
@@ -436,5 +454,5 @@ ORACLE_SQL = {
     "moderation_verdicts": VERDICTS, "rule_flags": FLAGS_SQL, "ip_addresses": IP_SQL, "search_forms": FORMS_SQL, "clean_texts": CLEAN_SQL, "charset_gate": GATE_SQL, "similar_names": SIMILAR_SQL,
     "commands": COMMANDS_SQL, "durations": DURATIONS_SQL, "kwic_lines": KWIC_SQL, "lexicon_words": "WITH " + LEXICON_SQL + "SELECT word, mode FROM lexicon", "term_counts": TERMS_SQL, "toxic_verdicts": TOXIC_SQL,
     "domains": SPELLED_SQL, "filtered_lines": FILTERED_SQL, "moderated_texts": MODERATED_SQL, "injection": INJECTION_SQL, "winkler_names": WINKLER_SQL, "moderated_books": BOOK_PAGES_SQL, "disguised_forms": FORM_OF_DISGUISED_SQL,
-    "token_bucket": BUCKET_SQL, "throttled": THROTTLE_SQL, "rate_capped": RATE_SQL, "flood_contexts": CONTEXT_SQL, "split_ip_windows": SPLIT_SQL, "books": BOOKS_SQL, "alert_classes": ALERTS_SQL, "similar_terms": "WITH " + LEXICON_SQL + SIMILAR_TERMS_SQL, "term_versions": VERSIONS_SQL,
+    "token_bucket": BUCKET_SQL, "throttled": THROTTLE_SQL, "rate_capped": RATE_SQL, "flood_contexts": CONTEXT_SQL, "split_ip_windows": SPLIT_SQL, "books": BOOKS_SQL, "alert_classes": ALERTS_SQL, "similar_terms": "WITH " + LEXICON_SQL + SIMILAR_TERMS_SQL, "term_versions": VERSIONS_SQL, "sql_domains": SQL_DOMAINS_SQL, "sql_terms": TERMS_SQL,
 }

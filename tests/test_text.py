@@ -144,3 +144,28 @@ def test_sql_functions(spark):
         F.round(X.jaro_winkler_pct(a, b), 6).alias("j"), X.strip_color_codes(a).alias("c"),
     ).collect()
     assert got == want
+
+
+def test_domains_in_sql(spark):
+    """``find_domains`` in SQL gives what it gives on columns."""
+    from modstream.functions import sql
+
+    sql.register_functions(spark)
+    texts = ["visit www dot fake dot com", "my site . c o m", "hello, info here", "see google.com and foo.net", "a ( punto ) n e t", "no domain", "", None, "x-y_z.io! UP.COM", "end."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.selectExpr("find_domains(t) d").collect() == df.select(R.find_domains(F.col("t")).alias("d")).collect()
+
+
+def test_matches_in_sql(spark):
+    """The table function gives the rows of ``match_terms``, in order; words within others count by mode."""
+    from modstream.functions import sql
+    from modstream.operators import lexicon as L
+
+    terms = spark.createDataFrame([("arm", "NORMAL"), ("arm", "STRONG"), ("vaca", "STRONG"), ("war", "WRITE_COMMAND"), ("", "NORMAL")], "word string, mode string")
+    texts = spark.createDataFrame(list(enumerate(["an arm here", "warm v4c4", "farm 7arm arm7 arm", "&cvaca a.r.m", "none", "", None])), "msg_id long, text string")
+    sql.register_matcher(spark, terms)
+    got = {}
+    for r in spark.sql("SELECT t.msg_id, m.* FROM {texts} t, LATERAL term_matches(t.text) m", texts=texts).collect():
+        got.setdefault(r.msg_id, []).append(tuple(r)[1:])
+    want = {r.msg_id: [tuple(m) for m in r.matches] for r in L.match_terms(texts, terms).collect() if r.matches}
+    assert got == want and len(want) == 4
