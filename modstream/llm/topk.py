@@ -99,7 +99,8 @@ def best_first(tree: BallTree, x: np.ndarray, first: np.ndarray, q: np.ndarray,
     bound = upper_bounds(q, tree.centers[:1], tree.radii[:1])[:, 0]
     width = np.ones(len(q), np.int64)
     while True:
-        alive = bound >= kth[at].astype(np.float64) * 1.0 - 1e-9 * np.abs(kth[at].astype(np.float64))
+        limit = kth[at].astype(np.float64)
+        alive = bound >= limit - 1e-9 * np.abs(limit)
         at, node, bound = at[alive], node[alive], bound[alive]
         if not len(at):
             return found[0], found[1], found[2]
@@ -247,7 +248,7 @@ def top_k(vectors: DataFrame, asking: Column, k: int = 5) -> DataFrame:
     queries = written(classes.join(asked.select(F.col("query").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("query"), "v"), "queries")
     n = classes.count()
     share = min(1.0, SAMPLE / max(1, n))
-    sample = classes.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").toArrow().column("v").combine_chunks()
+    sample = classes.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").toArrow().column("v").combine_chunks()
     sizes = {x.shape[1]: x for _, x in _by_size(sample)} if len(sample) else {}
     shards = spark.sparkContext.broadcast(Shards(sizes, max(4, int(SHARD * share))))
     placed = written(classes.mapInArrow(_placed(shards), "key long, first long, ids array<long>, v array<long>, shard long, far double"), "placed")
