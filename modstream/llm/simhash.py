@@ -321,19 +321,24 @@ def _small_buckets(rows: DataFrame, classes: DataFrame, similarity: float) -> Da
     return pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= most)
 
 
-def _large_buckets(rows: DataFrame) -> DataFrame:
-    """(content, at, key, i, j) of ``rows`` in buckets of more members: every two blocks of about BLOCK members meet in a group of their own."""
+def _large_buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(content, at, key, i, j, prints, decided) of ``rows`` in buckets of more members: every two blocks of about BLOCK members meet in a group of their own."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("content"), blocks).cast("int")
     others = F.when(blocks > 1, F.array_remove(F.sequence(F.lit(0), blocks - 1), block)).otherwise(F.array(F.lit(0)))
     dealt = rows.where(F.col("n") > FULL).select("content", "at", "key", block.alias("block"), F.explode(others).alias("other"))
-    return written(dealt.select("content", "at", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "dealt")
+    dealt = dealt.select("content", "at", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return written(dealt.join(classes.select("content", "prints", "decided"), "content"), "dealt")
 
 
-def _compared(dealt: DataFrame, members: DataFrame, similarity: float, nearest: int | None = None) -> DataFrame:
-    """(a, b) of the groups of ``dealt``: links that connect all sure pairs of a bucket, or with components in ``members`` the open pairs across them."""
+def _compared(dealt: DataFrame, similarity: float, linked: DataFrame | None = None, nearest: int | None = None) -> DataFrame:
+    """(a, b) of the groups of ``dealt``: links that connect all sure pairs of a bucket, or with components ``linked`` (content, component) the open pairs across them."""
     near, sure, most = _bounds(similarity)
-    across = "component" in members.columns
+    across = linked is not None
+    if across:
+        rows = dealt.join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    else:
+        rows = dealt.drop("decided")
 
     def run(found: pa.Table) -> pa.Table:
         longs = lambda c: found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
@@ -344,7 +349,7 @@ def _compared(dealt: DataFrame, members: DataFrame, similarity: float, nearest:
             i, j = _sure_links(prints, near, sure)
         return pa.table({"a": np.maximum(content[i], content[j]), "b": np.minimum(content[i], content[j])})
 
-    return dealt.join(members, "content").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _jaccard(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -380,13 +385,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     classes = found.where("n_shingles > 0").groupBy("content").agg(*(F.first(c).alias(c) for c in ("digest", "prints", "decided")))
     classes = written(classes.withColumn("fp", F.get("prints", 0)), "classes")
     buckets = _buckets(classes)
-    small, dealt = written(_small_buckets(buckets, classes, similarity), "pairs"), _large_buckets(buckets)
+    small, dealt = written(_small_buckets(buckets, classes, similarity), "pairs"), _large_buckets(buckets, classes)
     low = _bounds(similarity)[1]
-    links = written(small.where(F.col("apart") < low).select("a", "b").union(_compared(dealt, classes.select("content", "prints"), similarity)), "links")
+    links = written(small.where(F.col("apart") < low).select("a", "b").union(_compared(dealt, similarity)), "links")
     linked = written(connected_components(links).toDF("content", "component"), "linked")
     for nearest in NEAREST:
-        named = classes.select("content", "prints", "decided").join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
-        open_pairs = _compared(dealt, named, similarity, nearest)
+        open_pairs = _compared(dealt, similarity, linked, nearest)
         if nearest == NEAREST[0]:
             of = lambda c: linked.select(F.col("content").alias(c), F.col("component").alias(f"of_{c}"))
             across = small.where(F.col("apart") >= low).join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a != of_b")

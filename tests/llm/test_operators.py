@@ -455,8 +455,8 @@ def classes_of(spark, prints, decided):
 def candidates(classes, similarity=0.8):
     """Sure links and open pairs of classes that are no components yet."""
     rows = simhash._buckets(classes)
-    dealt, alone = simhash._large_buckets(rows), classes.withColumn("component", F.col("content"))
-    some = [simhash._small_buckets(rows, classes, similarity).select("a", "b"), simhash._compared(dealt, classes, similarity), simhash._compared(dealt, alone, similarity)]
+    dealt, alone = simhash._large_buckets(rows, classes), classes.select("content", F.col("content").alias("component"))
+    some = [simhash._small_buckets(rows, classes, similarity).select("a", "b"), simhash._compared(dealt, similarity), simhash._compared(dealt, similarity, alone)]
     return some[0].union(some[1]).union(some[2]).distinct()
 
 
