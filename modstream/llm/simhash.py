@@ -347,6 +347,8 @@ def _compared(dealt: DataFrame, similarity: float, linked: DataFrame | None = No
             i, j = _open_links(prints, longs("decided"), found.column("component").to_numpy(), found.column("at")[0].as_py(), near, most, nearest)
         else:
             i, j = _sure_links(prints, near, sure)
+        if len(content) > BLOCK // 8:
+            give_back()
         return pa.table({"a": np.maximum(content[i], content[j]), "b": np.minimum(content[i], content[j])})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -360,6 +362,7 @@ def _jaccard(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             values, bounds = shingle_sets(Texts(batch.column(1), lower=True), n)
             arrays = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int64)))
             yield pa.record_batch([batch.column(0), arrays], ["content", "shingles"])
+        give_back()
 
     found = written(docs.select("content", "text").mapInArrow(sets, "content long, shingles array<long>"), "shingles")
     half = pairs.join(found.toDF("a", "shingles_a"), "a")
