@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modstream.llm.arrays import CharGrams, Texts, give_back, mix, pieces, strings_of, window_hashes
@@ -24,6 +24,10 @@ HELD_GRAMS = 600_000
 PIECE = 400_000
 #: Shares of a language's plain documents that lie below and above its band.
 BELOW, ABOVE = 0.002, 0.005
+#: Losses are compared in so many steps a unit, so that no verdict hangs on the order in which a sum was made; RANGE steps are counted together first.
+STEPS, RANGE = 1_000_000, 1_000
+#: A language with fewer plain documents than this in either half has no band: its base decides.
+LEAST_PLAIN = 10
 #: A document is plain, so that models are counted and bands set by it, if it passes the base and has at most so many symbols, and
 #: words in capitals, for each word.
 PLAIN_SYMBOLS, PLAIN_CAPITALS = 0.1, 0.3
@@ -171,7 +175,7 @@ def _discounts(f: int) -> list[Column]:
 
 
 def gram_logs(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, n, log0, log1): log probabilities of every n-gram of ``counts`` by the models of either half, modified Kneser-Ney.
+    """(key, n, log0, log1): log probabilities, as floats, of every n-gram of ``counts`` by the models of either half, modified Kneser-Ney.
 
     The longest n-grams have their counts; each shorter one counts the n-grams seen with another character in front. A level is
     grouped by contexts and joined to the level below by its last characters, so no task holds a model; the alphabet's share is
@@ -202,7 +206,7 @@ def gram_logs(counts: DataFrame, order: int = ORDER) -> DataFrame:
             for f in (0, 1)
         ]
         below = joined.select("model", F.col("gram").alias("rest"), *p) if size < order else joined.select("key", "n", *p)
-    out = written(below.select("key", "n", F.log("low0").alias("log0"), F.log("low1").alias("log1")), "logs")
+    out = written(below.select("key", "n", *(F.log(f"low{f}").cast("float").alias(f"log{f}") for f in (0, 1))), "logs")
     for size in range(1, order):
         forget(levels[size])
     return out
@@ -220,7 +224,7 @@ def hot_grams(logs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]
     found = logs.where(F.floor(F.log2("n")) >= least).select("key", "log0", "log1").toArrow()
     keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    values = np.stack([found.column(c).to_numpy()[order].astype(np.float32) for c in ("log0", "log1")], axis=1)
+    values = np.stack([found.column(c).to_numpy()[order] for c in ("log0", "log1")], axis=1)
     return keys[order], values, len(keys) == sum(sizes.values())
 
 
@@ -283,10 +287,41 @@ def _with_rest(found: DataFrame, logs: DataFrame) -> DataFrame:
     row = F.xxhash64("doc_id", "digest", "model")
     rest = found.where(F.size("rest") > 0).select(row.alias("row"), F.pmod("digest", F.lit(2)).alias("half"), F.explode("rest").alias("r"))
     rest = rest.select("row", "half", "r.key", "r.times").distinct().join(logs, "key")
-    sums = rest.groupBy("row").agg(F.sum(-F.col("times") * F.when(F.col("half") == 0, F.col("log1")).otherwise(F.col("log0"))).alias("more"))
+    log = F.when(F.col("half") == 0, F.col("log1")).otherwise(F.col("log0")).cast("double")
+    sums = rest.groupBy("row").agg(F.sum(-F.col("times") * log).alias("more"))
     return found.withColumn("row", row).join(small_side(written(sums, "rest"), 1_000_000), "row", "left")
 
 
+def _steps() -> Column:
+    return F.floor(F.col("log_loss") * STEPS + 0.5)
+
+
+def bands_of(found: DataFrame, below: float, above: float, least: int = LEAST_PLAIN) -> DataFrame:
+    """(model, low, high) in STEPS of ``found`` (model, digest, plain, log_loss), for models with ``least`` plain documents in either half.
+
+    low and high are the losses of rank ceil(below * n) and ceil((1 - above) * n), from 1, among the model's n plain documents. Ranges
+    of steps are counted first; running sums say in which one a rank lies, and only there are single steps counted. So ranks are exact
+    and a task holds counts of ranges, whose number the losses bound, never documents.
+    """
+    plain = found.where("plain and log_loss is not null").select("model", F.pmod("digest", F.lit(2)).alias("half"), _steps().alias("step"))
+    plain = plain.withColumn("range", F.floor(F.col("step") / RANGE))
+    ranges = written(plain.groupBy("model", "range").agg(F.count("*").alias("n"), F.sum("half").alias("n1")), "ranges")
+    sizes = ranges.groupBy("model").agg(F.sum("n").alias("all"), F.sum("n1").alias("all1")).where((F.col("all1") >= least) & (F.col("all") - F.col("all1") >= least))
+    rank = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("all")))
+    wanted = sizes.select("model", F.posexplode(F.array(rank(below), rank(1 - above))).alias("side", "rank"))
+    running = ranges.withColumn("upto", F.sum("n").over(Window.partitionBy("model").orderBy("range")))
+    inside = lambda n: (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col(n))
+    cut = running.join(wanted, "model").where(inside("n")).select("model", "range", "side", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    cut = written(cut, "cut")
+    steps = plain.join(small_side(cut, 200_000), ["model", "range"]).groupBy("model", "side", "rank", "step").agg(F.count("*").alias("n"))
+    steps = steps.withColumn("upto", F.sum("n").over(Window.partitionBy("model", "side").orderBy("step"))).where(inside("n"))
+    ends = (F.max(F.when(F.col("side") == i, F.col("step"))).alias(name) for i, name in enumerate(("low", "high")))
+    bands = written(steps.groupBy("model").agg(*ends), "bands")
+    forget(ranges)
+    forget(cut)
+    return bands
+
+
 def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, order: int = ORDER, hot: int = HOT_GRAMS) -> DataFrame:
     """doc_id, digest, MEASURES, perplexity, base_failed and kept of every row of ``docs`` (doc_id, text, lang).
 
@@ -298,17 +333,15 @@ def judge_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, o
     a text is measured by the model of the other half. N-grams of all texts are counted, scored and kept by Spark tables that grow
     with the corpus; the ``hot`` most frequent ones are broadcast as sorted hash arrays, the others are joined.
 
-    A null text counts as empty and fails; a null lang is a language of its own; in a language without plain documents there is no
-    band and the base decides; null ids and repeated rows are judged each; other columns are not read; no rows give no rows. Texts
-    are read twice and not moved. Memory is that of a PIECE of text, or of one longer text.
+    A null text counts as empty and fails; a null lang is a language of its own; in a language with fewer than LEAST_PLAIN plain documents
+    in either half there is no band and the base decides; null ids and repeated rows are judged each; other columns are not read; no rows
+    give no rows. Texts are read twice and not moved. Memory is that of a PIECE of text, or of one longer text.
     """
     model = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("none"))
     named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), model.alias("model"), "text")
     found = measured(named, order, hot)
-    bands = found.where("plain").groupBy("model").agg(F.percentile_approx("log_loss", [below, 1 - above], 10_000).alias("q"))
-    bands = bands.select("model", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    joined = found.join(small_side(written(bands, "bands"), 1_000_000), "model", "left")
-    within = F.col("low").isNull() | F.col("log_loss").between(F.col("low"), F.col("high"))
+    joined = found.join(small_side(bands_of(found, below, above), 1_000_000), "model", "left")
+    within = F.col("low").isNull() | _steps().between(F.col("low"), F.col("high"))
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(False))
     return joined.select("doc_id", "digest", *MEASURES, F.exp("log_loss").alias("perplexity"), "base_failed", kept.alias("kept"))
 
