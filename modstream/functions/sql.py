@@ -3,17 +3,14 @@ matches of a term list as a table function."""
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modstream.functions.fixed import BLOCKED_ENDINGS
-from modstream.functions.text import COLOR_CODE, INVALID, jaro_winkler_pct, places_of, search_text
-from modstream.operators.lexicon import BROADCAST_TERMS, MODES, automaton_of
+from modstream.functions.text import COLOR_CODE, INVALID, jaro_winkler_pct, search_text
+from modstream.operators.lexicon import BROADCAST_TERMS, finder
 from modstream.operators.rules import domain_pattern, dot_pattern
 
 #: name: (parameters, result, expression); expressions are inlined by Spark.
@@ -58,30 +55,15 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {expression}")
 
 
-def _touches(text: str, start: int, end: int) -> bool:
-    """A letter or digit just outside of the span."""
-    outside = (text[start - 1] if start else "") + text[end + 1 : end + 2]
-    return any(unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" for c in outside)
-
-
 def register_matcher(spark: SparkSession, lexicon: DataFrame, name: str = "term_matches") -> None:
     """Make ``name`` a table function: ``SELECT ... FROM texts, LATERAL name(text)`` gives the rows of ``match_terms`` for each text, in its order.
 
-    For lists of up to BROADCAST_TERMS terms, which are broadcast; more are a ValueError. The list is that of the time of this call.
+    It is a SQL function over the scalar ``name``_of, which gives a text's matches as an array, so texts go to Python in batches. For
+    lists of up to BROADCAST_TERMS terms, which are broadcast; more are a ValueError. The list is that of the time of this call.
     """
     words = [tuple(r) for r in lexicon.select("word", "mode").where("word != ''").distinct().limit(BROADCAST_TERMS + 1).collect()]
     if len(words) > BROADCAST_TERMS:
         raise ValueError(f"more than {BROADCAST_TERMS} terms")
-    sent, rank = spark.sparkContext.broadcast(tuple(sorted(words))), {"STRONG": 0, "NORMAL": 1}
-
-    class Matches:
-        def eval(self, text: str) -> Iterator[tuple]:
-            clean = search_text(text) if text and sent.value else ""
-            hits = list(automaton_of(sent.value).iter(clean)) if clean else []
-            at, rows = places_of(text) if hits else [], []
-            for end, (word, modes) in hits:
-                start = end - len(word) + 1
-                rows += [(word, mode, start, end, at[start], at[end]) for mode in modes if mode != "NORMAL" or not _touches(text, at[start], at[end])]
-            yield from sorted(rows, key=lambda r: (r[2], rank.get(r[1], len(MODES)), r[3], r[0]))
-
-    spark.udtf.register(name, F.udtf(Matches, returnType=MATCH, useArrow=True))
+    spark.udf.register(f"{name}_of", finder(spark, words))
+    columns = ", ".join(f"m.`{c.split()[0]}`" for c in MATCH.split(", "))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS TABLE({MATCH}) RETURN SELECT {columns} FROM explode({name}_of(text)) AS e(m)")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +78,51 @@ def search_form(text: str) -> tuple[str, list[int]]:
     return "".join(letters), [i for i, found in enumerate(letters) for _ in found]
 
 
-def places_of(text: str) -> list[int]:
-    """Of each letter of ``search_text`` the place in ``text`` that it comes from."""
-    if "&" in text or "§" in text:
-        return search_form(text)[1]
-    sizes = list(map(len, map(_LETTERS.__getitem__, map(ord, text))))
-    return [i for i, n in enumerate(sizes) if n] if max(sizes, default=0) < 2 else [i for i, n in enumerate(sizes) for _ in range(n)]
+class _Codes:
+    """What ``_letters`` says, and whether a character is a letter or digit, as arrays by code point that fill as characters come."""
+
+    def __init__(self):
+        n = sys.maxunicode + 1
+        self.known, self.wordy = np.zeros(n, bool), np.zeros(n, bool)
+        self.size, self.letter = np.zeros(n, np.uint8), np.zeros(n, np.uint32)
+
+    def learn(self, codes: np.ndarray) -> None:
+        for code in np.unique(codes[~self.known[codes]]).tolist():
+            found, kind = _LETTERS[code], unicodedata.category(chr(code))
+            self.known[code], self.wordy[code], self.size[code] = True, kind[0] == "L" or kind == "Nd", len(found)
+            self.letter[code] = ord(found[0]) if found else 0
+
+
+_CODE_TABLE: list[_Codes] = []
+
+
+def search_forms(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``search_form`` of many texts at once: (letters, at, letter_ends, ends, wordy).
+
+    Letters of all texts follow each other with a line end after each text's, ``letter_ends`` being where those are. ``at`` has the place of
+    each letter in the texts put together, with one place more after each text, at ``ends``; ``wordy`` says which places hold letters or digits.
+    """
+    if not _CODE_TABLE:
+        _CODE_TABLE.append(_Codes())
+    table = _CODE_TABLE[0]
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    table.learn(codes)
+    sizes, wordy = table.size[codes], table.wordy[codes]
+    sizes[ends] = 1
+    for row in np.unique(np.searchsorted(ends, np.flatnonzero((codes == ord("&")) | (codes == ord("§"))))).tolist():
+        start = ends[row] + 1 - len(texts[row]) - 1
+        for m in _CODES.finditer(texts[row]):
+            sizes[start + m.start() : start + m.end()] = 0
+    at = np.repeat(np.arange(len(codes)), sizes) if sizes.max() > 1 else np.flatnonzero(sizes)
+    letters, first = table.letter[codes[at]], np.cumsum(sizes, dtype=np.int64) - sizes
+    many = np.flatnonzero(sizes > 1)
+    for code in np.unique(codes[many]).tolist():
+        places = first[many[codes[many] == code]]
+        for i, letter in enumerate(_LETTERS[code]):
+            letters[places + i] = ord(letter)
+    letters[first[ends]] = ord("\n")
+    return letters.tobytes().decode("utf-32-le"), at, first[ends], ends, wordy
 
 
 @F.pandas_udf(T.StringType())

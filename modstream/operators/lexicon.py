@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modstream.functions.text import clean_mapping, normalize_search, places_of, search_text, valid_charset
+from modstream.functions.text import clean_mapping, normalize_search, search_forms, valid_charset
 from modstream.operators.rules import RuleConfig
 from modstream.sources.shared import numbered, written
 
@@ -23,47 +26,91 @@ BROADCAST_TERMS = 500_000
 SEED = 4
 
 
+#: Code points of texts that a task scans in one go, a longer text being alone.
+SCANNED = 1 << 20
+RANKS = {"STRONG": 0, "NORMAL": 1}
+
+
+class Matcher:
+    """An automaton of (word, mode) terms, sorted, that scans many texts at once."""
+
+    def __init__(self, terms: Sequence[tuple[str, str]]):
+        import ahocorasick
+
+        terms = [t for t in terms if "\n" not in t[0]]  # no letters for search
+        words = sorted({word for word, _ in terms})
+        self.automaton = ahocorasick.Automaton()
+        for i, word in enumerate(words):
+            self.automaton.add_word(word, i)
+        if words:
+            self.automaton.make_automaton()
+        self.sizes = np.array([len(word) for word in words], np.int64)
+        # Of each word its terms, which follow each other.
+        of = np.searchsorted(np.array(words, object), np.array([word for word, _ in terms], object)) if words else np.zeros(0, np.int64)
+        self.first, self.modes = np.searchsorted(of, np.arange(len(words))), np.bincount(of, minlength=len(words))
+        self.words, self.mode_names = pa.array([word for word, _ in terms], pa.string()), pa.array([mode for _, mode in terms], pa.string())
+        self.rank = np.array([RANKS.get(mode, 2) for _, mode in terms], np.int64)
+        self.whole = np.array([mode == "NORMAL" for _, mode in terms], bool)
+
+    def scan(self, texts: Sequence[str]) -> tuple[np.ndarray, ...]:
+        """(row, term, start, end, raw_start, raw_end) of all matches by row, in order within it; whole words only where the mode asks for them."""
+        if not len(self.sizes):
+            return (np.zeros(0, np.int64),) * 6
+        letters, at, letter_ends, ends, wordy = search_forms(texts)
+        hits = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(letters)), np.int64).reshape(-1, 2)
+        n = self.modes[hits[:, 1]]
+        end, word = np.repeat(hits[:, 0], n), np.repeat(hits[:, 1], n)
+        term = self.first[word] + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+        start, row = end - self.sizes[word] + 1, np.searchsorted(letter_ends, end)
+        raw_start, raw_end = at[start], at[end]
+        # Behind each text is a place that is no letter or digit, so what is outside of one is never in the next.
+        wordy[ends] = False
+        kept = np.flatnonzero(~(self.whole[term] & (wordy[raw_start - 1] & (raw_start > 0) | wordy[raw_end + 1])))
+        kept = kept[np.lexsort((term[kept], end[kept], self.rank[term[kept]], start[kept]))]
+        row = row[kept]
+        before, raw_before = np.where(row > 0, letter_ends[row - 1] + 1, 0), np.where(row > 0, ends[row - 1] + 1, 0)
+        return row, term[kept], start[kept] - before, end[kept] - before, raw_start[kept] - raw_before, raw_end[kept] - raw_before
+
+
 @functools.lru_cache(maxsize=4)
-def automaton_of(terms: tuple[tuple[str, str], ...]):
-    """An automaton of (word, mode); what it finds is (word, its modes). A worker keeps the last few."""
-    import ahocorasick
+def matcher_of(sent: Broadcast) -> Matcher:
+    """A worker keeps the last few."""
+    return Matcher(sent.value)
 
-    found: dict[str, list[str]] = {}
-    for word, mode in terms:
-        found.setdefault(word, []).append(mode)
-    automaton = ahocorasick.Automaton()
-    for word, modes in found.items():
-        automaton.add_word(word, (word, tuple(modes)))
-    automaton.make_automaton()
-    return automaton
 
+def chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """``texts`` in order in lists of up to SCANNED code points, null as ""."""
+    part, size = [], 0
+    for text in texts.to_pylist():
+        if part and size + len(text or "") > SCANNED:
+            yield part
+            part, size = [], 0
+        part.append(text or "")
+        size += len(text or "")
+    if part:
+        yield part
 
-def _by_automaton(messages: DataFrame, terms: list[tuple[str, str]], text: str) -> DataFrame:
-    sent = messages.sparkSession.sparkContext.broadcast(tuple(sorted(set(terms))))
+
+def finder(spark: SparkSession, terms: Iterable[tuple[str, str]]) -> Callable:
+    """A function from texts to their matches with ``terms``, in order, by one broadcast automaton."""
+    sent = spark.sparkContext.broadcast(tuple(sorted(set(terms))))
 
     @F.arrow_udf(MATCH)
     def matched(texts: pa.Array) -> pa.Array:
-        automaton = automaton_of(sent.value) if sent.value else None
-        ends_of, columns = [0], tuple([] for _ in _MATCH)
-        words, modes, starts, ends, raw_starts, raw_ends = columns
-        for value in texts.to_pylist():
-            clean = search_text(value) if value and automaton is not None else ""
-            found = list(automaton.iter(clean)) if clean else ()
-            at = places_of(value) if found else ()
-            for end, (word, of) in found:
-                start = end - len(word) + 1
-                for mode in of:
-                    words.append(word)
-                    modes.append(mode)
-                    starts.append(start)
-                    ends.append(end)
-                    raw_starts.append(at[start])
-                    raw_ends.append(at[end])
-            ends_of.append(len(words))
-        values = [pa.array(c, f.type) for c, f in zip(columns, _MATCH, strict=True)]
-        return pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), pa.StructArray.from_arrays(values, fields=_MATCH))
-
-    return messages.withColumn("matches", matched(text))
+        matcher, parts = matcher_of(sent), []
+        for part in chunks(texts):
+            row, term, *places = matcher.scan(part)
+            values = [matcher.words.take(pa.array(term)), matcher.mode_names.take(pa.array(term)), *(pa.array(p, pa.int32()) for p in places)]
+            ends_of = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends_of), pa.StructArray.from_arrays(values, fields=_MATCH)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct(_MATCH)))
+
+    return matched
+
+
+def _by_automaton(messages: DataFrame, terms: list[tuple[str, str]], text: str) -> DataFrame:
+    # What isn't deterministic is computed once, where Spark would else compute it for a filter and again for what the filter leaves.
+    return messages.withColumn("matches", finder(messages.sparkSession, terms).asNondeterministic()(text))
 
 
 def _by_seeds(messages: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
@@ -103,12 +150,11 @@ def match_terms(messages: DataFrame, lexicon: DataFrame, text: str = "text", key
     words = lexicon.select("word", "mode").where("word != ''").distinct()
     first = words.limit(most + 1).collect()
     if len(first) <= most:
-        found = _by_automaton(messages, [tuple(r) for r in first], text)
-    else:
-        short = [tuple(r) for r in words.where(F.length("word") < SEED).collect()]
-        long = _by_seeds(messages, words.where(F.length("word") >= SEED), text, key).withColumnRenamed("matches", "more")
-        found = _by_automaton(messages, short, text).join(long, key, "left")
-        found = found.withColumn("matches", F.concat("matches", F.coalesce("more", F.array().cast(MATCH)))).drop("more")
+        return _by_automaton(messages, [tuple(r) for r in first], text)
+    short = [tuple(r) for r in words.where(F.length("word") < SEED).collect()]
+    long = _by_seeds(messages, words.where(F.length("word") >= SEED), text, key).withColumnRenamed("matches", "more")
+    found = _by_automaton(messages, short, text).join(long, key, "left")
+    found = found.withColumn("matches", F.concat("matches", F.coalesce("more", F.array().cast(MATCH)))).drop("more")
     kept = F.filter("matches", lambda m: (m.mode != "NORMAL") | boundary_ok(F.col(text), m.raw_start, m.raw_end))
     rank = lambda m: F.when(m.mode == "STRONG", 0).when(m.mode == "NORMAL", 1).otherwise(2)
     ordered = F.array_sort(F.transform(kept, lambda m: F.struct(m.start.alias("start"), rank(m).alias("rank"), m.end.alias("end"), m.word.alias("word"), m.alias("m"))))

@@ -84,3 +84,28 @@ def test_lexicon_source(spark, tmp_path):
         (tmp_path / f"{mode.lower()}.txt").write_text("# note\n\n  V4ca \nvaca\n...\n")
     assert [tuple(r) for r in io.read_lexicon(spark, str(tmp_path / "strong.txt"), "STRONG").collect()] == [("vaca", "STRONG")]
     assert io.read_lexicons(spark, str(tmp_path)).count() == 3
+
+
+def test_scan_of_many_texts():
+    """Letters and places of texts put together are those of each text alone; no match goes from one text into the next."""
+    from modstream.functions.text import search_form, search_forms
+
+    texts = ["ﬁsh ﷺ", "", "&cred §#12345", "a&", "c\nv4cá", "\U0001d400rm ½ ß", "g&", "ato", "§#1\n3456gato", "ＡＲＭ"]
+    letters, at, letter_ends, ends, _ = search_forms(texts)
+    first = [0, *(int(e) + 1 for e in letter_ends)]
+    for i, text in enumerate(texts):
+        clean, places = search_form(text)
+        assert (letters[first[i] : letter_ends[i]], [p - (ends[i] - len(text)) for p in at[first[i] : letter_ends[i]].tolist()]) == (clean, places)
+    found = L.Matcher(sorted([("gato", "STRONG"), ("arm", "NORMAL"), ("arm", "STRONG"), ("m\n", "STRONG")])).scan([*texts, "x1arm arm", "arm", "m"])
+    assert list(zip(*(f.tolist() for f in found), strict=True)) == [
+        (5, 1, 0, 2, 0, 2), (5, 0, 0, 2, 0, 2), (8, 2, 0, 3, 8, 11), (9, 1, 0, 2, 0, 2), (9, 0, 0, 2, 0, 2), (10, 1, 2, 4, 2, 4), (10, 1, 5, 7, 6, 8), (10, 0, 5, 7, 6, 8), (11, 1, 0, 2, 0, 2), (11, 0, 0, 2, 0, 2),
+    ]
+
+
+@pytest.mark.parametrize("name", ["term_counts", "sql_terms", "filtered_lines"])
+def test_texts_are_scanned_once(spark, sf_dir, name):
+    """In batches, and not again for a filter on what was found."""
+    from modstream.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "EvalPythonUDTF" not in plan
