@@ -68,7 +68,9 @@ def find_blacklisted(text: Column, blacklist: Sequence[str]) -> Column:
 def dot_pattern(words: Sequence[str] = DOT_WORDS) -> str:
     """Words for a dot, alone or in brackets."""
     union = "|".join(words)
-    return f"(?i)\\[\\s*(?:{union})\\s*\\]|\\(\\s*(?:{union})\\s*\\)|\\{{\\s*(?:{union})\\s*\\}}|<\\s*(?:{union})\\s*>|\\b(?:{union})\\b"
+    # At most places the first character says that there is none.
+    first = f"(?=[\\[({{<{''.join(sorted({w[0] for w in words}))}])" if all(w[:1].isalnum() for w in words) else ""
+    return f"(?i){first}(?:\\[\\s*(?:{union})\\s*\\]|\\(\\s*(?:{union})\\s*\\)|\\{{\\s*(?:{union})\\s*\\}}|<\\s*(?:{union})\\s*>|\\b(?:{union})\\b)"
 
 
 def dedot(text: Column, words: Sequence[str] = DOT_WORDS) -> Column:
@@ -90,23 +92,25 @@ def may_have_domain(text: Column, endings: Sequence[str], words: Sequence[str])
 def find_domains(text: Column, endings: Sequence[str] = BLOCKED_ENDINGS, allowed: Sequence[str] = (), words: Sequence[str] = DOT_WORDS) -> Column:
     """array<string> of domains: a label, a dot, and an ending whose letters may be spread by blanks; the shortest ending wins."""
     none = F.array().cast("array<string>")
-    if not endings:
+    # What is behind a dot counts as letters only, 10 of them at most.
+    usable = sorted((e for e in set(endings) if e.isalpha() and len(e) <= 10), key=lambda e: (len(e), e))
+    if not usable:
         return none
-    known = F.array(*map(F.lit, endings))
+    spread = "|".join("\\s*".join(e) for e in usable)
+    # A dot with an ending behind it that no further letter follows; before it the label, up to blanks or a line end, read backwards.
+    dot = f"\\.(?=\\s*+((?iu:{spread}))(?!\\p{{L}}))"
+    label = "^ *(?:\\n\\r|[\\n\\r\u0085\u2028\u2029])?([A-Za-z0-9_-]+)"
+    known = F.array(*map(F.lit, usable))
 
-    def domain(parts: Column, i: Column) -> Column:
-        label = F.regexp_extract(F.rtrim(F.get(parts, i)), "([A-Za-z0-9_-]+)$", 1)
-        letters = F.regexp_extract(F.get(parts, i + 1), "^([\\s\\p{L}]*)", 1)
-        runs = F.filter(F.split(F.lower(letters), "\\s+"), lambda r: r != "")
-        # An ending has 10 letters at most, so no more runs than that can make one.
-        grown = bind(F.slice(runs, 1, 10), lambda rs: F.transform(rs, lambda _, k: F.array_join(F.slice(rs, F.lit(1), k + 1), "")))
-        ending = F.get(F.filter(grown, lambda g: F.array_contains(known, g) & (F.length(g) <= 10)), 0)
-        return F.when((label != "") & ending.isNotNull(), F.concat(F.lower(label), F.lit("."), ending))
+    def domain(part: Column, ending: Column) -> Column:
+        return F.when(F.array_contains(known, ending), F.concat(F.lower(F.reverse(F.regexp_extract(F.reverse(part), label, 1))), F.lit("."), ending))
 
-    def all_of(parts: Column) -> Column:
-        return F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: domain(parts, i)))
+    def all_of(dotted: Column) -> Column:
+        # Endings hold no dots, so those of a text are put in lower case and freed of blanks together.
+        ends = F.regexp_replace(F.array_join(F.regexp_extract_all(dotted, F.lit(dot), F.lit(1)), "."), "\\s+", "")
+        return F.filter(F.zip_with(F.split(dotted, dot), F.split(F.lower(ends), "\\."), domain), lambda d: ~d.startswith("."))
 
-    found = bind(F.split(dedot(text, words), "\\."), all_of)
+    found = bind(dedot(text, words), all_of)
     found = F.filter(found, lambda d: ~d.isin(list(allowed))) if allowed else found
     return F.when(may_have_domain(text, endings, words), found).otherwise(none)
 

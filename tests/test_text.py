@@ -169,3 +169,15 @@ def test_matches_in_sql(spark):
         got.setdefault(r.msg_id, []).append(tuple(r)[1:])
     want = {r.msg_id: [tuple(m) for m in r.matches] for r in L.match_terms(texts, terms).collect() if r.matches}
     assert got == want and len(want) == 4
+
+
+def test_domains_are_found_once_at_dots_before_endings(spark, sf_dir):
+    """Odd blanks, letters and line ends; no list of all parts of a text, and no second search for a filter."""
+    from modstream.plans.catalog import QUERIES
+
+    texts = ["abc\r .com", "abc \r.com", "ab\u2028.org x", "x.com\u00e9", "x.com \u00e9", "x.lin\u212a", "x.\u017fite", "a.com.net.x", ".com", "a.\nshop\n", "x.c\u00a0om"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.d for r in df.select("i", R.find_domains(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert got == [["abc.com"], [], ["ab.org"], [], ["x.com"], ["x.link"], [], ["a.com", "com.net"], [], ["a.shop"], []]
+    plan = QUERIES["domains"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
