@@ -149,10 +149,21 @@ def normalize_search(text: Column) -> Column:
 STABLE = "^[\\x00-\\x9F\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u02af]*$"
 
 
+#: Texts of such characters that can be seen, blanks and line ends: no clean-up of characters changes them.
+QUIET = "^[\\n\\x20-\\x7E\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u02af]*\\z"
+
+
+def unless_quiet(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(text)``, which gets null for texts that it can't change: as Spark may compute it again and again, it costs next to nothing for those."""
+    quiet = text.rlike(QUIET)
+    return F.when(quiet, text).otherwise(use(F.when(~quiet, text)))
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility form; texts that it can't change don't go to Python."""
     plain = text.rlike(STABLE)
-    return F.coalesce(F.when(plain, text), _nfkc_unicode(F.when(~plain, text)))
+    # What isn't deterministic is computed once: Spark would else put all of it wherever its column is read.
+    return F.coalesce(F.when(plain, text), _nfkc_unicode.asNondeterministic()(F.when(~plain, text)))
 
 
 @F.pandas_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("idx", T.ArrayType(T.IntegerType()))]))
@@ -187,7 +198,7 @@ def sanitize_display(text: Column) -> Column:
 
 def sanitize_message(text: Column) -> Column:
     """Without invisible characters but line ends and joiners, in compatibility form."""
-    return nfkc(F.regexp_replace(text, "[\\p{Cc}\\p{Cs}\\p{Co}\\p{Cf}&&[^\\n\\u200D\\u200C]]", ""))
+    return unless_quiet(text, lambda t: nfkc(F.regexp_replace(t, "[\\p{Cc}\\p{Cs}\\p{Co}\\p{Cf}&&[^\\n\\u200D\\u200C]]", "")))
 
 
 def strip_tags(text: Column) -> Column:
@@ -195,7 +206,7 @@ def strip_tags(text: Column) -> Column:
 
 
 def sanitize_control(text: Column) -> Column:
-    return F.regexp_replace(nfkc(text), "[\\p{C}&&[^\\n\\u00A7\\u200B]]", "")
+    return unless_quiet(text, lambda t: F.regexp_replace(nfkc(t), "[\\p{C}&&[^\\n\\u00A7\\u200B]]", ""))
 
 
 def filter_tags(text: Column, allowed: tuple[str, ...] = SAFE_TAGS) -> Column:

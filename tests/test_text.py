@@ -181,3 +181,16 @@ def test_domains_are_found_once_at_dots_before_endings(spark, sf_dir):
     assert got == [["abc.com"], [], ["ab.org"], [], ["x.com"], ["x.link"], [], ["a.com", "com.net"], [], ["a.shop"], []]
     plan = QUERIES["domains"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "size(" not in plan
+
+
+def test_quiet_texts_are_left_alone(spark):
+    """No clean-up changes a character that counts as quiet, and texts with others are cleaned as before."""
+    import re
+    import unicodedata
+
+    quiet = re.compile(X.QUIET.replace("\\z", "\\Z"))
+    chars = [c for c in map(chr, range(0x400)) if quiet.match(c)]
+    assert len(chars) > 500 and all(unicodedata.normalize("NFKC", c) == c and (c == "\n" or unicodedata.category(c)[0] != "C") for c in chars)
+    for text, message, control in (("a\u00e9\n", "a\u00e9\n", "a\u00e9\n"), ("a\u00ad\u200db\r", "a\u200db", "ab"), ("\ufb01\x07", "fi", "fi"), ("a\r", "a", "a"), (None, None, None)):
+        df = spark.createDataFrame([(text,)], "t string")
+        assert tuple(df.select(X.sanitize_message(F.col("t")), X.sanitize_control(F.col("t"))).first()) == (message, control)
