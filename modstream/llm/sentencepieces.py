@@ -98,13 +98,15 @@ def _threads(n: int) -> None:
 class Encoder:
     """Encodes batches of texts with ``rebuilt``, and compares with the sentencepiece library.
 
-    If the model lets texts be cut before marks, both libraries work word by word: a batch's new words are encoded as one
-    multithreaded batch, decoded, and encoded by the other library too; the outcome is remembered for up to CACHE bytes of words. A
-    text's ids are those of its words. Otherwise whole texts are encoded.
+    If the model lets texts be cut before marks, both libraries work word by word: a batch's new words are encoded as lists of PART
+    words, decoded, and encoded by the other library too; the outcome is remembered, by words without the mark that each has in front. Words met since CACHE bytes of words
+    were last full are ``known``; those of the time before are ``old`` and become known when they are met again, so frequent words stay.
+    A text's ids are those of its words. Otherwise whole texts are encoded.
     """
 
-    #: About the bytes of all words remembered and their ids, with OVERHEAD for each; words of more than LONG characters aren't kept.
-    CACHE, OVERHEAD, LONG = 24 << 20, 200, 1_000
+    #: About the bytes of the known words and their ids, with OVERHEAD for each, and as many old ones; words of more than LONG characters aren't kept.
+    CACHE, OVERHEAD, LONG = 32 << 20, 200, 1_000
+    PART = 2_000
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -119,29 +121,63 @@ class Encoder:
         proto = parse_model(data)
         self.alone = [self.other.piece_to_id(MARK)]
         self.spelled = [p.piece if p.type in (NORMAL, USER_DEFINED) else "" for p in proto.pieces]
+        self.odd = np.array([not x for x in self.spelled])
+        #: Bytes of text that a piece stands for; 0 if that isn't known.
+        self.bytes = np.array([1 if p.type == BYTE else len(p.piece.encode()) * (p.type in (NORMAL, USER_DEFINED, UNUSED)) for p in proto.pieces])
         norm = proto.normalizer_spec
         self.plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
         self.by_word = self.by_word and self.plain
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, bytes] = {}
-        self.size = 0
         self.unlike: set[str] = set()
         self.lossy: set[str] = set()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words become old ones; what was old is gone."""
+        self.old, self.known, self.size = self.known, {}, 0
+        self.unlike = {w for w in self.unlike if w in self.old}
+        self.lossy = {w for w in self.lossy if w in self.old}
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and where each word's end."""
+        parts = [words[k : k + self.PART] for k in range(0, len(words), self.PART)]
+        found = self.words.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in found])
+        # A list's ids come without their words: these end where the pieces' bytes do.
+        sizes, ends = self.bytes[ids], np.cumsum([len(w.encode()) for w in words])
+        places = np.cumsum(sizes)
+        at = np.searchsorted(places, ends)
+        if len(ids) and sizes.all() and places[-1] == ends[-1] and (places[at] == ends).all():
+            return ids, at + 1
+        alone = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([*itertools.chain.from_iterable(alone)], dtype=np.int32), np.cumsum([len(i) for i in alone])
 
     def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
-        # A word has its mark in front, which the other library puts there itself; a mark alone it can't be asked for.
-        theirs = self.other.encode([w.replace(MARK, " ")[1:] for w in new], num_threads=1)
-        piece = self.spelled.__getitem__
-        self.known.update(zip(new, [array("i", i).tobytes() for i in ids], strict=True))
-        self.size += 5 * sum(map(len, new)) + self.OVERHEAD * len(new)
-        self.unlike.update([w for w, i, j in zip(new, ids, theirs, strict=True) if i != j and not (w == MARK and i == self.alone)])
-        doubtful = [(w, i) for w, i in zip(new, ids, strict=True) if "".join(map(piece, i)) != w]
+        marked = [MARK + w for w in new]
+        ids, ends = self._encoded(marked)
+        starts = np.concatenate([[0], ends[:-1]])
+        data, cuts = ids.tobytes(), zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)
+        self.known.update(zip(new, [data[a:b] for a, b in cuts], strict=True))
+        # The other library puts the mark in front itself; a mark alone it can't be asked for.
+        theirs = [i if w else self.alone for w, i in zip(new, self.other.encode([w.replace(MARK, " ") for w in new], num_threads=1), strict=True)]
+        flat = np.fromiter(itertools.chain.from_iterable(theirs), dtype=np.int32)
+        if not (np.array_equal(flat, ids) and np.array_equal(np.cumsum([len(i) for i in theirs]), ends)):
+            self.unlike.update(w for w, i in zip(new, theirs, strict=True) if self.known[w] != array("i", i).tobytes())
         # Pieces that spell the word decode to it; bytes and unknown pieces are decoded.
-        backs = self.words.decode_batch([i for _, i in doubtful], skip_special_tokens=False) if doubtful else []
-        self.lossy.update(word for (word, _), back in zip(doubtful, backs, strict=True) if back != word.replace(MARK, " "))
+        odd = np.concatenate([[0], np.cumsum(self.odd[ids])])
+        doubtful = odd[ends] > odd[starts]
+        plain = ids[~np.repeat(doubtful, ends - starts)].tolist()
+        if "".join(map(self.spelled.__getitem__, plain)) != "".join(itertools.compress(marked, ~doubtful)):
+            doubtful[:] = True
+        at = np.flatnonzero(doubtful).tolist()
+        backs = self.words.decode_batch([ids[starts[k] : ends[k]].tolist() for k in at], skip_special_tokens=False) if at else []
+        self.lossy.update(new[k] for k, back in zip(at, backs, strict=True) if back != marked[k].replace(MARK, " "))
+
+    def _cut(self, text: str) -> list[str]:
+        """The words of a text, without the mark in front of each."""
+        if text and (text[0] == " " or text[-1] == " " or "  " in text or MARK in text):
+            return [w[1:] for w in self.cut(MARK + text.replace(" ", MARK))]
+        return text.split(" ") if text else []
 
     def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
         """Of each text the ids (as 32-bit numbers), whether they decode to the text, and whether the other library agrees."""
@@ -151,20 +187,23 @@ class Encoder:
             theirs = self.other.encode(texts, num_threads=1)
             same = lambda a, b: [x == y for x, y in zip(a, b, strict=True)]
             return [np.array(i, dtype=np.int32).tobytes() for i in ids], same(backs, texts), same(ids, theirs)
-        cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if new:
+        cut = [self._cut(t) for t in texts]
+        new = set().union(*cut) - self.known.keys()
+        again = new & self.old.keys()
+        self.known.update((w, self.old[w]) for w in again)
+        self.size += 5 * sum(map(len, new)) + self.OVERHEAD * len(new)
+        if new := list(new - again):
             self._learn(new)
         ids = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         trips = [MARK not in t and self.lossy.isdisjoint(words) for t, words in zip(texts, cut, strict=True)]
-        agree = [self.unlike.isdisjoint(words) for words in cut]
-        if self.size > self.CACHE:
-            self._forget()
-        for word in [w for w in new if len(w) > self.LONG and w in self.known]:
+        agree = [not self.unlike or self.unlike.isdisjoint(words) for words in cut]
+        for word in [w for w in new if len(w) > self.LONG]:
             del self.known[word]
             self.size -= 5 * len(word) + self.OVERHEAD
             self.unlike.discard(word)
             self.lossy.discard(word)
+        if self.size > self.CACHE:
+            self._forget()
         return ids, trips, agree
 
 

@@ -135,6 +135,25 @@ def test_sentencepiece_encoder(text):
     assert [e.ids for e in encoder.tokenizer.encode_batch([text], add_special_tokens=False)] == [other.encode(text)]
 
 
+def test_sentencepiece_frequent_words_stay(monkeypatch):
+    """Words are dropped when there are too many, but not those that come again and again; ids are the library's all along."""
+    import numpy as np
+    import sentencepiece
+
+    with open(sentencepieces.MODEL, "rb") as f:
+        data = f.read()
+    other, encoder, learned = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepieces.Encoder(data), []
+    monkeypatch.setattr(sentencepieces.Encoder, "CACHE", 3_000)
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.extend(new), learn(new)))
+    for i in range(100):
+        text = f"often w{i} x{i}  y\n日本{i} ▁{i}" + " tail " * (i % 2)
+        (ids,), (trip,), (same,) = encoder([text])
+        assert np.frombuffer(ids, np.int32).tolist() == other.encode(text) and same
+        assert trip == (other.decode(other.encode(text)) == text)
+    assert sum("often" in w for w in learned) == 1 and len(encoder.known) < 50
+
+
 def test_sentencepiece_unigram(tmp_path):
     """A hand-made unigram model with bytes: the rebuilt tokenizer cuts as the library does."""
     import sentencepiece
