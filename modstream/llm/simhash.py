@@ -183,8 +183,8 @@ WIDTH = 24
 TABLES = 72
 #: Buckets up to this size are compared by a join, larger ones in Python tasks by pairs of blocks of about BLOCK members; the rules are the same.
 FULL, BLOCK = 16, 2048
-#: Open pairs of each two components in a bucket that are verified in each round; None stands for all.
-NEAREST = (4, None)
+#: Shingles that a task verifies at once; groups with more are cut into pairs of blocks again.
+SHINGLES = 1 << 22
 
 
 def _choices(words: int = 3) -> list[tuple[int, ...]]:
@@ -277,27 +277,42 @@ def _sure_links(prints: np.ndarray, near: int, sure: float) -> tuple[np.ndarray,
     return np.concatenate(first), np.concatenate(second)
 
 
-def _open_links(prints: np.ndarray, decided: np.ndarray, component: np.ndarray, table: int, near: int, most: float, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components that differ in at most ``most`` bits and meet in no table before this one; the ``nearest`` of each two components, or all."""
+def _open_pairs(prints: np.ndarray, decided: np.ndarray, group: np.ndarray, table: int, near: int, most: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows with those after them, nearest first, of other groups, within ``most`` bits and met in no table before this one. ``group`` may change on the way."""
     words = np.array(_choices())
-    first, second, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(prints) - 1):
-        rest, apart = _apart(prints, i, i + 1 + np.flatnonzero(component[i + 1 :] != component[i]), near)
+        rest, apart = _apart(prints, i, i + 1 + np.flatnonzero(group[i + 1 :] != group[i]), near)
         rest, apart = rest[apart <= most], apart[apart <= most]
         if len(rest):
             here = (decided[rest] == decided[i])[:, words].all(axis=2).argmax(axis=1) == table
-            first.append(np.full(here.sum(), i))
-            second.append(rest[here])
-            bits.append(apart[here])
-    a, b, apart = (np.concatenate(x) for x in (first, second, bits))
-    if nearest and len(a):
-        low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
-        order = np.lexsort((apart, high, low))
-        pair = np.stack([low[order], high[order]])
-        start = np.flatnonzero(np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)])
-        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-        a, b = a[order[rank < nearest]], b[order[rank < nearest]]
-    return a, b
+            if here.any():
+                yield i, rest[here][np.argsort(apart[here], kind="stable")]
+
+
+def _open_links(prints: np.ndarray, decided: np.ndarray, component: np.ndarray, table: int, near: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the open pairs of rows of different components, as many that each row with one is named: at most two for a row."""
+    first, second, named = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(prints), dtype=bool)
+    for i, rest in _open_pairs(prints, decided, component, table, near, most):
+        new = rest[~named[rest]]
+        new = new if len(new) or named[i] else rest[:1]
+        named[i] = named[new] = True
+        first.append(np.full(len(new), i))
+        second.append(new)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _similar_links(prints: np.ndarray, decided: np.ndarray, component: np.ndarray, table: int, near: int, most: float, sets: Sequence[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Open pairs whose ``sets`` have this Jaccard similarity: as many as connect all components that such pairs connect."""
+    group, first, second = component.copy(), [], []
+    for i, rest in _open_pairs(prints, decided, group, table, near, most):
+        for j in rest.tolist():
+            if group[i] != group[j]:
+                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if same / (len(sets[i]) + len(sets[j]) - same) >= similarity:
+                    first.append(i)
+                    second.append(j)
+                    group[group == group[j]] = group[i]
+    return first, second
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -321,41 +336,75 @@ def _small_buckets(rows: DataFrame, classes: DataFrame, similarity: float) -> Da
     return pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= most)
 
 
+def _in_blocks(rows: DataFrame, blocks: Column, i: str, j: str, salt: int = 0) -> DataFrame:
+    """``rows`` (content, ...) dealt into ``blocks`` blocks of their group; every two blocks meet in a group ``i``, ``j`` of their own."""
+    block = F.pmod(F.xxhash64("content", *[F.lit(salt)] * bool(salt)), blocks).cast("int")
+    others = F.when(blocks > 1, F.array_remove(F.sequence(F.lit(0), blocks - 1), block)).otherwise(F.array(F.lit(0)))
+    dealt = rows.select("*", block.alias("block"), F.explode(others).alias("other"))
+    return dealt.withColumns({i: F.least("block", "other"), j: F.greatest("block", "other")}).drop("block", "other")
+
+
 def _large_buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(content, at, key, i, j, prints, decided) of ``rows`` in buckets of more members: every two blocks of about BLOCK members meet in a group of their own."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("content"), blocks).cast("int")
-    others = F.when(blocks > 1, F.array_remove(F.sequence(F.lit(0), blocks - 1), block)).otherwise(F.array(F.lit(0)))
-    dealt = rows.where(F.col("n") > FULL).select("content", "at", "key", block.alias("block"), F.explode(others).alias("other"))
-    dealt = dealt.select("content", "at", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = _in_blocks(rows.where(F.col("n") > FULL), blocks, "i", "j").select("content", "at", "key", "i", "j")
     return written(dealt.join(classes.select("content", "prints", "decided"), "content"), "dealt")
 
 
-def _compared(dealt: DataFrame, similarity: float, linked: DataFrame | None = None, nearest: int | None = None) -> DataFrame:
-    """(a, b) of the groups of ``dealt``: links that connect all sure pairs of a bucket, or with components ``linked`` (content, component) the open pairs across them."""
+def _longs(found: pa.Table, name: str) -> np.ndarray:
+    return found.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+
+
+def _named(found: pa.Table, i: Sequence[int], j: Sequence[int]) -> pa.Table:
+    """(a, b) of pairs of rows by number."""
+    content = found.column("content").to_numpy()
+    i, j = np.asarray(i, dtype=np.int64), np.asarray(j, dtype=np.int64)
+    if len(content) > BLOCK // 8:
+        give_back()
+    return pa.table({"a": np.maximum(content[i], content[j]), "b": np.minimum(content[i], content[j])})
+
+
+def _with_components(dealt: DataFrame, linked: DataFrame) -> DataFrame:
+    return dealt.join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
+
+
+def _compared(dealt: DataFrame, similarity: float, linked: DataFrame | None = None) -> DataFrame:
+    """(a, b) of the groups of ``dealt``: links that connect all sure pairs of a bucket, or with components ``linked`` (content, component) open pairs
+    across them that name each member which has one."""
     near, sure, most = _bounds(similarity)
     across = linked is not None
-    if across:
-        rows = dealt.join(linked, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    else:
-        rows = dealt.drop("decided")
+    rows = _with_components(dealt, linked) if across else dealt.drop("decided")
 
     def run(found: pa.Table) -> pa.Table:
-        longs = lambda c: found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-        content, prints = found.column("content").to_numpy(), longs("prints").view(np.uint64)
-        if across:
-            i, j = _open_links(prints, longs("decided"), found.column("component").to_numpy(), found.column("at")[0].as_py(), near, most, nearest)
-        else:
-            i, j = _sure_links(prints, near, sure)
-        if len(content) > BLOCK // 8:
-            give_back()
-        return pa.table({"a": np.maximum(content[i], content[j]), "b": np.minimum(content[i], content[j])})
+        prints = _longs(found, "prints").view(np.uint64)
+        if not across:
+            return _named(found, *_sure_links(prints, near, sure))
+        return _named(found, *_open_links(prints, _longs(found, "decided"), found.column("component").to_numpy(), found.column("at")[0].as_py(), near, most))
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _jaccard(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """``pairs`` (a, b) with the Jaccard similarity of their shingles; ``docs`` (content, text)."""
+def _verified(dealt: DataFrame, sets: DataFrame, similarity: float, linked: DataFrame) -> DataFrame:
+    """(a, b) of the groups of ``dealt``: links that connect all that open pairs of this Jaccard similarity across ``linked`` connect. ``sets``
+    (content, shingles) has the members of open pairs."""
+    near, _, most = _bounds(similarity)
+    rows = _with_components(dealt.join(sets, "content"), linked)
+    total = F.sum(F.size("shingles")).over(Window.partitionBy("key", "i", "j"))
+    rows = rows.withColumn("blocks", F.ceil(total / F.lit(SHINGLES)).cast("int"))
+    rows = _in_blocks(rows, F.col("blocks"), "p", "q", salt=1).drop("blocks")
+
+    def run(found: pa.Table) -> pa.Table:
+        shingles = found.column("shingles").combine_chunks()
+        values, ends = shingles.flatten().to_numpy(), np.cumsum(shingles.value_lengths().to_numpy())
+        component, at = found.column("component").to_numpy(), found.column("at")[0].as_py()
+        sets = np.split(values, ends[:-1])
+        return _named(found, *_similar_links(_longs(found, "prints").view(np.uint64), _longs(found, "decided"), component, at, near, most, sets, similarity))
+
+    return rows.groupBy("key", "i", "j", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
+def _shingles(docs: DataFrame, n: int) -> DataFrame:
+    """(content, shingles) of ``docs`` (content, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -364,9 +413,13 @@ def _jaccard(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), arrays], ["content", "shingles"])
         give_back()
 
-    found = written(docs.select("content", "text").mapInArrow(sets, "content long, shingles array<long>"), "shingles")
-    half = pairs.join(found.toDF("a", "shingles_a"), "a")
-    both = half.join(found.toDF("b", "shingles_b"), "b")
+    return written(docs.select("content", "text").mapInArrow(sets, "content long, shingles array<long>"), "shingles")
+
+
+def _jaccard(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the Jaccard similarity of their ``sets`` (content, shingles)."""
+    half = pairs.join(sets.toDF("a", "shingles_a"), "a")
+    both = half.join(sets.toDF("b", "shingles_b"), "b")
     same = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return both.select("a", "b", (same / (F.size("shingles_a") + F.size("shingles_b") - same)).alias("similarity"))
 
@@ -377,9 +430,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     Texts with the same words (A-Z without case) are a class. SimHash fingerprints of 24 x 64 bits give candidates: each of 72
     tables is keyed by the most decided bits of three words, whatever the size of the input. In buckets of all sizes the first word's Hamming
     distance (in small ones also its pivot table) discards pairs, and the distance of all words decides those well above or below. Those well
-    above are linked at once; of the rest only pairs across the components that these make are left, and have their shingles compared: first
-    the nearest of each two components, as most of them connect, then all that still lie across. A pair comes out of the first bucket it
-    shares only. first_id is the smallest doc_id of the group.
+    above are linked at once; of the rest only pairs across the components that these make are left. Their members get their shingles, and each
+    bucket's task compares them, nearest first, as long as they lie across what it has linked; so tasks return links, not pairs. A pair is
+    compared in the first bucket it shares only. first_id is the smallest doc_id of the group.
     Texts without words form a class. digest tells rows of one id apart. Null ids are allowed; no rows give no rows.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
@@ -392,22 +445,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     low = _bounds(similarity)[1]
     links = written(small.where(F.col("apart") < low).select("a", "b").union(_compared(dealt, similarity)), "links")
     linked = written(connected_components(links).toDF("content", "component"), "linked")
-    for nearest in NEAREST:
-        open_pairs = _compared(dealt, similarity, linked, nearest)
-        if nearest == NEAREST[0]:
-            of = lambda c: linked.select(F.col("content").alias(c), F.col("component").alias(f"of_{c}"))
-            across = small.where(F.col("apart") >= low).join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a != of_b")
-            open_pairs = open_pairs.union(across.select("a", "b")).distinct()
-        open_pairs = written(open_pairs, "open")
-        ids = open_pairs.select(F.col("a").alias("content")).union(open_pairs.select("b")).distinct()
-        wanted = written(ids.join(classes.select("content", F.col("digest").alias("d")), "content"), "wanted")
-        texts = rows.join(small_side(wanted, 500_000), F.col("digest") == F.col("d")).dropDuplicates(["content"])
-        verified = _jaccard(texts, open_pairs, n).where(F.col("similarity") >= similarity).select("a", "b")
-        before = (links, linked, open_pairs, wanted)
-        links = written(links.union(verified), "links")
-        linked = written(connected_components(links).toDF("content", "component"), "linked")
-        for table in before:
-            forget(table)
+    of = lambda c: linked.select(F.col("content").alias(c), F.col("component").alias(f"of_{c}"))
+    across = small.where(F.col("apart") >= low).join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a != of_b")
+    across, opened = written(across.select("a", "b"), "across"), written(_compared(dealt, similarity, linked), "open")
+    named = across.union(opened)
+    ids = named.select(F.col("a").alias("content")).union(named.select("b")).distinct()
+    wanted = written(ids.join(classes.select("content", F.col("digest").alias("d")), "content"), "wanted")
+    texts = rows.join(small_side(wanted, 500_000), F.col("digest") == F.col("d")).dropDuplicates(["content"])
+    sets = _shingles(texts, n)
+    similar = _jaccard(sets, across).where(F.col("similarity") >= similarity).select("a", "b")
+    before = (links, linked, across, opened, wanted, sets)
+    # What is linked already goes on as one link for each member.
+    links = written(linked.toDF("a", "b").union(similar).union(_verified(dealt, sets, similarity, linked)), "links")
+    linked = written(connected_components(links).toDF("content", "component"), "linked")
+    for table in before:
+        forget(table)
     grouped = found.select("doc_id", "digest", "content").join(linked, "content", "left")
     grouped = grouped.select("doc_id", "digest", F.coalesce("component", "content").alias("component"))
     least = written(grouped.groupBy("component").agg(F.min("doc_id").alias("first_id")), "least")

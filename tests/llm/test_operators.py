@@ -516,6 +516,25 @@ def test_family_at_the_threshold(spark, monkeypatch, full):
     assert all(want[i] == want[got[i]] for i in want)
 
 
+def test_open_pairs_are_no_rows(spark):
+    """A bucket of 300 members of which no two are alike, but all might be: each is named, in links of at most two a member; the sets decide."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63, simhash.WIDTH)
+    flips = np.array([[sum(1 << int(b) for b in rng.choice(63, 4, replace=False)) for _ in range(simhash.WIDTH)] for _ in range(300)])
+    classes = classes_of(spark, base ^ flips, [[1] * simhash.WIDTH] * 300)
+    dealt, alone = simhash._large_buckets(simhash._buckets(classes), classes), classes.select("content", F.col("content").alias("component"))
+    got = [(r.a, r.b) for r in simhash._compared(dealt, 0.8, alone).collect()]
+    assert {x for pair in got for x in pair} == set(range(300)) and len(got) <= 600
+    values = {i: [i * 10 + k for k in range(9)] + [-i // 3] for i in range(300)}
+    values |= {i: values[i - 100] + [5_000 + i] for i in range(200, 300)}  # 10 of 11 are those of i - 100
+    sets = spark.createDataFrame(list(values.items()), "content long, shingles array<long>")
+    links = [(r.a, r.b) for r in simhash._verified(dealt, sets, 0.8, alone).collect()]
+    want = [(i, i - 100) for i in range(200, 300)]
+    assert sorted(links) == want
+
+
 def pairs_near(similarity, n, seed=8):
     """Classes' fingerprints of ``n`` pairs of sets of hashes with this Jaccard similarity: of pair i the rows i and n + i."""
     import numpy as np
